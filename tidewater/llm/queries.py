@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import blocknames, chunks, packing, records
+from tidewater.llm import blocknames, chunks, hyperlang, mincut, packing, perplexity, records, urlrules
 from tidewater.llm.common import shared_dir
 
 END_ID = 2
@@ -35,13 +35,31 @@ def op5_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
+def op6_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperlang.identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality(_table(spark, sf_dir, "documents"))
+
+
+def op8_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A page was made from the document whose number ends its path; the labels are that document's.
+    number = F.regexp_extract(urlrules.path_of(F.col("url")), r"(\d{1,18})(?:\.\w+)?/?$", 1)
+    return urlrules.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"), label_key=number.try_cast("long"))
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = records.fresh_folder(shared_dir(spark))
     records.write_token_records(_table(spark, sf_dir, "documents"), path, tokenizer_path(), END_ID)
     return records.read_token_records(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-_QUERIES = [op2_block_naming, op3_chunk_reuse, op5_nnls_packing, op9_token_records]
+def op10_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut.extract(_table(spark, sf_dir, "pages"))
+
+
+_QUERIES = [op2_block_naming, op3_chunk_reuse, op5_nnls_packing, op6_hyperdimensional, op7_ngram_perplexity, op8_association_rules, op9_token_records, op10_minimum_cut]
 
 _ORACLES = {
     "op2_block_naming": """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
