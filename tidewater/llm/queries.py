@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import blocknames, chunks, hyperlang, mincut, packing, perplexity, records, urlrules
+from tidewater.llm import blocknames, chunks, hyperlang, lshforest, mincut, packing, perplexity, records, urlrules
 from tidewater.llm.common import shared_dir
 
 END_ID = 2
@@ -31,6 +31,10 @@ def op3_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.encode_decode_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lshforest.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op5_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
@@ -59,7 +63,7 @@ def op10_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mincut.extract(_table(spark, sf_dir, "pages"))
 
 
-_QUERIES = [op2_block_naming, op3_chunk_reuse, op5_nnls_packing, op6_hyperdimensional, op7_ngram_perplexity, op8_association_rules, op9_token_records, op10_minimum_cut]
+_QUERIES = [op2_block_naming, op3_chunk_reuse, op4_lsh_forest, op5_nnls_packing, op6_hyperdimensional, op7_ngram_perplexity, op8_association_rules, op9_token_records, op10_minimum_cut]
 
 _ORACLES = {
     "op2_block_naming": """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
