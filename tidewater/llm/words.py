@@ -15,9 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Words that a worker remembers before it starts afresh; bounds its memory.
-MEMO_WORDS = 500_000
-#: Characters in words of up to this many UTF-8 bytes are remembered; longer words are encoded each time.
+#: When a worker remembers more words than this it starts afresh; bounds its memory.
+MEMO_WORDS = 300_000
+#: Words of more characters are encoded whole, by themselves.
 MEMO_WORD_CHARS = 64
 
 #: The tokenizer's own pattern for pieces of a word (fixed value, from its file).
@@ -53,55 +53,76 @@ class WordCoder:
         self._fresh()
 
     def _fresh(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.piece_ids: dict[str, np.ndarray] = {}
-        self.starts = np.zeros(1024, np.int64)
-        self.lengths = np.zeros(1024, np.int64)
+        self.memo: dict[str, int] = {}  # pieces of words
+        self.known = pa.array([], pa.large_string())  # words, and where their ids are
+        self.known_place = np.zeros(0, np.int64)
+        self.starts = np.zeros(1 << 12, np.int64)
+        self.lengths = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.entries = self.used = 0
 
     def encode_one(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _store(self, ids: np.ndarray, lengths: np.ndarray) -> int:
+        """Keep runs of ids; returns the place of the first."""
+        n = len(lengths)
+        while self.entries + n > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        first, self.entries = self.entries, self.entries + n
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.lengths[first : first + n] = lengths
+        self.starts[first : first + n] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(ids)
+        return first
+
     def _learn_pieces(self, pieces: list[str]) -> None:
         """Many pieces in one library call; each ends with the one token that has the end mark."""
-        for at in range(0, len(pieces), 500):
-            some = pieces[at : at + 500]
-            ids = np.array(self.pieces.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+        parts = [pieces[at : at + 500] for at in range(0, len(pieces), 500)]
+        for some, coded in zip(parts, self.pieces.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False)):
+            ids = np.array(coded.ids, np.uint32)
             ends = np.flatnonzero(self.ends_piece[ids]) + 1
-            if len(ends) != len(some):
-                for p in some:
-                    self.piece_ids[p] = self.encode_one(p)
-                continue
-            self.piece_ids.update(zip(some, np.split(ids, ends[:-1])))
-
-    def _store(self, word: str, ids: np.ndarray) -> None:
-        k, n = len(self.memo), len(ids)
-        if k >= len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * k), np.resize(self.lengths, 2 * k)
-        while self.used + n > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + n] = ids
-        self.starts[k], self.lengths[k] = self.used, n
-        self.memo[word] = k
-        self.used += n
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self._fresh()
-        split: list[tuple[str, list[str]]] = []
-        fresh: dict[str, None] = {}
-        for w in words:
-            if PLAIN.fullmatch(w) and SPECIAL not in w:
-                parts = PIECES.findall(w.lower())
-                split.append((w, parts))
-                fresh.update((p, None) for p in parts if p not in self.piece_ids)
+            if len(ends) == len(some):
+                first = self._store(ids, np.diff(ends, prepend=0))
+                self.memo.update(zip(some, range(first, first + len(some))))
             else:
-                self._store(w, self.encode_one(w))
-        self._learn_pieces(list(fresh))
-        know = self.piece_ids
-        for w, parts in split:
-            self._store(w, know[parts[0]] if len(parts) == 1 else np.concatenate([know[p] for p in parts]))
+                for x in some:
+                    own = self.encode_one(x)
+                    self.memo[x] = self._store(own, np.array([len(own)]))
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """The places of words that aren't known yet."""
+        memo, place = self.memo, np.zeros(len(words), np.int64)
+        single: list[tuple[int, str]] = []
+        several: list[tuple[int, list[str]]] = []
+        fresh: set[str] = set()
+        for k, w in enumerate(words):
+            if len(w) > MEMO_WORD_CHARS or not ((w.isascii() and w.isprintable()) or PLAIN.fullmatch(w)) or SPECIAL in w:
+                own = self.encode_one(w)
+                place[k] = self._store(own, np.array([len(own)]))
+                continue
+            low = w.lower()
+            if low.isalpha():
+                single.append((k, low))
+                fresh.add(low)
+                continue
+            head, last = low[:-1], low[-1:]
+            parts = [head, last] if last in ".,;:!?" and head.isalpha() else PIECES.findall(low)
+            several.append((k, parts))
+            fresh.update(parts)
+        self._learn_pieces([x for x in fresh if x not in memo])
+        place[[k for k, _ in single]] = [memo[low] for _, low in single]
+        if several:
+            at = np.array([memo[x] for _, parts in several for x in parts], np.int64)
+            n = self.lengths[at]
+            ends = np.cumsum(n)
+            ids = self.flat[np.repeat(self.starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+            sums = np.append(0, ends)[np.append(0, np.cumsum([len(parts) for _, parts in several]))]
+            first = self._store(ids, np.diff(sums))
+            place[[k for k, _ in several]] = np.arange(first, first + len(several))
+        return place
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts on end, offsets: text k has ids[offsets[k]:offsets[k + 1]]); null is empty."""
@@ -111,23 +132,19 @@ class WordCoder:
         coded = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode() if len(texts) else None
         if coded is None or not len(coded):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        words = coded.dictionary.to_pylist()
-        unknown = [w for w in words if w not in self.memo and len(w) <= MEMO_WORD_CHARS]
-        if unknown:
-            held = len(self.memo)
-            self._learn(unknown)
-            if len(self.memo) < held + len(unknown):  # it began afresh: learn the others of this batch again
-                self._learn([w for w in words if w not in self.memo and len(w) <= MEMO_WORD_CHARS])
-        place = np.fromiter((self.memo.get(w, -1) for w in words), np.int64, len(words))
+        if len(self.known) > MEMO_WORDS:
+            self._fresh()
+        words = coded.dictionary
+        found = pc.index_in(words, self.known)
+        place = np.zeros(len(words), np.int64)
+        is_new = found.is_null().to_numpy(zero_copy_only=False)
+        place[~is_new] = self.known_place[found.drop_null().to_numpy()]
+        if is_new.any():
+            new = words.filter(pa.array(is_new))
+            place[is_new] = self._learn(new.to_pylist())
+            self.known = pa.concat_arrays([self.known, new])
+            self.known_place = np.concatenate([self.known_place, place[is_new]])
         starts, lengths, flat = self.starts[place], self.lengths[place], self.flat
-        if (place < 0).any():
-            extra, at = [], self.used
-            for k in np.flatnonzero(place < 0):
-                ids = self.encode_one(words[k]) if words[k] else np.zeros(0, np.uint32)
-                starts[k], lengths[k] = at, len(ids)
-                at += len(ids)
-                extra.append(ids)
-            flat = np.concatenate([self.flat[: self.used], *extra])
         index = coded.indices.to_numpy()
         n = lengths[index]
         ends = np.cumsum(n)
@@ -146,7 +163,7 @@ def coder(path: str) -> WordCoder:
 
 
 #: Bytes of text that are worked on at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):
