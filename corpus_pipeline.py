@@ -6,9 +6,12 @@ The first four return the columns of ``documents``; the last returns packed piec
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm import blocknames, hyperlang, lshforest, packing, perplexity
+from tidewater.llm.common import shared_dir
 from tidewater.llm.queries import END_ID, tokenizer_path
 
 
@@ -50,8 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``."""
+    """All stages on ``documents``; what a stage keeps is written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        if k:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
         docs = stage(spark, docs, sf_dir)
     return docs

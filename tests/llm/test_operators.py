@@ -1,0 +1,431 @@
+"""Each operator against a brute-force version, with nulls, empties, long texts, ties and clashing columns."""
+
+import hashlib
+import random
+import struct
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tidewater.llm import blocknames, chunks, hyperlang, lshforest, mincut, packing, perplexity, quotes, records, urlrules
+from tidewater.llm.queries import END_ID, tokenizer_path
+from tidewater.llm.words import coder
+
+CLASH = "doc_id long, text string, lang string, name string, key string, kept boolean, score double, length int, rid int, n int, row string"
+
+
+def docs_frame(spark, rows):
+    """Rows (doc_id, text, lang) with extra columns whose names operators use inside."""
+    return spark.createDataFrame([(*r, "x", "k", True, 0.5, 3, 1, 2, "r") for r in rows], CLASH)
+
+
+def words(rng, n, letters="abcdefgh"):
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def sample():
+    rng = random.Random(5)
+    long = words(rng, 9000)
+    base = [words(rng, rng.randint(1, 300)) for _ in range(20)]
+    rows = [(i, t, "en") for i, t in enumerate(base)]
+    rows += [(100 + i, base[i % 3], "de") for i in range(9)]
+    rows += [(200, None, None), (201, "", "en"), (202, long, "fr"), (203, long, "fr"), (204, long[:-1] + "!", None), (7, "again the same id", "en"), (7, "again the same id", "en"), (None, "no id", "en")]
+    rows += [(300, "Größe ﬁne 中文字 😀 <|endoftext|> it's\x0bİstanbul \u2028 end", "de"), (301, "字" * 3000, "en"), (302, "a" * 5000 + " b", "en")]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def ids_of(library, text):
+    return np.array(library.encode(text or "", add_special_tokens=False).ids, "<u4")
+
+
+def test_exact_dedup(spark, sample):
+    got = blocknames.exact_dedup(docs_frame(spark, sample), block_bytes=64).collect()
+    assert len(got) == len(sample)
+    groups = {}
+    for i, t, _ in sample:
+        groups.setdefault(t or "", []).append(i)
+    shas = {hashlib.sha256(t.encode()).hexdigest(): v for t, v in groups.items()}
+    seen = {}
+    for r in got:
+        own = shas[r.text_sha256]
+        assert (r.group_size, r.keep_id) == (len(own), max((x for x in own if x is not None), default=None))
+        seen.setdefault(r.text_sha256, []).append(r.kept)
+    assert all(sum(v) == 1 for v in seen.values())
+    kept = blocknames.kept_rows(docs_frame(spark, sample))
+    assert kept.columns == docs_frame(spark, []).columns
+    assert sorted((r.text or "") for r in kept.collect()) == sorted(groups)
+    assert blocknames.exact_dedup(docs_frame(spark, [])).count() == 0
+
+
+def test_block_names_of_a_hot_group(spark):
+    rows = [(i, "same text " * 30, "en") for i in range(400)] + [(1000 + i, f"other {i}", "en") for i in range(200)]
+    got = blocknames.exact_dedup(docs_frame(spark, rows), block_bytes=16)
+    assert got.filter("kept").count() == 201
+    assert got.agg(F.max("group_size"), F.max("keep_id")).first()[0] == 400
+
+
+def test_words_agree_with_the_library(library):
+    rng = random.Random(1)
+    alphabet = [chr(i) for i in range(1, 0x250)] + list("\u0300\u0301\u03a3\u0130\u2028\u3000\x85中😀\u1e9e\u212b") + ["<|endoftext|>", "'s", "'LL", "<|"] + [" ", "\n"] * 60
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(1500)] + ["", None]
+    code = coder(tokenizer_path())
+    ids, at = code.encode(pa.array(texts))
+    for k, t in enumerate(texts):
+        own = ids[at[k] : at[k + 1]]
+        assert own.tolist() == ids_of(library, t).tolist()
+        assert code.decode(own) == library.decode(own.tolist(), skip_special_tokens=False)
+
+
+def test_chunks_repair_joins(library, monkeypatch):
+    monkeypatch.setattr(chunks, "REACH_BYTES", 40)
+    monkeypatch.setattr(chunks, "MEAN_BYTES", 64)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh中é1!'" if rng.random() < 0.7 else "ñ中文😀 ,.'\n") for _ in range(rng.choice([0, 3, 50, 400, 2500]))) for _ in range(120)]
+    code = chunks.ChunkCoder(coder(tokenizer_path()))
+    got = code.encode(pa.array(texts + texts))
+    assert [g.tolist() for g in got] == [ids_of(library, t).tolist() for t in texts] * 2
+    assert code.encoded < code.met
+
+
+def test_encode_decode(spark, sample, library):
+    frame = docs_frame(spark, sample)
+    got = chunks.encode_decode_digests(frame, tokenizer_path()).collect()
+    want = []
+    for i, t, _ in sample:
+        own = ids_of(library, t)
+        text = library.decode(own.tolist(), skip_special_tokens=False)
+        want.append((i, len(own), hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert chunks.encode_decode(docs_frame(spark, []), tokenizer_path()).count() == 0
+
+
+def brute_links(rows):
+    sets = []
+    for _, t, _ in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    links = [{j for j in range(len(rows)) if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in range(len(rows))]
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min([root[i], *(root[j] for j in links[i])]) for i in range(len(rows))]
+    least = [min(rows[j][0] for j in range(len(rows)) if root[j] == root[i]) for i in range(len(rows))]
+    return sorted((rows[i][0], least[i], len(links[i])) for i in range(len(rows)))
+
+
+@pytest.mark.parametrize("block", [300_000, 500])
+def test_jaccard_join(spark, monkeypatch, block):
+    monkeypatch.setattr(lshforest, "BLOCK_SHINGLES", block)
+    rng = random.Random(11)
+    rows = []
+    for g in range(6):
+        w = words(rng, 120).split()
+        for k in range(rng.randint(1, 8)):
+            v = list(w)
+            for _ in range(rng.randint(0, 3)):
+                v[rng.randrange(len(v))] = words(rng, 1)
+            rows.append((len(rows), " ".join(v), "en"))
+    rows += [(500, rows[0][1], "en"), (501, None, "en"), (502, "", "en"), (503, "two words", "en"), (504, "two words", None), (505, words(rng, 3000), "en")]
+    got = lshforest.jaccard_join(docs_frame(spark, rows))
+    assert sorted(map(tuple, got.select("doc_id", "class_id", "n_links").collect())) == brute_links(rows)
+    kept = lshforest.one_per_class(docs_frame(spark, rows))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, _ in brute_links(rows)})
+    assert lshforest.jaccard_join(docs_frame(spark, [])).count() == 0
+
+
+def test_forest_prefix_is_shortened_to_the_target():
+    depth = lshforest.depth_for(0.8, 40, 0.99999, 10)
+    reach = lambda d: 1 - (1 - 0.8**d) ** 40
+    assert reach(depth) >= 0.99999 > reach(depth + 1)
+
+
+def test_packing(spark, sample, library):
+    got = packing.pack_documents(docs_frame(spark, sample), tokenizer_path(), END_ID).collect()
+    pieces, sequences = {}, {}
+    for r in got:
+        pieces.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    for i, t, _ in sample:
+        if i in (7, None):
+            continue
+        ids, at = np.append(ids_of(library, t), END_ID).astype("<u4"), 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(ids)
+    assert packing.pack_documents(docs_frame(spark, []), tokenizer_path(), END_ID).count() == 0
+
+
+def test_packing_plan_holds_the_histogram():
+    rng = random.Random(2)
+    histogram = {}
+    for combo in rng.sample(packing.combinations(64), 60):  # so that windows can be filled without a gap
+        n = rng.randint(1, 200)
+        for k in combo:
+            histogram[k] = histogram.get(k, 0) + n
+    patterns = packing.plan(histogram, 64)
+    held = {}
+    for pattern, repeats in patterns:
+        assert sum(k * n for k, n in pattern.items()) <= 64 and repeats > 0
+        for k, n in pattern.items():
+            held[k] = held.get(k, 0) + n * repeats
+    assert held == {k: n for k, n in histogram.items() if n}
+    full = sum(k * n for k, n in histogram.items()) / 64
+    assert sum(r for _, r in patterns) <= 1.02 * full + 2
+
+
+def test_nnls_against_the_conditions():
+    rng = np.random.default_rng(4)
+    a, b = rng.random((12, 30)), rng.random(12) * 5
+    x = packing.solve_nnls(a, b)
+    gradient = a.T @ (b - a @ x)
+    assert (x >= 0).all() and (gradient <= 1e-6).all() and np.abs(gradient[x > 0]).max() < 1e-6
+
+
+def test_records_round_trip(spark, sample, library, tmp_path):
+    path = f"file://{tmp_path}/records"
+    records.write_token_records(docs_frame(spark, sample), path, tokenizer_path(), END_ID)
+    got = sorted(records.read_token_records(spark, path).collect(), key=lambda r: r.start)
+    ordered = sorted(sample, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    assert [r.doc_id for r in got] == [r[0] for r in ordered]
+    at = 0
+    for r, (_, t, _) in zip(got, ordered):
+        own = np.append(ids_of(library, t), END_ID).astype("<u4")
+        assert (r.start, r.n_tokens, bytes(r.ids)) == (at, len(own), own.tobytes())
+        at += len(own)
+    shard = records.read_manifest(path)["shards"][0]["name"]
+    doc_id, offset, size = records.read_index(path, shard)[0].tolist()
+    assert records.read_record(path, shard, offset, size)[0] in (doc_id, None)
+    empty = f"file://{tmp_path}/none"
+    records.write_token_records(docs_frame(spark, []), empty, tokenizer_path(), END_ID)
+    assert records.read_token_records(spark, empty).count() == 0
+
+
+def test_damaged_records_raise():
+    good = records.frame(records.pack(5, np.arange(9), False))
+    payload, end = records.unframe(memoryview(good), 0)
+    assert end == len(good) and records.unpack(payload)[1].tolist() == list(range(9))
+    for at in (0, 9, 20, len(good) - 1):
+        bad = bytearray(good)
+        bad[at] ^= 1
+        with pytest.raises(ValueError):
+            records.unframe(memoryview(bytes(bad)), 0)
+    assert records.masked(b"") == (zlib.crc32(b"") + records.MASK_DELTA) & 0xFFFFFFFF
+    assert struct.unpack("<Q", good[:8])[0] == len(payload)
+
+
+def test_language_id(spark):
+    rng = random.Random(6)
+    rows = [(i, words(rng, 60, "abcde" if i % 2 else "vwxyz"), "aa" if i % 2 else "zz") for i in range(80)]
+    rows += [(900, None, "aa"), (901, "123 !!", "aa"), (902, "", None), (903, "abc abd", None), (904, "vwxy " * 20000, None), (None, "xyz wxy", "zz"), (7, "abcd", "aa")]
+    got = {r.doc_id: r for r in hyperlang.identify(docs_frame(spark, rows)).collect()}
+    for i in range(80):
+        if i != 7:
+            assert got[i].lang_pred == ("aa" if i % 2 else "zz") and 0 <= got[i].score <= 1
+            assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+    assert [got[i].lang_pred for i in (900, 901, 902, 903, 904)] == ["und", "und", "und", "aa", "zz"]
+    kept = hyperlang.language_filter(docs_frame(spark, rows))
+    assert kept.columns == docs_frame(spark, []).columns and {900, 901, 902}.isdisjoint(r.doc_id for r in kept.collect())
+    assert hyperlang.identify(docs_frame(spark, [])).count() == 0
+
+
+def test_bound_vectors_are_what_they_say():
+    own = hyperlang.Profiler()
+    keys, counts = own.grams("Ab, cd")
+    want = np.zeros(hyperlang.DIMENSIONS)
+    for gram in ("ab ", "b c", " cd"):
+        v = np.ones(hyperlang.DIMENSIONS)
+        for k, c in enumerate(gram):
+            v = v * np.roll(hyperlang.letter_vector(ord(c)), 2 - k)
+        want += v
+    assert np.array_equal(own.vector(keys, counts), want)
+
+
+def brute_counts(text):
+    w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", text) if x]
+    lines, seen, dup = text.split("\n"), set(), 0
+    for line in lines:
+        dup += line in seen and bool(line.strip(" \t\n\x0b\x0c\r"))
+        seen.add(line)
+    grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    cover = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)}
+    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(cover)
+
+
+def test_base_counts():
+    rng = random.Random(8)
+    texts = ["", None, "a", " x  y\n\nx y\n", "é\u00a0b c\x1cd"] + ["\n".join(" ".join(rng.choice("ab|#é") for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(1, 6))) for _ in range(200)]
+    got = perplexity.base_counts(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert tuple(int(got[c][k]) for c in perplexity.COUNTS) == brute_counts(t or ""), t
+
+
+def brute_kneser_ney(texts):
+    """Interpolated modified Kneser-Ney over symbols, by dictionaries."""
+    from collections import Counter, defaultdict
+
+    n = perplexity.ORDER
+    counts = {n: Counter()}
+    for t in texts:
+        s = (0,) * (n - 1) + tuple(perplexity.symbols(t).tolist())
+        counts[n].update(s[i : i + n] for i in range(len(s) - n + 1))
+    for k in range(n - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cut, total, spare = {}, {}, {}
+    for k in range(1, n + 1):
+        have = Counter(counts[k].values())
+        y = have[1] / (have[1] + 2 * have[2]) if have[1] + have[2] else 0.5
+        cut[k] = [min(max(i - (i + 1) * y * have[i + 1] / have[i], 0), i) if have[i] else 0.5 for i in (1, 2, 3)]
+        total[k], spare[k] = Counter(), defaultdict(float)
+        for g, c in counts[k].items():
+            total[k][g[:-1]] += c
+            spare[k][g[:-1]] += cut[k][min(c, 3) - 1]
+
+    def p(g):
+        k, lower = len(g), 1 / 1024 if len(g) == 1 else None
+        context = g[:-1]
+        if not total[k][context]:
+            return p(g[1:])
+        lower = lower if k == 1 else p(g[1:])
+        c = counts[k][g]
+        own = (c - cut[k][min(c, 3) - 1]) / total[k][context] if c else 0.0
+        return own + spare[k][context] / total[k][context] * lower
+
+    def score(t):
+        s = (0,) * (n - 1) + tuple(perplexity.symbols(t).tolist())
+        return -sum(np.log(p(s[i : i + n])) for i in range(len(s) - n + 1)) / len(t)
+
+    return score
+
+
+def test_kneser_ney_agrees_with_dictionaries(spark):
+    rng = random.Random(9)
+    texts = [words(rng, 60, "abcd") for _ in range(30)]
+    model = perplexity.fit(docs_frame(spark, [(i, t, "en") for i, t in enumerate(texts)]))
+    score = brute_kneser_ney(texts)
+    got = model.text_scores([*texts[:5], "zzz qq abab", ""])
+    want = [score(t) for t in [*texts[:5], "zzz qq abab"]]
+    assert np.allclose(got[:-1], want, rtol=0.02) and np.isnan(got[-1])
+
+
+def test_quality(spark):
+    rng = random.Random(10)
+    rows = [(i, words(rng, 150, "abcdefg"), "en") for i in range(60)]
+    odd = " ".join("".join(rng.choice("#%&vwxyz0") for _ in range(7)) for _ in range(150))
+    rows += [(900, None, "en"), (901, "", None), (902, "one two three " * 60, "en"), (903, odd, "en"), (903, odd, "en")]
+    got = {r.doc_id: r for r in perplexity.quality(docs_frame(spark, rows)).collect()}
+    assert all(got[i].kept and not got[i].base_failed for i in range(60))
+    assert [got[i].base_failed for i in (900, 901, 902, 903)] == [True, True, True, False]
+    assert not any(got[i].kept for i in (900, 901, 902, 903))
+    kept = perplexity.quality_filter(docs_frame(spark, rows))
+    assert kept.columns == docs_frame(spark, []).columns and sorted(r.doc_id for r in kept.collect()) == list(range(60))
+    assert perplexity.quality(docs_frame(spark, [])).count() == 0
+
+
+def test_url_parts_and_rules(spark):
+    urls = [
+        ("HTTP://WWW.Example.ORG/es/a?x=1#f", "www.example.org", "/es/a", "example.org/es/", "block"),
+        ("https://example.org/en/12", "example.org", "/en/12", "example.org/en/1", "block"),
+        ("https://notexample.org/es/", "notexample.org", "/es/", "org/", "allow"),
+        ("x://a.com/fr/", "a.com", "/fr/", "com/fr/", "allow"),
+        ("x://a.com/de/#/", "a.com", "/de/", "com/de/", "block"),
+        ("x://a.com?u=http://b.org/", "a.com", "", None, "allow"),
+        ("x://org/", "org", "/", "org/", "allow"),
+        ("no scheme/de/", "", "", None, "allow"),
+        (None, "", "", None, "allow"),
+    ]
+    pages = spark.createDataFrame([(i, u[0], "h", "v") for i, u in enumerate(urls)], "page_id long, url string, html string, verdict string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {r.page_id: tuple(r)[1:5] for r in urlrules.judge(pages, labels).collect()}
+    assert got == {i: u[1:] for i, u in enumerate(urls)}
+    assert urlrules.judge(pages.limit(0), labels).count() == 0
+
+
+def test_mined_rules(spark):
+    rng = random.Random(12)
+    pages, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        host = "spam.example.net" if bad else rng.choice(["a.example.net", "b.example.net"])
+        pages.append((i, f"http://{host}/{rng.choice(['x', 'y'])}/{i}?k=1"))
+        labels.append((i, None if i == 1 else int(not bad), 0))
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    got = urlrules.judge(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert all((r.verdict == "block") == (r.page_id % 4 == 0) for r in got)
+    assert all("d:spam" in r.mined_rule for r in got if r.verdict == "block")
+
+
+PAGES = {
+    "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Home</a></nav><article><h1>Head &amp; shoulders</h1><p>First  <b>bold</b>\ntext, long enough to be read as content.<p>Second.</article><footer>&copy; me</footer>": "Head & shoulders\n\nFirst bold text, long enough to be read as content.\n\nSecond.",
+    "<div id=main><p>A real paragraph with a fair number of words in it, and an end.</p><div class='comments'><p>Nice post, I liked it a lot!</p></div><aside>Side</aside></div><form><p>Mail</p><input></form>": "A real paragraph with a fair number of words in it, and an end.",
+    "<article><p>One.</p><div class=\"ad-banner\">Buy</div><script>var t='</p>';</script><!-- <p>no</p> --><p>Two.</p></article>": "One.\n\nTwo.",
+    "": "",
+    "<nav>only a menu</nav>": "",
+}
+
+
+def test_main_text(spark):
+    rows = [(i, "u", h) for i, h in enumerate(PAGES)] + [(90, None, None), (91, "u", "<article>" + "<p>Long text here.</p>" * 3000), (0, "twice", next(iter(PAGES)))]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
+    got = {(r.page_id, r.url): r for r in mincut.extract(frame).collect()}
+    for i, want in enumerate(PAGES.values()):
+        assert got[i, "u"].text == want and got[i, "u"].n_chars == len(want)
+    assert got[0, "twice"].text == got[0, "u"].text and got[90, None].text == ""
+    assert got[91, "u"].text.count("\n\n") == 2999
+    assert mincut.extract(frame.limit(0)).count() == 0
+
+
+def test_minimum_cut_is_minimal():
+    rng = random.Random(13)
+    for _ in range(150):
+        n = rng.randint(1, 8)
+        gain = [rng.uniform(-3, 3) for _ in range(n)]
+        edges = [(rng.randrange(n), rng.randrange(n), rng.uniform(0, 2)) for _ in range(rng.randint(0, 14))]
+
+        def cost(labels):
+            own = sum(max(g, 0) if not x else max(-g, 0) for g, x in zip(gain, labels))
+            return own + sum(w for a, b, w in edges if labels[a] != labels[b])
+
+        best = min(cost([bool(m >> k & 1) for k in range(n)]) for m in range(1 << n))
+        assert cost(mincut.minimum_cut(gain, edges)) == pytest.approx(best)
+
+
+def test_quotation_links(spark):
+    rows = [
+        (1, 0, "user", "Shall we meet?\n\nI am free on Monday.", "x"),
+        (1, 1, "assistant", "On Tuesday X wrote:\n> I am  FREE on monday.\nMonday is fine.", "x"),
+        (1, 2, "user", "> > Shall we meet?\n> Monday is fine.\nGood.", "x"),
+        (1, 3, "assistant", "> Shall we meet?\nStill yes.", "x"),
+        (2, 0, "user", ">> Monday is fine.\n", "x"),
+        (2, 1, "user", None, "x"),
+        (None, 1, "user", "> never said\nhm", "x"),
+        (2, 2, None, "", "x"),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, level string")
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(frame).collect()}
+    assert len(got) == len(rows)
+    assert got[1, 1].text == "Monday is fine." and got[1, 1].reply_to == 0
+    assert (got[1, 2].reply_to, got[1, 2].reply_path, got[1, 2].quote_levels, got[1, 2].n_quotes, got[1, 2].n_linked) == (1, [0, 1, 2], 2, 2, 2)
+    assert got[1, 3].reply_path == [0, 3] and got[1, 0].reply_path == [0]
+    assert (got[2, 0].text, got[2, 0].reply_to, got[2, 0].n_linked) == ("", None, 1)
+    assert (got[None, 1].text, got[None, 1].reply_to, got[None, 1].n_linked) == ("hm", None, 0)
+    order = [t for t, _ in sorted(((r.turn, r.reply_path) for (c, _), r in got.items() if c == 1), key=lambda x: x[1])]
+    assert order == [0, 1, 2, 3]
+    assert quotes.link_quotes(frame.limit(0)).count() == 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import blocknames, chunks, hyperlang, lshforest, mincut, packing, perplexity, records, urlrules
+from tidewater.llm import blocknames, chunks, hyperlang, lshforest, mincut, packing, perplexity, quotes, records, urlrules
 from tidewater.llm.common import shared_dir
 
 END_ID = 2
@@ -23,6 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(_table(spark, sf_dir, "conversations"))
+
+
 def op2_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocknames.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def op10_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mincut.extract(_table(spark, sf_dir, "pages"))
 
 
-_QUERIES = [op2_block_naming, op3_chunk_reuse, op4_lsh_forest, op5_nnls_packing, op6_hyperdimensional, op7_ngram_perplexity, op8_association_rules, op9_token_records, op10_minimum_cut]
+_QUERIES = [op1_quotation_links, op2_block_naming, op3_chunk_reuse, op4_lsh_forest, op5_nnls_packing, op6_hyperdimensional, op7_ngram_perplexity, op8_association_rules, op9_token_records, op10_minimum_cut]
 
 _ORACLES = {
     "op2_block_naming": """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
