@@ -36,3 +36,77 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if not moved.filter("new <> label").limit(1).count():
             return labels.withColumnRenamed("label", "component")
         labels = moved.select("id", F.col("new").alias("label"))
+
+
+def component_sizes(vertices: DataFrame, edges: DataFrame, vertex: str = "id") -> DataFrame:
+    """(component, size), vertices without an edge included."""
+    found = connected_components(edges)
+    rows = vertices.select(F.col(vertex).alias("id")).join(found, "id", "left")
+    return rows.groupBy(F.coalesce("component", "id").alias("component")).agg(F.count("*").alias("size"))
+
+
+def shared_key_edges(rows: DataFrame, window: str, item: str, key: str) -> DataFrame:
+    """Edges (window, a, b, weight 0) between items of a window that share a key."""
+    a = rows.select(window, key, F.col(item).alias("a"))
+    b = rows.select(window, key, F.col(item).alias("b"))
+    return a.join(b, [window, key]).filter("a < b").select(window, "a", "b", F.lit(0.0).alias("weight")).distinct()
+
+
+def _greedy(edges: DataFrame, items: DataFrame, window: str, cap: int, transitive: bool) -> DataFrame:
+    """Sequential by nature: one group is one window's items and edges."""
+    import pandas as pd
+
+    rows = items.select(window, F.col("item").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("weight"))
+    both = rows.unionByName(edges.select(window, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("weight").cast("double").alias("weight")))
+
+    def cluster(group: pd.DataFrame) -> pd.DataFrame:
+        ids = sorted(group[group["b"].isna()]["a"].astype(int), reverse=True)
+        near: dict[int, list[tuple[float, int]]] = {}
+        for a, b, w in group[group["b"].notna()][["a", "b", "weight"]].itertuples(index=False):
+            near.setdefault(int(a), []).append((-w, -int(b)))
+            near.setdefault(int(b), []).append((-w, -int(a)))
+        of: dict[int, int] = {}
+        for seed in ids:
+            if seed in of:
+                continue
+            of[seed], size, waiting = seed, 1, [seed]
+            while waiting and size < cap:
+                for _, other in sorted(near.get(waiting.pop(0), [])):
+                    if size < cap and -other not in of:
+                        of[-other], size = seed, size + 1
+                        if transitive:
+                            waiting.append(-other)
+        return pd.DataFrame({window: [group[window].iloc[0]] * len(of), "item": list(of), "cluster": list(of.values())})
+
+    kind = items.schema[window].dataType.simpleString()
+    return both.groupBy(window).applyInPandas(cluster, f"`{window}` {kind}, item long, cluster long")
+
+
+def seed_star(items: DataFrame, edges: DataFrame, window: str = "window", cap: int = 8) -> DataFrame:
+    """The newest free item takes its free direct neighbours, strongest first, up to the cap."""
+    return _greedy(edges, items, window, cap, False)
+
+
+def capped_bfs(items: DataFrame, edges: DataFrame, window: str = "window", cap: int = 8) -> DataFrame:
+    """Like seed_star, but neighbours of neighbours follow."""
+    return _greedy(edges, items, window, cap, True)
+
+
+def visible(pairs: DataFrame, placed: DataFrame, window: str, request: str, same_request: bool) -> DataFrame:
+    """Add ``visible``: the two items of (a, b) lie in different windows, or in the same (batch) or another (real time) request."""
+    a = placed.select(F.col("item").alias("a"), F.col(window).alias("wa"), F.col(request).alias("ra"))
+    b = placed.select(F.col("item").alias("b"), F.col(window).alias("wb"), F.col(request).alias("rb"))
+    together = F.col("ra") == F.col("rb") if same_request else F.col("ra") != F.col("rb")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", ((F.col("wa") != F.col("wb")) | together).alias("visible"))
+
+
+def prior_hits(hits: DataFrame, births: DataFrame, start: str, entity: str = "entity") -> DataFrame:
+    """Hits on entities born before the row's window."""
+    return hits.join(births, entity).filter(F.col("born") < F.col(start)).drop("born")
+
+
+def truth_groups(labels: DataFrame, item: str = "item", group: str = "group_id") -> DataFrame:
+    """(group, items, outlets): a null group is a group of one; unsure rows are left out."""
+    sure = labels.filter(~F.coalesce(F.col("unsure"), F.lit(False)))
+    name = F.coalesce(F.concat(F.lit("g"), F.col(group).cast("string")), F.concat(F.lit("s"), F.col(item).cast("string")))
+    return sure.groupBy(name.alias("group")).agg(F.array_sort(F.collect_set(item)).alias("items"), F.countDistinct("outlet").alias("outlets"))
