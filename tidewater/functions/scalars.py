@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values.
 TRACKING_PREFIX = "utm_"
@@ -17,13 +18,13 @@ NOISE_WORDS = ["a", "an", "and", "as", "at", "by", "for", "from", "in", "is", "o
 DUPLICATE_JACCARD = 0.85
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(text: pd.Series) -> pd.Series:
     """Decode HTML entities; Spark has no built-in for it."""
     return text.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd(text: pd.Series) -> pd.Series:
     """Compatibility decomposition; Spark has no built-in for it."""
     return text.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
@@ -154,7 +155,7 @@ def compact_date(text: Column) -> Column:
 def signal_return(direction: Column, entry: Column, price: Column) -> Column:
     """F23."""
     move = F.try_divide(price, entry) - 1
-    return F.when(direction == "short", -move).otherwise(move)
+    return F.when(direction == "bullish", move).otherwise(-move)
 
 
 def haircut_fraction(asset_class: Column, equity_bps: float = 10, crypto_bps: float = 26) -> Column:
