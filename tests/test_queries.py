@@ -21,7 +21,7 @@ def duck():
 
 
 def plain(value):
-    return str(round(value, 6)) if isinstance(value, float) else str(value)
+    return repr(value + 0.0) if isinstance(value, float) else str(value)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")

@@ -153,13 +153,13 @@ def a21(spark, d):
     return got.select("day", "n", "n_conflict", "weight", F.round("tone", 5).alias("tone"))
 
 
-@query("a24_weekly_weighted", """SELECT l_returnflag AS key, CAST(date_trunc('week', l_shipdate) AS DATE) + 4 AS week, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS value FROM lineitem GROUP BY 1, 2""")
+@query("a24_weekly_weighted", """SELECT l_returnflag AS key, CAST(date_trunc('week', l_shipdate) AS DATE) + 4 AS week, round(sum(l_discount * l_quantity) / sum(l_quantity), 9) AS value FROM lineitem GROUP BY 1, 2""")
 def a24(spark, d):
     from tidewater.functions.scalars import iso_week_friday
 
     rows = table(spark, d, "lineitem")
     got = aggregates.weekly_weighted(rows.withColumnRenamed("l_returnflag", "key"), "key", iso_week_friday(F.to_date("l_shipdate")), "l_quantity", "l_discount")
-    return got.select("key", "week", F.round("value", ROUND).alias("value"))
+    return got.select("key", "week", F.round("value", 9).alias("value"))
 
 
 @query("a26_share_of_total", "WITH t AS (SELECT CAST(ts AS DATE) AS day, count(*) AS total, count(*) FILTER (WHERE event_type = 'purchase') AS part FROM events GROUP BY 1) SELECT day, round(part / total, 6) AS share FROM t")
