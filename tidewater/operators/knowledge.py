@@ -224,3 +224,79 @@ def fitted_intervals(rows: DataFrame, interval: str, budget_per_day: float) -> D
     total = rows.agg(F.sum(1440 / F.col(interval)).alias("_t"))
     scale = F.greatest(F.lit(1.0), F.col("_t") / budget_per_day)
     return rows.crossJoin(F.broadcast(total)).withColumn("fitted", F.bround(F.col(interval) * scale, 0).cast("long")).drop("_t")
+
+
+def tone_score(reply: Column) -> Column:
+    """The first number of a reply, held to [-1, 1]; null without a number."""
+    number = F.regexp_extract(reply, r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
+    return F.when(number.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), number)))
+
+
+def transcript_means(calls: DataFrame, segments: str = "segments") -> DataFrame:
+    """(ticker, date, value): each call's mean sentiment without boilerplate, dated by its quarter."""
+    own = predicates.without_boilerplate(F.col(segments))
+    total = F.aggregate(own, F.lit(0.0), lambda s, x: s + x["sentiment"])
+    return calls.select("ticker", scalars.quarter_anchor(F.col("quarter")).alias("date"), F.try_divide(total, F.size(own)).alias("value"))
+
+
+def annotated(signals: DataFrame, bundles: DataFrame, sources: DataFrame) -> DataFrame:
+    """Signals with the sentiment of their ticker and the tags of their source; both null or default where unknown."""
+    rows = signals.withColumn("_t", scalars.normalize_ticker(F.col("ticker")))
+    b = bundles.select(F.col("ticker").alias("_t"), "sentiment")
+    s = sources.select("source_id", F.col("kind").alias("_k"), F.col("perspective").alias("_p"))
+    rows = rows.join(b, "_t", "left").join(s, "source_id", "left").drop("_t")
+    return rows.withColumn("kind", F.coalesce("_k", F.lit("unknown"))).withColumn("perspective", F.coalesce("_p", F.lit("unknown"))).drop("_k", "_p")
+
+
+def topic_context(passages: DataFrame, muted: DataFrame, focused: DataFrame) -> DataFrame:
+    """Each topic's best passages: three where it is in focus, else two, none where it is muted; excerpts of 500 characters."""
+    rows = passages.join(muted.select("topic").distinct(), "topic", "left_anti")
+    rows = rows.join(focused.select("topic", F.lit(True).alias("_f")).distinct(), "topic", "left")
+    rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("score"), "passage_id"))
+    kept = rows.withColumn("_r", rank).filter(F.col("_r") <= F.when(F.col("_f"), 3).otherwise(2))
+    return kept.withColumn("text", F.left("text", F.lit(500))).drop("_f", "_r")
+
+
+def daily_digest(book: DataFrame, today: Column) -> DataFrame:
+    """Positions opened today and open now, by class."""
+    return book.groupBy("asset_class").agg(F.count_if(F.col("entry_date") == today).alias("opened"), F.count_if(F.col("status") == "open").alias("open"))
+
+
+def gate_history(history: DataFrame, performance: DataFrame, week: Column) -> DataFrame:
+    """A row for each class and week; a week written again takes the place of the old one."""
+    new = performance.filter("dimension = 'asset_class'").select(week.alias("week"), F.col("value").alias("asset_class"), "mean_edge")
+    return history.join(new, ["week", "asset_class"], "left_anti").unionByName(new)
+
+
+def qualified(performance: DataFrame, least: int) -> DataFrame:
+    """Dimensions with enough trades."""
+    return performance.filter((F.col("n") >= least) & (F.col("dimension") != "all"))
+
+
+def negative_pairs(pairs: DataFrame, least_days: int, text_a: str, text_b: str) -> DataFrame:
+    """R05's counterpart: pairs far apart in time with their similarity."""
+    far = F.abs(F.unix_timestamp("ta") - F.unix_timestamp("tb")) >= least_days * 86400
+    return pairs.filter(far).withColumn("similarity", scalars.trigram_similarity(F.col(text_a), F.col(text_b)))
+
+
+def pending(items: DataFrame, verdicts: DataFrame, version: int, now: Column, horizon_days: int = 14, attempts: int = 3) -> DataFrame:
+    """Items without a verdict at the version, or failed with attempts left, and whether they are stale.
+
+    The version stands in the join's condition, so an item judged at another version is pending.
+    """
+    v = verdicts.filter(F.col("version") == version).select("item", "verdict", "attempts")
+    rows = items.join(v, "item", "left").filter(F.col("verdict").isNull() | ((F.col("verdict") == "failed") & (F.col("attempts") < attempts)))
+    seen = F.coalesce("published_at", "created_at")
+    return rows.withColumn("stale", F.unix_timestamp(now) - F.unix_timestamp(seen) > horizon_days * 86400)
+
+
+def at_risk(verdicts: DataFrame, attempts: int = 3) -> DataFrame:
+    """Rows given up on, and rows one failure away from it."""
+    return verdicts.agg(F.count_if(F.col("attempts") >= attempts).alias("gave_up"), F.count_if(F.col("attempts") == attempts - 1).alias("at_risk"))
+
+
+def resolved_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Offered labels as ids; ``unknown`` marks a label that was not offered, which counts as new."""
+    known = labels.select("request", "label", F.col("id").alias("resolved"))
+    out = rows.join(known, ["request", "label"], "left")
+    return out.withColumn("unknown", F.col("label").isNotNull() & F.col("resolved").isNull())

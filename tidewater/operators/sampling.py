@@ -32,7 +32,7 @@ def far_pairs(rows: DataFrame, key: str, item: str, outlet: str, at: str, least_
     order = Window.partitionBy(key).orderBy("_d", item)
     rows = rows.withColumn("_d", draw(seed, key, item))
     ahead = F.array(*[F.struct(F.lead(item, k).over(order).alias("b"), F.lead(outlet, k).over(order).alias("ob"), F.lead(at, k).over(order).alias("tb")) for k in range(1, neighbours + 1)])
-    met = rows.withColumn("_n", F.explode(ahead)).filter("_n.b IS NOT NULL")
+    met = rows.withColumn("_a", ahead).withColumn("_n", F.explode("_a")).filter("_n.b IS NOT NULL")
     far = F.abs(F.unix_timestamp(at) - F.unix_timestamp("_n.tb")) >= least_days * 86400
     pairs = met.filter(far & (F.col(outlet) != F.col("_n.ob"))).select(F.least(F.col(item), F.col("_n.b")).alias("a"), F.greatest(F.col(item), F.col("_n.b")).alias("b")).distinct()
     return pairs.orderBy(draw(seed, "a", "b"), "a", "b").limit(most)

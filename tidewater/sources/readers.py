@@ -221,3 +221,27 @@ def normalised_signals(raw: DataFrame) -> DataFrame:
     confidence = scalars.lookup(F.lower(F.trim("confidence")), {"high": "high", "strong": "high", "medium": "medium", "moderate": "medium", "low": "low", "weak": "low"})
     rows = raw.withColumn("direction", direction).withColumn("confidence", confidence).withColumn("topic", predicates.null_words(F.col("topic")))
     return rows.filter("direction IS NOT NULL AND confidence IS NOT NULL AND topic IS NOT NULL")
+
+
+ARTICLES = "struct<articles: array<struct<title: string, url: string, published: string>>>"
+
+
+def embedded_articles(pages: DataFrame, page_id: str, html: str, marker: str = "window.__DATA__") -> DataFrame:
+    """(page, title, url, published) of the JSON object that a page assigns to ``marker``; pages without one give no rows."""
+    blob = F.regexp_extract(html, rf"(?s){marker.replace('.', '[.]')}\s*=\s*(\{{.*?\}})\s*;?\s*</script>", 1)
+    rows = pages.select(page_id, F.from_json(blob, ARTICLES).alias("d")).filter("d IS NOT NULL")
+    return rows.select(page_id, F.inline("d.articles"))
+
+
+def watched_closes(quotes_a: DataFrame, quotes_b: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Each wanted (symbol, market) with a close: for US the first provider, else the second; for UK, DE, FR the second only."""
+    a, b = quotes_a.select("symbol", F.col("close").alias("_a")), quotes_b.select("symbol", F.col("close").alias("_b"))
+    rows = wanted.join(a, "symbol", "left").join(b, "symbol", "left")
+    close = F.when(F.col("market") == "US", F.coalesce("_a", "_b")).when(F.col("market").isin("UK", "DE", "FR"), F.col("_b"))
+    return rows.withColumn("close", close).drop("_a", "_b")
+
+
+def all_sources(builtin: DataFrame, own: DataFrame) -> DataFrame:
+    """Built-in feeds and a user's own of type feed; a capture url takes the url's place."""
+    rows = builtin.unionByName(own.filter("source_type = 'feed'"), allowMissingColumns=True)
+    return rows.withColumn("url", F.coalesce("capture_url", "url")).drop("capture_url")
