@@ -16,7 +16,6 @@ records and tokens; files of lost or repeated tasks aren't in it and are never r
 from __future__ import annotations
 
 import json
-import os
 import struct
 import uuid
 import zlib
@@ -253,7 +252,3 @@ def read_token_records(spark: SparkSession, path: str) -> DataFrame:
 
 def fresh_folder(base: str) -> str:
     return f"{base}/records-{uuid.uuid4().hex}"
-
-
-def local_name(path: str) -> str:
-    return os.path.basename(path)

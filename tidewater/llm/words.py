@@ -34,9 +34,7 @@ class WordCoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.no_truncation()
-        self.whole.no_padding()
+        self.path = path
         self.pieces = Tokenizer.from_file(path)
         self.pieces.normalizer = None
         self.pieces.pre_tokenizer = pre_tokenizers.Sequence(
@@ -45,8 +43,8 @@ class WordCoder:
                 pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False, trim_offsets=False),
             ]
         )
-        n = self.whole.get_vocab_size(with_added_tokens=True)
-        names = [self.whole.id_to_token(i) or "" for i in range(n)]
+        n = self.pieces.get_vocab_size(with_added_tokens=True)
+        names = [self.pieces.id_to_token(i) or "" for i in range(n)]
         self.n_vocab = n
         self.token_text = np.array(names, dtype=object)
         self.ends_piece = np.array([t.endswith("</w>") for t in names])
@@ -61,6 +59,16 @@ class WordCoder:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.entries = self.used = 0
 
+    @functools.cached_property
+    def whole(self):
+        """The tokenizer as it is, for words that aren't plain; most workers never load it."""
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path)
+        whole.no_truncation()
+        whole.no_padding()
+        return whole
+
     def encode_one(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -163,7 +171,7 @@ def coder(path: str) -> WordCoder:
 
 
 #: Bytes of text that are worked on at a time.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):
