@@ -25,7 +25,7 @@ from tidewater.llm.words import slices
 DIMENSIONS = 1024
 NGRAM = 3
 #: n-grams whose vectors a worker remembers before it starts afresh (DIMENSIONS bytes each).
-MEMO_GRAMS = 40_000
+MEMO_GRAMS = 20_000
 SEED = 20240817
 UNKNOWN = "und"
 #: The pipeline's filter drops documents whose score is lower.
