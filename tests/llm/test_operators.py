@@ -246,6 +246,15 @@ def test_language_id(spark):
     assert hyperlang.identify(docs_frame(spark, [])).count() == 0
 
 
+def test_unlearned_languages_go(spark):
+    rng = random.Random(16)
+    rows = [(i, words(rng, 80, "abcde" if i % 2 else "vwxyz"), "aa" if i % 2 else "zz") for i in range(200)]
+    rows += [(500 + i, words(rng, 80, "klmnop"), None) for i in range(30)] + [(600 + i, words(rng, 80, "бвгджз"), None) for i in range(30)]
+    rows += [(700, words(rng, 3, "abcde"), None)]
+    kept = {r.doc_id for r in hyperlang.language_filter(docs_frame(spark, rows)).collect()}
+    assert kept == {*range(200), 700}
+
+
 def test_bound_vectors_are_what_they_say():
     own = hyperlang.Profiler()
     keys, counts = own.grams("Ab, cd")

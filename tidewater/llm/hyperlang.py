@@ -7,6 +7,11 @@ prototype is the bundle of its learning documents, each scaled to length one.  T
 all prototypes, which says nothing about a language, is taken off, and a document goes to
 the prototype with the largest cosine.
 
+The filter's threshold is learned too.  A text of n n-grams has about sqrt(n / (n + CHANCE_GRAMS))
+of the cosine that a long text of its language has, so the cosine over that root, a text's fit,
+can be compared between short and long texts.  A text goes if its fit is below FIT_SHARE of the
+FIT_QUANTILE of the learning documents of the language it was put in.
+
 Prototypes are sums of fixed-size vectors: tasks add their own, Spark adds those of all
 tasks, and one row for each language reaches the driver.
 """
@@ -28,8 +33,10 @@ NGRAM = 3
 MEMO_GRAMS = 20_000
 SEED = 20240817
 UNKNOWN = "und"
-#: The pipeline's filter drops documents whose score is lower.
-LEAST_SCORE = 0.5
+#: n-grams at which chance takes the cosine of a text down to the root of a half.
+CHANCE_GRAMS = 300
+#: The filter drops texts below this share of that quantile of the learning documents' fits.
+FIT_SHARE, FIT_QUANTILE = 0.5, 0.05
 
 _CODE_BITS = 21
 
@@ -149,25 +156,26 @@ def learnable(id_col: str) -> Column:
 
 
 def predicted(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
-    """``docs`` with lang_pred and score for its column ``text``, which goes."""
+    """``docs`` with lang_pred, score and fit for its column ``text``, which goes."""
     langs = sorted(learned)
     profile = np.array([learned[k] / max(np.linalg.norm(learned[k]), 1e-12) for k in langs]).reshape(len(langs), DIMENSIONS)
     middle = profile.mean(axis=0) if len(langs) > 1 else np.zeros(DIMENSIONS)
     centred = profile - middle
     centred /= np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
     kept = docs.drop("text").schema
-    schema = StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("fit", DoubleType())])
 
     def run(batches):
         own = _profiler()
         for batch in batches:
             for part in slices(batch):
-                names, scores = [], []
+                names, scores, fits = [], [], []
                 for text in part.column("text").to_pylist():
                     keys, counts = own.grams(text)
                     if not len(keys) or not langs:
                         names.append(UNKNOWN)
                         scores.append(0.0)
+                        fits.append(0.0)
                         continue
                     vector = own.vector(keys, counts).astype(float)
                     vector /= max(np.linalg.norm(vector), 1e-12)
@@ -176,7 +184,8 @@ def predicted(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
                     best = int(np.argmax(cosine))
                     names.append(langs[best])
                     scores.append(float(np.clip((1 + cosine[best]) / 2, 0, 1)))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept.names), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema.names)
+                    fits.append(float(cosine[best] * np.sqrt(1 + CHANCE_GRAMS / counts.sum())))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept.names), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())], schema.names)
 
     return docs.withColumn("text", text_of("text")).mapInArrow(run, schema)
 
@@ -195,11 +204,22 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     learned = prototypes(_learning(docs, id_col, text_col, lang_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), (~learnable(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return predicted(rows, learned)
+    return predicted(rows, learned).drop("fit")
 
 
-def language_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that have a language with at least the score ``least``."""
-    learned = prototypes(_learning(docs, id_col, text_col, lang_col))
+def least_fits(learning: DataFrame, learned: dict[str, np.ndarray], share: float = FIT_SHARE) -> dict[str, float]:
+    """The least fit by language, from all learning documents (text, lang) that are put in their own language."""
+    own = predicted(learning, learned).filter(F.col("lang_pred") == F.col("lang"))
+    rows = own.groupBy("lang").agg(F.percentile_approx("fit", FIT_QUANTILE, 10000).alias("fit")).collect()  # a row for each language
+    return {r.lang: share * r.fit for r in rows}
+
+
+def language_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", share: float = FIT_SHARE) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that fit a learned language at least as ``least_fits`` says."""
+    learning = _learning(docs, id_col, text_col, lang_col)
+    learned = prototypes(learning)
+    least = F.lit(None).cast("double")
+    for lang, fit in least_fits(learning, learned, share).items():
+        least = F.when(F.col("lang_pred") == lang, fit).otherwise(least)
     rows = predicted(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), learned)
-    return rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    return rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("fit") >= least)).select("row.*")
