@@ -334,6 +334,28 @@ def test_kneser_ney_agrees_with_dictionaries(spark):
     assert np.allclose(got[:-1], want, rtol=0.02) and np.isnan(got[-1])
 
 
+def test_kneser_ney_keeps_grams_apart(spark):
+    rng = random.Random(18)
+    letters = [chr(p) for p in range(0x100, 0x250) if chr(p).lower() == chr(p) and chr(p).isalpha()]
+    text = lambda: "".join(rng.choice(letters) for _ in range(6000))
+    texts = [text() for _ in range(50)]
+    model = perplexity.fit(docs_frame(spark, [(i, t, "en") for i, t in enumerate(texts)]))
+    probes = [*texts[:2], text()]
+    score = brute_kneser_ney(texts)
+    assert np.allclose(model.text_scores(probes), [score(t) for t in probes], rtol=1e-5)
+
+
+def test_quality_by_join_agrees(spark, monkeypatch):
+    rng = random.Random(19)
+    rows = [(i, words(rng, 80), "en") for i in range(40)] + [(7, words(rng, 90), None), (90, None, "en"), (None, "short", "en")]
+    order = lambda got: sorted((tuple(r)[:7], r.kept, round(r.log_perplexity or 0, 9)) for r in got.fillna(-1, ["doc_id"]).collect())
+    frame = docs_frame(spark, rows)
+    want, kept = order(perplexity.quality(frame)), sorted(r.doc_id for r in perplexity.quality_filter(frame).collect())
+    monkeypatch.setattr(perplexity, "BROADCAST_GRAMS", 0)
+    assert order(perplexity.quality(frame)) == want and len(want) == len(rows)
+    assert sorted(r.doc_id for r in perplexity.quality_filter(frame).collect()) == kept
+
+
 def test_quality(spark):
     rng = random.Random(10)
     rows = [(i, words(rng, 150, "abcdefg"), "en") for i in range(60)]

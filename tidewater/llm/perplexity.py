@@ -6,10 +6,10 @@ and code points above a bound share classes, so a 5-gram packs into 50 bits.  Ta
 their own 5-grams, Spark adds the counts, and the lower orders, their continuation counts,
 discounts and probabilities are joins and sums over the table of distinct grams.
 
-What scoring needs is a log probability for each gram and a back-off weight for each
-context.  Both are kept by a hash of HASH_BITS bits as sorted arrays, grams with the same
-hash sharing one value, so the broadcast holds at most 2 ** HASH_BITS entries of each kind
-and order whatever the corpus (ORDER * 2 * 2 ** HASH_BITS * 8 bytes, 168 MB at most).
+The tables keep each gram and context by its exact key, so their size follows the number of
+distinct grams.  Every text that is judged was counted, so each of its 5-grams has a log
+probability of its own and scoring needs no back-off.  Up to BROADCAST_GRAMS of these are
+broadcast; beyond that, each document's distinct grams are joined with the table.
 
 Verdict: a document stays if its log perplexity lies in the band of its language.  Chance
 moves a short text further from the middle than a long one, so the band is the language's
@@ -21,7 +21,8 @@ texts share draw those texts down, and so widen the lower side alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -32,12 +33,13 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from tidewater.llm.common import cut, text_of
+from tidewater.llm.common import cut, shared_dir, text_of
 from tidewater.llm.words import slices
 
 ORDER = 5
 SYMBOL_BITS = 10
-HASH_BITS = 20
+#: Distinct 5-grams that are broadcast to score texts (about 36 bytes each in a worker); more are joined by shuffle.
+BROADCAST_GRAMS = 2_000_000
 #: Code points below this have a symbol of their own; the others share the remaining symbols.
 OWN_POINTS = 768
 FLUSH_GRAMS = 1_000_000
@@ -125,12 +127,42 @@ def parts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         yield made()
 
 
-def slots(keys: np.ndarray, order: int) -> np.ndarray:
-    """The hash of grams of one order, in HASH_BITS bits."""
-    mixed = (keys.astype(np.uint64) + np.uint64(order)) * _MIX
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0xD6E8FEB86659FD93)
-    return (mixed >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+class Lookup:
+    """An open hash table of distinct keys, at most half full, that keeps the keys themselves."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.full(1 << self.bits, np.nan, np.float32)
+        left, at = np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]
+            done = self.keys[at] == keys[left]
+            self.values[at[done]] = values[left[done]]
+            left, at = left[~done], (at[~done] + 1) & (len(self.keys) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * _MIX
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The values of the keys; nan for a key that isn't there."""
+        at = self._slots(keys)
+        own = self.keys[at]
+        out = np.where(own == keys, self.values[at], np.nan)
+        left = np.flatnonzero((own != keys) & (own >= 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.keys) - 1)
+            own = self.keys[at]
+            hit = own == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            go = ~hit & (own >= 0)
+            left, at = left[go], at[go]
+        return out
 
 
 def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -214,38 +246,32 @@ def kneser_ney(top: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Sorted hash arrays by (kind, order): hashes ascending, and their values."""
+    """Grams and their values by (kind, order)."""
 
     arrays: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]
 
     @lru_cache(maxsize=1)  # noqa: B019  one model a worker
-    def _dense(self):
-        """The sorted arrays laid out by hash, for lookups without a search."""
-        out = {}
-        for key, (hashes, values) in self.arrays.items():
-            table = np.full(1 << HASH_BITS, np.nan, np.float32)
-            table[hashes] = values
-            out[key] = table
-        return out
+    def _tables(self):
+        return {key: Lookup(*own) for key, own in self.arrays.items()}
 
     def __hash__(self):
         return id(self)
 
     def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
-        dense = self._dense()
+        tables = self._tables()
         out = np.zeros(len(keys))
         left = np.arange(len(keys))
         for order in range(ORDER, 0, -1):
             own = keys[left] & ((1 << (SYMBOL_BITS * order)) - 1)
-            table = dense.get(("p", order))
-            found = table[slots(own, order)] if table is not None else np.full(len(own), np.nan)
+            table = tables.get(("p", order))
+            found = table(own) if table is not None else np.full(len(own), np.nan)
             seen = ~np.isnan(found)
             out[left[seen]] += found[seen]
             left, own = left[~seen], own[~seen]
             if not len(left):
                 return out
-            if ("b", order - 1) in dense:
-                weight = dense[("b", order - 1)][slots(own >> SYMBOL_BITS, order - 1)]
+            if ("b", order - 1) in tables:
+                weight = tables["b", order - 1](own >> SYMBOL_BITS)
                 out[left] += np.where(np.isnan(weight), 0.0, weight)
         out[left] -= SYMBOL_BITS * np.log(2)
         return out
@@ -261,29 +287,20 @@ class Model:
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """Count all texts and gather the hashed arrays, of bounded size, at the driver."""
+    """Count all texts and gather all orders at the driver, for texts that weren't counted."""
     rows = kneser_ney(count_grams(docs, text_col))
+    return _model(rows.select("order", "kind", "gram", F.col("value").cast("float").alias("value")))
 
-    def hashed(batches):
-        for batch in batches:
-            own, order = batch.column("gram").to_numpy(), batch.column("order").to_numpy()
-            slot = np.zeros(len(own), np.int64)
-            for o in np.unique(order):
-                slot[order == o] = slots(own[order == o], int(o))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("order", "kind", "n", "value")), pa.array(slot)], ["order", "kind", "n", "value", "slot"])
-
-    by_slot = rows.mapInArrow(hashed, "order int, kind string, n long, value double, slot long")
-    weighed = by_slot.groupBy("order", "kind", "slot").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).cast("float").alias("value"))
-    table = weighed.toArrow()
-    order, kind = table.column("order").to_numpy(), np.array(table.column("kind").to_pylist(), dtype=object)
-    slot, value = table.column("slot").to_numpy(), table.column("value").to_numpy()
+
+def _model(rows: DataFrame) -> Model:
+    table = rows.withColumn("kind", F.col("kind") == "b").toArrow()
+    order, back, gram, value = (table.column(c).to_numpy() for c in ("order", "kind", "gram", "value"))
     arrays = {}
     for o in range(ORDER + 1):
         for k in ("p", "b"):
-            own = np.flatnonzero((order == o) & (kind == k))
-            if len(own):
-                own = own[np.argsort(slot[own])]
-                arrays[k, o] = (slot[own].astype(np.int32), value[own])
+            own = (order == o) & (back == (k == "b"))
+            if own.any():
+                arrays[k, o] = (gram[own], value[own])
     return Model(arrays)
 
 
@@ -377,6 +394,45 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.withColumn("text", text_of("text")).mapInArrow(run, schema)
 
 
+def _scored_by_join(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """As ``scored``, for texts all of whose grams are in ``table`` (gram, value), joined by shuffle."""
+    path = f"{shared_dir(docs.sparkSession)}/perplexity-{uuid.uuid4().hex}"
+    # Written once, so that the numbers are the same wherever they are read.
+    docs.select(F.monotonically_increasing_id().alias("at"), F.struct(*docs.drop("text").columns).alias("kept"), text_of("text").alias("text")).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
+
+    def counted(batches):
+        for batch in batches:
+            for part in slices(batch):
+                base = base_counts(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("at"), *(pa.array(base[c]) for c in COUNTS)], ["at", *COUNTS])
+
+    def own_grams(batches):
+        for batch in batches:
+            for part in slices(batch):
+                at = part.column("at").to_numpy()
+                for keys, offsets, owner in parts(part.column("text").to_pylist()):
+                    found = [np.unique(keys[a:b], return_counts=True) for a, b in zip(offsets, offsets[1:])]
+                    places = np.repeat(at[owner], [len(k) for k, _ in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(np.concatenate([k for k, _ in found])), pa.array(np.concatenate([n for _, n in found]))], ["at", "gram", "n"])
+
+    texts = rows.select("at", "text")
+    sums = texts.mapInArrow(own_grams, "at long, gram long, n long").join(table, "gram").groupBy("at")
+    sums = sums.agg((-F.sum(F.col("n") * F.col("value").cast("double")) / F.sum("n")).alias("log_perplexity"))
+    base = texts.mapInArrow(counted, ", ".join(["at long", *(f"{c} long" for c in COUNTS)]))
+    return rows.select("at", "kept").join(base, "at").join(sums, "at", "left").select("kept.*", *COUNTS, "log_perplexity")
+
+
+def scorer(docs: DataFrame, text_col: str = "text") -> Callable[[DataFrame], DataFrame]:
+    """Count the texts of ``docs``; what is returned scores rows whose texts are among them, as ``scored`` does."""
+    top = kneser_ney(count_grams(docs, text_col)).filter((F.col("order") == ORDER) & (F.col("kind") == "p"))
+    top = cut(top.select("order", "kind", "gram", F.col("value").cast("float").alias("value")))
+    if top.count() > BROADCAST_GRAMS:
+        return lambda rows: _scored_by_join(rows, top.select("gram", "value"))
+    model = _model(top)
+    return lambda rows: scored(rows, model)
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
@@ -422,7 +478,7 @@ def quality(
     each.  An empty table gives no rows.  No column but these three is read.
     """
     own = _own(docs, text_col, lang_col, F.col(id_col).alias("doc_id"))
-    rows = cut(scored(own, fit(own)))
+    rows = cut(scorer(own)(own))
     judged = _judged(rows, bands(rows).collect(), width, lower, least)
     return judged.select("doc_id", *COUNTS, base_failed().alias("base_failed"), "log_perplexity", "low", "high", "kept")
 
@@ -430,7 +486,7 @@ def quality(
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", width: float = WIDTH, lower: float = LOWER, least: float = LEAST_HALF_BAND) -> DataFrame:
     """The rows of ``docs`` that ``quality`` keeps, with all their columns; texts aren't shuffled."""
     own = _own(docs, text_col, lang_col)
-    model = fit(own)
-    limits = bands(cut(scored(own, model))).collect()
-    rows = scored(_own(docs, text_col, lang_col, F.struct("*").alias("row")), model)
+    score = scorer(own)
+    limits = bands(cut(score(own))).collect()
+    rows = score(_own(docs, text_col, lang_col, F.struct("*").alias("row")))
     return _judged(rows, limits, width, lower, least).filter("kept").select("row.*")
