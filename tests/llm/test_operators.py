@@ -423,6 +423,28 @@ def test_main_text(spark):
     assert mincut.extract(frame.limit(0)).count() == 0
 
 
+STORY = "<p>A real paragraph with a fair number of words in it, and an end.</p><p>One more of them, which also says something and ends.</p>"
+STORY_TEXT = "A real paragraph with a fair number of words in it, and an end.\n\nOne more of them, which also says something and ends."
+NAMED = {
+    f"<nav><a href=x>Home</a></nav><article class='post tag-newsletter'>{STORY}</article>": STORY_TEXT,
+    f"<div class='content has-sidebar'><article>{STORY}</article><aside>Side</aside></div>": STORY_TEXT,
+    f"<div class='has-sidebar'><main>{STORY}</main></div><footer>me</footer>": STORY_TEXT,
+    f"<nav><a href=x>Home</a></nav><div class='post comments-open'>{STORY}</div>": STORY_TEXT,
+    f"<article><div class='article-header'><h1>Title</h1></div>{STORY}</article>": "Title\n\n" + STORY_TEXT,
+    f"<article><div><svg><title>t</title></div>{STORY}</article>": STORY_TEXT,
+    f"<article>{STORY}<noscript><p>Turn it on.</p></noscript><p>Let <math><mi>x</mi></math> be <svg><title>t</title></svg>one.</p></article>": STORY_TEXT + "\n\nLet x be one.",
+    f"<article>{STORY}</article><div id=comments><article class=comment><p>Nice post, I liked it a lot!</p></article></div>": STORY_TEXT,
+}
+
+
+def test_names_do_not_lose_articles(spark):
+    # Ordinary pages beside them, so that the model of shape has something to learn from.
+    plain = f"<html><head><title>T</title></head><body><nav><a href=x>Home</a></nav><article>{STORY}</article><footer>&copy; me</footer>"
+    rows = [(i, "u", h) for i, h in enumerate(NAMED)] + [(100 + i, "u", plain) for i in range(20)]
+    got = {r.page_id: r.text for r in mincut.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(NAMED))] == list(NAMED.values())
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(13)
     for _ in range(150):

@@ -8,7 +8,8 @@ that graph is the labelling with the least total cost.
 
 The classifier adds two parts: a logistic model of the block's shape (length, links,
 punctuation, ...), trained here on a bounded sample of blocks whose element names tell what
-they are, and what the nearest telling element or class name around the block says.
+they are, and what the nearest telling element or class name around the block says.  Element
+names say most; class names, which often only describe the page, weigh about as much as shape.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ BLOCK_TAGS = set(
     " head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = set("script style noscript template textarea iframe svg math object canvas audio video noframes noembed xmp".split())
+RAW_TAGS = set("script style textarea iframe noframes noembed xmp".split())
+#: Elements whose text isn't shown; their tags are read, so that one without an end tag ends with its parent.
+UNSEEN_TAGS = set("noscript template svg canvas audio video".split())
 CONTENT_TAGS = {"article", "main"}
 BOILER_TAGS = set("nav header footer aside form menu dialog button select fieldset head".split())
 CONTENT_WORDS = set("article articlebody content entry main maincontent post story text body".split())
@@ -49,14 +52,14 @@ _NAMES = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden|style)\s*(?:=
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: What a telling element is worth, in units of log odds.
-TELLING_TAG, TELLING_WORD = 6.0, 6.0
+TELLING_TAG, TELLING_WORD = 6.0, 3.0
 #: Smoothness between blocks that follow each other, and between blocks with one parent.
 ADJACENT, SIBLING = 0.6, 0.5
 
 
 def _evidence(tag: str, attributes: str, inside_content: bool) -> float:
     """What an element says of the text in it: above 0 content, below 0 boilerplate, 0 nothing."""
-    if tag in BOILER_TAGS and not (tag == "header" and inside_content):
+    if tag in UNSEEN_TAGS or tag in BOILER_TAGS and not (tag == "header" and inside_content):
         return -TELLING_TAG
     words: set[str] = set()
     if attributes:
@@ -66,11 +69,27 @@ def _evidence(tag: str, attributes: str, inside_content: bool) -> float:
                 return -TELLING_TAG
             if name in ("class", "id", "role"):
                 words.update(w.lower() for w in _WORDS.findall(value))
-    if words & BOILER_WORDS or "complementary" in words or "contentinfo" in words:
-        return -TELLING_WORD
+    words.discard(tag)
+    content, boiler = bool(words & CONTENT_WORDS), bool(words & BOILER_WORDS or words & {"complementary", "contentinfo"})
+    named = TELLING_WORD * (content - boiler)  # words that disagree cancel
+    return TELLING_TAG + min(named, 0.0) if tag in CONTENT_TAGS else named
+
+
+def _inherited(tag: str, own: float, above: float) -> float:
+    """The evidence of an element in one with evidence ``above``: what is nearest counts.
+
+    Nothing in a boilerplate element turns into content again; where only a class name says
+    boilerplate, an article or main without such a name does, and other content names take off half.
+    """
+    if own == 0 or above <= -TELLING_TAG:
+        return above
+    if own < 0:
+        return min(own, above) if above < 0 else own
+    if above >= 0:
+        return max(own, above)
     if tag in CONTENT_TAGS:
-        return TELLING_TAG
-    return 0.5 * TELLING_WORD if words & CONTENT_WORDS else 0.0
+        return own + above if own >= TELLING_TAG else above
+    return max(above, -0.5 * TELLING_WORD)
 
 
 class Block:
@@ -83,8 +102,8 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text in order, with where they stand."""
     out: list[Block] = []
-    # (tag, number, evidence, inside content, in boilerplate for good)
-    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]
+    # (tag, number, evidence, inside content, unseen)
+    stack: list[tuple[str, int, float, bool, bool]] = [("", 0, 0.0, False, False)]
     count, links, pieces, link_chars = 0, 0, [], 0
 
     def flush() -> None:
@@ -99,7 +118,7 @@ def blocks_of(page: str) -> list[Block]:
 
     def text(raw: str) -> None:
         nonlocal link_chars
-        if raw:
+        if raw and not stack[-1][4]:
             raw = html.unescape(raw) if "&" in raw else raw
             pieces.append(raw)
             if links:
@@ -128,7 +147,8 @@ def blocks_of(page: str) -> list[Block]:
                     end = lower.find(f"</{tag}", at)
                 at = size if end < 0 else (page.find(">", end) + 1 or size)
             continue
-        if tag in BLOCK_TAGS:
+        unseen = stack[-1][4]
+        if tag in BLOCK_TAGS and not unseen:
             flush()
         elif tag == "br":
             pieces.append(" ")
@@ -137,9 +157,13 @@ def blocks_of(page: str) -> list[Block]:
                 links = max(0, links - 1)
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
+                    if unseen and tag in BLOCK_TAGS and not stack[k][4]:
+                        while stack[-1][4]:  # never ended
+                            stack.pop()
+                        flush()
                     del stack[k:]
                     break
-                if stack[k][0] in BLOCK_TAGS and tag not in BLOCK_TAGS:
+                if stack[k][0] in BLOCK_TAGS and tag not in BLOCK_TAGS and tag not in UNSEEN_TAGS:
                     break  # an inline end tag doesn't close blocks
             continue
         if tag == "a":
@@ -151,19 +175,17 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[k][0] in ends:
                     del stack[k:]
                     break
-                if stack[k][0] in BLOCK_TAGS:
+                if stack[k][0] in BLOCK_TAGS or stack[k][0] in UNSEEN_TAGS:
                     break
         elif tag in BLOCK_TAGS and stack[-1][0] == "p":
             stack.pop()
         above = stack[-1]
         own = _evidence(tag, attributes, above[3]) if tag != "body" and tag != "html" else 0.0
         count += 1
-        # What is nearest counts, but nothing inside boilerplate turns into content again.
-        evidence = own if own < 0 or (own > 0 and above[2] >= 0) else above[2]
-        if own > 0 and above[2] > own:
-            evidence = above[2]
         if tag in BLOCK_TAGS or own:
-            stack.append((tag, count, evidence, above[3] or tag in CONTENT_TAGS))
+            stack.append((tag, count, _inherited(tag, own, above[2]), above[3] or tag in CONTENT_TAGS, above[4] or tag in UNSEEN_TAGS))
+    while stack[-1][4]:
+        stack.pop()
     flush()
     return out
 
@@ -305,7 +327,7 @@ def main_text(page: str, weights: np.ndarray) -> str:
     telling = np.array([b.evidence for b in blocks])
     # A page without telling elements is judged by shape; one with them also says what lies outside.
     outside = -1.0 if (telling > 0).any() else 0.5
-    gain = np.where(telling == 0, shape + outside, telling + 0.4 * shape)
+    gain = np.where(telling == 0, shape + outside, telling + np.where(np.abs(telling) < TELLING_TAG, 1.0, 0.4) * shape)
     labels = minimum_cut(gain.tolist(), edges_of(blocks))
     return "\n\n".join(b.text for b, content in zip(blocks, labels) if content)
 
