@@ -403,6 +403,17 @@ def test_mined_rules(spark):
     assert all("d:spam" in r.mined_rule for r in got if r.verdict == "block")
 
 
+def test_mined_rules_of_four_tokens(spark):
+    four = ["d:ads", "d:example", "p:de", "q:ref"]
+    # All four tokens only on bad urls; each three of them, and fewer, mostly on good ones.
+    baskets = [(four, True)] * 20 + [([t for t in four if t != left], False) for left in four for _ in range(30)]
+    rules = urlrules.mine(spark.createDataFrame(baskets, "tokens array<string>, bad boolean"))
+    assert [(sorted(r.tokens), r.n, r.confidence) for r in rules.filter("verdict = 'block'").collect()] == [(four, 20, 1.0)]
+    urls = spark.createDataFrame([("u", four), ("v", four[:3])], "row string, tokens array<string>")
+    got = {r.row: r.verdict for r in urlrules.match(urls, rules).collect()}
+    assert got["u"] == "block" and got.get("v", "allow") == "allow"
+
+
 PAGES = {
     "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Home</a></nav><article><h1>Head &amp; shoulders</h1><p>First  <b>bold</b>\ntext, long enough to be read as content.<p>Second.</article><footer>&copy; me</footer>": "Head & shoulders\n\nFirst bold text, long enough to be read as content.\n\nSecond.",
     "<div id=main><p>A real paragraph with a fair number of words in it, and an end.</p><div class='comments'><p>Nice post, I liked it a lot!</p></div><aside>Side</aside></div><form><p>Mail</p><input></form>": "A real paragraph with a fair number of words in it, and an end.",

@@ -33,8 +33,6 @@ MIN_CONFIDENCE = 0.6
 MIN_COUNT = 5
 #: Rules up to this number are broadcast with the index; more are joined by shuffle.
 BROADCAST_RULES = 20_000
-#: Tokens taken together in a mined rule.
-MAX_TOKENS = 3
 
 _LABEL = "label="
 
@@ -106,11 +104,11 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     is_label = lambda x: x.startswith(_LABEL)
     with_label = sets.filter(F.exists("items", is_label)).select(
         F.filter("items", lambda x: ~is_label(x)).alias("tokens"),
-        F.substring(F.filter("items", is_label)[0], len(_LABEL) + 1, 10).alias("verdict"),
+        F.substring(F.get(F.filter("items", is_label), 0), len(_LABEL) + 1, 10).alias("verdict"),
         "n",
     )
     plain = sets.filter(~F.exists("items", is_label)).select(F.col("items").alias("tokens"), F.col("n").alias("all"))
-    rules = with_label.filter(F.size("tokens").between(1, MAX_TOKENS)).join(plain, "tokens")
+    rules = with_label.filter(F.size("tokens") > 0).join(plain, "tokens")
     rules = rules.select("tokens", "verdict", "n", (F.col("n") / F.col("all")).alias("confidence"))
     overall = F.when(F.col("verdict") == "block", counts.get(True, 0) / total).otherwise(counts.get(False, 0) / total)
     rules = rules.filter((F.col("confidence") >= min_confidence) & (F.col("confidence") > overall))
