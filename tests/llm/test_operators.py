@@ -144,6 +144,21 @@ def test_jaccard_join(spark, monkeypatch, block):
     assert lshforest.jaccard_join(docs_frame(spark, [])).count() == 0
 
 
+def test_one_row_a_class_where_ids_repeat(spark):
+    rng = random.Random(17)
+    a, b, c, d = (words(rng, 120) for _ in range(4))
+    near = lambda t, k: f"{t} {'x' * (k + 1)}"
+    rows = [(1, a, "en"), (5, near(a, 0), "en"), (5, b, "en")]  # 5 is a copy on one row, a text of its own on the other
+    rows += [(6, c, "en"), (6, near(c, 0), "en"), (8, near(c, 1), "en")]  # the smallest id on two rows
+    rows += [(None, d, "en"), (None, near(d, 0), "en"), (None, None, "en"), (9, "", "en")]
+    kept = lshforest.one_per_class(docs_frame(spark, rows))
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == docs_frame(spark, []).columns and len(got) == 6
+    assert {(1, a), (5, b), (None, None), (9, "")} <= set(got)
+    assert sum(i == 6 for i, _ in got) == 1 and sum(i is None and t is not None for i, t in got) == 1
+    assert lshforest.one_per_class(docs_frame(spark, [])).count() == 0
+
+
 def test_forest_prefix_is_shortened_to_the_target():
     depth = lshforest.depth_for(0.8, 40, 0.99999, 10)
     reach = lambda d: 1 - (1 - 0.8**d) ** 40

@@ -15,6 +15,7 @@ rows for its pairs, loses no link, and no task holds more than two blocks.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import cut, text_of
+from tidewater.llm.common import cut, shared_dir, text_of
 from tidewater.llm.words import slices
 from tidewater.operators.graph import connected_components
 
@@ -289,9 +290,18 @@ def jaccard_join(
 
 
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their class: the smallest id; of rows that share it, one.
+    """One row of ``docs`` for each class: that with the smallest id; of rows that share it, one.
 
-    Rows with a null id stay: nothing can tell them apart.
+    Rows are told apart by a number of their own, not by their id, so ids may repeat.  A null
+    id comes after all others.  A text without words stays.
     """
-    gone = jaccard_join(docs, id_col, text_col).filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    path = f"{shared_dir(docs.sparkSession)}/near-{uuid.uuid4().hex}"
+    # Written once, so that the numbers are the same wherever they are read.
+    docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
+    joined = jaccard_join(rows.select("row", F.col("doc")[text_col].alias("text")), "row", "text")
+    ids = rows.select(F.col("row").alias("doc_id"), F.col("doc")[id_col].alias("id"))
+    placed = cut(joined.select("doc_id", "class_id").join(ids, "doc_id"))
+    stays = placed.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id")).alias("best"))
+    gone = placed.join(stays.select(F.col("best.doc_id").alias("doc_id")), "doc_id", "left_anti")
+    return rows.join(gone.select(F.col("doc_id").alias("row")), "row", "left_anti").select("doc.*")
