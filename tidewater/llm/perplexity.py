@@ -6,10 +6,10 @@ and code points above a bound share classes, so a 5-gram packs into 50 bits.  Ta
 their own 5-grams, Spark adds the counts, and the lower orders, their continuation counts,
 discounts and probabilities are joins and sums over the table of distinct grams.
 
-The tables keep each gram and context by its exact key, so their size follows the number of
-distinct grams.  Every text that is judged was counted, so each of its 5-grams has a log
+The tables keep each gram and context by its exact key, sorted by a one-to-one hash of it, so
+their size follows the number of distinct grams.  Every text that is judged was counted, so each of its 5-grams has a log
 probability of its own and scoring needs no back-off.  Up to BROADCAST_GRAMS of these are
-broadcast; beyond that, each document's distinct grams are joined with the table.
+broadcast; beyond that, texts are dealt into slices and each slice fetches its own grams' values by a join.
 
 Verdict: a document stays if its log perplexity lies in the band of its language.  Chance
 moves a short text further from the middle than a long one, so the band is the language's
@@ -29,17 +29,20 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from tidewater.llm.common import cut, shared_dir, text_of
 from tidewater.llm.words import slices
 
 ORDER = 5
 SYMBOL_BITS = 10
-#: Distinct 5-grams that are broadcast to score texts (about 36 bytes each in a worker); more are joined by shuffle.
+#: Distinct 5-grams that are broadcast to score texts (about 24 bytes each in a worker); more are joined, slice by slice.
 BROADCAST_GRAMS = 2_000_000
+#: Text that fetches its grams' values together.
+SLICE_TEXT = 8 << 20
 #: Code points below this have a symbol of their own; the others share the remaining symbols.
 OWN_POINTS = 768
 FLUSH_GRAMS = 1_000_000
@@ -128,41 +131,32 @@ def parts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 class Lookup:
-    """An open hash table of distinct keys, at most half full, that keeps the keys themselves."""
+    """Distinct keys sorted by a one-to-one hash, their values, and where each leading part of the hash begins."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, (2 * len(keys)).bit_length())
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.values = np.full(1 << self.bits, np.nan, np.float32)
-        left, at = np.arange(len(keys)), self._slots(keys)
-        while len(left):
-            free = self.keys[at] < 0
-            self.keys[at[free]] = keys[left[free]]
-            done = self.keys[at] == keys[left]
-            self.values[at[done]] = values[left[done]]
-            left, at = left[~done], (at[~done] + 1) & (len(self.keys) - 1)
-
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
-        mixed = keys.astype(np.uint64) * _MIX
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0xD6E8FEB86659FD93)
-        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+        hashes = _mixed(keys)
+        order = np.argsort(hashes)
+        self.shift = np.uint64(64 - max(1, (2 * len(keys)).bit_length()))
+        # The last entry ends every search.
+        self.hashes = np.append(hashes[order], ~np.uint64(0))
+        self.values = np.append(values[order].astype(np.float32), np.float32(np.nan))
+        self.begins = np.searchsorted(hashes[order] >> self.shift, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64)).astype(np.int32)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """The values of the keys; nan for a key that isn't there."""
-        at = self._slots(keys)
-        own = self.keys[at]
-        out = np.where(own == keys, self.values[at], np.nan)
-        left = np.flatnonzero((own != keys) & (own >= 0))
-        at = at[left]
+        hashes = _mixed(keys)
+        at = self.begins[hashes >> self.shift]
+        left = np.flatnonzero(self.hashes[at] < hashes)
         while len(left):
-            at = (at + 1) & (len(self.keys) - 1)
-            own = self.keys[at]
-            hit = own == keys[left]
-            out[left[hit]] = self.values[at[hit]]
-            go = ~hit & (own >= 0)
-            left, at = left[go], at[go]
-        return out
+            at[left] += 1
+            left = left[self.hashes[at[left]] < hashes[left]]
+        return np.where(self.hashes[at] == hashes, self.values[at], np.nan)
+
+
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    out = keys.astype(np.uint64) * _MIX
+    out ^= out >> np.uint64(32)
+    return out * np.uint64(0xD6E8FEB86659FD93)
 
 
 def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -204,11 +198,10 @@ def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def kneser_ney(top: DataFrame) -> DataFrame:
     """(order, kind, gram, value): log probabilities (kind p) and back-off weights of contexts (kind b)."""
     below = lambda order: (1 << (SYMBOL_BITS * order)) - 1
-    counts = {ORDER: top}
+    counts = {ORDER: cut(top)}  # each order is written before the next is made from it, so texts are read once
     for order in range(ORDER - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND(F.lit(below(order)))
-        counts[order] = counts[order + 1].groupBy(suffix.alias("gram")).agg(F.count("*").alias("n"))
-    counts = {k: cut(v) for k, v in counts.items()}
+        counts[order] = cut(counts[order + 1].groupBy(suffix.alias("gram")).agg(F.count("*").alias("n")))
     pieces = []
     lower = None
     for order in range(1, ORDER + 1):
@@ -374,53 +367,74 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+def _scored_schema(docs: DataFrame) -> StructType:
+    return StructType([*docs.schema, *(StructField(c, LongType()) for c in COUNTS), StructField("log_perplexity", DoubleType())])
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with its counts and log_perplexity (null for empty text) for its column ``text``, which goes."""
+    """``docs`` with the counts and log_perplexity (null for empty text) of its column ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("text").schema
-    schema = StructType([*kept, *(StructField(c, LongType()) for c in COUNTS), StructField("log_perplexity", DoubleType())])
+    schema = _scored_schema(docs)
 
     def run(batches):
         own = shared.value
         for batch in batches:
             for part in slices(batch):
-                text = part.column("text")
-                base = base_counts(text)
-                score = own.text_scores(text.to_pylist())
-                columns = [*(part.column(k) for k in kept.names), *(pa.array(base[c]) for c in COUNTS)]
-                columns.append(pa.array(score, mask=np.isnan(score)))
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
+                yield _with_scores(part, own, schema.names)
+
+    return docs.mapInArrow(run, schema)
+
 
-    return docs.withColumn("text", text_of("text")).mapInArrow(run, schema)
+def _with_scores(part: pa.RecordBatch, model: Model, names: list[str]) -> pa.RecordBatch:
+    text = part.column("text")
+    base = base_counts(text)
+    score = model.text_scores([t or "" for t in text.to_pylist()])
+    return pa.RecordBatch.from_arrays([*part.columns, *(pa.array(base[c]) for c in COUNTS), pa.array(score, mask=np.isnan(score))], names)
 
 
-def _scored_by_join(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """As ``scored``, for texts all of whose grams are in ``table`` (gram, value), joined by shuffle."""
+def _scored_by_slices(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """As ``scored``, for texts all of whose grams are in ``table`` (gram, value).
+
+    Texts are dealt into slices of bounded size, the distinct grams of a slice fetch their
+    values by a join, and each slice is scored with the part of the model that it needs; so
+    nothing that grows with the corpus is broadcast, and what moves is at most the texts and
+    the distinct grams of each slice.
+    """
     path = f"{shared_dir(docs.sparkSession)}/perplexity-{uuid.uuid4().hex}"
+    schema = _scored_schema(docs)
+
+    def dealt(batches):
+        partition = TaskContext.get().partitionId() << 32
+        for k, part in enumerate(p for b in batches for p in slices(b, most=SLICE_TEXT)):
+            yield part.append_column("slice", pa.array(np.full(part.num_rows, partition + k)))
+
     # Written once, so that the numbers are the same wherever they are read.
-    docs.select(F.monotonically_increasing_id().alias("at"), F.struct(*docs.drop("text").columns).alias("kept"), text_of("text").alias("text")).write.parquet(path)
+    docs.mapInArrow(dealt, StructType([*docs.schema, StructField("slice", LongType())])).write.parquet(path)
     rows = docs.sparkSession.read.parquet(path)
 
-    def counted(batches):
-        for batch in batches:
-            for part in slices(batch):
-                base = base_counts(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("at"), *(pa.array(base[c]) for c in COUNTS)], ["at", *COUNTS])
-
     def own_grams(batches):
         for batch in batches:
-            for part in slices(batch):
-                at = part.column("at").to_numpy()
-                for keys, offsets, owner in parts(part.column("text").to_pylist()):
-                    found = [np.unique(keys[a:b], return_counts=True) for a, b in zip(offsets, offsets[1:])]
-                    places = np.repeat(at[owner], [len(k) for k, _ in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(np.concatenate([k for k, _ in found])), pa.array(np.concatenate([n for _, n in found]))], ["at", "gram", "n"])
+            text, number = batch.column("text").to_pylist(), batch.column("slice").to_numpy()
+            for a, b in zip(*_runs(number)):
+                found = [np.unique(keys) for keys, _, _ in parts([t or "" for t in text[a:b]])]
+                keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), number[a])), pa.array(keys)], ["slice", "gram"])
+
+    wanted = rows.select("slice", "text").mapInArrow(own_grams, "slice long, gram long").distinct()
+    values = wanted.join(table, "gram").select("slice", "gram", "value")
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        model = Model({("p", ORDER): (right.column("gram").to_numpy(), right.column("value").to_numpy())})
+        texts = left.drop_columns("slice").combine_chunks().to_batches()
+        return pa.Table.from_batches([_with_scores(p, model, schema.names) for b in texts for p in slices(b)], left.drop_columns("slice").schema if not texts else None)
+
+    return rows.groupBy("slice").cogroup(values.groupBy("slice")).applyInArrow(judge, schema)
+
 
-    texts = rows.select("at", "text")
-    sums = texts.mapInArrow(own_grams, "at long, gram long, n long").join(table, "gram").groupBy("at")
-    sums = sums.agg((-F.sum(F.col("n") * F.col("value").cast("double")) / F.sum("n")).alias("log_perplexity"))
-    base = texts.mapInArrow(counted, ", ".join(["at long", *(f"{c} long" for c in COUNTS)]))
-    return rows.select("at", "kept").join(base, "at").join(sums, "at", "left").select("kept.*", *COUNTS, "log_perplexity")
+def _runs(numbers: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where runs of one number begin and end."""
+    edges = np.flatnonzero(np.diff(numbers)) + 1
+    return [0, *edges.tolist()][: len(numbers)], [*edges.tolist(), len(numbers)]
 
 
 def scorer(docs: DataFrame, text_col: str = "text") -> Callable[[DataFrame], DataFrame]:
@@ -428,7 +442,7 @@ def scorer(docs: DataFrame, text_col: str = "text") -> Callable[[DataFrame], Dat
     top = kneser_ney(count_grams(docs, text_col)).filter((F.col("order") == ORDER) & (F.col("kind") == "p"))
     top = cut(top.select("order", "kind", "gram", F.col("value").cast("float").alias("value")))
     if top.count() > BROADCAST_GRAMS:
-        return lambda rows: _scored_by_join(rows, top.select("gram", "value"))
+        return lambda rows: _scored_by_slices(rows, top.select("gram", "value"))
     model = _model(top)
     return lambda rows: scored(rows, model)
 
@@ -450,9 +464,19 @@ def bands(scores: DataFrame) -> DataFrame:
     return spread.agg(F.first("middle").alias("middle"), side(apart).alias("up"), side(-apart).alias("down"))
 
 
-def _own(docs: DataFrame, text_col: str, lang_col: str | None, *more: Column) -> DataFrame:
-    language = F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANGUAGE)) if lang_col else F.lit(NO_LANGUAGE)
-    return docs.select(*more, F.col(text_col).alias("text"), language.alias("language"))
+def _scores(docs: DataFrame, text_col: str, lang_col: str | None, keep: list[str]) -> tuple[DataFrame, list[Column]]:
+    """(rows with language, counts and log_perplexity, written once; the columns ``keep`` of ``docs`` in them)."""
+    own = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # no name of ours clashes
+    name = dict(zip(docs.columns, own.columns))
+    language = F.coalesce(F.col(name[lang_col]).cast("string"), F.lit(NO_LANGUAGE)) if lang_col else F.lit(NO_LANGUAGE)
+    text = F.col(name[text_col]).cast("string")
+    others = [name[c] for c in keep if c != text_col or docs.schema[c].dataType != StringType()]
+    rows = own.select(*others, text.alias("text"), language.alias("language"))
+    done = scorer(own, name[text_col])(rows)
+    path = f"{shared_dir(docs.sparkSession)}/scores-{uuid.uuid4().hex}"
+    (done if text_col in keep else done.drop("text")).write.parquet(path)
+    columns = [F.col(name[c] if name[c] in others else "text").alias(c) for c in keep]
+    return docs.sparkSession.read.parquet(path), columns
 
 
 def _judged(rows: DataFrame, limits: list[Row], width: float, lower: float, least: float) -> DataFrame:
@@ -477,16 +501,12 @@ def quality(
     words and fails the base rules.  Null languages share a band.  Equal rows are judged
     each.  An empty table gives no rows.  No column but these three is read.
     """
-    own = _own(docs, text_col, lang_col, F.col(id_col).alias("doc_id"))
-    rows = cut(scorer(own)(own))
+    rows, columns = _scores(docs, text_col, lang_col, [id_col])
     judged = _judged(rows, bands(rows).collect(), width, lower, least)
-    return judged.select("doc_id", *COUNTS, base_failed().alias("base_failed"), "log_perplexity", "low", "high", "kept")
+    return judged.select(columns[0].alias("doc_id"), *COUNTS, base_failed().alias("base_failed"), "log_perplexity", "low", "high", "kept")
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", width: float = WIDTH, lower: float = LOWER, least: float = LEAST_HALF_BAND) -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps, with all their columns; texts aren't shuffled."""
-    own = _own(docs, text_col, lang_col)
-    score = scorer(own)
-    limits = bands(cut(score(own))).collect()
-    rows = score(_own(docs, text_col, lang_col, F.struct("*").alias("row")))
-    return _judged(rows, limits, width, lower, least).filter("kept").select("row.*")
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns; each text is counted once and scored once."""
+    rows, columns = _scores(docs, text_col, lang_col, docs.columns)
+    return _judged(rows, bands(rows).collect(), width, lower, least).filter("kept").select(*columns)
