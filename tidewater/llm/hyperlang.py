@@ -18,19 +18,29 @@ tasks, and one row for each language reaches the driver.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidewater.llm.common import text_of
+from tidewater.llm.common import shared_dir, text_of
 from tidewater.llm.words import slices
 
 DIMENSIONS = 1024
 NGRAM = 3
 #: n-grams whose vectors a worker remembers before it starts afresh (DIMENSIONS bytes each).
 MEMO_GRAMS = 20_000
+#: n-grams that are summed at a time, so that their vectors stay in the processor's cache.
+CHUNK_GRAMS = 256
+BLOCK_GRAMS = 2048
+#: A table of counts is worth its zeros if at least one in so many entries isn't one.
+DENSE = 16
+#: Texts that are profiled at a time.
+TEXTS = 512
 SEED = 20240817
 UNKNOWN = "und"
 #: n-grams at which chance takes the cosine of a text down to the root of a half.
@@ -50,32 +60,50 @@ class Profiler:
     """Vectors of texts, with a bounded memo of n-gram vectors."""
 
     def __init__(self):
-        self.letters: dict[int, list[np.ndarray]] = {}
         self._fresh()
 
     def _fresh(self) -> None:
-        self.keys = np.zeros(0, np.int64)
-        self.vectors = np.zeros((0, DIMENSIONS), np.int8)
-
-    def _rotated(self, point: int) -> list[np.ndarray]:
-        if point not in self.letters:
-            if len(self.letters) > 5000:
-                self.letters.clear()
-            own = letter_vector(point)
-            self.letters[point] = [np.roll(own, NGRAM - 1 - k) for k in range(NGRAM)]
-        return self.letters[point]
+        self.points = np.zeros(0, np.int64)  # letters, sorted, and their vectors rotated for each place
+        self.letters = np.zeros((NGRAM, 0, DIMENSIONS), np.int8)
+        self.keys = np.zeros(0, np.int64)  # n-grams, sorted, and where their vectors are
+        self.places = np.zeros(0, np.int64)
+        self.vectors = np.zeros((1024, DIMENSIONS), np.int8)
 
     def _learn(self, keys: np.ndarray) -> None:
-        mask = (1 << _CODE_BITS) - 1
-        rows = np.empty((len(keys), DIMENSIONS), np.int8)
-        for i, key in enumerate(keys.tolist()):
-            own = np.ones(DIMENSIONS, np.int8)
-            for k in range(NGRAM):
-                own = own * self._rotated((key >> (_CODE_BITS * (NGRAM - 1 - k))) & mask)[k]
-            rows[i] = own
+        """Keep the vectors of new, distinct n-grams."""
+        parts = [(keys >> (_CODE_BITS * (NGRAM - 1 - k))) & ((1 << _CODE_BITS) - 1) for k in range(NGRAM)]
+        fresh = np.setdiff1d(np.concatenate(parts), self.points)
+        if len(fresh):
+            own = np.array([letter_vector(p) for p in fresh.tolist()])
+            rotated = np.stack([np.roll(own, NGRAM - 1 - k, axis=1) for k in range(NGRAM)])
+            self.points = np.concatenate([self.points, fresh])
+            order = np.argsort(self.points)
+            self.points, self.letters = self.points[order], np.concatenate([self.letters, rotated], axis=1)[:, order]
+        first, n = len(self.keys), len(keys)
+        while first + n > len(self.vectors):
+            self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
+        own = self.vectors[first : first + n]
+        own[:] = 1
+        for k in range(NGRAM):
+            own *= self.letters[k][np.searchsorted(self.points, parts[k])]
         every = np.concatenate([self.keys, keys])
         order = np.argsort(every)
-        self.keys, self.vectors = every[order], np.concatenate([self.vectors, rows])[order]
+        self.keys, self.places = every[order], np.concatenate([self.places, np.arange(first, first + n)])[order]
+
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        return known
+
+    def _prepare(self, keys: np.ndarray) -> None:
+        """See that the vectors of distinct n-grams, at most MEMO_GRAMS, are there."""
+        new = keys[~self._known(keys)]
+        if len(self.keys) + len(new) > MEMO_GRAMS:
+            self._fresh()
+            new = keys
+        if len(new):
+            self._learn(new)
 
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The distinct n-grams of the lower-cased letters, words apart by one blank, and their counts."""
@@ -90,19 +118,44 @@ class Profiler:
             key = key << _CODE_BITS | points[k : k + len(key)]
         return np.unique(key, return_counts=True)
 
-    def vector(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        if len(self.keys) > MEMO_GRAMS:
-            self._fresh()
-        at = np.searchsorted(self.keys, keys)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == keys[known]
-        if not known.all():
-            self._learn(keys[~known])
-            at = np.searchsorted(self.keys, keys)
-        out = np.zeros(DIMENSIONS, np.float32)
-        for a in range(0, len(keys), 4096):
-            out += counts[a : a + 4096].astype(np.float32) @ self.vectors[at[a : a + 4096]].astype(np.float32)
-        return out
+    def bundles(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each text, the sum of its n-grams' vectors, and how many n-grams it has; new n-grams are learned together."""
+        out, sizes = np.zeros((len(texts), DIMENSIONS), np.float32), np.zeros(len(texts), np.int64)
+        found = [self.grams(t) for t in texts]
+        every = np.unique(np.concatenate([k for k, _ in found])) if found else np.zeros(0, np.int64)
+        together = len(every) <= MEMO_GRAMS
+        if together:
+            self._prepare(every)
+        sizes[:] = [counts.sum() for _, counts in found]
+        n_keys = np.array([len(k) for k, _ in found])
+        if together and DENSE * n_keys.sum() >= len(texts) * len(every):
+            # Texts with many n-grams in common: a table of their counts times the vectors, some n-grams at a time.
+            columns = np.searchsorted(every, np.concatenate([k for k, _ in found]))
+            order = np.argsort(columns, kind="stable")
+            columns, rows = columns[order], np.repeat(np.arange(len(texts)), n_keys)[order]
+            counts = np.concatenate([c for _, c in found])[order]
+            at = self.places[np.searchsorted(self.keys, every)]
+            for a in range(0, len(every), BLOCK_GRAMS):
+                lo, hi = np.searchsorted(columns, [a, a + BLOCK_GRAMS])
+                table = np.zeros((len(texts), min(BLOCK_GRAMS, len(every) - a)), np.float32)
+                table[rows[lo:hi], columns[lo:hi] - a] = counts[lo:hi]
+                out += table @ self.vectors[at[a : a + BLOCK_GRAMS]].astype(np.float32)
+            return out, sizes
+        for row, (keys, counts) in enumerate(found):
+            weights = counts.astype(np.float32)
+            for a in range(0, len(keys), CHUNK_GRAMS):
+                some = keys[a : a + CHUNK_GRAMS]
+                if not together:
+                    self._prepare(some)
+                at = self.places[np.searchsorted(self.keys, some)]
+                out[row] += weights[a : a + CHUNK_GRAMS] @ self.vectors[at].astype(np.float32)
+        return out, sizes
+
+
+def _groups(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """At most TEXTS rows at a time."""
+    for a in range(0, part.num_rows, TEXTS):
+        yield part.slice(a, TEXTS)
 
 
 def _letters(points: np.ndarray) -> np.ndarray:
@@ -134,13 +187,14 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
 
     def run(batches):
         own, sums = _profiler(), {}
-        for batch in batches:
-            for part in slices(batch):
-                for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist()):
-                    vector = own.vector(*own.grams(text))
-                    size = np.linalg.norm(vector)
-                    if size:
-                        sums[lang] = sums.get(lang, 0.0) + vector / size
+        for part in (g for batch in batches for p in slices(batch) for g in _groups(p)):
+            vectors, _ = own.bundles(part.column("text").to_pylist())
+            length = np.linalg.norm(vectors, axis=1, keepdims=True)
+            vectors /= np.maximum(length, 1e-12)
+            langs = np.array(part.column("lang").to_pylist())
+            for lang in set(langs.tolist()):
+                sums[lang] = sums.get(lang, 0.0) + vectors[langs == lang].sum(axis=0, dtype=float)
+        sums = {k: v for k, v in sums.items() if v.any()}
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["lang", "bundle"])
 
     parts = docs.mapInArrow(run, schema).select("lang", F.posexplode("bundle").alias("at", "value"))
@@ -156,38 +210,32 @@ def learnable(id_col: str) -> Column:
 
 
 def predicted(docs: DataFrame, learned: dict[str, np.ndarray]) -> DataFrame:
-    """``docs`` with lang_pred, score and fit for its column ``text``, which goes."""
+    """``docs`` with lang_pred, score and fit of its column ``text``."""
     langs = sorted(learned)
     profile = np.array([learned[k] / max(np.linalg.norm(learned[k]), 1e-12) for k in langs]).reshape(len(langs), DIMENSIONS)
     middle = profile.mean(axis=0) if len(langs) > 1 else np.zeros(DIMENSIONS)
     centred = profile - middle
     centred /= np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
-    kept = docs.drop("text").schema
-    schema = StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("fit", DoubleType())])
+    schema = StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("fit", DoubleType())])
 
     def run(batches):
         own = _profiler()
-        for batch in batches:
-            for part in slices(batch):
-                names, scores, fits = [], [], []
-                for text in part.column("text").to_pylist():
-                    keys, counts = own.grams(text)
-                    if not len(keys) or not langs:
-                        names.append(UNKNOWN)
-                        scores.append(0.0)
-                        fits.append(0.0)
-                        continue
-                    vector = own.vector(keys, counts).astype(float)
-                    vector /= max(np.linalg.norm(vector), 1e-12)
-                    vector -= middle
-                    cosine = centred @ (vector / max(np.linalg.norm(vector), 1e-12))
-                    best = int(np.argmax(cosine))
-                    names.append(langs[best])
-                    scores.append(float(np.clip((1 + cosine[best]) / 2, 0, 1)))
-                    fits.append(float(cosine[best] * np.sqrt(1 + CHANCE_GRAMS / counts.sum())))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept.names), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())], schema.names)
-
-    return docs.withColumn("text", text_of("text")).mapInArrow(run, schema)
+        for part in (g for batch in batches for p in slices(batch) for g in _groups(p)):
+            vectors, sizes = own.bundles([t or "" for t in part.column("text").to_pylist()])
+            vectors = vectors.astype(float)
+            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+            vectors -= middle
+            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+            judged = (sizes > 0) & bool(langs)
+            cosine = vectors @ centred.T if langs else np.zeros((len(sizes), 1))
+            best = cosine.argmax(axis=1)
+            top = np.where(judged, cosine.max(axis=1), 0.0)
+            names = [langs[k] if j else UNKNOWN for k, j in zip(best.tolist(), judged.tolist())]
+            score = np.where(judged, np.clip((1 + top) / 2, 0, 1), 0.0)
+            fit = top * np.sqrt(1 + CHANCE_GRAMS / np.maximum(sizes, 1))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score), pa.array(fit)], schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def _learning(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -203,23 +251,31 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     as empty.  Rows that share an id are judged each; an empty table gives no rows.
     """
     learned = prototypes(_learning(docs, id_col, text_col, lang_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), (~learnable(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return predicted(rows, learned).drop("fit")
+    rows = docs.select(F.col(id_col).alias("doc_id"), (~learnable(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    return predicted(rows, learned).drop("text", "fit")
 
 
-def least_fits(learning: DataFrame, learned: dict[str, np.ndarray], share: float = FIT_SHARE) -> dict[str, float]:
-    """The least fit by language, from all learning documents (text, lang) that are put in their own language."""
-    own = predicted(learning, learned).filter(F.col("lang_pred") == F.col("lang"))
+def least_fits(judged: DataFrame, share: float = FIT_SHARE) -> dict[str, float]:
+    """The least fit by language, from all learning documents (lang, lang_pred, fit) that are put in their own language."""
+    own = judged.filter(F.col("lang_pred") == F.col("lang"))
     rows = own.groupBy("lang").agg(F.percentile_approx("fit", FIT_QUANTILE, 10000).alias("fit")).collect()  # a row for each language
     return {r.lang: share * r.fit for r in rows}
 
 
 def language_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", share: float = FIT_SHARE) -> DataFrame:
     """The rows of ``docs``, with all their columns, that fit a learned language at least as ``least_fits`` says."""
-    learning = _learning(docs, id_col, text_col, lang_col)
-    learned = prototypes(learning)
+    learned = prototypes(_learning(docs, id_col, text_col, lang_col))
+    own = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # no name of ours clashes
+    name = dict(zip(docs.columns, own.columns))
+    is_text = docs.schema[text_col].dataType == StringType()
+    others = [c for c in own.columns if c != name[text_col] or not is_text]
+    language = F.when(learnable(name[id_col]), F.col(name[lang_col]).cast("string"))
+    path = f"{shared_dir(docs.sparkSession)}/languages-{uuid.uuid4().hex}"
+    # Written once, so that each text is judged once for both the limits and the verdict.
+    predicted(own.select(*others, F.col(name[text_col]).cast("string").alias("text"), language.alias("lang")), learned).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
     least = F.lit(None).cast("double")
-    for lang, fit in least_fits(learning, learned, share).items():
+    for lang, fit in least_fits(rows, share).items():
         least = F.when(F.col("lang_pred") == lang, fit).otherwise(least)
-    rows = predicted(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), learned)
-    return rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("fit") >= least)).select("row.*")
+    kept = rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("fit") >= least))
+    return kept.select(*(F.col(name[c] if name[c] in others else "text").alias(c) for c in docs.columns))
