@@ -144,6 +144,54 @@ def test_jaccard_join(spark, monkeypatch, block):
     assert lshforest.jaccard_join(docs_frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("leaders, hold, parts", [(1024, 500_000, 4), (1024, 10, 37), (3, 500_000, 4), (1, 10, 61)])
+def test_crowded_and_spread_buckets(spark, monkeypatch, leaders, hold, parts):
+    """A passage in all texts, a group of many near copies and few leaders a bucket, over few and many tasks."""
+    monkeypatch.setattr(lshforest, "LEADERS", leaders)
+    monkeypatch.setattr(lshforest, "HOLD", hold)
+    rng = random.Random(41)
+    passage, rows = words(rng, 60), []
+    for g in range(25):
+        own = words(rng, 40).split()
+        for k in range(rng.randint(1, 3)):
+            v = list(own)
+            v[rng.randrange(len(v))] = words(rng, 1)
+            rows.append((len(rows), f"{passage} {' '.join(v)}", "en"))
+    base = words(rng, 150).split()
+    for k in range(40):
+        v = list(base)
+        for _ in range(rng.randint(1, 2)):
+            v[rng.randrange(len(v))] = words(rng, 1)
+        rows.append((len(rows), " ".join(v), "en"))
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", parts < 50)
+    try:
+        got = lshforest.jaccard_join(docs_frame(spark, rows)).select("doc_id", "class_id", "n_links").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.enabled", old[1])
+    assert sorted(map(tuple, got)) == brute_links(rows)
+
+
+def test_rows_without_ids_are_linked(spark):
+    rng = random.Random(42)
+    t, u = words(rng, 120), words(rng, 120)
+    rows = [(None, t, "en"), (1, t + " tail", "en"), (None, u, "en"), (None, u + " tail", "en"), (4, u, "en"), (4, t, "en")]
+    got = sorted((r.doc_id or 0, r.class_id, r.n_links) for r in lshforest.jaccard_join(docs_frame(spark, rows)).collect())
+    assert got == [(0, 1, 2), (0, 4, 2), (0, 4, 2), (1, 1, 2), (4, 1, 2), (4, 4, 2)]
+
+
+def test_cover_joins_what_chains_of_leaders_join():
+    rng = np.random.default_rng(43)
+    sketches = rng.integers(0, 1 << 63, (60, 2), dtype=np.uint64)
+    sketches[20:40] = sketches[0] ^ (np.uint64(1) << rng.integers(0, 63, (20, 2), dtype=np.uint64))
+    edges, leaders, done = lshforest.cover(sketches, 0.4, 0.8, None, True)
+    assert done and leaders == [k for k in range(60) if not 20 <= k < 40]
+    assert {k for e in edges for k in e} >= {0, *range(20, 40)}
+    assert lshforest.cover(sketches, 0.4, 0.8, 5, False)[2] is False
+
+
 def test_one_row_a_class_where_ids_repeat(spark):
     rng = random.Random(17)
     a, b, c, d = (words(rng, 120) for _ in range(4))
@@ -272,14 +320,55 @@ def test_unlearned_languages_go(spark):
 
 def test_bound_vectors_are_what_they_say():
     own = hyperlang.Profiler()
-    keys, counts = own.grams("Ab, cd")
     want = np.zeros(hyperlang.DIMENSIONS)
     for gram in ("ab ", "b c", " cd"):
         v = np.ones(hyperlang.DIMENSIONS)
         for k, c in enumerate(gram):
             v = v * np.roll(hyperlang.letter_vector(ord(c)), 2 - k)
         want += v
-    assert np.array_equal(own.vector(keys, counts), want)
+    got, sizes = own.bundles(["Ab, cd", "7!", "Ab, cd Ab, cd"])
+    assert np.array_equal(got[0], want) and sizes.tolist()[:2] == [3, 0] and not got[1].any()
+
+
+def test_bundles_in_any_way_agree(monkeypatch):
+    rng = random.Random(31)
+    texts = [words(rng, rng.randint(0, 200), "abcdefgäöü字") for _ in range(30)] + ["", "a", "ab"]
+    want, sizes = hyperlang.Profiler().bundles(texts)
+    for name, value in (("DENSE", 0), ("MEMO_GRAMS", 300), ("BLOCK_GRAMS", 100), ("CHUNK_GRAMS", 7)):
+        monkeypatch.setattr(hyperlang, name, value)
+        got, n = hyperlang.Profiler().bundles(texts)
+        assert np.array_equal(got, want) and np.array_equal(n, sizes)
+
+
+def test_predictions_agree_with_brute_force(spark):
+    """Prototypes, cosines and scores by dictionaries of letters, bound and bundled one n-gram at a time."""
+    rng = random.Random(32)
+    rows = [(i, words(rng, 40, letters), lang) for lang, letters in (("en", "abcdefgh"), ("de", "fghijklm"), ("fr", "hkmnopaq")) for i in rng.sample(range(5000), 30)]
+
+    def vector(text):
+        text = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split(" "))
+        total = np.zeros(hyperlang.DIMENSIONS)
+        for i in range(len(text) - 2):
+            v = np.ones(hyperlang.DIMENSIONS)
+            for k, c in enumerate(text[i : i + 3]):
+                v = v * np.roll(hyperlang.letter_vector(ord(c)), 2 - k)
+            total += v
+        return total / np.linalg.norm(total)
+
+    unit = lambda v: v / np.linalg.norm(v)
+    sums = {}
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            sums[lang] = sums.get(lang, 0) + vector(t)
+    middle = np.mean([unit(v) for v in sums.values()], axis=0)
+    want = []
+    for i, t, _ in rows:
+        cosine = {k: float(unit(unit(v) - middle) @ unit(vector(t) - middle)) for k, v in sums.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        want.append((i, zlib.crc32(str(i).encode()) % 4 == 2, best, (1 + cosine[best]) / 2))
+    got = sorted(tuple(r) for r in hyperlang.identify(docs_frame(spark, rows)).collect())
+    want.sort()
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-5)
 
 
 def brute_counts(text):
@@ -360,6 +449,32 @@ def test_kneser_ney_keeps_grams_apart(spark):
     assert np.allclose(model.text_scores(probes), [score(t) for t in probes], rtol=1e-5)
 
 
+def test_bands_and_verdicts_against_brute_force(spark):
+    """Two languages apart: medians, deviations and verdicts by numpy from the exact model's scores."""
+    rng = random.Random(33)
+    rows = [(i, words(rng, rng.randint(60, 200), "abcdefg"), "en") for i in range(0, 80, 2)] + [(i, words(rng, rng.randint(60, 200), "xyzuvwr"), "de") for i in range(1, 80, 2)]
+    rows += [(100, words(rng, 120, "#%&0123"), "en"), (101, words(rng, 120, "mnopqst"), None), (102, "ab " * 300, "de")]
+    got = {r.doc_id: r for r in perplexity.quality(docs_frame(spark, rows)).collect()}
+    model = perplexity.fit(docs_frame(spark, rows))
+    score = dict(zip([i for i, _, _ in rows], model.text_scores([t for _, t, _ in rows])))
+    n = {i: len(t.split()) for i, t, _ in rows}
+    for i, _, lang in rows:
+        assert abs(got[i].log_perplexity - score[i]) < 1e-5
+        own = [j for j, _, other in rows if other == lang and not got[j].base_failed]
+        if not own:
+            assert not got[i].kept
+            continue
+        value = np.array([score[j] for j in own])
+        middle = np.sort(value)[(len(value) - 1) // 2]
+        apart = (value - middle) * np.sqrt([n[j] for j in own])
+        side = lambda x: 1.4826 * np.sort(x)[(len(x) - 1) // 2] if len(x) else 0.0
+        low = middle - max(perplexity.LEAST_HALF_BAND, perplexity.LOWER * side(-apart[apart < 0]) / np.sqrt(n[i]))
+        high = middle + max(perplexity.LEAST_HALF_BAND, perplexity.WIDTH * side(apart[apart > 0]) / np.sqrt(n[i]))
+        assert abs(got[i].low - low) < 1e-4 and abs(got[i].high - high) < 1e-4
+        assert got[i].kept == (not got[i].base_failed and low <= score[i] <= high)
+    assert not got[100].kept and not got[102].kept
+
+
 def test_quality_by_join_agrees(spark, monkeypatch):
     rng = random.Random(19)
     rows = [(i, words(rng, 80), "en") for i in range(40)] + [(7, words(rng, 90), None), (90, None, "en"), (None, "short", "en")]
