@@ -15,23 +15,24 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import cut, hot_hashes, least_id_by_key, text_of
+from tidewater.llm.common import cut, hot_hashes, least_id_by_key, text_of, written
 
 BLOCK_BYTES = 4096
 
 
-def block_identities(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def block_identities(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, row_col: str | None = None) -> DataFrame:
     """One row per input row: ``doc_id, rid, text_sha256, n_blocks, name``.
 
     Two rows have the same (n_blocks, name) if and only if their texts are equal.  Null
     text counts as empty, which has one empty block.  ``rid`` is unique per row, also
-    where ids repeat.  An empty table gives an empty result.
+    where ids repeat: ``row_col``, if the rows have such a number.  An empty table gives an empty result.
     """
     raw = text_of(text_col).cast("binary")
-    rows = df.select(F.col(id_col).alias("doc_id"), raw.alias("t")).select(
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = df.select(F.col(id_col).alias("doc_id"), raw.alias("t"), number.alias("rid")).select(
         "doc_id",
         "t",
-        F.monotonically_increasing_id().alias("rid"),
+        "rid",
         F.greatest(F.lit(1), F.ceil(F.octet_length("t") / block_bytes)).cast("int").alias("n_blocks"),
         F.sha2("t", 256).alias("sha"),
     )
@@ -76,7 +77,11 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     exactly one does.  A null id counts as smaller than any other and then keep_id may be
     null.  Other columns of ``df`` are not read.
     """
-    ids = cut(block_identities(df, id_col, text_col, block_bytes))
+    return _judged(block_identities(df, id_col, text_col, block_bytes)).drop("rid")
+
+
+def _judged(identities: DataFrame) -> DataFrame:
+    ids = cut(identities)
     groups = cut(
         ids.groupBy("n_blocks", "name").agg(
             F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size")
@@ -90,12 +95,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         "group_size",
         (F.col("rid") == F.col("keep.rid")).alias("kept"),
         "text_sha256",
+        "rid",
     )
 
 
 def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, with their columns, that exact_dedup keeps."""
-    kept = exact_dedup(df, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(text_of(text_col).cast("binary"), 256)
-    rows = df.withColumn("_sha", sha).join(kept.withColumnRenamed("_sha", "_ksha"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_ksha")), "left_semi")
-    return rows.dropDuplicates([id_col, "_sha"]).drop("_sha")
+    # Written once, so that the numbers are the same wherever they are read.
+    rows = written(df.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "numbered")
+    own = rows.select("row", F.col("doc")[id_col].alias("doc_id"), F.col("doc")[text_col].alias("text"))
+    kept = _judged(block_identities(own, "doc_id", "text", BLOCK_BYTES, "row")).filter("kept").select(F.col("rid").alias("row"))
+    return rows.join(kept, "row", "left_semi").select("doc.*")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,22 +17,88 @@ HOT_PARTS = 1000
 #: Below this many rows a key is never hot: salting would cost more than it spares.
 HOT_LEAST = 50
 
+_made: list[str] = []
+_registering = False
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir.  Where it is unset, a temporary one in local mode, else an error."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='tidewater-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh path in the shared folder."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if _registering:
+        _made.append(path)
+    return path
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Write the rows to the shared folder once and go on from the copy."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_output(df: DataFrame) -> DataFrame:
+    """``written``, for what a pipeline stage hands on; ``stage_of`` deletes it when no later stage reads it."""
+    global _registering
+    _registering = True
+    try:
+        return written(df, "stage")
+    finally:
+        _registering = False
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from the copy, so a lost executor costs no recompute."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``written``, to end a plan there: a lost executor costs no recompute, and what is read later are only the columns asked for."""
+    return written(df, "cut")
+
+
+@contextmanager
+def stage_of(docs: DataFrame) -> Iterator[None]:
+    """Around the making of one pipeline stage from ``docs``: deletes what earlier stages wrote for themselves.
+
+    Whatever ``docs`` still reads stays, and so does anything written outside of stages.
+    """
+    global _registering
+    spark = docs.sparkSession
+    old, _made[:] = _made[:], []
+    if old:
+        sc, read = spark.sparkContext, docs.inputFiles()
+        for path in old:
+            if any(path.split("://")[-1] in f for f in read):
+                _made.append(path)
+                continue
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        gc.collect()
+        sc._jvm.System.gc()  # Spark deletes shuffles that nothing refers to any more
+    _registering = True
+    try:
+        yield
+    finally:
+        _registering = False
+
+
+_resident: dict[str, Any] = {}
+
+
+def resident(name: str, make: Callable[[], Any]) -> Any:
+    """What a worker keeps between tasks: one thing at a time, so that memory of one operator isn't held under the next."""
+    if name not in _resident:
+        _resident.clear()
+        _resident[name] = make()
+    return _resident[name]
 
 
 def shuffle_parts(spark: SparkSession) -> int:

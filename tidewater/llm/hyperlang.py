@@ -18,7 +18,6 @@ tasks, and one row for each language reaches the driver.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidewater.llm.common import shared_dir, text_of
+from tidewater.llm.common import resident, text_of, written
 from tidewater.llm.words import slices
 
 DIMENSIONS = 1024
@@ -172,13 +171,7 @@ _KIND = np.array([-1 if chr(p).isalpha() else 32 for p in range(0x3000)], np.int
 
 
 def _profiler() -> Profiler:
-    global _own
-    if _own is None:
-        _own = Profiler()
-    return _own
-
-
-_own: Profiler | None = None
+    return resident("profiler", Profiler)
 
 
 def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
@@ -270,10 +263,8 @@ def language_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is_text = docs.schema[text_col].dataType == StringType()
     others = [c for c in own.columns if c != name[text_col] or not is_text]
     language = F.when(learnable(name[id_col]), F.col(name[lang_col]).cast("string"))
-    path = f"{shared_dir(docs.sparkSession)}/languages-{uuid.uuid4().hex}"
     # Written once, so that each text is judged once for both the limits and the verdict.
-    predicted(own.select(*others, F.col(name[text_col]).cast("string").alias("text"), language.alias("lang")), learned).write.parquet(path)
-    rows = docs.sparkSession.read.parquet(path)
+    rows = written(predicted(own.select(*others, F.col(name[text_col]).cast("string").alias("text"), language.alias("lang")), learned), "languages")
     least = F.lit(None).cast("double")
     for lang, fit in least_fits(rows, share).items():
         least = F.when(F.col("lang_pred") == lang, fit).otherwise(least)

@@ -21,10 +21,9 @@ texts share draw those texts down, and so widen the lower side alone.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from tidewater.llm.common import cut, shared_dir, text_of
+from tidewater.llm.common import cut, resident, text_of, written
 from tidewater.llm.words import slices
 
 ORDER = 5
@@ -243,15 +242,12 @@ class Model:
 
     arrays: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]
 
-    @lru_cache(maxsize=1)  # noqa: B019  one model a worker
-    def _tables(self):
+    @cached_property
+    def tables(self) -> dict[tuple[str, int], Lookup]:
         return {key: Lookup(*own) for key, own in self.arrays.items()}
 
-    def __hash__(self):
-        return id(self)
-
     def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
-        tables = self._tables()
+        tables = self.tables
         out = np.zeros(len(keys))
         left = np.arange(len(keys))
         for order in range(ORDER, 0, -1):
@@ -377,6 +373,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     schema = _scored_schema(docs)
 
     def run(batches):
+        resident("model", lambda: None)  # frees what an operator before this one left in the worker
         own = shared.value
         for batch in batches:
             for part in slices(batch):
@@ -400,7 +397,6 @@ def _scored_by_slices(docs: DataFrame, table: DataFrame) -> DataFrame:
     nothing that grows with the corpus is broadcast, and what moves is at most the texts and
     the distinct grams of each slice.
     """
-    path = f"{shared_dir(docs.sparkSession)}/perplexity-{uuid.uuid4().hex}"
     schema = _scored_schema(docs)
 
     def dealt(batches):
@@ -409,8 +405,7 @@ def _scored_by_slices(docs: DataFrame, table: DataFrame) -> DataFrame:
             yield part.append_column("slice", pa.array(np.full(part.num_rows, partition + k)))
 
     # Written once, so that the numbers are the same wherever they are read.
-    docs.mapInArrow(dealt, StructType([*docs.schema, StructField("slice", LongType())])).write.parquet(path)
-    rows = docs.sparkSession.read.parquet(path)
+    rows = written(docs.mapInArrow(dealt, StructType([*docs.schema, StructField("slice", LongType())])), "slices")
 
     def own_grams(batches):
         for batch in batches:
@@ -473,10 +468,9 @@ def _scores(docs: DataFrame, text_col: str, lang_col: str | None, keep: list[str
     others = [name[c] for c in keep if c != text_col or docs.schema[c].dataType != StringType()]
     rows = own.select(*others, text.alias("text"), language.alias("language"))
     done = scorer(own, name[text_col])(rows)
-    path = f"{shared_dir(docs.sparkSession)}/scores-{uuid.uuid4().hex}"
-    (done if text_col in keep else done.drop("text")).write.parquet(path)
+    rows = written(done if text_col in keep else done.drop("text"), "scores")
     columns = [F.col(name[c] if name[c] in others else "text").alias(c) for c in keep]
-    return docs.sparkSession.read.parquet(path), columns
+    return rows, columns
 
 
 def _judged(rows: DataFrame, limits: list[Row], width: float, lower: float, least: float) -> DataFrame:

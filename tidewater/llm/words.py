@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from tidewater.llm.common import resident
+
 #: When a worker remembers more words than this it starts afresh; bounds its memory.
 MEMO_WORDS = 300_000
 #: Words of more characters are encoded whole, by themselves.
@@ -164,10 +166,9 @@ class WordCoder:
         return " ".join(self.token_text[ids].tolist())
 
 
-@functools.lru_cache(maxsize=2)
 def coder(path: str) -> WordCoder:
     """One coder per worker process and file."""
-    return WordCoder(path)
+    return resident(path, lambda: WordCoder(path))
 
 
 #: Bytes of text that are worked on at a time.
