@@ -623,3 +623,17 @@ def test_quotation_links(spark):
     order = [t for t, _ in sorted(((r.turn, r.reply_path) for (c, _), r in got.items() if c == 1), key=lambda x: x[1])]
     assert order == [0, 1, 2, 3]
     assert quotes.link_quotes(frame.limit(0)).count() == 0
+
+
+def test_near_copies_choose_the_same_leaders(spark):
+    rng = random.Random(44)
+    base, rows = words(rng, 200).split(), []
+    for k in range(60):
+        v = list(base)
+        v[rng.randrange(len(v))] = words(rng, 1)
+        rows.append((k, " ".join(v), "en"))
+    docs = lshforest._numbered(docs_frame(spark, rows).select("doc_id", "text"))
+    depth = lshforest.depth_for()
+    signed = lshforest._signed(docs, 5, lshforest.TREES, depth, lshforest.MAX_DEPTH)
+    edges, few = lshforest.forest_edges(signed.select("key", "highs", "lows", "sketch_a", "sketch_b"), depth)
+    assert edges.count() < 12 * len(rows) and not few.count()

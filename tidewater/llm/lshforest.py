@@ -27,7 +27,6 @@ holds more than two blocks.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -36,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import cut, shared_dir, text_of
+from tidewater.llm.common import cut, resident, text_of, written
 from tidewater.llm.words import slices
 from tidewater.operators.graph import connected_components
 
@@ -136,6 +135,7 @@ def _signed(docs: DataFrame, n: int, trees: int, depth: int, longest: int) -> Da
         return out
 
     def run(batches):
+        resident("forest", lambda: None)  # frees what an operator before this one left in the worker
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(part.column("text"), n)
@@ -213,7 +213,8 @@ def _sketches(table: pa.Table) -> np.ndarray:
 
 def _compared(rows: DataFrame, most: int | None) -> DataFrame:
     """Edges, leaders of buckets that may lie across tasks, and crowded buckets, from rows (tree, high, sub, low, key, sketch_a, sketch_b)."""
-    hold, order = HOLD, [*_BUCKET, "low", "key"]
+    # By key in a bucket, so that the trees of a group of near copies choose the same leaders and give the same edges.
+    hold, order = HOLD, [*_BUCKET, "key"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def compare(table: pa.Table, open_first: bool, open_last: bool):
@@ -391,8 +392,8 @@ def _verified(docs: DataFrame, members: DataFrame, n: int, threshold: float) ->
     """(key, n_links, root) parts from all pairs inside components.  ``members``: key, row (of one of its texts), copies, size, component."""
     totals = members.groupBy("component").agg(F.sum("size").alias("total"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    members = cut(members.join(totals, "component").withColumn("blocks", blocks).drop("total", "size"))
-    texts = docs.select("row", "text").join(members, "row").select("key", "copies", "component", "blocks", "text")
+    members = cut(members.join(_large(totals), "component").withColumn("blocks", blocks).drop("total", "size"))
+    texts = docs.select("row", "text").join(_large(members), "row").select("key", "copies", "component", "blocks", "text")
 
     def shingled(batches):
         for batch in batches:
@@ -426,10 +427,13 @@ def _verified(docs: DataFrame, members: DataFrame, n: int, threshold: float) ->
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with a number ``row`` of its own for each row."""
-    path = f"{shared_dir(docs.sparkSession)}/numbered-{uuid.uuid4().hex}"
     # Written once, so that the numbers are the same wherever they are read.
-    docs.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return written(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
+def _large(df: DataFrame) -> DataFrame:
+    """A side that grows with the documents: joined by shuffle at every size, never broadcast."""
+    return df.hint("merge")
 
 
 def _joined(docs: DataFrame, n: int, threshold: float, trees: int, recall: float, longest: int) -> DataFrame:
@@ -439,23 +443,24 @@ def _joined(docs: DataFrame, n: int, threshold: float, trees: int, recall: float
     """
     depth = depth_for(threshold, trees, recall, longest)
     signed = cut(_signed(docs, n, trees, depth, longest))
-    label = F.struct("highs", "lows", "sketch_a", "sketch_b")
-    classes = signed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first(label).alias("label"))
-    classes = cut(classes)
-    edges, few = forest_edges(classes.select("key", "label.*"), depth, trees, longest, threshold, recall)
+    label = ("highs", "lows", "sketch_a", "sketch_b")
+    sums = (F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("size").alias("size"))
+    classes = cut(signed.filter(F.col("key").isNotNull()).groupBy("key").agg(*sums))
+    stands = signed.select("row", "key", *label).join(_large(classes.select("row")), "row", "left_semi")
+    edges, few = forest_edges(stands, depth, trees, longest, threshold, recall)
     few = cut(few)
     if few.limit(1).count():
-        edges = edges.unionByName(exact_edges(docs, classes.join(few, "key").select("key", "row", "label.sketch_a", "label.sketch_b"), n, threshold))
+        edges = edges.unionByName(exact_edges(docs, stands.join(few, "key").select("key", "row", "sketch_a", "sketch_b"), n, threshold))
     components = connected_components(edges)
-    members = components.withColumnRenamed("id", "key").join(classes.drop("label", "doc_id"), "key")
+    members = components.withColumnRenamed("id", "key").join(_large(classes.drop("doc_id")), "key")
     parts = cut(_verified(docs, members, n, threshold))
     linked = connected_components(parts.filter("key <> root").select(F.col("key").alias("src"), F.col("root").alias("dst")))
     sums = parts.groupBy("key").agg(F.sum("n_links").alias("links"))
-    known = classes.select("key", "doc_id", "copies").join(linked.withColumnRenamed("id", "key"), "key", "left").join(sums, "key", "left")
+    known = classes.select("key", "doc_id", "copies").join(_large(linked.withColumnRenamed("id", "key")), "key", "left").join(_large(sums), "key", "left")
     known = known.withColumn("class", F.coalesce("component", "key"))
     least = known.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    known = cut(known.join(least, "class").select("key", "class", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    own = signed.select("row", "doc_id", "key").join(known, "key", "left")
+    known = cut(known.join(_large(least), "class").select("key", "class", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    own = signed.select("row", "doc_id", "key").join(_large(known), "key", "left")
     class_id = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return own.select("row", "doc_id", "class", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
 
@@ -487,5 +492,5 @@ def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = rows.select("row", F.col("doc")[id_col].cast("long").alias("doc_id"), text_of(F.col("doc")[text_col]).alias("text"))
     joined = cut(_joined(own, N_WORDS, THRESHOLD, TREES, TARGET_RECALL, MAX_DEPTH).filter(F.col("class").isNotNull()).select("row", "doc_id", "class"))
     stays = joined.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
-    gone = joined.join(stays.select(F.col("best.row").alias("row")), "row", "left_anti")
-    return rows.join(gone.select("row"), "row", "left_anti").select("doc.*")
+    gone = joined.join(_large(stays.select(F.col("best.row").alias("row"))), "row", "left_anti")
+    return rows.join(_large(gone.select("row")), "row", "left_anti").select("doc.*")
