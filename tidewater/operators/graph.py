@@ -13,6 +13,8 @@ def _cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(where or f"file://{tempfile.mkdtemp(prefix='tidewater-')}")
     return df.checkpoint(eager=True)
 
