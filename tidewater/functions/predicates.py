@@ -12,6 +12,11 @@ from tidewater.functions import scalars
 # Fixed values.
 CONFLICT_ROOTS = ["18", "19", "20"]
 NULL_WORDS = ["", "null", "none", "n/a", "na"]
+QUOTE_PAGE_PHRASE = "stock price & latest news"
+QUOTE_PAGE_TITLES = [
+    r"^About .+ \([A-Za-z0-9^=][A-Za-z0-9^=\-]*\.[A-Z0-9]+\)\s+-\s+Reuters$",
+    r"^(?:[A-Z0-9^=][A-Z0-9.^=\-]*|[A-Za-z0-9^=][A-Za-z0-9^=\-]*\.[A-Z]{1,3})\s+-\s+Reuters$",
+]
 TRUE_WORDS = ["1", "true", "yes", "on"]
 
 
@@ -21,18 +26,20 @@ def exclusion_reason(title: Column, quote_page: Column, published: Column, creat
     return F.when(F.trim(F.coalesce(title, F.lit(""))) == "", "empty_title").when(quote_page, "quote_page").when(late, "backlog")
 
 
-def is_quote_page(title: Column, phrases: Sequence[str] = ("stock price", "quote & history", "share price today")) -> Column:
-    """A page that only shows a price."""
-    low = F.lower(title)
-    hit = F.lit(False)
-    for p in phrases:
-        hit = hit | low.contains(p)
-    return hit | low.rlike(r"\((?:nasdaq|nyse|lse):[a-z.]+\)\s*$") | low.rlike(r"^[a-z]{1,5}(?:\.[a-z]{1,3})?$")
+def is_quote_page(title: Column, phrase: str = QUOTE_PAGE_PHRASE, titles: Sequence[str] = QUOTE_PAGE_TITLES) -> Column:
+    """An instrument's page and no news: its title, unescaped, has the phrase or is a bare instrument or profile; null isn't."""
+    plain = F.trim(scalars.html_unescape(F.coalesce(title, F.lit(""))))
+    hit = F.lower(plain).contains(phrase)
+    for pattern in titles:
+        hit = hit | plain.rlike(pattern)
+    return hit
 
 
 def is_syndication(a: Column, b: Column, least: float = 0.85) -> Column:
-    """Equal normalised titles, or token similarity."""
-    return (scalars.normalise_title(a) == scalars.normalise_title(b)) | (scalars.jaccard(scalars.tokens(a), scalars.tokens(b)) >= least)
+    """Equal normalised titles, or token similarity of these; a title without words is nobody's copy."""
+    x, y = scalars.normalise_title(a), scalars.normalise_title(b)
+    alike = (x == y) | (scalars.jaccard(scalars.tokens(x), scalars.tokens(y)) >= least)
+    return (x != "") & (y != "") & alike
 
 
 def in_region(geo: Column, region: Sequence[str]) -> Column:

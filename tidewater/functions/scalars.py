@@ -14,7 +14,12 @@ from pyspark.sql.types import StringType
 # Fixed values.
 TRACKING_PREFIX = "utm_"
 CLICK_IDS = ["fbclid", "gclid", "mc_cid", "mc_eid"]
-NOISE_WORDS = ["a", "an", "and", "as", "at", "by", "for", "from", "in", "is", "of", "on", "or", "that", "the", "to", "with"]
+#: Words that say nothing of a headline.
+NOISE_WORDS = "a an and as at but by for from in is it of on or s the to with after over says said new up down amid its his her their that this".split()
+#: Words that say nothing of a claim.
+CLAIM_NOISE = "a an and are as at be been by for from had has have in is it its of on or that the this to was were will with".split()
+NUMBER = r"(\d[\d.,]*)"
+SOURCE_SUFFIX = r"(?U)\s*[-|–—]\s*[\w.\s]{1,25}$"
 DUPLICATE_JACCARD = 0.85
 
 
@@ -57,14 +62,15 @@ def tokens(text: Column, noise: Sequence[str] = NOISE_WORDS) -> Column:
 
 
 def fingerprint_numbers(text: Column) -> Column:
-    """the distinct numbers of a claim, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?)"), 1)))
+    """the distinct numbers of a claim, with their inner marks, sorted; null text has none."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER), 1)
+    return F.array_sort(F.array_distinct(F.transform(found, lambda n: F.rtrim(n, F.lit(".,")))))
 
 
-def fingerprint_words(text: Column, noise: Sequence[str] = NOISE_WORDS) -> Column:
-    """the distinct content words of a claim, sorted."""
-    found = F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), 1)
-    return F.array_sort(F.array_distinct(F.filter(found, lambda w: ~w.isin(list(noise)))))
+def fingerprint_words(text: Column, noise: Sequence[str] = CLAIM_NOISE) -> Column:
+    """the distinct content words of a claim, sorted; a word doesn't begin with a digit."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1)
+    return F.array_sort(F.array_distinct(F.filter(found, lambda w: ~w.isin(list(noise)) & ~w.rlike("^[0-9]"))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -74,7 +80,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def is_duplicate_claim(a: Column, b: Column) -> Column:
-    """equal numbers and word similarity of at least DUPLICATE_JACCARD."""
+    """equal numbers and word similarity of at least DUPLICATE_JACCARD; a claim without words is nobody's duplicate."""
     return (fingerprint_numbers(a) == fingerprint_numbers(b)) & (jaccard(fingerprint_words(a), fingerprint_words(b)) >= DUPLICATE_JACCARD)
 
 
@@ -97,8 +103,7 @@ def dropped_numbers(stored: Column, rewritten: Column) -> Column:
 
 def normalise_title(text: Column) -> Column:
     """decompose, straight quotes, cut a source after the last dash, words in lower case."""
-    plain = F.translate(nfkd(text), "‘’“”", "''\"\"")
-    plain = F.regexp_replace(plain, r"\s[-–—|]\s[^-–—|]{1,40}$", "")
+    plain = F.regexp_replace(F.translate(nfkd(F.coalesce(text, F.lit(""))), "‘’“”", "''\"\""), SOURCE_SUFFIX, "")
     return F.array_join(F.regexp_extract_all(F.lower(plain), F.lit("([a-z0-9]+)"), 1), " ")
 
 

@@ -105,11 +105,29 @@ def similar_pairs(rows: DataFrame, item: str, text: str, threshold: float) -> Da
     return scored.select(F.col("id").alias("a"), F.col("id2").alias("b"), "similarity").distinct()
 
 
-def best_by_candidates(queries: DataFrame, candidates: DataFrame, score: Column, query_id: str, candidate_id: str, k: int) -> DataFrame:
-    """Each query's k best candidates by (score, recency, id), a total order."""
-    scored = queries.crossJoin(F.broadcast(candidates)).withColumn("score", score)
-    best = Window.partitionBy(query_id).orderBy(F.desc("score"), F.desc("recency"), F.desc(candidate_id))
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+def trigram_top_k(queries: DataFrame, candidates: DataFrame, query_id: str, candidate_id: str, k: int) -> DataFrame:
+    """Each query's k best candidates by (trigram similarity of ``text``, ``recency``, id), a total order.
+
+    Equal texts are scored once, and only the k newest candidates of a text can be among the
+    best.  Texts meet on their trigrams; a query with fewer than k alike is filled up with the
+    newest of the others, of which the k newest candidates of all are enough.  Null text has
+    no trigrams and a similarity of 0.
+    """
+    grams = F.array_sort(trigrams(F.coalesce("text", F.lit(""))))
+    asked = queries.select(query_id, grams.alias("qg"))
+    newest = [F.desc("recency"), F.desc(candidate_id)]
+    known = candidates.select(candidate_id, "recency", grams.alias("cg"))
+    first = known.withColumn("_r", F.row_number().over(Window.partitionBy("cg").orderBy(*newest))).filter(F.col("_r") <= k).drop("_r")
+    left = asked.select("qg").distinct().withColumn("gram", F.explode("qg"))
+    right = first.select("cg").distinct().withColumn("gram", F.explode("cg"))
+    both = left.join(right, "gram").groupBy("qg", "cg").agg(F.count("*").alias("n"))
+    alike = both.select("qg", "cg", F.round(F.col("n") / (F.size("qg") + F.size("cg") - F.col("n")), 9).alias("score"))
+    met = alike.join(first, "cg").select("qg", candidate_id, "recency", "score")
+    fill = asked.select("qg").distinct().crossJoin(F.broadcast(known.orderBy(*newest).limit(k).select(candidate_id, "recency")))  # k rows
+    every = met.unionByName(fill.withColumn("score", F.lit(0.0))).groupBy("qg", candidate_id, "recency").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("qg").orderBy(F.desc("score"), *newest)
+    ranked = every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return asked.join(ranked, "qg").drop("qg")
 
 
 def lookup_with_default(rows: DataFrame, table: DataFrame, on: str, value: str, default: str, out: str) -> DataFrame:

@@ -51,20 +51,22 @@ def pooled_share(rows: DataFrame, group: str, item: str, outlet: str, event: str
     return found.agg(F.count("*").alias("groups"), F.count_if("confirms").alias("confirmed"), F.avg(F.col("confirms").cast("int")).alias("share"))
 
 
-def _pairs(rows: DataFrame, group: str, item: str, outlet: str) -> DataFrame:
-    own = rows.select(group, item, outlet).distinct()
-    other = own.select(group, F.col(item).alias("item2"), F.col(outlet).alias("outlet2"))
-    return own.join(other, group).filter((F.col(item) < F.col("item2")) & (F.col(outlet) != F.col("outlet2")))
-
-
 def pair_recall(rows: DataFrame, links: DataFrame, group: str, item: str, outlet: str) -> DataFrame:
-    """Cross-outlet pairs of a group that share an event directly, over all such pairs.  ``links``: (item, event)."""
-    pairs = _pairs(rows, group, item, outlet)
-    a = links.select(F.col("item").alias(item), "event").distinct()
-    b = links.select(F.col("item").alias("item2"), "event").distinct()
-    linked = pairs.join(a, item).join(b, ["item2", "event"]).select(group, item, "item2").distinct()
-    totals = pairs.agg(F.count("*").alias("pairs")).crossJoin(linked.agg(F.count("*").alias("linked")))
-    return totals.withColumn("recall", F.try_divide("linked", "pairs"))
+    """Cross-outlet pairs of a group that share an event directly, over all such pairs.  ``links``: (item, event).
+
+    All pairs are counted from the sizes of groups, items and outlets; only items that share an event meet.
+    """
+    own = rows.select(group, item, outlet).distinct().filter(F.col(group).isNotNull() & F.col(item).isNotNull() & F.col(outlet).isNotNull())
+    squares = lambda *keys: own.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("s"))
+    sums = squares(group).select(F.col("s").alias("every"))
+    sums = sums.crossJoin(squares(group, item).select(F.col("s").alias("same_item"))).crossJoin(squares(group, outlet).select(F.col("s").alias("same_outlet")))
+    sums = sums.crossJoin(own.agg(F.count("*").alias("rows")))  # one row each
+    pairs = sums.select(((F.col("every") - F.col("same_item") - F.col("same_outlet") + F.col("rows")) / 2).cast("long").alias("pairs"))
+    a = own.join(links.select(F.col("item").alias(item), "event").distinct(), item)
+    b = a.select(group, "event", F.col(item).alias("item2"), F.col(outlet).alias("outlet2"))
+    met = a.join(b, [group, "event"]).filter((F.col(item) < F.col("item2")) & (F.col(outlet) != F.col("outlet2")))
+    linked = met.select(group, item, "item2").distinct()
+    return pairs.crossJoin(linked.agg(F.count("*").alias("linked"))).withColumn("recall", F.try_divide("linked", "pairs"))
 
 
 def bcubed_recall(rows: DataFrame, links: DataFrame, group: str, item: str) -> DataFrame:

@@ -21,9 +21,8 @@ def top_k_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 
 def capped_sample(rows: DataFrame, used: DataFrame, order: Sequence[Column], cap: int) -> DataFrame:
-    """As many first rows as the cap leaves after what is used (``used``: one row n)."""
-    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    return ranked.crossJoin(F.broadcast(used)).filter(F.col("rank") <= cap - F.col("n")).drop("n")
+    """As many first rows as the cap leaves after what is used (``used``: one row n); each task keeps its own first rows."""
+    return rows.orderBy(*order).limit(max(0, cap - used.first()["n"]))
 
 
 def chunked(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], size: int) -> DataFrame:

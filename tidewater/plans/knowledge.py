@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewater.functions.scalars import NOISE_WORDS
 from tidewater.operators import knowledge, stats
 from tidewater.plans.catalog import query, table
 from tidewater.plans.relational import GRAMS
@@ -43,17 +44,17 @@ def j29(spark, d):
     return knowledge.claimed_since(e, [e.filter("kind = 'purchase' AND event_id % 1000 = 0"), e.filter("kind = 'view' AND event_id % 700 = 0")])
 
 
-@query("j42_daily_move", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN round((o_totalprice * 1.01 - (o_totalprice - 100000)) / (o_totalprice - 100000) * 100, 2) END AS move FROM orders WHERE o_orderkey % 10 = 0")
+@query("j42_daily_move", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN round((o_totalprice * 1.01 - (o_totalprice - 100000)) / (o_totalprice - 100000) * 100, 2) END AS move FROM orders")
 def j42(spark, d):
-    q = table(spark, d, "orders").filter("o_orderkey % 10 = 0").select("o_orderkey", (F.col("o_totalprice") - 100000).alias("open"), (F.col("o_totalprice") * 1.01).alias("close"))
+    q = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") - 100000).alias("open"), (F.col("o_totalprice") * 1.01).alias("close"))
     return knowledge.daily_move(q).select("o_orderkey", "move")
 
 
-@query("j43_market_pulse", "SELECT c, i, min(part) AS part FROM (SELECT o_orderpriority AS c, o_custkey AS i, 0 AS part FROM orders WHERE o_orderkey % 9 = 0 UNION ALL SELECT o_orderpriority, o_custkey, 1 FROM orders WHERE o_orderkey % 7 = 0) GROUP BY 1, 2")
+@query("j43_market_pulse", "SELECT c, i, min(part) AS part FROM (SELECT o_orderpriority AS c, o_custkey AS i, 0 AS part FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderpriority, o_custkey, 1 FROM orders WHERE o_orderstatus = 'F') GROUP BY 1, 2")
 def j43(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("asset_class"), F.col("o_custkey").alias("instrument"), F.lit("l").alias("label"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("asset_class"), F.col("o_custkey").alias("instrument"), F.lit("l").alias("label"), "o_orderstatus")
     moves = o.select("asset_class", "instrument").distinct().withColumn("move", F.lit(0.0))
-    got = knowledge.market_pulse(o.filter("pos % 9 = 0"), o.filter("pos % 7 = 0"), moves)
+    got = knowledge.market_pulse(o.filter("o_orderstatus = 'O'").drop("o_orderstatus"), o.filter("o_orderstatus = 'F'").drop("o_orderstatus"), moves)
     return got.select(F.col("asset_class").alias("c"), F.col("instrument").alias("i"), "part")
 
 
@@ -104,16 +105,16 @@ def g13(spark, d):
     return knowledge.canonical_decisions(rows).select("run", "item", F.array_join(F.transform("decision", lambda x: x.cast("string")), ",").alias("decision"))
 
 
-POOL = f"""WITH q AS (SELECT p_partkey AS query, p_name AS x, {GRAMS.format('p_name')} AS g, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS t, p_brand FROM part WHERE p_partkey % 60 = 0),
-  c AS (SELECT p_partkey AS candidate, p_size AS recency, {GRAMS.format('p_name')} AS g, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS t, p_brand FROM part),
-  s AS (SELECT query, candidate, recency, len(list_intersect(q.t, c.t)) / (len(q.t) + len(c.t) - len(list_intersect(q.t, c.t))) AS j, len(list_intersect(q.g, c.g)) / (len(q.g) + len(c.g) - len(list_intersect(q.g, c.g))) AS r FROM q JOIN c ON q.p_brand = c.p_brand)"""
+POOL = f"""WITH q AS (SELECT p_partkey AS query, p_name AS x, {GRAMS.format('p_name')} AS g, list_filter(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')), lambda w: w NOT IN {tuple(NOISE_WORDS)}) AS t, p_brand FROM part WHERE p_partkey % 50 = 0),
+  c AS (SELECT p_partkey AS candidate, p_size AS recency, {GRAMS.format('p_name')} AS g, list_filter(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')), lambda w: w NOT IN {tuple(NOISE_WORDS)}) AS t, p_brand FROM part),
+  s AS (SELECT query, candidate, recency, coalesce(len(list_intersect(q.t, c.t)) / nullif(len(q.t) + len(c.t) - len(list_intersect(q.t, c.t)), 0), 0) AS j, len(list_intersect(q.g, c.g)) / (len(q.g) + len(c.g) - len(list_intersect(q.g, c.g))) AS r FROM q JOIN c ON q.p_brand = c.p_brand)"""
 
 
 @query("k15_ranking_bakeoff", POOL + """ SELECT query, candidate, row_number() OVER (PARTITION BY query ORDER BY recency DESC, candidate DESC) AS recency_rank, row_number() OVER (PARTITION BY query ORDER BY j DESC, recency DESC, candidate DESC) AS token_rank,
   row_number() OVER (PARTITION BY query ORDER BY r DESC, recency DESC, candidate DESC) AS trigram_rank FROM s""")
 def k15(spark, d):
     part = table(spark, d, "part")
-    q = part.filter("p_partkey % 60 = 0").select(F.col("p_partkey").alias("query"), F.col("p_name").alias("text"), "p_brand")
+    q = part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query"), F.col("p_name").alias("text"), "p_brand")
     c = part.select(F.col("p_partkey").alias("candidate"), F.col("p_size").alias("recency"), F.col("p_name").alias("candidate_text"), "p_brand")
     got = knowledge.ranked(q.join(c, "p_brand"), "query", ["recency", "tokens", "trigrams"])
     return got.select("query", "candidate", *[F.col(f"rank_{a}").cast("long").alias(b) for a, b in (("recency", "recency_rank"), ("tokens", "token_rank"), ("trigrams", "trigram_rank"))])
@@ -123,9 +124,10 @@ def k15(spark, d):
 def l20(spark, d):
     from tidewater.operators import joins
 
-    part = table(spark, d, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("item"), F.col("p_name").alias("text"))
-    forms = part.filter("item <= 400").select(F.explode(F.split(F.lower("text"), " ")).alias("form")).distinct().withColumn("entity", F.col("form"))
-    slow = part.crossJoin(F.broadcast(forms)).filter(F.array_contains(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), F.col("form"))).select("item", "entity").distinct()
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.col("p_name").alias("text"))
+    forms = part.select(F.explode(F.split(F.lower("text"), " ")).alias("form")).distinct().withColumn("entity", F.col("form"))
+    words = part.select("item", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("form"))
+    slow = words.join(forms, "form").select("item", "entity").distinct()
     return knowledge.differing_hits(joins.dictionary_hits(part, forms), slow)
 
 
@@ -157,5 +159,5 @@ def l21(spark, d):
     rows = table(spark, d, "events").select(F.floor(F.unix_timestamp("ts") / 7200).alias("window"), F.col("event_id").alias("item"), "user_id", "ts")
     edges = graph.shared_key_edges(rows, "window", "item", "user_id")
     placed = graph.seed_star(rows.select("window", "item"), edges)
-    pairs = joins.pairs_by_key(view(spark, d, "v_items").withColumn("day", F.to_date("created_at")).filter("id % 10 = 0"), "day", "id", "kind", "created_at").select("a", "b")
+    pairs = joins.pairs_by_key(view(spark, d, "v_items").withColumn("hour", F.date_trunc("hour", "created_at")), "hour", "id", "kind", "created_at").select("a", "b")
     return knowledge.visibility(placed, pairs, "window")

@@ -238,12 +238,10 @@ def a44(spark, d):
   s AS (SELECT qid, cid, recency, round(len(list_intersect(q.g, c.g)) / (len(q.g) + len(c.g) - len(list_intersect(q.g, c.g))), 9) AS score FROM q, c),
   r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, recency DESC, cid DESC) AS rank FROM s) SELECT qid, cid, rank FROM r WHERE rank <= 30""")
 def k01(spark, d):
-    from tidewater.functions.scalars import jaccard, trigrams
-
     part = table(spark, d, "part")
-    q = part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("qid"), trigrams(F.col("p_name")).alias("qg"))
-    c = part.select(F.col("p_partkey").alias("cid"), F.col("p_size").alias("recency"), trigrams(F.col("p_name")).alias("cg"))
-    got = joins.best_by_candidates(c, q, F.round(jaccard(F.col("qg"), F.col("cg")), 9), "qid", "cid", 30)
+    q = part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("text"))
+    c = part.select(F.col("p_partkey").alias("cid"), F.col("p_size").alias("recency"), F.col("p_name").alias("text"))
+    got = joins.trigram_top_k(q, c, "qid", "cid", 30)
     return got.select("qid", "cid", F.col("rank").cast("long").alias("rank"))
 
 
@@ -258,11 +256,11 @@ def k03(spark, d):
     return topk.top_k(o, [F.desc(F.col("o_orderstatus") == "P"), F.col("o_orderpriority"), F.desc("o_orderdate"), F.col("o_orderkey")], 25).select("o_orderkey")
 
 
-@query("k04_capped_sample", "WITH u AS (SELECT count(*) AS n FROM events WHERE event_type = 'error' AND event_id < 50) SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id DESC) AS r FROM events WHERE event_type = 'view' AND event_id < 5000), u WHERE r <= 20 - n")
+@query("k04_capped_sample", "WITH u AS (SELECT count(*) AS n FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-30') SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id DESC) AS r FROM events WHERE event_type = 'view'), u WHERE r <= 2000 - n")
 def k04(spark, d):
     e = table(spark, d, "events")
-    used = e.filter("event_type = 'error' AND event_id < 50").agg(F.count("*").alias("n"))
-    return topk.capped_sample(e.filter("event_type = 'view' AND event_id < 5000"), used, [F.desc("event_id")], 20).select("event_id")
+    used = e.filter((F.col("event_type") == "error") & (F.to_date("ts") >= F.lit("2024-01-30").cast("date"))).agg(F.count("*").alias("n"))
+    return topk.capped_sample(e.filter("event_type = 'view'"), used, [F.desc("event_id")], 2000).select("event_id")
 
 
 @query("s04_newest_per_feed", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 25")
@@ -313,11 +311,11 @@ def u09(spark, d):
 
 # ---- graphs and samples
 
-EDGES = "WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey + 100000 AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2 AND a.l_orderkey % 9 = 0)"
+EDGES = "WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey AS a, b.l_suppkey + 100000 AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2)"
 
 
 def _edges(spark, d):
-    li = table(spark, d, "lineitem").filter("l_orderkey % 9 = 0")
+    li = table(spark, d, "lineitem")
     a = li.filter("l_linenumber = 1").select("l_orderkey", F.col("l_suppkey").alias("a"))
     b = li.filter("l_linenumber = 2").select("l_orderkey", (F.col("l_suppkey") + 100000).alias("b"))
     return a.join(b, "l_orderkey").select("a", "b").distinct()

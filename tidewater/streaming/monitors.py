@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -71,7 +71,28 @@ def volume_alerts(
     rows = stream.select(key, at, value)
     if stream.isStreaming:
         return rows.groupBy(key).applyInPandasWithState(on_stream, out, "samples array<double>, last double", "append", GroupStateTimeout.NoTimeout)
-    return rows.groupBy(key).applyInPandas(lambda g: pd.DataFrame(step([], float("-inf"), g)[2], columns=columns), out)
+    # A batch: means by row frames over the samples that differ from the one before; only the cooldown goes row by row.
+    in_order = Window.partitionBy(key).orderBy(at)
+    fresh = F.col(value) != F.lag(value).over(in_order)
+    rows = rows.withColumn("_new", F.when(F.coalesce(fresh, F.lit(True)), F.col(value).cast("double")))
+    rows = rows.withColumn("_seen", F.count("_new").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
+    ring = Window.partitionBy(key).orderBy("_seen").rangeBetween(-trailing, -1)
+    rows = rows.withColumn("_mean", F.avg("_new").over(ring)).withColumn("_n", F.count("_new").over(ring))
+    hits = rows.filter((F.col("_n") >= least) & (F.col(value) >= floor) & (F.col("_mean") > 0) & (F.col(value) >= spike * F.col("_mean")))
+    hits = hits.select(F.col(key), F.col(at).alias("at"), F.col(value).cast("double").alias("value"), (F.col(value) / F.col("_mean")).alias("ratio"))
+
+    def spaced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, last = None, None
+        for frame in frames:
+            keep = []
+            for own, when in zip(frame[key], frame["at"]):
+                late = own != name or (when - last).total_seconds() >= cooldown_hours * 3600
+                keep.append(late)
+                if late:
+                    name, last = own, when
+            yield frame[keep]
+
+    return hits.repartition(F.col(key)).sortWithinPartitions(key, "at", "value").mapInPandas(spaced, out)
 
 
 def alert_once(stream: DataFrame, key: str, at: str, episode: str) -> DataFrame:
