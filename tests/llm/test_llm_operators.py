@@ -553,6 +553,34 @@ PAGES = {
 }
 
 
+def test_mined_rules_against_all_token_sets(spark):
+    """An independent miner: every set of tokens of every url counted, pruned by any subset."""
+    from itertools import combinations
+
+    rng = random.Random(51)
+    rows = []
+    for _ in range(400):
+        tokens = sorted({rng.choice("abcdef") for _ in range(rng.randint(0, 5))})
+        odds = 0.9 if {"a", "b", "c"} <= set(tokens) else 0.8 if "d" in tokens else 0.3
+        rows.append((tokens, rng.random() < odds))
+    got = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.02, 0.6, 5)
+    full = [(frozenset(t), b) for t, b in rows if t]
+    least, share = max(0.02, 5 / len(full)) * len(full), sum(b for _, b in full) / len(full)
+    counts = {}
+    for tokens, bad in full:
+        for k in range(1, len(tokens) + 1):
+            for some in combinations(sorted(tokens), k):
+                counts.setdefault(some, [0, 0])[bad] += 1
+    seen = {(some, v): n[v] / sum(n) for some, n in counts.items() for v in (0, 1) if n[v] >= least}
+    want = set()
+    for (some, v), c in seen.items():
+        below = [seen.get((sub, v), 0.0) for k in range(1, len(some)) for sub in combinations(some, k)]
+        if c >= 0.6 and c > (share if v else 1 - share) and all(b < c for b in below):
+            want.add((some, "block" if v else "allow", counts[some][v], round(c, 9)))
+    assert len(want) > 5
+    assert {(tuple(r.tokens), r.verdict, r.n, round(r.confidence, 9)) for r in got.collect()} == want
+
+
 def test_main_text(spark):
     rows = [(i, "u", h) for i, h in enumerate(PAGES)] + [(90, None, None), (91, "u", "<article>" + "<p>Long text here.</p>" * 3000), (0, "twice", next(iter(PAGES)))]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")

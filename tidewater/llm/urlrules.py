@@ -108,16 +108,21 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         "n",
     )
     plain = sets.filter(~F.exists("items", is_label)).select(F.col("items").alias("tokens"), F.col("n").alias("all"))
-    rules = with_label.filter(F.size("tokens") > 0).join(plain, "tokens")
-    rules = rules.select("tokens", "verdict", "n", (F.col("n") / F.col("all")).alias("confidence"))
+    every = with_label.filter(F.size("tokens") > 0).join(plain, "tokens")
+    every = cut(every.select("tokens", "verdict", "n", (F.col("n") / F.col("all")).alias("confidence"), F.size("tokens").alias("k")))
+    # The best confidence of any subset goes up one token at a time, through sets that fail the bounds as well.
+    level = every.filter("k = 1").withColumn("below", F.lit(0.0))
+    judged = level
+    for k in range(2, (every.agg(F.max("k")).first()[0] or 1) + 1):
+        known = level.select(F.col("tokens").alias("sub"), "verdict", F.greatest("confidence", "below").alias("of_sub"))
+        own = every.filter(F.col("k") == k)
+        subs = own.select("tokens", "verdict", F.explode(F.transform("tokens", lambda t: F.array_remove(F.col("tokens"), t))).alias("sub"))
+        below = subs.join(known, ["sub", "verdict"]).groupBy("tokens", "verdict").agg(F.max("of_sub").alias("below"))
+        level = cut(own.join(below, ["tokens", "verdict"]))
+        judged = judged.unionByName(level)
     overall = F.when(F.col("verdict") == "block", counts.get(True, 0) / total).otherwise(counts.get(False, 0) / total)
-    rules = rules.filter((F.col("confidence") >= min_confidence) & (F.col("confidence") > overall))
-    # Redundant: the same verdict follows from fewer tokens with no less confidence.
-    smaller = F.explode(F.transform(F.col("tokens"), lambda t: F.array_remove(F.col("tokens"), t)))
-    subsets = rules.select("tokens", "verdict", "confidence", smaller.alias("sub"))
-    known = rules.select(F.col("tokens").alias("sub"), "verdict", F.col("confidence").alias("of_sub"))
-    redundant = subsets.join(known, ["sub", "verdict"]).filter(F.col("of_sub") >= F.col("confidence"))
-    return rules.join(redundant.select("tokens", "verdict").distinct(), ["tokens", "verdict"], "left_anti")
+    kept = judged.filter((F.col("confidence") >= min_confidence) & (F.col("confidence") > overall) & (F.col("below") < F.col("confidence")))
+    return kept.select("tokens", "verdict", "n", "confidence")
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
