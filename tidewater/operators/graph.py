@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Write to the checkpoint folder, so the loop's plan stays short and survives lost executors."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where and not sc.master.startswith("local[") and sc.master != "local":
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, a temporary one in local mode, else an error."""
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(where or f"file://{tempfile.mkdtemp(prefix='tidewater-')}")
+        where = f"file://{tempfile.mkdtemp(prefix='tidewater-')}"
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write to the checkpoint folder, so the loop's plan stays short and survives lost executors."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -27,14 +35,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     ignored.  An empty edge table gives no rows.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    both = _cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _cut(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("label")).withColumnRenamed("a", "id"))
+    both = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("label")).withColumnRenamed("a", "id"))
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", "label", F.least("label", "near").alias("next"))
-        step = _cut(step)
+        step = cut(step)
         jump = step.select(F.col("id").alias("next"), F.col("next").alias("over"))
-        moved = _cut(step.join(jump, "next").select("id", "label", F.least("next", "over").alias("new")))
+        moved = cut(step.join(jump, "next").select("id", "label", F.least("next", "over").alias("new")))
         if not moved.filter("new <> label").limit(1).count():
             return labels.withColumnRenamed("label", "component")
         labels = moved.select("id", F.col("new").alias("label"))
@@ -54,44 +62,114 @@ def shared_key_edges(rows: DataFrame, window: str, item: str, key: str) -> DataF
     return a.join(b, [window, key]).filter("a < b").select(window, "a", "b", F.lit(0.0).alias("weight")).distinct()
 
 
-def _greedy(edges: DataFrame, items: DataFrame, window: str, cap: int, transitive: bool) -> DataFrame:
-    """Sequential by nature: one group is one window's items and edges."""
+#: Edge rows of a component (or of several small ones) that one task clusters by itself.
+MOST_EDGE_ROWS = 200_000
+
+
+def _sequential(edges: DataFrame, bucket: Column, window: str, cap: int, transitive: bool) -> DataFrame:
+    """The rule as it is told, item by item, over whole components: rows of edges (window, a, b, weight) both ways."""
     import pandas as pd
 
-    rows = items.select(window, F.col("item").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("weight"))
-    both = rows.unionByName(edges.select(window, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("weight").cast("double").alias("weight")))
+    kind = edges.schema[window].dataType.simpleString()
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(group[group["b"].isna()]["a"].astype(int), reverse=True)
-        near: dict[int, list[tuple[float, int]]] = {}
-        for a, b, w in group[group["b"].notna()][["a", "b", "weight"]].itertuples(index=False):
-            near.setdefault(int(a), []).append((-w, -int(b)))
-            near.setdefault(int(b), []).append((-w, -int(a)))
-        of: dict[int, int] = {}
-        for seed in ids:
-            if seed in of:
-                continue
-            of[seed], size, waiting = seed, 1, [seed]
-            while waiting and size < cap:
-                for _, other in sorted(near.get(waiting.pop(0), [])):
-                    if size < cap and -other not in of:
-                        of[-other], size = seed, size + 1
-                        if transitive:
-                            waiting.append(-other)
-        return pd.DataFrame({window: [group[window].iloc[0]] * len(of), "item": list(of), "cluster": list(of.values())})
-
-    kind = items.schema[window].dataType.simpleString()
-    return both.groupBy(window).applyInPandas(cluster, f"`{window}` {kind}, item long, cluster long")
-
-
-def seed_star(items: DataFrame, edges: DataFrame, window: str = "window", cap: int = 8) -> DataFrame:
-    """The newest free item takes its free direct neighbours, strongest first, up to the cap."""
-    return _greedy(edges, items, window, cap, False)
-
-
-def capped_bfs(items: DataFrame, edges: DataFrame, window: str = "window", cap: int = 8) -> DataFrame:
-    """Like seed_star, but neighbours of neighbours follow."""
-    return _greedy(edges, items, window, cap, True)
+        out: list[tuple] = []
+        for name, own in group.groupby(window, dropna=False, sort=False):
+            near: dict[int, list[tuple[float, int]]] = {}
+            for a, b, w in zip(own["a"].tolist(), own["b"].tolist(), own["weight"].tolist()):
+                near.setdefault(a, []).append((-w, -b))
+            of: dict[int, int] = {}
+            for seed in sorted(near, reverse=True):
+                if seed in of:
+                    continue
+                of[seed], size, waiting = seed, 1, [seed]
+                for node in waiting:
+                    for _, other in sorted(near[node]):
+                        if size < cap and -other not in of:
+                            of[-other], size = seed, size + 1
+                            if transitive:
+                                waiting.append(-other)
+                    if size >= cap:
+                        break
+            out += [(name, a, c) for a, c in of.items()]
+        return pd.DataFrame(out, columns=[window, "item", "cluster"])
+
+    return edges.select(bucket.alias("_bucket"), window, "a", "b", "weight").groupBy("_bucket").applyInPandas(lambda g: cluster(g), f"`{window}` {kind}, item long, cluster long")
+
+
+def _ready_seeds(edges: DataFrame, window: str, hops: int) -> DataFrame:
+    """(window, seed): items newer than all others within so many hops; what they take doesn't depend on the rest."""
+    best = edges.select(window, "a").distinct().withColumn("m", F.col("a"))
+    for _ in range(hops):
+        near = edges.join(best.select(window, F.col("a").alias("b"), "m"), [window, "b"]).groupBy(window, "a").agg(F.max("m").alias("_n"))
+        best = cut(best.join(near, [window, "a"], "left").select(window, "a", F.greatest("m", F.coalesce("_n", "m")).alias("m")))
+    return best.filter("a = m").select(window, F.col("a").alias("seed"))
+
+
+def _taken_by(seeds: DataFrame, edges: DataFrame, window: str, cap: int, levels: int) -> DataFrame:
+    """(window, item, seed): what each seed takes, level by level, in the rule's order; no two seeds reach one item."""
+    taken = cut(seeds.select(window, F.col("seed").alias("item"), "seed", F.lit(0).alias("place")))
+    front = taken
+    for _ in range(levels):
+        met = front.withColumnRenamed("item", "a").join(edges, [window, "a"]).groupBy(window, "seed", F.col("b").alias("item")).agg(F.min(F.struct("place", -F.col("weight"), -F.col("b"))).alias("_o"))
+        met = met.join(taken.select(window, "seed", "item"), [window, "seed", "item"], "left_anti")
+        sizes = taken.groupBy(window, "seed").agg(F.count("*").alias("_size"), F.max("place").alias("_last"))
+        rank = F.row_number().over(Window.partitionBy(window, "seed").orderBy("_o"))
+        new = met.withColumn("_r", rank).filter(F.col("_r") < cap).join(sizes, [window, "seed"]).filter(F.col("_size") + F.col("_r") <= cap)
+        front = cut(new.select(window, "item", "seed", (F.col("_last") + F.col("_r")).cast("int").alias("place")))
+        if front.isEmpty():
+            break
+        taken = cut(taken.unionByName(front))
+    return taken.select(window, "item", F.col("seed").alias("cluster"))
+
+
+def _greedy(edges: DataFrame, items: DataFrame, window: str, cap: int, transitive: bool, most: int) -> DataFrame:
+    """Clusters never leave a component, so components are clustered apart from each other.
+
+    Small ones go to tasks by themselves.  Of those with over ``most`` edge rows, a round lets
+    every item decide that is newer than all within twice a cluster's reach: the sequential
+    rule would have given it the same.  Rounds go on until what is left is small.
+    """
+    spark = items.sparkSession
+    own = edges.select(window, F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("weight").cast("double").alias("weight")).filter("a <> b")
+    both = cut(own.unionByName(own.select(window, F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy(window, "a", "b").agg(F.max("weight").alias("weight")))
+    vertex = lambda c: F.struct(F.col(window).alias("w"), F.col(c).alias("i"))
+    found = connected_components(both.select(vertex("a").alias("src"), vertex("b").alias("dst")))
+    placed = both.join(found.select(F.col("id.w").alias(window), F.col("id.i").alias("a"), F.col("component.i").alias("component")), [window, "a"])
+    sizes = placed.groupBy(window, "component").agg(F.count("*").alias("_n"))
+    large = cut(sizes.filter(F.col("_n") > most).select(window, "component"))
+    small = placed.join(large, [window, "component"], "left_anti")
+    rows = sizes.agg(F.sum("_n")).first()[0] or 0
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // most))
+    done = [_sequential(small, F.pmod(F.xxhash64(window, "component"), F.lit(buckets)), window, cap, transitive)]
+    left = cut(placed.join(large, [window, "component"], "left_semi").select(window, "a", "b", "weight"))
+    levels = cap - 1 if transitive else 1
+    while left.count() > most:
+        took = cut(_taken_by(_ready_seeds(left, window, 2 * levels), left, window, cap, levels))
+        done.append(took)
+        gone = took.select(window, F.col("item").alias("a"))
+        left = cut(left.join(gone, [window, "a"], "left_anti").join(gone.withColumnRenamed("a", "b"), [window, "b"], "left_anti"))
+    done.append(_sequential(left, F.lit(0), window, cap, transitive))
+    clustered = done[0]
+    for more in done[1:]:
+        clustered = clustered.unionByName(more)
+    clustered = cut(clustered)
+    alone = items.select(window, F.col("item").cast("long").alias("item")).distinct().join(clustered.select(window, "item"), [window, "item"], "left_anti")
+    return clustered.unionByName(alone.withColumn("cluster", F.col("item")))
+
+
+def seed_star(items: DataFrame, edges: DataFrame, window: str = "window", cap: int = 8, most: int = MOST_EDGE_ROWS) -> DataFrame:
+    """(window, item, cluster): the newest free item takes its free direct neighbours, strongest first, up to the cap.
+
+    ``edges`` (window, a, b, weight) join items of a window; of several for a pair the
+    strongest counts, of equally strong ones the newest item comes first.
+    """
+    return _greedy(edges, items, window, cap, False, most)
+
+
+def capped_bfs(items: DataFrame, edges: DataFrame, window: str = "window", cap: int = 8, most: int = MOST_EDGE_ROWS) -> DataFrame:
+    """Like seed_star, but neighbours of neighbours follow, breadth first."""
+    return _greedy(edges, items, window, cap, True, most)
 
 
 def visible(pairs: DataFrame, placed: DataFrame, window: str, request: str, same_request: bool) -> DataFrame:

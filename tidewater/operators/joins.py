@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.scalars import trigrams
+from tidewater.operators.graph import cut
 
 
 def pairs_by_key(rows: DataFrame, key: str, item: str, outlet: str, at: str, max_gap_seconds: float | None = None) -> DataFrame:
@@ -105,25 +106,62 @@ def similar_pairs(rows: DataFrame, item: str, text: str, threshold: float) -> Da
     return scored.select(F.col("id").alias("a"), F.col("id2").alias("b"), "similarity").distinct()
 
 
+#: Similarities that a top-k search asks for in turn; a query leaves when it has k candidates so similar.
+TOP_K_STEPS = (0.3, 0.0)
+
+
+def _prefix(sets: DataFrame, grams: str, ranks: DataFrame, threshold: float) -> DataFrame:
+    """Rows (grams, gram): the rarest trigrams, as many as two sets so similar must share one of."""
+    each = sets.select(grams, F.explode(grams).alias("gram")).join(ranks, "gram")
+    keep = F.size(grams) - F.ceil(F.lit(threshold) * F.size(grams)) + 1
+    place = F.row_number().over(Window.partitionBy(grams).orderBy("df", "gram"))
+    return each.withColumn("_r", place).filter(F.col("_r") <= keep).select(grams, "gram")
+
+
 def trigram_top_k(queries: DataFrame, candidates: DataFrame, query_id: str, candidate_id: str, k: int) -> DataFrame:
     """Each query's k best candidates by (trigram similarity of ``text``, ``recency``, id), a total order.
 
     Equal texts are scored once, and only the k newest candidates of a text can be among the
-    best.  Texts meet on their trigrams; a query with fewer than k alike is filled up with the
-    newest of the others, of which the k newest candidates of all are enough.  Null text has
-    no trigrams and a similarity of 0.
+    best.  The search asks for high similarities first: sets so similar share one of their
+    rarest trigrams and have like sizes, so common trigrams seldom meet.  A query that has k
+    candidates at a step is done, for all others are less similar; only the rest go on to the
+    next step, the last of which lets all trigrams meet.  A query with fewer than k alike is
+    filled up with the newest of the others, of which the k newest candidates of all are
+    enough.  Null text has no trigrams and a similarity of 0.
     """
     grams = F.array_sort(trigrams(F.coalesce("text", F.lit(""))))
     asked = queries.select(query_id, grams.alias("qg"))
     newest = [F.desc("recency"), F.desc(candidate_id)]
     known = candidates.select(candidate_id, "recency", grams.alias("cg"))
-    first = known.withColumn("_r", F.row_number().over(Window.partitionBy("cg").orderBy(*newest))).filter(F.col("_r") <= k).drop("_r")
-    left = asked.select("qg").distinct().withColumn("gram", F.explode("qg"))
-    right = first.select("cg").distinct().withColumn("gram", F.explode("cg"))
-    both = left.join(right, "gram").groupBy("qg", "cg").agg(F.count("*").alias("n"))
-    alike = both.select("qg", "cg", F.round(F.col("n") / (F.size("qg") + F.size("cg") - F.col("n")), 9).alias("score"))
+    first = cut(known.withColumn("_r", F.row_number().over(Window.partitionBy("cg").orderBy(*newest))).filter(F.col("_r") <= k).drop("_r"))
+    sets = cut(first.groupBy("cg").agg(F.count("*").alias("copies")))
+    ranks = sets.select(F.explode("cg").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    # A trigram that no candidate has is the rarest of all, and meets nobody.
+    wanted = asked.select("qg").distinct()
+    every = wanted.select(F.explode("qg").alias("gram")).distinct().join(ranks, "gram", "left").select("gram", F.coalesce("df", F.lit(0)).alias("df"))
+    ranks = cut(ranks.unionByName(every).groupBy("gram").agg(F.max("df").alias("df")))
+    left, found = cut(wanted), []
+    for step in TOP_K_STEPS:
+        q, c = _prefix(left, "qg", ranks, step), _prefix(sets, "cg", ranks, step)
+        n, m = F.size("qg"), F.size("cg")
+        pairs = q.join(c, "gram").filter((F.least(n, m) >= step * F.greatest(n, m))).select("qg", "cg").distinct()
+        shared = F.size(F.array_intersect("qg", "cg"))
+        exact = shared / (n + m - shared)
+        scored = pairs.withColumn("_s", exact).filter(F.col("_s") >= step).select("qg", "cg", F.round("_s", 9).alias("score"))
+        scored = cut(scored.join(sets, "cg"))
+        full = scored.groupBy("qg").agg(F.sum("copies").alias("_n")).filter(F.col("_n") >= k).select("qg")
+        last = step == TOP_K_STEPS[-1]
+        found.append(scored.drop("copies") if last else scored.join(full, "qg", "left_semi").drop("copies"))
+        if last:
+            break
+        left = cut(left.join(full, "qg", "left_anti"))
+        if left.isEmpty():
+            break
+    alike = found[0]
+    for more in found[1:]:
+        alike = alike.unionByName(more)
     met = alike.join(first, "cg").select("qg", candidate_id, "recency", "score")
-    fill = asked.select("qg").distinct().crossJoin(F.broadcast(known.orderBy(*newest).limit(k).select(candidate_id, "recency")))  # k rows
+    fill = wanted.crossJoin(F.broadcast(known.orderBy(*newest).limit(k).select(candidate_id, "recency")))  # k rows
     every = met.unionByName(fill.withColumn("score", F.lit(0.0))).groupBy("qg", candidate_id, "recency").agg(F.max("score").alias("score"))
     best = Window.partitionBy("qg").orderBy(F.desc("score"), *newest)
     ranked = every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import predicates, scalars
+from tidewater.operators import windows
 
 #: What an extraction response looks like, for from_json.
 EXTRACTION = """array<struct<item_id: bigint, entities: array<struct<candidate_id: string, name: string, type: string, aliases: array<string>>>,
@@ -182,26 +183,89 @@ def differing_hits(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("differ"))
 
 
-#: Rankings by name; a ranking is a list of order columns over candidate rows.  Others may be added.
-RANKERS: dict[str, Callable[[], list[Column]]] = {
-    "recency": lambda: [F.desc("recency"), F.desc("candidate")],
-    "overlap": lambda: [F.desc(F.size(F.array_intersect("entities", "candidate_entities"))), F.desc("recency"), F.desc("candidate")],
-    "tokens": lambda: [F.desc(scalars.jaccard(scalars.tokens(F.col("text")), scalars.tokens(F.col("candidate_text")))), F.desc("recency"), F.desc("candidate")],
-    "trigrams": lambda: [F.desc(scalars.trigram_similarity(F.col("text"), F.col("candidate_text"))), F.desc("recency"), F.desc("candidate")],
-}
+#: Rankings by name.  One takes candidate rows and the query's column and returns (query, candidate, rank).
+RANKERS: dict[str, Callable[[DataFrame, str], DataFrame]] = {}
 
 
-def ranked(candidates: DataFrame, query: str, rankers: Sequence[str] = tuple(RANKERS)) -> DataFrame:
-    """Add a rank column for each ranking of a query's candidates."""
+def ranker(name: str) -> Callable[[Callable[[DataFrame, str], DataFrame]], Callable[[DataFrame, str], DataFrame]]:
+    """Register a ranking under a name; a name is given once."""
+
+    def register(rank: Callable[[DataFrame, str], DataFrame]) -> Callable[[DataFrame, str], DataFrame]:
+        if name in RANKERS:
+            raise ValueError(f"there is a ranking {name!r} already")
+        RANKERS[name] = rank
+        return rank
+
+    return register
+
+
+def by_columns(*order: Callable[[], Column]) -> Callable[[DataFrame, str], DataFrame]:
+    """A ranking by order columns, with recency and id behind them."""
+
+    def rank(candidates: DataFrame, query: str) -> DataFrame:
+        last = [o() for o in order] + [F.desc("recency"), F.desc("candidate")]
+        return candidates.select(query, "candidate", F.row_number().over(Window.partitionBy(query).orderBy(*last)).alias("rank"))
+
+    return rank
+
+
+# K05-K08.
+ranker("recency")(by_columns())
+ranker("overlap")(by_columns(lambda: F.desc(F.size(F.array_intersect("entities", "candidate_entities")))))
+ranker("tokens")(by_columns(lambda: F.desc(scalars.jaccard(scalars.tokens(F.col("text")), scalars.tokens(F.col("candidate_text"))))))
+ranker("trigrams")(by_columns(lambda: F.desc(scalars.trigram_similarity(F.col("text"), F.col("candidate_text")))))
+
+
+@ranker("hybrid")
+def rank_hybrid(candidates: DataFrame, query: str) -> DataFrame:
+    """Reciprocal ranks of recency and tokens, added up: not a sort of one column, so a ranking of its own."""
+    both = [RANKERS[n](candidates, query).withColumn("s", 1.0 / (60 + F.col("rank"))).drop("rank") for n in ("recency", "tokens")]
+    score = both[0].unionByName(both[1]).groupBy(query, "candidate").agg(F.round(F.sum("s"), 12).alias("s"))
+    return score.select(query, "candidate", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("s"), F.desc("candidate"))).alias("rank"))
+
+
+def bake_off(candidates: DataFrame, query: str, rankers: Sequence[str], truth: DataFrame | None = None, most: int = 30) -> DataFrame:
+    """(ranker, query, candidate, rank) of each ranking's best, all over one candidate set in one plan.
+
+    With ``truth`` (query, candidate), instead (ranker, queries, found, share): how many
+    queries have a true candidate among their best.
+    """
+    rows = None
+    for name in rankers:
+        one = RANKERS[name](candidates, query).filter(F.col("rank") <= most).select(F.lit(name).alias("ranker"), query, "candidate", F.col("rank").cast("long").alias("rank"))
+        rows = one if rows is None else rows.unionByName(one)
+    if truth is None:
+        return rows
+    asked = truth.select(query).distinct()
+    hits = rows.join(truth.select(query, "candidate").distinct(), [query, "candidate"], "left_semi").select("ranker", query).distinct()
+    counts = hits.groupBy("ranker").agg(F.count("*").alias("found"))
+    names = asked.agg(F.count("*").alias("queries")).withColumn("ranker", F.explode(F.array(*[F.lit(n) for n in rankers])))
+    return names.join(counts, "ranker", "left").select("ranker", "queries", F.coalesce("found", F.lit(0)).alias("found"), F.try_divide(F.coalesce("found", F.lit(0)), F.col("queries")).alias("share"))
+
+
+def ranked(candidates: DataFrame, query: str, rankers: Sequence[str] = ("recency", "overlap", "tokens", "trigrams")) -> DataFrame:
+    """Add a rank column for each ranking of a query's candidates (one row each)."""
     for name in rankers:
-        candidates = candidates.withColumn(f"rank_{name}", F.row_number().over(Window.partitionBy(query).orderBy(*RANKERS[name]())))
+        own = RANKERS[name](candidates, query).withColumnRenamed("rank", f"rank_{name}")
+        candidates = candidates.join(own, [query, "candidate"])
     return candidates
 
 
-def batch_scores(pool: DataFrame, batch: DataFrame, score: Column) -> DataFrame:
-    """Each candidate's best score over the batch's titles, ranked with recency and id behind it."""
-    best = pool.crossJoin(F.broadcast(batch)).withColumn("s", score).groupBy("candidate", "recency").agg(F.max("s").alias("score"))
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("recency"), F.desc("candidate"))))
+def batch_scores(pool: DataFrame, batch: DataFrame, marks: Callable[[Column], Column]) -> DataFrame:
+    """(candidate, recency, score, rank): each candidate's best Jaccard similarity to a title of the batch.
+
+    ``pool`` has candidate, recency and text (several texts of a candidate: several rows),
+    ``batch`` text; ``marks`` gives a text's set of tokens (K11) or trigrams (K12).  Distinct
+    sets meet on their marks, so only texts that share one are compared; the others score 0.
+    Ties go by recency, then id, over the whole pool.
+    """
+    own = pool.select("candidate", "recency", F.array_sort(marks(F.coalesce("text", F.lit("")))).alias("cm"))
+    left = own.select("cm").distinct().withColumn("mark", F.explode("cm"))
+    right = batch.select(F.array_sort(marks(F.coalesce("text", F.lit("")))).alias("bm")).distinct().withColumn("mark", F.explode("bm"))
+    shared = left.join(right, "mark").groupBy("cm", "bm").agg(F.count("*").alias("n"))
+    best = shared.groupBy("cm").agg(F.max(F.round(F.col("n") / (F.size("cm") + F.size("bm") - F.col("n")), 9)).alias("s"))
+    scored = own.join(best, "cm", "left").groupBy("candidate", "recency").agg(F.coalesce(F.max("s"), F.lit(0.0)).alias("score"))
+    return windows.global_rank(scored, [F.desc("score"), F.desc("recency"), F.desc("candidate")])
 
 
 def trend(points: DataFrame, key: str, at: str, value: str) -> DataFrame:

@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 from tidewater.functions import predicates, scalars
 
 
+def _total(columns: Sequence[str], order: Sequence[str]) -> Column:
+    """``order``, with all other columns behind it: rows that still tie are equal."""
+    return F.struct(*order, *[c for c in columns if c not in order])
+
+
 def insert_if_absent(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The rows to append: the first of each key that the target lacks."""
+    """The rows to append: the first of each key that the target lacks."""
     rest = [c for c in rows.columns if c not in keys]
-    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), _total(rest, order)).alias("_r"))
     fresh = first.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
     return fresh.join(target.select(*keys).distinct(), list(keys), "left_anti")
 
@@ -26,21 +31,21 @@ def insert_if_absent(target: DataFrame, rows: DataFrame, keys: Sequence[str], or
 def upsert_seen(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, first_seen, last_seen, position): the first sighting stays, the last one and its position win."""
     both = target.unionByName(rows)
-    return both.groupBy(*keys).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max_by("position", "last_seen").alias("position"))
+    return both.groupBy(*keys).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max_by("position", F.struct("last_seen", "position")).alias("position"))
 
 
 def upsert_latest(target: DataFrame, rows: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
     """The row with the largest version of each key."""
     both = target.unionByName(rows)
     rest = [c for c in both.columns if c not in keys]
-    last = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("_r"))
+    last = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), _total(rest, [version])).alias("_r"))
     return last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def upsert_verdicts(target: DataFrame, rows: DataFrame, key: str, verdict: str, seq: str) -> DataFrame:
     """The latest verdict, and attempts counted over all."""
     both = target.select(key, verdict, seq, "attempts").unionByName(rows.select(key, verdict, seq).withColumn("attempts", F.lit(1)))
-    return both.groupBy(key).agg(F.max_by(verdict, seq).alias(verdict), F.max(seq).alias(seq), F.sum("attempts").alias("attempts"))
+    return both.groupBy(key).agg(F.max_by(verdict, F.struct(seq, verdict)).alias(verdict), F.max(seq).alias(seq), F.sum("attempts").alias("attempts"))
 
 
 def upsert_sparse(target: DataFrame, rows: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
@@ -234,7 +239,11 @@ def pass_liveness(runs: DataFrame, now: Column, interval_minutes: int, tolerance
     return rows.select(F.coalesce(late, F.lit(True)).alias("stale"), (older > 0).alias("crashed"))
 
 
-def alert_once(rows: DataFrame, key: str, at: str, episode: str) -> DataFrame:
-    """Rows whose episode isn't null and differs from the one before; a null episode clears it."""
-    before = F.lag(episode).over(Window.partitionBy(key).orderBy(at))
+def alert_once(rows: DataFrame, key: str, at: str, episode: str, idle_hours: float | None = None) -> DataFrame:
+    """Rows whose episode isn't null and differs from the one before; a null episode clears it, and so does a silence of over ``idle_hours``."""
+    order = Window.partitionBy(key).orderBy(at)
+    before = F.lag(episode).over(order)
+    if idle_hours is not None:
+        silent = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(order).cast("timestamp")) > int(idle_hours * 3_600_000_000)
+        before = F.when(~F.coalesce(silent, F.lit(False)), before)
     return rows.withColumn("_b", before).filter(F.col(episode).isNotNull() & ~F.col(episode).eqNullSafe(F.col("_b"))).drop("_b")

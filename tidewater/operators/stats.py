@@ -62,11 +62,57 @@ def pair_recall(rows: DataFrame, links: DataFrame, group: str, item: str, outlet
     sums = sums.crossJoin(squares(group, item).select(F.col("s").alias("same_item"))).crossJoin(squares(group, outlet).select(F.col("s").alias("same_outlet")))
     sums = sums.crossJoin(own.agg(F.count("*").alias("rows")))  # one row each
     pairs = sums.select(((F.col("every") - F.col("same_item") - F.col("same_outlet") + F.col("rows")) / 2).cast("long").alias("pairs"))
-    a = own.join(links.select(F.col("item").alias(item), "event").distinct(), item)
-    b = a.select(group, "event", F.col(item).alias("item2"), F.col(outlet).alias("outlet2"))
-    met = a.join(b, [group, "event"]).filter((F.col(item) < F.col("item2")) & (F.col(outlet) != F.col("outlet2")))
-    linked = met.select(group, item, "item2").distinct()
-    return pairs.crossJoin(linked.agg(F.count("*").alias("linked"))).withColumn("recall", F.try_divide("linked", "pairs"))
+    linked = _linked_pairs(own, links.select("item", "event").distinct(), group, item, outlet)
+    return pairs.crossJoin(linked).withColumn("recall", F.try_divide("linked", "pairs"))  # one row each
+
+
+#: An event of more items is hot: its pairs are counted from classes of items, never written as rows.
+HOT_EVENT_ITEMS = 200
+#: An item of more groups meets its partner's groups by a join; fewer travel as an array.
+MANY_GROUPS = 1000
+
+
+def _linked_pairs(own: DataFrame, links: DataFrame, group: str, item: str, outlet: str) -> DataFrame:
+    """One row, ``linked``: pairs of items of a group and of different outlets there that share an event.
+
+    Pairs that share an event of few items are written once and looked up in the groups of
+    both.  Pairs that share a hot event are counted by classes: items of a group with the
+    same hot events and the same outlet are one class with a count.
+    """
+    # An item with several outlets in a group differs from any other there: its outlet is null.
+    one = F.when(F.min(outlet) == F.max(outlet), F.min(outlet))
+    rows = own.groupBy(F.col(group).alias("g"), F.col(item).alias("item")).agg(one.alias("o"))
+    sizes = links.groupBy("event").agg(F.count("*").alias("_n"))
+    hot = sizes.filter(F.col("_n") > HOT_EVENT_ITEMS).select("event")
+    hot_of = links.join(hot, "event").groupBy("item").agg(F.array_sort(F.collect_set("event")).alias("hot"))
+    cold = links.join(hot, "event", "left_anti")
+    a, b = cold.select("event", F.col("item").alias("i")), cold.select("event", F.col("item").alias("j"))
+    met = a.join(b, "event").filter("i < j").select("i", "j").distinct()
+    both_hot = F.arrays_overlap(F.coalesce("hot_i", F.array()), F.coalesce("hot_j", F.array()))
+    met = met.join(hot_of.select(F.col("item").alias("i"), F.col("hot").alias("hot_i")), "i", "left").join(hot_of.select(F.col("item").alias("j"), F.col("hot").alias("hot_j")), "j", "left").filter(~both_hot).select("i", "j")
+    degrees = rows.groupBy("item").agg(F.count("*").alias("d"))
+    few = rows.join(degrees.filter(F.col("d") <= MANY_GROUPS), "item").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("g", "o"))).alias("s"))
+    few = few.select("item", F.col("s.g").alias("gs"), F.col("s.o").alias("os"))
+    side = lambda x: few.select(F.col("item").alias(x), F.col("gs").alias(f"g{x}"), F.col("os").alias(f"o{x}"))
+    light = met.join(side("i"), "i").join(side("j"), "j")
+    at = lambda x, g: F.element_at(f"o{x}", F.array_position(f"g{x}", g).cast("int"))
+    apart = F.filter(F.array_intersect("gi", "gj"), lambda g: F.coalesce(at("i", g) != at("j", g), F.lit(True)))
+    n_light = light.agg(F.coalesce(F.sum(F.size(apart)), F.lit(0)).cast("long").alias("light"))
+    # The item with fewer groups names them; the other has to be in them.
+    both = met.join(degrees.select(F.col("item").alias("i"), F.col("d").alias("di")), "i").join(degrees.select(F.col("item").alias("j"), F.col("d").alias("dj")), "j").filter(F.greatest("di", "dj") > MANY_GROUPS)
+    both = both.select(F.when(F.col("di") <= F.col("dj"), F.col("i")).otherwise(F.col("j")).alias("item"), F.when(F.col("di") <= F.col("dj"), F.col("j")).otherwise(F.col("i")).alias("other"))
+    heavy = both.join(rows, "item").join(rows.select("g", F.col("item").alias("other"), F.col("o").alias("o2")), ["g", "other"])
+    n_heavy = heavy.agg(F.count_if(F.coalesce(F.col("o") != F.col("o2"), F.lit(True))).alias("heavy"))
+    classes = rows.join(hot_of, "item").groupBy("g", "hot", "o").agg(F.count("*").alias("n"))
+    left = classes.withColumn("event", F.explode("hot"))
+    right = left.select("g", "event", F.col("hot").alias("hot2"), F.col("o").alias("o2"), F.col("n").alias("n2"))
+    pairs = left.join(right, ["g", "event"]).groupBy("g", "hot", "o", "n", "hot2", "o2", "n2").agg(F.lit(1).alias("_x"))
+    same = (F.col("hot") == F.col("hot2")) & F.col("o").eqNullSafe(F.col("o2"))
+    differ = F.coalesce(F.col("o") != F.col("o2"), F.lit(True))
+    # Ordered pairs of classes count each pair of items twice.
+    met_twice = F.when(same, F.when(F.col("o").isNull(), F.col("n") * (F.col("n") - 1)).otherwise(0)).when(differ, F.col("n") * F.col("n2")).otherwise(0)
+    n_hot = pairs.agg((F.coalesce(F.sum(met_twice), F.lit(0)) / 2).cast("long").alias("hot"))
+    return n_light.crossJoin(n_heavy).crossJoin(n_hot).select((F.col("light") + F.col("heavy") + F.col("hot")).alias("linked"))  # one row each
 
 
 def bcubed_recall(rows: DataFrame, links: DataFrame, group: str, item: str) -> DataFrame:

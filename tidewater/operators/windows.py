@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.graph import cut
+
 
 def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Each key's last row by ``order``; by aggregation, so hot keys are combined before the shuffle."""
@@ -139,3 +141,18 @@ def temporal_split(rows: DataFrame, keys: Sequence[str], order: Sequence[str], s
     at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     n = F.count("*").over(Window.partitionBy(*keys))
     return rows.withColumn("part", F.when(at <= F.floor(n * share), "discovery").otherwise("holdout"))
+
+
+def global_rank(rows: DataFrame, order: Sequence[Column], out: str = "rank") -> DataFrame:
+    """Add ``out``: a row's place (from 1) among all rows by ``order``, without a window over all of them.
+
+    Rows are sorted over range partitions; a partition's places start where those of the
+    partitions before it end.  What is summed up over all is one row for each partition.
+    """
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    skips = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
+    place = F.col("_at") - F.shiftleft("_part", 33) + F.col("_skip") + 1
+    return placed.withColumn("_part", part).join(F.broadcast(skips), "_part").withColumn(out, place).drop("_part", "_skip", "_at")
