@@ -159,14 +159,18 @@ def test_conversation_trie_of_little(spark):
     assert got == brute_trie(rows) and len(got) == 1 and got[0][5] == 1
 
 
-def test_long_id_lists_and_places(spark):
-    rows = spark.range(3000).select((F.col("id") % 2).alias("path"), (3 * F.col("id") - 4000).alias("conv"))
-    got = {r.path: r.sha256 for r in conversationtrie.id_list_sha256(rows, "path", "conv").collect()}
-    for p in (0, 1):
-        ids = ",".join(str(3 * k - 4000) for k in range(p, 3000, 2))
-        assert got[p] == hashlib.sha256(ids.encode()).hexdigest()
-    placed = conversationtrie.numbered(spark.range(2000).select(F.lit(1).alias("key"), "id"), ["key"], [F.col("id").desc()])
-    assert all(r.pos == 1999 - r.id for r in placed.collect())
+def test_long_id_lists_and_places(spark, monkeypatch):
+    rows = spark.range(3000).select((F.col("id") % 2).alias("path"), (3 * F.col("id") - 4000).alias("conv"), F.lit(1500).alias("n"))
+    for block in (4096, 64):
+        monkeypatch.setattr(conversationtrie, "ID_BLOCK", block)
+        got = {r.path: r.sha256 for r in conversationtrie.id_list_sha256(rows, "path", "conv").collect()}
+        for p in (0, 1):
+            ids = ",".join(str(3 * k - 4000) for k in range(p, 3000, 2))
+            assert got[p] == hashlib.sha256(ids.encode()).hexdigest()
+    keyed = spark.range(2000).select(F.when(F.col("id") < 1900, 1).otherwise(2).alias("key"), "id")
+    for most in (100_000, 500):
+        placed = conversationtrie.numbered(keyed, "key", [F.col("id").desc()], most)
+        assert all(r.pos == (1899 if r.key == 1 else 1999) - r.id for r in placed.collect())
 
 
 @pytest.fixture(scope="module")

@@ -21,29 +21,34 @@ from tidewater.llm.common import cut, shuffle_parts, text_of
 
 #: Rows (turns) of paths with one first turn that a task takes, whatever the number of tasks.
 MOST_GROUP_ROWS = 100_000
-#: Groups of fewer rows are never dealt again.
-LEAST_GROUP_ROWS = 256
-#: Ids in one block of a list that is hashed in order.
-ID_BLOCK = 512
+#: Groups of fewer rows (some 100 KB) are never dealt again: a round of shuffles costs far more than they do.
+LEAST_GROUP_ROWS = 1000
+#: Ids in one block of a list that is hashed in order; a list of no more is hashed as it is.
+ID_BLOCK = 4096
 
 _WORD = "[^ \\t-\\r]+"
 _NO_IDS = hashlib.sha256(b"").hexdigest()
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Add ``pos``: a row's place (from 0) among the rows of its keys.
+def numbered(rows: DataFrame, key: str, order: list[Column], most: int = MOST_GROUP_ROWS) -> DataFrame:
+    """Add ``pos``: a row's place (from 0) among the rows of its key.
 
-    Rows are sorted over range partitions, so no key has to fit one task; a key that runs
-    over several partitions starts in each where the one before it ended.
+    A key with over ``most`` rows is no single task's: such rows are sorted over range
+    partitions, and the key starts in each where the one before it ended.
     """
     spark = rows.sparkSession
-    by = [F.col(k) for k in keys] + order
-    at = F.monotonically_increasing_id()
-    placed = cut(rows.repartitionByRange(shuffle_parts(spark), *by).sortWithinPartitions(*by).withColumn("_at", at)).withColumn("_part", F.shiftright("_at", 33))
-    parts = placed.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    large = cut(rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(key))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    if large.isEmpty():
+        return rows.withColumn("pos", place.cast("long"))
+    by = [F.col(key)] + order
+    some = rows.join(large, key, "left_semi").repartitionByRange(shuffle_parts(spark), *by).sortWithinPartitions(*by)
+    placed = cut(some.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    parts = placed.groupBy(key, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_skip", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return placed.join(parts, [*keys, "_part"]).withColumn("pos", F.col("_at") - F.col("_first") + F.col("_skip")).drop("_at", "_part", "_first", "_skip")
+    placed = placed.join(parts, [key, "_part"]).withColumn("pos", F.col("_at") - F.col("_first") + F.col("_skip")).drop("_at", "_part", "_first", "_skip")
+    return rows.join(large, key, "left_anti").withColumn("pos", place.cast("long")).unionByName(placed)
 
 
 def turn_rows(conversations: DataFrame) -> DataFrame:
@@ -55,56 +60,64 @@ def turn_rows(conversations: DataFrame) -> DataFrame:
         F.unhex(F.sha2(F.concat(F.length(role).cast("string"), F.lit(":"), role, text), 256)).alias("digest"),
         F.regexp_count(text, F.lit(_WORD)).cast("long").alias("words"),
     )
-    return numbered(rows, ["conv"], [F.col("turn").asc_nulls_first(), F.col("digest")]).select("conv", "pos", "digest", "words")
+    return numbered(cut(rows), "conv", [F.col("turn").asc_nulls_first(), F.col("digest")]).select("conv", "pos", "digest", "words")
 
 
 def rebuilt(turns: DataFrame, every: int = 20, heads: int = 4) -> tuple[DataFrame, DataFrame]:
     """(conversations, turns) after each took the first h turns of another: h = crc32(id) mod ``heads``, the other is id - id % ``every``.
 
     At most ``2 * every`` conversations take from one, ``heads`` - 1 turns each.
+    conversations: conv, size (turns after that).
     """
-    h = F.pmod(F.crc32(F.col("conv").cast("string").cast("binary")), F.lit(heads)).alias("h")
-    sizes = turns.groupBy("conv").agg(F.count("*").alias("size"))
-    convs = sizes.select("conv", h, (F.col("conv") - F.col("conv") % every).alias("other"))
-    others = sizes.select(F.col("conv").alias("other"), F.col("size").alias("has"))
-    convs = convs.join(others, "other", "left").select("conv", "other", "h", F.least("h", F.coalesce("has", F.lit(0))).alias("taken"))
-    head = turns.filter(F.col("pos") < heads - 1).withColumnRenamed("conv", "other").join(convs.filter("taken > 0"), "other").filter("pos < taken")
-    own = turns.join(convs, "conv").filter("pos >= h").withColumn("pos", F.col("pos") - F.col("h") + F.col("taken"))
-    columns = ["conv", "pos", "digest", "words"]
-    return convs.select("conv"), head.select(*columns).unionByName(own.select(*columns))
+    h = F.pmod(F.crc32(F.col("conv").cast("string").cast("binary")), F.lit(heads)).cast("long")
+    # At most heads - 1 turns of each conversation that others take from.
+    firsts = turns.filter((F.col("pos") < heads - 1) & (F.col("conv") % every == 0)).groupBy(F.col("conv").alias("other")).agg(F.array_sort(F.collect_list(F.struct("pos", "digest", "words"))).alias("firsts"))
+    sizes = turns.groupBy("conv").agg(F.count("*").alias("own"))
+    convs = sizes.select("conv", "own", h.alias("h"), (F.col("conv") - F.col("conv") % every).alias("other")).join(firsts, "other", "left")
+    convs = cut(convs.select("conv", "own", "h", F.slice(F.coalesce("firsts", F.array()), F.lit(1), F.col("h").cast("int")).alias("firsts")))
+    taken = F.size("firsts").cast("long")
+    head = convs.select("conv", F.explode("firsts").alias("t")).select("conv", "t.pos", "t.digest", "t.words")
+    own = turns.withColumn("h", h).filter("pos >= h").join(convs.select("conv", taken.alias("taken")), "conv").select("conv", (F.col("pos") - F.col("h") + F.col("taken")).alias("pos"), "digest", "words")
+    return convs.select("conv", (taken + F.greatest(F.col("own") - F.col("h"), F.lit(0))).alias("size")), head.unionByName(own)
 
 
 def paths_of(convs: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, steps): conversations with equal turns as one path, and the turns of each path once.
 
-    classes: path (its smallest conversation), n, size (turns), ``top`` (first turn, null if there is none).
-    A path is told by its length and three 64-bit sums over SHA-256 digests and places.
+    classes: path (its smallest conversation), n, size (turns), ``top`` (first turn, null if
+    there is none), ends (hash of the members' ids).  A path is told by its length, its first
+    turn and three 64-bit sums over SHA-256 digests and places.
     """
     marks = [F.bit_xor(F.xxhash64(F.lit(seed), "pos", "digest")).alias(f"_m{seed}") for seed in range(3)]
     told = turns.groupBy("conv").agg(F.count("*").alias("size"), F.min_by("digest", "pos").alias("top"), *marks)
-    told = convs.join(told, "conv", "left").withColumns({"size": F.coalesce("size", F.lit(0)), **{f"_m{s}": F.coalesce(f"_m{s}", F.lit(0)) for s in range(3)}})
-    told = cut(told)
+    nothing = convs.filter("size = 0").select("conv", F.lit(0).cast("long").alias("size"), F.lit(None).cast("binary").alias("top"), *[F.lit(0).cast("long").alias(f"_m{s}") for s in range(3)])
+    told = cut(told.unionByName(nothing))
     keys = ["size", "top", "_m0", "_m1", "_m2"]
     classes = cut(told.groupBy(*keys).agg(F.min("conv").alias("path"), F.count("*").alias("n")))
-    many = classes.filter("n > 1")
     same = [F.col(f"t.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
-    members = told.alias("t").join(many.alias("m"), same).select("m.path", "t.conv")
+    members = cut(told.alias("t").join(cut(classes.filter("n > 1")).alias("m"), same).select("m.path", "t.conv", "m.n"))
     ends = id_list_sha256(members, "path", "conv")
     alone = F.when(F.col("n") == 1, F.sha2(F.col("path").cast("string").cast("binary"), 256))
     classes = cut(classes.join(ends, "path", "left").select("path", "n", "size", "top", F.coalesce(alone, "sha256").alias("ends")))
-    steps = turns.join(classes.select(F.col("path").alias("conv"), "n"), "conv").withColumnRenamed("conv", "path")
+    steps = turns.join(classes.withColumnRenamed("path", "conv"), "conv").select(
+        F.col("conv").alias("path"), "pos", "digest", "words", "n", F.hex("top").alias("grp"), F.when(F.col("pos") == F.col("size") - 1, F.col("ends")).alias("ends")
+    )
     return classes, cut(steps)
 
 
 def id_list_sha256(rows: DataFrame, key: str, id_col: str) -> DataFrame:
-    """(key, sha256): hash of the key's ids as decimals, ascending, with commas.
+    """(key, sha256): hash of the key's ids as decimals, ascending, with commas.  Rows: key, id, n (ids of the key).
 
-    Ids are put together in blocks wherever they lie; only the hashing of a key's blocks,
-    which has an order, is one task's, a block at a time.
+    Long lists are put together in blocks wherever they lie; only the hashing of a key's
+    blocks, which has an order, is one task's, a block at a time.
     """
-    placed = numbered(rows.select(key, id_col), [key], [F.col(id_col)])
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", id_col))), lambda x: x[id_col].cast("string")), ",")
-    blocks = placed.groupBy(key, F.expr(f"pos div {ID_BLOCK}").alias("_block")).agg(ids.alias("_ids"))
+    joined = lambda x: F.array_join(F.transform(x, lambda i: i.cast("string")), ",")
+    short = rows.filter(F.col("n") <= ID_BLOCK).groupBy(key).agg(F.sha2(joined(F.sort_array(F.collect_list(id_col))).cast("binary"), 256).alias("sha256"))
+    long_lists = rows.filter(F.col("n") > ID_BLOCK).select(key, id_col)
+    if long_lists.isEmpty():
+        return short
+    ids = joined(F.sort_array(F.collect_list(id_col))).alias("_ids")
+    blocks = numbered(long_lists, key, [F.col(id_col)]).groupBy(key, F.expr(f"pos div {ID_BLOCK}").alias("_block")).agg(ids)
 
     def run(frames):
         now, sha = None, None
@@ -121,7 +134,8 @@ def id_list_sha256(rows: DataFrame, key: str, id_col: str) -> DataFrame:
         if sha is not None:
             yield pd.DataFrame([(now, sha.hexdigest())], columns=[key, "sha256"])
 
-    return blocks.repartition(shuffle_parts(rows.sparkSession), key).sortWithinPartitions(key, "_block").select(key, "_ids").mapInPandas(run, f"{key} long, sha256 string")
+    hashed = blocks.repartition(shuffle_parts(rows.sparkSession), key).sortWithinPartitions(key, "_block").select(key, "_ids").mapInPandas(run, f"{key} long, sha256 string")
+    return short.unionByName(hashed)
 
 
 _NODES = "grp string, top boolean, conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
@@ -167,21 +181,27 @@ def _tries(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"grp": grp, "top": [u < 0 for u in up], "conv_id": least, "depth": depth, "parent_conv_id": parents, "n_convs": convs, "n_children": children, "n_leaves": leaves, "saved_tokens": saved, "ends_sha256": ends})
 
 
-def _spines(big: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The turns that all paths of a group have in common: (spine rows, group rows with ``last``).
+def _spine(big: DataFrame) -> DataFrame:
+    """The turns that all paths of a group have in common: grp, pos, words, convs, least, parent, base, last, ends.
 
-    big: grp, parent, base, path, pos, digest, words, n, ends; pos >= base.
+    big: grp, parent, base, path, pos, digest, words, n, ends; pos >= base.  ``ends`` is that
+    of the one path which may end with the spine.
     """
-    groups = big.filter("pos = base").groupBy("grp").agg(F.count("*").alias("paths"), F.sum("n").alias("convs"), F.min("path").alias("least"), F.min("parent").alias("parent"), F.min("base").alias("base"))
-    shared = big.groupBy("grp", "pos").agg(F.count("*").alias("_paths"), F.min("digest").alias("_a"), F.max("digest").alias("_b"), F.max("words").alias("words"))
-    shared = cut(shared.join(groups, "grp").withColumn("_common", (F.col("_paths") == F.col("paths")) & (F.col("_a") == F.col("_b"))))
-    last = shared.groupBy("grp").agg((F.coalesce(F.min(F.when(~F.col("_common"), F.col("pos"))), F.max("pos") + 1) - 1).alias("last"))
-    spine = shared.join(last, "grp").filter("pos <= last").select("grp", "pos", "words", "convs", "least", "parent", "base", "last")
-    return spine, groups.join(last, "grp")
+    shared = cut(
+        big.groupBy("grp", "pos").agg(
+            F.count("*").alias("_paths"), F.min("digest").alias("_a"), F.max("digest").alias("_b"), F.max("words").alias("words"), F.max("ends").alias("ends"),
+            F.sum("n").alias("convs"), F.min("path").alias("least"), F.min("parent").alias("parent"), F.min("base").alias("base"),
+        )
+    )
+    groups = cut(shared.filter("pos = base").select("grp", F.col("_paths").alias("paths")))
+    common = (F.col("_paths") == F.col("paths")) & (F.col("_a") == F.col("_b"))
+    judged = shared.join(groups, "grp").withColumn("_common", common)
+    last = cut(judged.groupBy("grp").agg((F.coalesce(F.min(F.when(~F.col("_common"), F.col("pos"))), F.max("pos") + 1) - 1).alias("last")))
+    return cut(shared.join(last, "grp").filter("pos <= last").select("grp", "pos", "words", "convs", "least", "parent", "base", "last", "ends"))
 
 
-def _spine_nodes(spine: DataFrame, totals: DataFrame) -> DataFrame:
-    """Nodes of spines; totals: grp, n_children, below_leaves, below_saved, ends of the spine's last node.
+def _spine_nodes(spine: DataFrame, below: DataFrame) -> DataFrame:
+    """Nodes of spines; below: grp, n_children, below_leaves, below_saved of what follows a spine.
 
     A node's saved tokens run from it to the end of the spine and on; sums go by blocks of
     places, so a spine of any length is no single task's.
@@ -190,15 +210,15 @@ def _spine_nodes(spine: DataFrame, totals: DataFrame) -> DataFrame:
     down = Window.partitionBy("grp", "_block").orderBy(F.desc("pos"))
     blocks = rows.groupBy("grp", "_block").agg(F.sum("_own").alias("_sum"))
     later = Window.partitionBy("grp").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_later", F.coalesce(F.sum("_sum").over(later), F.lit(0))).drop("_sum")
-    rows = rows.withColumn("_here", F.sum("_own").over(down)).join(blocks, ["grp", "_block"]).join(totals, "grp")
-    end = F.col("pos") == F.col("last")
+    blocks = cut(blocks.withColumn("_later", F.coalesce(F.sum("_sum").over(later), F.lit(0))).drop("_sum"))
+    rows = rows.withColumn("_here", F.sum("_own").over(down)).join(blocks, ["grp", "_block"]).join(below, "grp", "left")
+    end, none = F.col("pos") == F.col("last"), F.lit(0).cast("long")
     return rows.select(
         "grp", (F.col("pos") == F.col("base")).alias("top"), F.col("least").alias("conv_id"), (F.col("pos") + 1).alias("depth"),
         F.when(F.col("pos") == F.col("base"), F.col("parent")).otherwise(F.col("least")).alias("parent_conv_id"),
-        F.col("convs").alias("n_convs"), F.when(end, F.col("n_children")).otherwise(1).alias("n_children"),
-        F.col("below_leaves").alias("n_leaves"), (F.col("_here") + F.col("_later") + F.col("below_saved")).alias("saved_tokens"),
-        F.when(end, F.col("ends")).otherwise(F.lit(_NO_IDS)).alias("ends_sha256"),
+        F.col("convs").alias("n_convs"), F.when(end, F.coalesce("n_children", none)).otherwise(1).alias("n_children"),
+        F.coalesce("below_leaves", F.lit(1).cast("long")).alias("n_leaves"), (F.col("_here") + F.col("_later") + F.coalesce("below_saved", none)).alias("saved_tokens"),
+        F.coalesce(F.when(end, F.col("ends")), F.lit(_NO_IDS)).alias("ends_sha256"),
     )
 
 
@@ -210,54 +230,43 @@ def trie_nodes(classes: DataFrame, steps: DataFrame, group_rows: int | None = No
     turn after what a group has in common, so each of them splits a group or ends it.
     """
     spark, parts = classes.sparkSession, shuffle_parts(classes.sparkSession)
-    whole = classes.agg(F.sum("n").alias("n"), F.min("path").alias("least"), F.sum("size").alias("rows"), F.count_distinct("top").alias("tops")).first()
+    whole = classes.agg(F.sum("n").alias("n"), F.min("path").alias("least"), F.sum("size").alias("rows"), F.max(F.when(F.col("size") == 0, F.col("ends"))).alias("ends")).first()
     if whole["n"] is None:
         return spark.createDataFrame([], _NODES).drop("grp", "top")
     limit = group_rows or max(LEAST_GROUP_ROWS, min(MOST_GROUP_ROWS, whole["rows"] // parts))
     buckets = max(2 * parts, -(-whole["rows"] // MOST_GROUP_ROWS))
-    # The last turn of a path carries the hash of who ends there.
-    steps = steps.join(classes.select("path", "size", F.hex("top").alias("grp"), "ends"), "path")
-    now = steps.withColumn("ends", F.when(F.col("pos") == F.col("size") - 1, F.col("ends"))).drop("size").withColumns({"parent": F.lit(whole["least"]), "base": F.lit(0).cast("long")})
-    smalls, rounds = [], []
+    sizes = cut(classes.filter("top IS NOT NULL").groupBy(F.hex("top").alias("grp")).agg(F.sum("size").alias("_rows"), F.lit(None).cast("string").alias("_from")))
+    now = steps.withColumns({"parent": F.lit(whole["least"]), "base": F.lit(0).cast("long")})
+    smalls, rounds, firsts = [], [], sizes
     while True:
-        sizes = now.groupBy("grp").agg(F.count("*").alias("_rows"))
         large = cut(sizes.filter(F.col("_rows") > limit).select("grp"))
         if large.isEmpty():
             smalls.append(now)
             break
         smalls.append(now.join(large, "grp", "left_anti"))
-        big = cut(now.join(large, "grp", "left_semi"))
-        spine, groups = _spines(big)
-        spine, groups = cut(spine), cut(groups)
-        marked = big.join(groups.select("grp", F.col("least").alias("_least"), "last"), "grp")
-        own_end = marked.filter("pos = last").groupBy("grp").agg(F.max("ends").alias("ends"))
-        on = marked.filter("pos > last")
-        turn = on.filter(F.col("pos") == F.col("last") + 1).select("path", F.sha2(F.concat(F.col("grp").cast("binary"), "digest"), 256).alias("_next"), F.col("grp").alias("_from"))
-        links = cut(turn.select("_from", "_next").distinct())
-        rounds.append((spine, groups, own_end, links))
-        now = cut(on.join(turn.select("path", "_next"), "path").select("path", "pos", "digest", "words", "n", "ends", F.col("_next").alias("grp"), F.col("_least").alias("parent"), (F.col("last") + 1).alias("base")))
-    rows = smalls[0]
+        big = now.join(large, "grp", "left_semi")
+        spine = _spine(big)
+        marked = big.join(spine.filter("pos = last").select("grp", F.col("least").alias("_least"), "last"), "grp").filter("pos > last")
+        turn = marked.filter(F.col("pos") == F.col("last") + 1).select("path", F.sha2(F.concat(F.col("grp").cast("binary"), "digest"), 256).alias("_next"))
+        now = cut(marked.join(turn, "path").select("path", "pos", "digest", "words", "n", "ends", F.col("_next").alias("grp"), F.col("grp").alias("_from"), F.col("_least").alias("parent"), (F.col("last") + 1).alias("base")))
+        sizes = cut(now.groupBy("grp", "_from").agg(F.count("*").alias("_rows")))
+        now = now.drop("_from")
+        rounds.append((spine, sizes.select("_from", "grp")))
+    wanted = ["grp", "parent", "path", "pos", "digest", "words", "n", "ends"]
+    rows = smalls[0].select(*wanted)
     for more in smalls[1:]:
-        rows = rows.unionByName(more)
+        rows = rows.unionByName(more.select(*wanted))
     bucket = F.pmod(F.xxhash64("grp"), F.lit(buckets))
-    wanted = ["grp", "parent", "path", "pos", "digest", "words", "n", "ends"]
     nodes = cut(rows.select(bucket.alias("bucket"), *wanted).groupBy("bucket").applyInPandas(lambda frame: _tries(frame), _NODES))
-    tops = nodes.filter("top").select("grp", "n_leaves", "saved_tokens")
-    made = [nodes]
-    for spine, groups, own_end, links in reversed(rounds):
-        below = links.join(tops.withColumnRenamed("grp", "_next"), "_next").groupBy(F.col("_from").alias("grp")).agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("below_leaves"), F.sum("saved_tokens").alias("below_saved"))
-        totals = groups.select("grp").join(below, "grp", "left").join(own_end, "grp", "left").select("grp", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.coalesce("below_leaves", F.lit(1)).alias("below_leaves"), F.coalesce("below_saved", F.lit(0)).alias("below_saved"), F.coalesce("ends", F.lit(_NO_IDS)).alias("ends"))
-        up = cut(_spine_nodes(spine, totals))
-        made.append(up)
-        tops = tops.unionByName(up.filter("top").select("grp", "n_leaves", "saved_tokens"))
-    first = classes.filter("top IS NOT NULL").select(F.hex("top").alias("grp")).distinct()
-    sums = tops.join(first, "grp", "left_semi").agg(F.sum("n_leaves").alias("_l"), F.sum("saved_tokens").alias("_s"))
-    none = classes.filter("size = 0").agg(F.max("ends").alias("_e"))
-    root = sums.crossJoin(none).select(
-        F.lit(None).cast("string").alias("grp"), F.lit(False).alias("top"), F.lit(whole["least"]).alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"),
-        F.lit(whole["n"]).alias("n_convs"), F.lit(whole["tops"]).alias("n_children"), F.coalesce("_l", F.lit(1)).alias("n_leaves"), F.coalesce("_s", F.lit(0)).alias("saved_tokens"), F.coalesce("_e", F.lit(_NO_IDS)).alias("ends_sha256"),
-    )
-    out = root
+    totals = ["grp", "n_leaves", "saved_tokens"]
+    tops, made = nodes.filter("top").select(*totals), [nodes]
+    for spine, links in reversed(rounds):
+        below = links.join(tops, "grp").groupBy(F.col("_from").alias("grp")).agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("below_leaves"), F.sum("saved_tokens").alias("below_saved"))
+        made.append(cut(_spine_nodes(spine, cut(below))))
+        tops = tops.unionByName(made[-1].filter("top").select(*totals))
+    sums = (tops.join(firsts.select("grp"), "grp", "left_semi") if rounds else tops).agg(F.count("*").alias("n"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved")).first()
+    root = (None, False, whole["least"], 0, None, whole["n"], sums["n"], sums["leaves"] or 1, sums["saved"] or 0, whole["ends"] or _NO_IDS)
+    out = spark.createDataFrame([root], _NODES)
     for part in made:
         out = out.unionByName(part)
     return out.drop("grp", "top")
@@ -273,4 +282,4 @@ def conversation_trie(conversations: DataFrame, group_rows: int | None = None) -
     An empty table gives no rows; other columns don't matter.
     """
     convs, turns = rebuilt(cut(turn_rows(conversations)))
-    return trie_nodes(*paths_of(cut(convs), cut(turns)), group_rows)
+    return trie_nodes(*paths_of(convs, cut(turns)), group_rows)
