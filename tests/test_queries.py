@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tidewater.plans import catalog, integration, knowledge, ledgers, passes, relational, stateful, summaries, upkeep  # noqa: F401
+from tidewater.plans import catalog, intake, integration, knowledge, ledgers, matching, passes, relational, rules, stateful, summaries, upkeep  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
