@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import cut, resident, text_of
@@ -115,7 +115,7 @@ class PieceCounter:
 
     def boundaries(self, text: str, zones: list[tuple[int, int]]) -> tuple[int, list[list[tuple[int, int]]]]:
         """Tokens of a chunk, and for each zone (from, to: bytes) the first stable token boundaries in it with the tokens before them."""
-        ends = np.cumsum(self.token_bytes[self.library.encode(text, add_special_tokens=False).ids])
+        ends = np.cumsum(self.token_bytes[self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids])
         raw, found = text.encode("utf-8"), []
         for a, b in zones:
             b = min(b, len(raw))
@@ -149,34 +149,40 @@ def counter(path: str) -> PieceCounter:
     return resident(f"counts {path}", lambda: PieceCounter(path))
 
 
-def _chunk_rows(text: str, size: int):
-    """Start (in bytes) and text of chunks of about ``size`` bytes that end between characters."""
+def _chunk_rows(text: str, size: int, overlap: int):
+    """Start and stop (in bytes) and text of chunks of about ``size`` bytes that end between characters, and the ``overlap`` bytes after them."""
+
+    def whole(at: int) -> int:
+        while at < len(raw) and raw[at] & 0xC0 == 0x80:
+            at += 1
+        return min(at, len(raw))
+
     raw, at = text.encode("utf-8"), 0
     while at < len(raw):
-        end = min(len(raw), at + size)
-        while end < len(raw) and raw[end] & 0xC0 == 0x80:
-            end += 1
-        yield at, raw[at:end].decode("utf-8")
+        end = whole(at + size)
+        yield at, end, raw[at:end].decode("utf-8"), raw[end : whole(end + overlap)].decode("utf-8")
         at = end
 
 
-def _chunks(long_texts: DataFrame, size: int) -> DataFrame:
+def _chunks(long_texts: DataFrame, size: int, overlap: int) -> DataFrame:
+    """Chunks as rows, each with the beginning of the next one, so that encoding them needs no further shuffle of text."""
+
     def run(batches):
         for batch in batches:
             for rid, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "text"))):
                 rows = []
-                for k, (start, piece) in enumerate(_chunk_rows(text, size)):
-                    rows.append((rid, doc_id, k, start, start + len(piece.encode("utf-8")), piece))
+                for k, chunk in enumerate(_chunk_rows(text, size, overlap)):
+                    rows.append((rid, doc_id, k, *chunk))
                     if len(rows) == 64:
                         yield _batch(rows, _CHUNK)
                         rows = []
                 if rows:
                     yield _batch(rows, _CHUNK)
 
-    return cut(long_texts.mapInArrow(run, "rid long, doc_id long, k long, start long, stop long, piece string"))
+    return cut(long_texts.mapInArrow(run, "rid long, doc_id long, k long, start long, stop long, piece string, beyond string"))
 
 
-_CHUNK = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("piece", pa.string())])
+_CHUNK = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("piece", pa.string()), ("beyond", pa.string())])
 _PLACES = pa.list_(pa.struct([("place", pa.int64()), ("before", pa.int64())]))
 _CODED = pa.schema([("rid", pa.int64()), ("k", pa.int64()), ("last", pa.int64()), ("n", pa.int64()), ("head", _PLACES), ("tail", _PLACES)])
 _CODED_SQL = "rid long, k long, last long, n long, head array<struct<place: long, before: long>>, tail array<struct<place: long, before: long>>"
@@ -213,27 +219,28 @@ def _joined(coded: DataFrame) -> DataFrame:
     return coded.withColumn("_next", next_head).withColumn("more", F.col("_next").isNotNull()).withColumn("meet", F.array_min(F.array_intersect(places(F.col("tail")), "_next"))).drop("_next")
 
 
-def _with_overlap(chunks: DataFrame, overlap: int) -> DataFrame:
-    """Each chunk as a segment: its text goes on for ``overlap`` characters of the next chunk."""
-    after = Window.partitionBy("rid").orderBy("k")
-    chunks = chunks.withColumn("_on", F.coalesce(F.lead(F.substring("piece", 1, overlap)).over(after), F.lit("")))
-    return chunks.select("rid", "k", F.col("k").alias("last"), "start", "stop", F.concat("piece", "_on").alias("text"), F.lit(overlap).cast("long").alias("reach"))
+def _segments(chunks: DataFrame, beyond: str | Column, reach: int) -> DataFrame:
+    """Each chunk as a segment whose text goes on into the next."""
+    beyond = F.col(beyond) if isinstance(beyond, str) else beyond
+    return chunks.select("rid", "k", F.col("k").alias("last"), "start", "stop", F.concat("piece", beyond).alias("text"), F.lit(reach).cast("long").alias("reach"))
 
 
 def _long_counts(long_texts: DataFrame, tokenizer: str, chunk_bytes: int, overlap: int) -> DataFrame:
-    chunks = _chunks(long_texts, chunk_bytes)
-    joins = cut(_joined(_encoded(_with_overlap(chunks, overlap), tokenizer)))
+    chunks = _chunks(long_texts, chunk_bytes, overlap)
+    # Codes are small; from here on text is read only for the chunks whose join failed.
+    joins = cut(_joined(cut(_encoded(_segments(chunks, "beyond", overlap), tokenizer))))
+    after = Window.partitionBy("rid").orderBy("k")
     reach = overlap
     while reach < chunk_bytes:
-        failed = joins.filter("more AND meet IS NULL").select("rid", "k")
+        failed = cut(joins.filter("more AND meet IS NULL").select("rid", "k"))
         if failed.isEmpty():
             break
         # Both sides of a failed join are encoded again with a wider overlap; all other segments stay.
         reach = min(reach * WIDEN, chunk_bytes)
-        sides = failed.union(failed.select("rid", F.col("k") + 1)).distinct()
-        need = sides.union(sides.select("rid", F.col("k") + 1)).distinct()
-        wider = _with_overlap(chunks.join(need, ["rid", "k"], "left_semi"), reach).join(sides, ["rid", "k"], "left_semi")
-        again = _encoded(wider, tokenizer)
+        sides = cut(failed.union(failed.select("rid", F.col("k") + 1)).distinct())
+        need = cut(sides.union(sides.select("rid", F.col("k") + 1)).distinct())
+        near = chunks.join(need, ["rid", "k"], "left_semi").withColumn("_on", F.coalesce(F.lead(F.substring("piece", 1, reach)).over(after), F.lit("")))
+        again = cut(_encoded(_segments(near.join(sides, ["rid", "k"], "left_semi"), "_on", reach), tokenizer))
         joins = cut(_joined(joins.drop("meet", "more").join(sides, ["rid", "k"], "left_anti").unionByName(again)))
     while not joins.filter("more AND meet IS NULL").isEmpty():
         joins = cut(_joined(_merged(joins, chunks, tokenizer, reach)))
@@ -252,16 +259,17 @@ def _merged(joins: DataFrame, chunks: DataFrame, tokenizer: str, reach: int) ->
     starts = F.lag(~F.col("more") | F.col("meet").isNotNull(), 1, True).over(before)
     runs = joins.withColumn("run", F.sum(starts.cast("int")).over(before)).withColumn("_n", F.count("*").over(Window.partitionBy("rid", "run")))
     stay = runs.filter("_n = 1").drop("run", "_n", "meet", "more")
-    go = runs.filter("_n > 1").select("rid", F.explode(F.sequence("k", "last")).alias("k"), "run")
+    go = cut(runs.filter("_n > 1").select("rid", F.explode(F.sequence("k", "last")).alias("k"), "run"))
+    need = cut(go.select("rid", "k").union(go.select("rid", F.col("k") + 1)).distinct())
     after = Window.partitionBy("rid").orderBy("k")
-    on = chunks.withColumn("_on", F.coalesce(F.lead(F.substring("piece", 1, reach)).over(after), F.lit("")))
-    rows = on.join(go, ["rid", "k"]).groupBy("rid", "run").agg(
+    near = chunks.join(need, ["rid", "k"], "left_semi").withColumn("_on", F.coalesce(F.lead(F.substring("piece", 1, reach)).over(after), F.lit("")))
+    rows = near.join(go, ["rid", "k"]).groupBy("rid", "run").agg(
         F.min("k").alias("k"), F.max("k").alias("last"), F.min("start").alias("start"), F.max("stop").alias("stop"),
         F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("_pieces"), F.max_by("_on", "k").alias("_tail"),
     )
     text = F.concat(F.array_join(F.transform("_pieces", lambda x: x["piece"]), ""), "_tail")
     segments = rows.select("rid", "k", "last", "start", "stop", text.alias("text"), F.lit(reach).cast("long").alias("reach"))
-    return stay.unionByName(_encoded(segments, tokenizer))
+    return stay.unionByName(cut(_encoded(segments, tokenizer)))
 
 
 def token_counts(df: DataFrame, tokenizer: str, limit: int, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> DataFrame:
