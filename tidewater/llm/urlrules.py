@@ -125,6 +125,28 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     return kept.select("tokens", "verdict", "n", "confidence")
 
 
+def token_classes(labelled: DataFrame) -> DataFrame:
+    """(token, item): tokens that stand in exactly the same rows (tokens, ...) are one item, named by the first of them.
+
+    Every set of such tokens has the support of one of them, so 2**n sets say what one item
+    says.  Sets of rows are told apart by their size, ends and two 64-bit sums.
+    """
+    rows = cut(labelled.select("tokens", F.monotonically_increasing_id().alias("at")))
+    each = rows.select("at", F.explode("tokens").alias("token"))
+    told = each.groupBy("token").agg(
+        F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"), F.bit_xor(F.xxhash64(F.lit(1), "at")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(2), "at")).alias("s2")
+    )
+    told = cut(told)
+    key = ["n", "first", "last", "s1", "s2"]
+    return cut(told.join(told.groupBy(*key).agg(F.min("token").alias("item")), key).select("token", "item"))
+
+
+def as_items(rows: DataFrame, key: str, classes: DataFrame) -> DataFrame:
+    """(key, tokens): each row's items instead of its tokens; a token without a class, and a row without any, goes."""
+    each = rows.select(key, F.explode("tokens").alias("token")).join(classes, "token")
+    return each.groupBy(key).agg(F.array_sort(F.collect_set("item")).alias("tokens"))
+
+
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(row, tokens of the best rule, verdict) for rows (row, tokens) that a mined rule matches.
 
@@ -152,7 +174,7 @@ def judge(
     pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_key: Column | None = None, rules=RULES,
     min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
 ) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, mined_rule (tokens, where one decided).
+    """One row per page: page_id, host, path, rule, verdict, mined_rule (tokens, where one decided; one stands for all that the same labelled pages have).
 
     ``labels`` has quality and toxic by ``label_id``, which ``label_key`` (an expression on
     ``pages``, its id by default) refers to; a page of quality 0 or toxic 1 is
@@ -167,11 +189,14 @@ def judge(
     rows = rows.select("page_id", "label_key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), tokens_of(F.col("url")).alias("tokens"))
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
     marks = labels.groupBy(F.col(label_id).alias("label_key")).agg(F.max(bad).alias("bad"))
-    mined = mine(rows.join(marks, "label_key").select("tokens", "bad"), min_support, min_confidence)
-    mined = cut(mined)
+    labelled = cut(rows.join(marks, "label_key").select("tokens", "bad", F.monotonically_increasing_id().alias("at")))
+    classes = token_classes(labelled)
+    mined = cut(mine(as_items(labelled, "at", classes).join(labelled.select("at", "bad"), "at"), min_support, min_confidence))
+    # Only classes that a rule names can decide anything; there are no more items in rules than tokens.
+    classes = cut(classes.join(mined.select(F.explode("tokens").alias("item")).distinct(), "item", "left_semi"))
     # Urls with the same tokens get the same answer: match the distinct token sets.
     sets = rows.filter(explicit_rule(F.col("host"), F.col("path"), rules).isNull()).select(F.array_sort("tokens").alias("tokens")).distinct()
-    found = match(sets.withColumn("row", F.col("tokens")), mined).withColumnRenamed("verdict", "mined_verdict").drop("confidence")
+    found = match(as_items(sets.withColumn("row", F.col("tokens")), "row", classes), mined).withColumnRenamed("verdict", "mined_verdict").drop("confidence")
     rows = rows.withColumn("row", F.array_sort("tokens")).withColumn("own", explicit_rule(F.col("host"), F.col("path"), rules))
     judged = rows.join(found, "row", "left")
     return judged.select(
