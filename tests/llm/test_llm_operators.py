@@ -533,6 +533,18 @@ def test_mined_rules(spark):
     assert all("d:spam" in r.mined_rule for r in got if r.verdict == "block")
 
 
+def test_constant_parameters_are_one_item(spark):
+    """Thirty parameters that always stand together are 2**30 token sets, but one item."""
+    tail = "&".join(f"p{k}=1" for k in range(30))
+    pages = [(i, f"http://www.shop.example.net/{'cheap' if i % 3 == 0 else 'fine'}/{i}?{tail}") for i in range(90)] + [(100, "http://x.test/cheap/?p7=2"), (101, "http://other.test/")]
+    labels = [(i, int(i % 3 != 0), 0) for i in range(60)]
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urlrules.judge(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert all(got[i] == ("block" if i % 3 == 0 else "allow") for i in range(90)) and got[100] == "block" and got[101] == "allow"
+    baskets = spark.createDataFrame([(["a", "b", "c"], True), (["a", "b"], True), (["c", "d", "e"], False)], "tokens array<string>, bad boolean")
+    assert {r.token: r["item"] for r in urlrules.token_classes(baskets).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "d"}
+
+
 def test_mined_rules_of_four_tokens(spark):
     four = ["d:ads", "d:example", "p:de", "q:ref"]
     # All four tokens only on bad urls; each three of them, and fewer, mostly on good ones.
@@ -644,15 +656,60 @@ def test_quotation_links(spark):
     got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(frame).collect()}
     assert len(got) == len(rows)
     assert got[1, 1].text == "Monday is fine." and got[1, 1].reply_to == 0
-    assert (got[1, 2].reply_to, got[1, 2].reply_path, got[1, 2].quote_levels, got[1, 2].n_quotes, got[1, 2].n_linked) == (1, [0, 1, 2], 2, 2, 2)
-    assert got[1, 3].reply_path == [0, 3] and got[1, 0].reply_path == [0]
+    assert (got[1, 2].reply_to, got[1, 2].thread, got[1, 2].depth, got[1, 2].quote_levels, got[1, 2].n_quotes, got[1, 2].n_linked) == (1, 0, 2, 2, 2, 2)
+    assert (got[1, 3].thread, got[1, 3].depth, got[1, 0].thread, got[1, 0].depth) == (0, 1, 0, 0)
     assert (got[2, 0].text, got[2, 0].reply_to, got[2, 0].n_linked) == ("", None, 1)
     assert (got[None, 1].text, got[None, 1].reply_to, got[None, 1].n_linked) == ("hm", None, 0)
-    order = [t for t, _ in sorted(((r.turn, r.reply_path) for (c, _), r in got.items() if c == 1), key=lambda x: x[1])]
-    assert order == [0, 1, 2, 3]
+    assert [r.turn for r in sorted((r for (c, _), r in got.items() if c == 1), key=lambda r: (r.thread, r.turn))] == [0, 1, 2, 3]
     assert quotes.link_quotes(frame.limit(0)).count() == 0
 
 
+def test_quotes_of_what_the_own_conversation_says_later(spark):
+    rows = [(1, 0, "user", "> the passage X"), (1, 5, "user", "the passage X"), (2, 0, "user", "the passage X"), (3, 1, "user", "> the passage X")]
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1, 0].n_quotes, got[1, 0].n_linked, got[1, 0].reply_to) == (1, 1, None)
+    assert got[3, 1].n_linked == 1 and got[1, 0].text == ""
+
+
+def brute_links(rows):
+    """(conv, turn) -> (reply_to, n_quotes, n_linked, thread, depth) of messages of single-line quotes."""
+    plain = lambda t: " ".join(t.lower().split())
+    said = {}
+    for c, t, text in rows:
+        for line in text.split("\n"):
+            if not line.startswith(">"):
+                said.setdefault(plain(line), set()).add((c, t))
+        body = "\n".join(x for x in text.split("\n") if not x.startswith(">"))
+        said.setdefault(plain(body), set()).add((c, t))
+    out = {}
+    for c, t, text in rows:
+        quoted = [plain(x[1:]) for x in text.split("\n") if x.startswith(">")]
+        near = [min(own) for q in quoted if (own := [b for a, b in said.get(q, ()) if a == c]) and min(own) < t]
+        linked = sum(1 for q in quoted if [b for a, b in said.get(q, ()) if a == c and b < t] or [a for a, _ in said.get(q, ()) if a != c])
+        out[c, t] = [max(near, default=None), len(quoted), linked]
+    for (c, t), r in out.items():
+        thread, depth = t, 0
+        while out[c, thread][0] is not None:
+            thread, depth = out[c, thread][0], depth + 1
+        r += [thread, depth]
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def test_quotes_against_brute_force(spark):
+    """Long chains, common lines and repeated texts; each quote is one line, so a passage is a line."""
+    rng, rows = random.Random(8), []
+    for c in range(60):
+        turns = 400 if c == 0 else rng.randint(1, 12)
+        for t in range(turns):
+            own = [f"line {c if rng.random() < 0.7 else 0} {rng.randint(0, t)} {t}", f"step {t}" if c == 0 else rng.choice(["thanks", "ok then", f"only {rng.randint(0, 200)}"])]
+            quote = rng.choice([x[2].split("\n")[-1] for x in rows[-3:]] or ["nothing"]) if c and rng.random() < 0.6 else rows[-1][2].split("\n")[-1] if t else "nothing"
+            rows.append((c, t, f"> {quote}\n" + "\n".join(own) if rng.random() < 0.8 or c == 0 else "\n".join(own)))
+    want = brute_links(rows)
+    got = quotes.link_quotes(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string"))
+    assert {(r.conv_id, r.turn): (r.reply_to, r.n_quotes, r.n_linked, r.thread, r.depth) for r in got.collect()} == want
+    assert max(v[4] for v in want.values()) > 50
+
+
 def test_near_copies_choose_the_same_leaders(spark):
     rng = random.Random(44)
     base, rows = words(rng, 200).split(), []

@@ -4,13 +4,13 @@ A quoted line begins with one or more ``>``; their number is its level.  Neighbo
 of one level form a passage.  A passage and its paragraphs are normalised (lower case, white
 space as one blank) and hashed, and so are the unquoted lines, paragraphs and whole bodies
 of all messages.  A passage goes to the first message of its conversation that has it
-unquoted, or else to the first of all messages.  The message that a reply answers is the
-latest one its lowest level leads to, and a message's path (the turns from the start of its
-reply chain to itself) sorts a conversation so that replies follow what they answer.
+unquoted, or else to the first of all other messages.  The message that a reply answers is
+the latest one its lowest level leads to; a message's thread is the turn its chain of replies
+starts at.  Sorted by thread and turn, replies follow what they answer.
 
-Only DataFrame functions.  Originals are reduced to one row a hash before they meet the
-quotes, so common lines and long conversations stay small; paths double their length each
-round.
+Only DataFrame functions.  Originals are reduced to two conversations a hash before they meet
+the quotes, so common lines and long conversations stay small; chains of replies halve in
+length each round.
 """
 
 from __future__ import annotations
@@ -78,10 +78,14 @@ def links(messages: DataFrame, quoted: DataFrame) -> DataFrame:
     originals = messages.select("conv_id", "turn", F.explode(_pieces(unquoted(F.col("text")), True)).alias("hash"))
     here = originals.join(wanted, "hash", "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("here"))
     here = cut(here)
-    first = cut(here.groupBy("hash").agg(F.min(F.struct(F.col("conv_id").alias("conv"), F.col("here").alias("turn"))).alias("first")))
+    # Two conversations for each hash: a quoting one that has it itself, but later, still finds another's.
+    of = F.min(F.struct(F.col("conv_id").alias("conv"), F.col("here").alias("turn")))
+    first = cut(here.groupBy("hash").agg(of.alias("first")))
+    second = here.join(first, "hash").filter(F.col("conv_id") != F.col("first.conv")).groupBy("hash").agg(of.alias("second"))
+    first = cut(first.join(second, "hash", "left"))
     found = hashes.join(here, ["conv_id", "hash"], "left").join(first, "hash", "left")
     near = F.when(F.col("here") < F.col("turn"), F.struct(F.col("conv_id").alias("conv"), F.col("here").alias("turn")))
-    far = F.when(F.col("first.conv") != F.col("conv_id"), F.col("first"))
+    far = F.when(F.coalesce(F.col("first.conv") != F.col("conv_id"), F.lit(True)), F.col("first")).otherwise(F.col("second"))
     found = found.withColumn("source", F.coalesce(near, far)).withColumn("is_near", near.isNotNull())
     # The conversation's own message comes first, then the latest turn.
     best = F.max(F.when(F.col("source").isNotNull(), F.struct("is_near", "source.turn", "source.conv")))
@@ -89,22 +93,23 @@ def links(messages: DataFrame, quoted: DataFrame) -> DataFrame:
     return out.select("mid", "level", "at", F.col("best.conv").alias("source_conv"), F.col("best.turn").alias("source_turn"))
 
 
-def reply_paths(replies: DataFrame) -> DataFrame:
-    """(conv_id, turn, path) for rows (conv_id, turn, reply_to): turns from the chain's start; reply_to < turn."""
-    paths = cut(replies.select("conv_id", "turn", F.col("reply_to").alias("next"), F.array("turn").alias("path")))
-    while paths.filter(F.col("next").isNotNull()).limit(1).count():
-        above = paths.select("conv_id", F.col("turn").alias("next"), F.col("next").alias("over"), F.col("path").alias("before"))
-        joined = paths.join(above, ["conv_id", "next"], "left")
-        before = F.when(F.col("next").isNull(), F.array().cast("array<bigint>")).otherwise(F.coalesce("before", F.array("next")))
-        paths = cut(joined.select("conv_id", "turn", F.when(F.col("next").isNotNull(), F.col("over")).alias("next"), F.concat(before, "path").alias("path")))
-    return paths.select("conv_id", "turn", "path")
+def threads(replies: DataFrame) -> DataFrame:
+    """(conv_id, turn, thread, depth) for rows (conv_id, turn, reply_to): where a chain of replies starts, and how long it is; reply_to < turn."""
+    rows = cut(replies.select("conv_id", "turn", F.col("reply_to").alias("thread"), F.lit(1).cast("long").alias("depth")))
+    while True:
+        above = rows.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("over"), F.col("depth").alias("more"))
+        joined = cut(rows.join(above, ["conv_id", "thread"], "left"))
+        if joined.filter("over IS NOT NULL").isEmpty():
+            return rows
+        rows = joined.select("conv_id", "turn", F.coalesce("over", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
 
 
 def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per message: conv_id, turn, role, text (without quotes), reply_to, reply_path, quote_levels, n_quotes, n_linked.
+    """One row per message: conv_id, turn, role, text (without quotes), reply_to, thread, depth, quote_levels, n_quotes, n_linked.
 
-    Sorted by conv_id and reply_path, a conversation is in reply order.  ``reply_to`` is a
-    turn of the same conversation, null where nothing quoted is found there.  Null text
+    Sorted by conv_id, thread and turn, a conversation is in reply order.  ``reply_to`` is a
+    turn of the same conversation, null where nothing quoted is found there; ``thread`` is the
+    turn at the start of the chain and ``depth`` the number of replies from there.  Null text
     counts as empty.  Messages that share conversation and turn share their reply.  A
     message without a conversation or a turn links to nothing.  Quotes alone leave an empty
     text; a quote of a blank line has no passage.  An empty table gives no rows.
@@ -112,13 +117,14 @@ def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     messages = df.select(
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), text_of(text_col).alias("text")
     )
-    messages = messages.withColumn("mid", F.xxhash64("conv_id", "turn", "role", "text"))
+    told = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("conv_id", "turn")], F.coalesce(F.length("role").cast("string"), F.lit("-")), F.coalesce("role", F.lit("")), "text")
+    messages = messages.withColumn("mid", F.unhex(F.sha2(told, 256)))
     quoted = cut(passages(messages.select("mid", "conv_id", "turn", "text").distinct()))
     rows = messages.withColumn("own", unquoted(F.col("text")))
     if not quoted.limit(1).count():
         return rows.select(
             "conv_id", "turn", "role", F.col("own").alias("text"), F.lit(None).cast("long").alias("reply_to"),
-            F.array("turn").alias("reply_path"), F.lit(0).alias("quote_levels"), F.lit(0).cast("long").alias("n_quotes"), F.lit(0).cast("long").alias("n_linked"),
+            F.col("turn").alias("thread"), F.lit(0).cast("long").alias("depth"), F.lit(0).alias("quote_levels"), F.lit(0).cast("long").alias("n_quotes"), F.lit(0).cast("long").alias("n_linked"),
         )
     found = cut(links(messages, quoted))
     own = quoted.join(found, ["mid", "level", "at"], "left")
@@ -129,9 +135,9 @@ def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
         ).withColumn("reply_to", F.col("best.turn")).drop("best")
     )
     replies = summary.groupBy("conv_id", "turn").agg(F.max("reply_to").alias("reply_to")).filter("reply_to IS NOT NULL")
-    paths = reply_paths(replies)
-    rows = rows.join(summary.drop("conv_id", "turn", "reply_to"), "mid", "left").join(replies, ["conv_id", "turn"], "left").join(paths, ["conv_id", "turn"], "left")
+    replies = cut(replies.join(threads(replies), ["conv_id", "turn"]))
+    rows = rows.join(summary.drop("conv_id", "turn", "reply_to"), "mid", "left").join(replies, ["conv_id", "turn"], "left")
     return rows.select(
-        "conv_id", "turn", "role", F.col("own").alias("text"), "reply_to", F.coalesce("path", F.array("turn")).alias("reply_path"),
+        "conv_id", "turn", "role", F.col("own").alias("text"), "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"),
         F.coalesce("quote_levels", F.lit(0)).alias("quote_levels"), F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
     )
