@@ -73,3 +73,15 @@ def test_what_docs_still_reads_stays(spark, rows):
     second = corpus_pipeline.language_id(spark, first, "")  # not written in between
     assert first.count() >= second.count() > 0
     assert perplexity.quality_filter(docs).count() == first.count()
+
+
+def test_runs_leave_each_other_alone(spark, rows, tmp_path):
+    """The result of one run can be read after another one, and documents without a language stay."""
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    first = corpus_pipeline.run(spark, str(tmp_path))
+    second = corpus_pipeline.run(spark, str(tmp_path))
+    read = lambda df: sorted((r.doc_id or -1, r.start, r.length) for r in df.collect())
+    assert read(first) == read(second) and len(read(first)) > 30
+    nameless = spark.createDataFrame([(*r[:2], None, *r[3:]) for r in rows], COLUMNS)
+    kept = sorted(r.doc_id or -1 for r in corpus_pipeline.language_id(spark, nameless, "").collect())
+    assert kept == sorted(r[0] or -1 for r in rows if any(c.isalpha() for c in r[1] or ""))

@@ -17,6 +17,7 @@ HOT_PARTS = 1000
 #: Below this many rows a key is never hot: salting would cost more than it spares.
 HOT_LEAST = 50
 
+#: What the stages of the running pipeline wrote for themselves.
 _made: list[str] = []
 _registering = False
 
@@ -65,14 +66,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def stage_of(docs: DataFrame) -> Iterator[None]:
-    """Around the making of one pipeline stage from ``docs``: deletes what earlier stages wrote for themselves.
+def stage_of(docs: DataFrame, first: bool = False) -> Iterator[None]:
+    """Around the making of one pipeline stage from ``docs``: deletes what earlier stages of the run wrote for themselves.
 
-    Whatever ``docs`` still reads stays, and so does anything written outside of stages.
+    Whatever ``docs`` still reads stays, and so does anything written outside of stages.  The
+    ``first`` stage of a run deletes nothing: what an earlier run wrote may still be read.
+    Runs follow each other; two that take turns in one session would delete each other's.
     """
     global _registering
     spark = docs.sparkSession
-    old, _made[:] = _made[:], []
+    old, _made[:] = ([] if first else _made[:]), []
     if old:
         sc, read = spark.sparkContext, docs.inputFiles()
         for path in old:

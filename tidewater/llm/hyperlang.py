@@ -256,8 +256,14 @@ def least_fits(judged: DataFrame, share: float = FIT_SHARE) -> dict[str, float]:
 
 
 def language_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", share: float = FIT_SHARE) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that fit a learned language at least as ``least_fits`` says."""
+    """The rows of ``docs``, with all their columns, that fit a learned language at least as ``least_fits`` says.
+
+    A language none of whose learning texts was recognised has no limit.  Where nothing can
+    be learned (no row names a language), only texts without a letter go.
+    """
     learned = prototypes(_learning(docs, id_col, text_col, lang_col))
+    if not learned:
+        return docs.filter(text_of(text_col).rlike(r"\p{L}"))
     own = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # no name of ours clashes
     name = dict(zip(docs.columns, own.columns))
     is_text = docs.schema[text_col].dataType == StringType()
@@ -268,5 +274,5 @@ def language_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = F.lit(None).cast("double")
     for lang, fit in least_fits(rows, share).items():
         least = F.when(F.col("lang_pred") == lang, fit).otherwise(least)
-    kept = rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("fit") >= least))
+    kept = rows.filter((F.col("lang_pred") != UNKNOWN) & F.coalesce(F.col("fit") >= least, F.lit(True)))
     return kept.select(*(F.col(name[c] if name[c] in others else "text").alias(c) for c in docs.columns))
