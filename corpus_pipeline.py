@@ -17,7 +17,7 @@ from tidewater.llm.queries import END_ID, tokenizer_path
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that fail the base rules or lie outside their language's perplexity band."""
-    with stage_of(docs):
+    with stage_of(docs, first=True):
         return perplexity.quality_filter(docs)
 
 
