@@ -48,6 +48,7 @@ BOILER_WORDS = set(
 IMPLIED_END = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+_OPENS = re.compile(r"<[!?]")
 _NAMES = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -93,99 +94,143 @@ def _inherited(tag: str, own: float, above: float) -> float:
 
 
 class Block:
-    __slots__ = ("text", "tag", "parent", "path", "evidence", "links")
+    """A run of text: its element, the element's parent, and how many elements lie between it and the block before."""
 
-    def __init__(self, text, tag, parent, path, evidence, links):
-        self.text, self.tag, self.parent, self.path, self.evidence, self.links = text, tag, parent, path, evidence, links
+    __slots__ = ("text", "tag", "parent", "apart", "evidence", "links")
+
+    def __init__(self, text, tag, parent, apart, evidence, links):
+        self.text, self.tag, self.parent, self.apart, self.evidence, self.links = text, tag, parent, apart, evidence, links
+
+
+class _Open:
+    """An element that hasn't ended yet: ``block`` and ``wall`` are the places of the nearest block element, and of the nearest block or unseen one."""
+
+    __slots__ = ("tag", "number", "evidence", "inside", "unseen", "block", "wall", "depth")
+
+    def __init__(self, tag, number, evidence, inside, unseen, block, wall, depth):
+        self.tag, self.number, self.evidence, self.inside, self.unseen, self.block, self.wall, self.depth = tag, number, evidence, inside, unseen, block, wall, depth
+
+
+def _tags(page: str):
+    """(start, stop, closing, name, attributes) of each tag, without a name for a comment or the like; nothing behind the last > is searched again and again.
+
+    What is sent back is where to go on.
+    """
+    at, last = 0, page.rfind(">")
+    while at <= last:
+        m = _TOKEN.search(page, at, last + 1)
+        if m is None:
+            break
+        closing, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        at = m.end()
+        if page.startswith("<!--", m.start()) and not page.endswith("-->", m.start() + 4, at):
+            at = len(page)  # a comment without an end
+        jump = yield m.start(), at, closing, name, attributes
+        if jump is not None:
+            at = jump
+    # No tag can end any more; what a comment opens goes to the end.
+    m = _OPENS.search(page, max(at, last + 1))
+    if m:
+        yield m.start(), len(page), "", None, ""
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of text in order, with where they stand."""
+    """The page's blocks of text in order, with where they stand; linear in the page."""
     out: list[Block] = []
-    # (tag, number, evidence, inside content, unseen)
-    stack: list[tuple[str, int, float, bool, bool]] = [("", 0, 0.0, False, False)]
+    stack = [_Open("", 0, 0.0, False, False, 0, 0, 0)]
+    places: dict[str, list[int]] = {}  # of open elements, by name
     count, links, pieces, link_chars = 0, 0, [], 0
+    lowest, depth_before = 0, 0  # the least depth since the last block, and that block's depth
 
     def flush() -> None:
-        nonlocal pieces, link_chars
+        nonlocal pieces, link_chars, lowest, depth_before
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                chain = [e for e in stack if e[0] in BLOCK_TAGS or not e[0]]
-                parent = chain[-2] if len(chain) > 1 else chain[-1]
-                out.append(Block(text, chain[-1][0], parent[1], tuple(e[1] for e in chain), stack[-1][2], min(1.0, link_chars / len(text))))
+                own = stack[stack[-1].block]
+                parent = stack[stack[own.block - 1].block] if own.block else own
+                low = min(lowest, own.depth)
+                out.append(Block(text, own.tag, parent.number, own.depth + depth_before - 2 * low, stack[-1].evidence, min(1.0, link_chars / len(text))))
+                lowest = depth_before = own.depth
         pieces, link_chars = [], 0
 
     def text(raw: str) -> None:
         nonlocal link_chars
-        if raw and not stack[-1][4]:
+        if raw and not stack[-1].unseen:
             raw = html.unescape(raw) if "&" in raw else raw
             pieces.append(raw)
             if links:
                 link_chars += len(raw.strip())
 
-    at, size, lower = 0, len(page), None
-    for_match = _TOKEN.search
-    while at < size:
-        m = for_match(page, at)
-        if m is None:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            continue
-        tag = tag.lower()
-        if not closing and tag in RAW_TAGS:
-            if not attributes.endswith("/"):
-                lower = page.lower() if lower is None else lower
-                if len(lower) != size:  # lower-casing changed lengths: search without it
-                    end = re.compile(f"</{tag}", re.I).search(page, at)
-                    end = end.start() if end else -1
+    def end(k: int) -> None:
+        """Elements from place k on end."""
+        nonlocal lowest
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
+        lowest = min(lowest, stack[-1].depth)
+
+    at, size, lower, found = 0, len(page), None, _tags(page)
+    tag_at = next(found, None)
+    while tag_at is not None:
+        start, stop, closing, tag, attributes = tag_at
+        text(page[at:start])
+        at, jump = stop, None
+        if tag:
+            tag = tag.lower()
+            if not closing and tag in RAW_TAGS:
+                if not attributes.endswith("/"):
+                    lower = page.lower() if lower is None else lower
+                    if len(lower) != size:  # lower-casing changed lengths: search without it
+                        close = re.compile(f"</{tag}", re.I).search(page, at)
+                        close = close.start() if close else -1
+                    else:
+                        close = lower.find(f"</{tag}", at)
+                    at = jump = size if close < 0 else (page.find(">", close) + 1 or size)
+            else:
+                unseen = stack[-1].unseen
+                if tag in BLOCK_TAGS and not unseen:
+                    flush()
+                elif tag == "br":
+                    pieces.append(" ")
+                if closing:
+                    if tag == "a":
+                        links = max(0, links - 1)
+                    k = places[tag][-1] if places.get(tag) else 0
+                    # An inline end tag doesn't close blocks.
+                    if k and (tag in BLOCK_TAGS or tag in UNSEEN_TAGS or k > stack[-1].block):
+                        if unseen and tag in BLOCK_TAGS and not stack[k].unseen:
+                            while stack[-1].unseen:  # never ended
+                                end(len(stack) - 1)
+                            flush()
+                        end(k)
                 else:
-                    end = lower.find(f"</{tag}", at)
-                at = size if end < 0 else (page.find(">", end) + 1 or size)
-            continue
-        unseen = stack[-1][4]
-        if tag in BLOCK_TAGS and not unseen:
-            flush()
-        elif tag == "br":
-            pieces.append(" ")
-        if closing:
-            if tag == "a":
-                links = max(0, links - 1)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if unseen and tag in BLOCK_TAGS and not stack[k][4]:
-                        while stack[-1][4]:  # never ended
-                            stack.pop()
-                        flush()
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK_TAGS and tag not in BLOCK_TAGS and tag not in UNSEEN_TAGS:
-                    break  # an inline end tag doesn't close blocks
-            continue
-        if tag == "a":
-            links += 1
-        if tag in VOID_TAGS or attributes.endswith("/"):
-            continue
-        if ends := IMPLIED_END.get(tag):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ends:
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK_TAGS or stack[k][0] in UNSEEN_TAGS:
-                    break
-        elif tag in BLOCK_TAGS and stack[-1][0] == "p":
-            stack.pop()
-        above = stack[-1]
-        own = _evidence(tag, attributes, above[3]) if tag != "body" and tag != "html" else 0.0
-        count += 1
-        if tag in BLOCK_TAGS or own:
-            stack.append((tag, count, _inherited(tag, own, above[2]), above[3] or tag in CONTENT_TAGS, above[4] or tag in UNSEEN_TAGS))
-    while stack[-1][4]:
-        stack.pop()
+                    if tag == "a":
+                        links += 1
+                    if tag not in VOID_TAGS and not attributes.endswith("/"):
+                        if ends := IMPLIED_END.get(tag):
+                            if stack[stack[-1].wall].tag in ends:
+                                end(stack[-1].wall)
+                        elif tag in BLOCK_TAGS and stack[-1].tag == "p":
+                            end(len(stack) - 1)
+                        above = stack[-1]
+                        own = _evidence(tag, attributes, above.inside) if tag != "body" and tag != "html" else 0.0
+                        count += 1
+                        if tag in BLOCK_TAGS or own:
+                            place, is_block = len(stack), tag in BLOCK_TAGS
+                            places.setdefault(tag, []).append(place)
+                            stack.append(
+                                _Open(
+                                    tag, count, _inherited(tag, own, above.evidence), above.inside or tag in CONTENT_TAGS, above.unseen or tag in UNSEEN_TAGS,
+                                    place if is_block else above.block, place if is_block or tag in UNSEEN_TAGS else above.wall, above.depth + is_block,
+                                )
+                            )
+        try:
+            tag_at = found.send(jump)
+        except StopIteration:
+            tag_at = None
+    text(page[at:])
+    while stack[-1].unseen:
+        end(len(stack) - 1)
     flush()
     return out
 
@@ -246,13 +291,7 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for k, b in enumerate(blocks):
         if k:
-            a = blocks[k - 1]
-            common = 0
-            for p, q in zip(a.path, b.path):
-                if p != q:
-                    break
-                common += 1
-            out.append((k - 1, k, ADJACENT / (1 + len(a.path) + len(b.path) - 2 * common)))
+            out.append((k - 1, k, ADJACENT / (1 + b.apart)))
         if (j := last.get(b.parent)) is not None:
             out.append((j, k, SIBLING))
         last[b.parent] = k
@@ -285,37 +324,73 @@ def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[
             near[k] = {}
     left = [k for k in range(n) if label[k] is None]
     if left:
-        flow = [dict(near[k]) for k in left]
         place = {k: i for i, k in enumerate(left)}
-        flow = [{place[j]: w for j, w in f.items()} for f in flow]
-        source, sink = len(left), len(left) + 1
-        flow += [{}, {}]
-        for i, k in enumerate(left):
-            a, b = (source, i) if gain[k] > 0 else (i, sink)
-            flow[a][b] = abs(gain[k])
-            flow[b].setdefault(a, 0.0)
+        own = [gain[k] for k in left]
+        for k, content in zip(left, _source_side(own, [(place[k], place[j], w) for k in left for j, w in near[k].items() if k < j])):
+            label[k] = content
+    return [bool(x) for x in label]
+
+
+def _source_side(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """Which nodes the source still reaches after a maximum flow: shortest augmenting paths, all of one length at a time."""
+    n = len(gain)
+    source, sink = n, n + 1
+    out: list[list[int]] = [[] for _ in range(n + 2)]  # numbers of arcs; arc e ^ 1 goes back
+    to: list[int] = []
+    room: list[float] = []
+
+    def arc(a: int, b: int, there: float, back: float) -> None:
+        out[a].append(len(to))
+        out[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((there, back))
+
+    for k, g in enumerate(gain):
+        if g > 0:
+            arc(source, k, g, 0.0)
+        elif g < 0:
+            arc(k, sink, -g, 0.0)
+    for a, b, w in edges:
+        arc(a, b, w, w)
+    while True:
+        level = [-1] * (n + 2)
+        level[source] = 0
+        queue = deque([source])
+        while queue:
+            a = queue.popleft()
+            if level[sink] >= 0 and level[a] >= level[sink]:
+                break
+            for e in out[a]:
+                if room[e] > 1e-12 and level[to[e]] < 0:
+                    level[to[e]] = level[a] + 1
+                    queue.append(to[e])
+        if level[sink] < 0:
+            return [level[k] >= 0 for k in range(n)]
+        following = [0] * (n + 2)
+        path: list[int] = []
+        a = source
         while True:
-            before = {source: source}
-            queue = deque([source])
-            while queue and sink not in before:
-                a = queue.popleft()
-                for b, w in flow[a].items():
-                    if w > 1e-12 and b not in before:
-                        before[b] = a
-                        queue.append(b)
-            if sink not in before:
+            if a == sink:
+                most = min(room[e] for e in path)
+                for k, e in enumerate(path):
+                    room[e] -= most
+                    room[e ^ 1] += most
+                full = next(k for k, e in enumerate(path) if room[e] <= 1e-12)
+                a = to[path[full] ^ 1]
+                del path[full:]
+                continue
+            arcs, k = out[a], following[a]
+            while k < len(arcs) and not (room[arcs[k]] > 1e-12 and level[to[arcs[k]]] == level[a] + 1):
+                k += 1
+            following[a] = k
+            if k < len(arcs):
+                path.append(arcs[k])
+                a = to[arcs[k]]
+            elif path:
+                a = to[path.pop() ^ 1]
+                following[a] += 1
+            else:
                 break
-            path, b = [], sink
-            while b != source:
-                path.append((before[b], b))
-                b = before[b]
-            most = min(flow[a][b] for a, b in path)
-            for a, b in path:
-                flow[a][b] -= most
-                flow[b][a] = flow[b].get(a, 0.0) + most
-        for i, k in enumerate(left):
-            label[k] = i in before
-    return [bool(x) for x in label]
 
 
 def main_text(page: str, weights: np.ndarray) -> str:
