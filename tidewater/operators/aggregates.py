@@ -19,7 +19,7 @@ def feed_health(polls: DataFrame, source: str = "source", at: str = "polled_at",
 
 def failing_feeds(polls: DataFrame, now: Column, limits: DataFrame, source: str = "source") -> DataFrame:
     """Sources without a good poll inside their own limit (``limits``: source, minutes)."""
-    rows = feed_health(polls, source).join(F.broadcast(limits), source)
+    rows = feed_health(polls, source).join(limits, source)
     late = F.unix_timestamp(now) - F.unix_timestamp("last_ok") > F.col("minutes") * 60
     return rows.filter(F.col("last_ok").isNull() | late)
 
@@ -156,3 +156,55 @@ def inversions(rows: DataFrame, order: str, value: str) -> DataFrame:
     """Neighbouring bands where the higher one scored less."""
     back = Window.orderBy(order)  # a handful of bands
     return rows.withColumn("below", F.lag(value).over(back)).filter(F.col(value) < F.col("below"))
+
+
+def tier_histogram(rows: DataFrame, tier: Column, *keys: str) -> DataFrame:
+    """Rows by tier and keys."""
+    return rows.groupBy(tier.alias("tier"), *keys).agg(F.count("*").alias("n"))
+
+
+def groups_of(rows: DataFrame, key: str, kind: str, least: int) -> DataFrame:
+    """(key, kinds, n) of keys with enough rows."""
+    return rows.groupBy(key).agg(F.countDistinct(kind).alias("kinds"), F.count("*").alias("n")).filter(F.col("n") >= least)
+
+
+def failure_histogram(rows: DataFrame, kind: str, failures: Sequence[str]) -> DataFrame:
+    """Failures by kind, most frequent first."""
+    return rows.filter(F.col(kind).isin(list(failures))).groupBy(kind).agg(F.count("*").alias("n")).orderBy(F.desc("n"), kind)
+
+
+def share_by(rows: DataFrame, key: Column, part: Column) -> DataFrame:
+    """(key, share): rows for which ``part`` holds over all of the key's rows."""
+    return rows.groupBy(key.alias("key")).agg(F.try_divide(F.count_if(part), F.count("*")).alias("share"))
+
+
+def hubness(rows: DataFrame, entity: str, event: str) -> DataFrame:
+    """In how many events each entity takes part."""
+    return rows.groupBy(F.col(entity).alias("entity")).agg(F.countDistinct(event).alias("events"))
+
+
+def entity_sets(rows: DataFrame, event: str, entity: str) -> DataFrame:
+    """Each event's entities, once each, in order."""
+    return rows.groupBy(F.col(event).alias("event")).agg(F.array_sort(F.collect_set(entity)).alias("entities"))
+
+
+def slot_counts(rows: DataFrame, start: str, seconds: int, marked: Column, least: int) -> DataFrame:
+    """Every slot from the first to the last, also without rows: items, marked ones, and whether there are too few."""
+    counts = rows.groupBy(start).agg(F.count("*").alias("items"), F.count_if(marked).alias("marked"))
+    spine = counts.agg(F.min(start).alias("_lo"), F.max(start).alias("_hi")).select(F.explode(F.sequence("_lo", "_hi", F.lit(seconds).cast("long"))).alias(start))
+    return spine.join(counts, start, "left").fillna(0, ["items", "marked"]).withColumn("skipped", F.col("items") < least)
+
+
+def adjudication_counts(rows: DataFrame, decision: str, same: str) -> DataFrame:
+    """Decisions for the same, of all."""
+    return rows.agg(F.count_if(F.col(decision) == same).alias("same"), F.count("*").alias("n"))
+
+
+def percentiles(rows: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(keys, cuts): a value's percentiles by linear interpolation, exact."""
+    return rows.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(float(s)) for s in shares])).alias("cuts"))
+
+
+def discrete_percentile(rows: DataFrame, keys: Sequence[str], value: str, share: float) -> DataFrame:
+    """the least value that at least the share of rows doesn't exceed."""
+    return rows.groupBy(*keys).agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY `{value}`)").alias("cut"))

@@ -28,7 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(id, component) for every vertex with an edge; the component is its smallest vertex.
+    """(id, component) for every vertex with an edge; the component is its smallest vertex.
 
     Each round a vertex takes the smallest label among its neighbours, then the label of
     its label, so the rounds grow with the logarithm of the longest path.  Null ends are
@@ -48,6 +48,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         labels = moved.select("id", F.col("new").alias("label"))
 
 
+def merge_count(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """How many merges the edges make: vertices less components."""
+    return connected_components(edges, src, dst).agg((F.count("*") - F.countDistinct("component")).alias("merges"))
+
+
 def component_sizes(vertices: DataFrame, edges: DataFrame, vertex: str = "id") -> DataFrame:
     """(component, size), vertices without an edge included."""
     found = connected_components(edges)

@@ -169,8 +169,8 @@ def trigram_top_k(queries: DataFrame, candidates: DataFrame, query_id: str, cand
 
 
 def lookup_with_default(rows: DataFrame, table: DataFrame, on: str, value: str, default: str, out: str) -> DataFrame:
-    """A small lookup table; unknown keys get the default."""
-    return rows.join(F.broadcast(table.select(on, F.col(value).alias("_v"))), on, "left").withColumn(out, F.coalesce("_v", F.lit(default))).drop("_v")
+    """A lookup by a unique key; unknown keys get the default.  Spark broadcasts the table if it knows it to be small."""
+    return rows.join(table.select(on, F.col(value).alias("_v")), on, "left").withColumn(out, F.coalesce("_v", F.lit(default))).drop("_v")
 
 
 def best_match_by_keys(rows: DataFrame, keys: Column, table: DataFrame, table_keys: Column, order: Sequence[Column], row_id: str) -> DataFrame:
@@ -223,3 +223,39 @@ def nearest_in_time(anchors: DataFrame, rows: DataFrame, key: str, at: str, row_
     """Each anchor's n nearest rows of its key by distance in time, then id."""
     near = Window.partitionBy(key, "anchor").orderBy(F.abs(F.unix_timestamp(at) - F.unix_timestamp(row_at)), row_id)
     return anchors.join(rows, key).withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= n)
+
+
+def windowed_items(items: DataFrame, outlets: DataFrame, on: Column, at: str, until: Column, hours: int) -> DataFrame:
+    """Items of the hours up to a time, with their outlet; the time itself counts, the far end doesn't."""
+    near = items.filter((F.col(at) > until - F.make_dt_interval(hours=F.lit(hours))) & (F.col(at) <= until))
+    return near.join(outlets, on)
+
+
+def day_bucket_counts(items: DataFrame, outlet: str, at: str, now: Column) -> DataFrame:
+    """(outlet, ago, n): items by outlet and whole days before now."""
+    ago = F.floor((F.unix_timestamp(now) - F.unix_timestamp(at)) / 86400)
+    return items.groupBy(F.col(outlet).alias("outlet"), ago.alias("ago")).agg(F.count("*").alias("n"))
+
+
+def pair_list(pairs: DataFrame, rows: DataFrame, item: str, values: Sequence[str]) -> DataFrame:
+    """Pairs (a, b) with both sides' values, as ``{value}_a`` and ``{value}_b``; a pair with an unknown side goes."""
+    for side in ("a", "b"):
+        pairs = pairs.join(rows.select(F.col(item).alias(side), *[F.col(v).alias(f"{v}_{side}") for v in values]), side)
+    return pairs
+
+
+def aligned(left: DataFrame, right: DataFrame, key: str, at: str) -> DataFrame:
+    """Two series of a key where both have the day."""
+    return left.join(right, [key, at])
+
+
+def latest_with_default(base: DataFrame, rows: DataFrame, key: str, order: Sequence[str], value: str, default: str) -> DataFrame:
+    """Each base row with its key's last value, or the default where there is none; rows of one order tie by their value."""
+    last = rows.groupBy(key).agg(F.max_by(value, F.struct(*order, value)).alias("_v"))
+    return base.join(last, key, "left").withColumn(value, F.coalesce("_v", F.lit(default))).drop("_v")
+
+
+def of_top_keys(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """Rows of the k keys with most rows, the smaller key first on a tie."""
+    top = rows.groupBy(key).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), key).limit(k)
+    return rows.join(F.broadcast(top.select(key)), key, "left_semi")  # k rows

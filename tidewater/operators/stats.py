@@ -23,6 +23,11 @@ def rank_ic(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     return pearson(ranked, keys, "_rx", "_ry", "ic")
 
 
+def yearly_ic(rows: DataFrame, at: str, x: str, y: str) -> DataFrame:
+    """(year, n, ic): rank correlation by calendar year."""
+    return rank_ic(rows.withColumn("year", F.year(at)), ["year"], x, y)
+
+
 def hit_rate(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Share of pairs with equal signs, over pairs without a zero; null if there are none."""
     real = (F.col(x) != 0) & (F.col(y) != 0)

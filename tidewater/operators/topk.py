@@ -22,7 +22,14 @@ def top_k_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 def capped_sample(rows: DataFrame, used: DataFrame, order: Sequence[Column], cap: int) -> DataFrame:
     """As many first rows as the cap leaves after what is used (``used``: one row n); each task keeps its own first rows."""
-    return rows.orderBy(*order).limit(max(0, cap - used.first()["n"]))
+    first = rows.orderBy(*order).limit(cap)
+    placed = first.withColumn("_r", F.row_number().over(Window.orderBy(*order)))  # at most cap rows
+    return placed.crossJoin(F.broadcast(used.select(F.col("n").alias("_used")))).filter(F.col("_r") <= F.lit(cap) - F.col("_used")).drop("_r", "_used")  # one row
+
+
+def newest_run(rows: DataFrame, at: str, tie: str) -> DataFrame:
+    """The one row with the latest time, the largest ``tie`` of several."""
+    return rows.orderBy(F.desc(at), F.desc(tie)).limit(1)
 
 
 def chunked(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], size: int) -> DataFrame:
@@ -87,6 +94,11 @@ def reserved_slots(candidates: DataFrame, key: str, ranks: Sequence[str], slots:
     return candidates.groupBy(key).applyInPandas(fill, schema)
 
 
+def collapsed_headlines(rows: DataFrame, title: Column, item: str) -> DataFrame:
+    """(title, first, n): equal headlines as one, with the smallest item."""
+    return rows.groupBy(title.alias("title")).agg(F.min(item).alias("first"), F.count("*").alias("n"))
+
+
 def first_occurrences(rows: DataFrame, value: str, position: str) -> DataFrame:
     """Distinct values with where they first stood."""
     return rows.groupBy(value).agg(F.min(position).alias(position))

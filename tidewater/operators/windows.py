@@ -137,10 +137,13 @@ def token_bucket(rows: DataFrame, key: str, order: str, accrued: str, spent: str
 
 
 def temporal_split(rows: DataFrame, keys: Sequence[str], order: Sequence[str], share: float) -> DataFrame:
-    """``part`` is discovery for the first int(n * share) rows by ``order``, else holdout."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    n = F.count("*").over(Window.partitionBy(*keys))
-    return rows.withColumn("part", F.when(at <= F.floor(n * share), "discovery").otherwise("holdout"))
+    """``part`` is discovery for the first int(n * share) rows by ``order``, else holdout; without keys over all rows, by ``global_rank``."""
+    if keys:
+        rows = rows.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    else:
+        placed = global_rank(rows, [F.col(c) for c in order], "_pos")
+        rows = placed.crossJoin(F.broadcast(placed.agg(F.count("*").alias("_n"))))  # one row
+    return rows.withColumn("part", F.when(F.col("_pos") <= F.floor(F.col("_n") * share), "discovery").otherwise("holdout")).drop("_pos", "_n")
 
 
 def global_rank(rows: DataFrame, order: Sequence[Column], out: str = "rank") -> DataFrame:

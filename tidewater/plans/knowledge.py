@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.functions.scalars import NOISE_WORDS
-from tidewater.operators import knowledge, stats
+from tidewater.operators import aggregates, knowledge, stats
 from tidewater.plans.catalog import query, table
 from tidewater.plans.relational import GRAMS
 from tidewater.plans.views import view
@@ -37,11 +37,11 @@ def j28(spark, d):
     return knowledge.wall_start(e).select("window_id", F.unix_timestamp("start").alias("start"))
 
 
-@query("j29_claimed_since", """WITH l AS (SELECT max(t) AS t FROM (SELECT max(ts) AS t FROM events WHERE event_type = 'purchase' AND event_id % 1000 = 0 UNION ALL SELECT max(ts) FROM events WHERE event_type = 'view' AND event_id % 700 = 0))
+@query("j29_claimed_since", """WITH l AS (SELECT max(t) AS t FROM (SELECT max(ts) AS t FROM events WHERE event_type = 'purchase' AND value > 90 UNION ALL SELECT max(ts) FROM events WHERE event_type = 'view' AND value > 95))
   SELECT DISTINCT user_id AS window_id FROM events, l WHERE event_type = 'click' AND (t IS NULL OR ts > t)""")
 def j29(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").alias("window_id"), F.col("ts").alias("at"), F.when(F.col("event_type") == "click", "open").otherwise(F.col("event_type")).alias("kind"), "event_id")
-    return knowledge.claimed_since(e, [e.filter("kind = 'purchase' AND event_id % 1000 = 0"), e.filter("kind = 'view' AND event_id % 700 = 0")])
+    e = table(spark, d, "events").select(F.col("user_id").alias("window_id"), F.col("ts").alias("at"), F.when(F.col("event_type") == "click", "open").otherwise(F.col("event_type")).alias("kind"), "value")
+    return knowledge.claimed_since(e, [e.filter("kind = 'purchase' AND value > 90"), e.filter("kind = 'view' AND value > 95")])
 
 
 @query("j42_daily_move", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN round((o_totalprice * 1.01 - (o_totalprice - 100000)) / (o_totalprice - 100000) * 100, 2) END AS move FROM orders")
@@ -61,8 +61,7 @@ def j43(spark, d):
 @query("a27_yearly_ic", """WITH p AS (SELECT year(l_shipdate) AS y, l_quantity AS a, l_extendedprice AS b FROM lineitem), r AS (SELECT y, rank() OVER (PARTITION BY y ORDER BY a) + (count(*) OVER (PARTITION BY y, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY y ORDER BY b) + (count(*) OVER (PARTITION BY y, b) - 1) / 2.0 AS rb FROM p)
   SELECT CAST(y AS INT) AS year, count(*) AS n, round((avg(ra * rb) - avg(ra) * avg(rb)) / (stddev_pop(ra) * stddev_pop(rb)), 6) AS ic FROM r GROUP BY 1""")
 def a27(spark, d):
-    rows = table(spark, d, "lineitem").withColumn("year", F.year("l_shipdate"))
-    return stats.rank_ic(rows, ["year"], "l_quantity", "l_extendedprice").select("year", "n", F.round("ic", ROUND).alias("ic"))
+    return stats.yearly_ic(table(spark, d, "lineitem"), "l_shipdate", "l_quantity", "l_extendedprice").select("year", "n", F.round("ic", ROUND).alias("ic"))
 
 
 @query("a28_trend", "SELECT user_id, arg_max(value, ts) AS latest, round(avg(value), 8) AS mean, count(*) AS n, round(arg_max(value, ts) - avg(value), 8) AS delta FROM events GROUP BY 1")
@@ -83,7 +82,7 @@ def a37(spark, d):
 
 @query("a38_adjudications", "SELECT count(*) FILTER (WHERE l_returnflag = 'R') AS same, count(*) AS n FROM lineitem")
 def a38(spark, d):
-    return table(spark, d, "lineitem").agg(F.count_if(F.col("l_returnflag") == "R").alias("same"), F.count("*").alias("n"))
+    return aggregates.adjudication_counts(table(spark, d, "lineitem"), "l_returnflag", "R")
 
 
 @query("a46_run_agreement", """WITH r AS (SELECT l_orderkey AS item, list_sort(list(DISTINCT l_returnflag)) AS a, list_sort(list(DISTINCT l_linestatus)) AS b FROM lineitem GROUP BY 1) SELECT count(*) AS items, count(*) FILTER (WHERE a = b) AS same_1 FROM r""")

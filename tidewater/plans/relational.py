@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import joins, stats, windows
+from tidewater.operators import joins, stats, topk, windows
 from tidewater.plans.catalog import query, table
 from tidewater.plans.views import sql_with, view
 
@@ -135,13 +135,13 @@ def w17(spark, d):
 
 @query("w18_newest_run", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
 def w18(spark, d):
-    return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(1).select("event_id", "event_type")
+    return topk.newest_run(table(spark, d, "events"), "ts", "event_id").select("event_id", "event_type")
 
 
 @query("w19_temporal_split", sql_with("v_sentiment") + """, s AS (SELECT key, date, CASE WHEN row_number() OVER (ORDER BY date, key) <= floor(count(*) OVER () * 0.5) THEN 'discovery' ELSE 'holdout' END AS part FROM v_sentiment)
   SELECT key, part, count(*) AS n FROM s GROUP BY 1, 2""")
 def w19(spark, d):
-    got = windows.temporal_split(view(spark, d, "v_sentiment").withColumn("all", F.lit(0)), ["all"], ["date", "key"], 0.5)
+    got = windows.temporal_split(view(spark, d, "v_sentiment"), [], ["date", "key"], 0.5)
     return got.groupBy("key", "part").agg(F.count("*").alias("n"))
 
 
@@ -149,15 +149,13 @@ def w19(spark, d):
 
 @query("j01_window_items", f"SELECT event_id, c_name, {_secs('ts')} AS at FROM events JOIN customer ON user_id = c_custkey WHERE ts > TIMESTAMP '2024-01-13' AND ts <= TIMESTAMP '2024-01-15'")
 def j01(spark, d):
-    as_of = F.lit("2024-01-15").cast("timestamp_ntz")
-    items = table(spark, d, "events").filter((F.col("ts") > as_of - F.expr("INTERVAL 48 HOURS")) & (F.col("ts") <= as_of))
-    return items.join(table(spark, d, "customer"), F.col("user_id") == F.col("c_custkey")).select("event_id", "c_name", F.unix_timestamp("ts").alias("at"))
+    got = joins.windowed_items(table(spark, d, "events"), table(spark, d, "customer"), F.col("user_id") == F.col("c_custkey"), "ts", F.lit("2024-01-15").cast("timestamp_ntz"), 48)
+    return got.select("event_id", "c_name", F.unix_timestamp("ts").alias("at"))
 
 
 @query("j02_day_buckets", "SELECT user_id AS outlet, CAST(floor((epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts))) / 86400) AS BIGINT) AS ago, count(*) AS n FROM events GROUP BY 1, 2")
 def j02(spark, d):
-    now = F.unix_timestamp(F.lit("2024-02-01").cast("timestamp_ntz"))
-    return table(spark, d, "events").groupBy(F.col("user_id").alias("outlet"), F.floor((now - F.unix_timestamp("ts")) / 86400).alias("ago")).agg(F.count("*").alias("n"))
+    return joins.day_bucket_counts(table(spark, d, "events"), "user_id", "ts", F.lit("2024-02-01").cast("timestamp_ntz"))
 
 
 @query("j03_left_join_on_version", "SELECT count(*) AS n, count(l_linenumber) AS done FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 7 WHERE l_linenumber IS NULL OR o_orderstatus = 'F'")
@@ -206,13 +204,12 @@ def j09(spark, d):
     return joins.with_later(e, polls, "source", "ts", "polled_at").groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("j11_pair_list", """SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_name = b.p_name AS same FROM (SELECT unnest(range(1, 50)) AS x, unnest(range(51, 100)) AS y)
+@query("j11_pair_list", """SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_name = b.p_name AS same FROM (SELECT DISTINCT l_partkey AS x, l_orderkey % 1000 AS y FROM lineitem)
   JOIN part a ON a.p_partkey = x JOIN part b ON b.p_partkey = y""")
 def j11(spark, d):
-    pairs = spark.range(1).select(F.explode(F.arrays_zip(F.sequence(F.lit(1), F.lit(49)).alias("a"), F.sequence(F.lit(51), F.lit(99)).alias("b"))).alias("p")).select("p.a", "p.b")
-    part = table(spark, d, "part").select("p_partkey", "p_name")
-    a, b = part.select(F.col("p_partkey").cast("int").alias("a"), F.col("p_name").alias("na")), part.select(F.col("p_partkey").cast("int").alias("b"), F.col("p_name").alias("nb"))
-    return pairs.join(a, "a").join(b, "b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), (F.col("na") == F.col("nb")).alias("same"))
+    pairs = table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_orderkey") % 1000).alias("b")).distinct()
+    got = joins.pair_list(pairs, table(spark, d, "part"), "p_partkey", ["p_name"])
+    return got.select("a", "b", (F.col("p_name_a") == F.col("p_name_b")).alias("same"))
 
 
 @query("j12_candidate_pool", """WITH f AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_suppkey IN (1, 2, 3))
@@ -250,12 +247,13 @@ def j16(spark, d):
     return got.join(ids, ["source", "at"]).select("event_id", F.round("overlap", ROUND).alias("overlap"))
 
 
-ASOF = sql_with("v_prices") + """, l AS (SELECT o_orderkey AS id, o_orderpriority AS key, CAST(o_orderdate AS DATE) + 3 AS date FROM orders), r AS (SELECT * FROM v_prices WHERE day(date) % 5 = 0)"""
+ASOF = sql_with("v_prices") + """, l AS (SELECT o_orderkey AS id, o_orderpriority AS key, CAST(o_orderdate AS DATE) + 3 AS date FROM orders), r AS (SELECT o_orderpriority AS key, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS close FROM orders WHERE o_orderstatus = 'P' GROUP BY 1, 2)"""
 
 
 def _asof_sides(spark, d):
     left = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("key"), F.date_add(F.to_date("o_orderdate"), 3).alias("date"))
-    return left, view(spark, d, "v_prices").filter("day(date) % 5 = 0")
+    right = table(spark, d, "orders").filter("o_orderstatus = 'P'").groupBy(F.col("o_orderpriority").alias("key"), F.to_date("o_orderdate").alias("date")).agg(F.max("o_totalprice").alias("close"))
+    return left, right
 
 
 @query("j17_asof_backward", ASOF + " SELECT l.id, r.date AS value_at, r.close AS value FROM l ASOF LEFT JOIN r ON l.key = r.key AND l.date >= r.date")
@@ -288,26 +286,24 @@ def j20(spark, d):
   SELECT s.key, s.date, s.value, round(f.fwd, 6) AS forward FROM v_sentiment s JOIN f USING (key, date) WHERE f.fwd IS NOT NULL""")
 def j21(spark, d):
     fwd = windows.forward_returns(view(spark, d, "v_prices"), "key", "date", "close", [5])
-    return view(spark, d, "v_sentiment").join(fwd, ["key", "date"]).select("key", "date", "value", F.round("forward", ROUND).alias("forward"))
+    return joins.aligned(view(spark, d, "v_sentiment"), fwd, "key", "date").select("key", "date", "value", F.round("forward", ROUND).alias("forward"))
 
 
-@query("j22_lookup_default", "SELECT coalesce(n_name, 'unknown') AS nation, count(*) AS n FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 10) ON n_nationkey = c_nationkey GROUP BY 1")
+@query("j22_lookup_default", "SELECT coalesce(n_name, 'unknown') AS nation, count(*) AS n FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey + 3 GROUP BY 1")
 def j22(spark, d):
-    nations = table(spark, d, "nation").filter("n_nationkey < 10").withColumnRenamed("n_nationkey", "c_nationkey")
+    nations = table(spark, d, "nation").select((F.col("n_nationkey") - 3).alias("c_nationkey"), "n_name")
     return joins.lookup_with_default(table(spark, d, "customer"), nations, "c_nationkey", "n_name", "unknown", "nation").groupBy("nation").agg(F.count("*").alias("n"))
 
 
 @query("j25_latest_with_default", """SELECT c_custkey, coalesce(arg_max(o_orderstatus, o_orderkey), 'none') AS status FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def j25(spark, d):
-    last = windows.latest_per_key(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus"), ["c_custkey"], ["o_orderkey"])
-    return table(spark, d, "customer").select("c_custkey").join(last, "c_custkey", "left").select("c_custkey", F.coalesce("o_orderstatus", F.lit("none")).alias("status"))
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.col("o_orderstatus").alias("status"))
+    return joins.latest_with_default(table(spark, d, "customer").select("c_custkey"), orders, "c_custkey", ["o_orderkey"], "status", "none")
 
 
 @query("j30_in_top_runs", """SELECT event_type, count(*) AS n FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 ORDER BY count(*) DESC, user_id LIMIT 5) GROUP BY 1""")
 def j30(spark, d):
-    e = table(spark, d, "events")
-    top = e.groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(5)
-    return e.join(F.broadcast(top.select("user_id")), "user_id", "left_semi").groupBy("event_type").agg(F.count("*").alias("n"))
+    return joins.of_top_keys(table(spark, d, "events"), "user_id", 5).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("j33_dictionary_hits", """WITH f AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS form FROM part),
@@ -359,7 +355,11 @@ def l03(spark, d):
     return stats.hit_rate(pairs, ["key"], "x", "forward").select("key", F.round("hit_rate", ROUND).alias("hit_rate"), "n")
 
 
-@query("l04_backtest")
+@query("l04_backtest", sql_with("v_prices", "v_sentiment") + """, z AS (SELECT key, date, coalesce((value - avg(value) OVER (PARTITION BY key)) / nullif(CASE WHEN stddev_pop(value) OVER (PARTITION BY key) > 1e-12 THEN stddev_pop(value) OVER (PARTITION BY key) END, 0), 0) AS z FROM v_sentiment),
+  f AS (SELECT key, date, h AS horizon, lead(close, h) OVER (PARTITION BY key, h ORDER BY date) / close - 1 AS fwd FROM v_prices, (VALUES (1), (3), (5), (10)) t(h) WHERE close <> 0),
+  p AS (SELECT horizon, z, fwd, CASE WHEN row_number() OVER (PARTITION BY horizon ORDER BY date, key) <= floor(count(*) OVER (PARTITION BY horizon) * 0.5) THEN 'discovery' ELSE 'holdout' END AS part FROM z JOIN f USING (key, date) WHERE fwd IS NOT NULL),
+  r AS (SELECT *, rank() OVER (PARTITION BY horizon, part ORDER BY z) + (count(*) OVER (PARTITION BY horizon, part, z) - 1) / 2.0 AS rz, rank() OVER (PARTITION BY horizon, part ORDER BY fwd) + (count(*) OVER (PARTITION BY horizon, part, fwd) - 1) / 2.0 AS rf FROM p)
+  SELECT horizon, part, count(*) AS n, round((avg(rz * rf) - avg(rz) * avg(rf)) / (stddev_pop(rz) * stddev_pop(rf)), 5) AS ic, round(avg((sign(z) = sign(fwd))::INT) FILTER (WHERE z <> 0 AND fwd <> 0), 5) AS hit_rate FROM r GROUP BY 1, 2""")
 def l04(spark, d):
     got = stats.backtest(view(spark, d, "v_sentiment"), view(spark, d, "v_prices"), "key", "date", "value", "close", [1, 3, 5, 10])
     return got.select("horizon", "part", "n", F.round("ic", 5).alias("ic"), F.round("hit_rate", 5).alias("hit_rate"))
@@ -415,10 +415,14 @@ def _labels_agreement(spark, d):
     return stats.agreement(rows, "quality", "toxic", "doc_id")
 
 
-@query("l12_bootstrap_interval")
+_POISSON = " + ".join(f"(u >= {sum(0.36787944117144233 / d for d in (1, 1, 2, 6, 24, 120, 720, 5040)[:k])!r})::INT" for k in range(1, 9))
+
+
+@query("l12_bootstrap_interval", f"""WITH d AS (SELECT quality AS v, rep, ('0x' || substr(md5('20260928|' || doc_id || '|' || rep), 1, 8))::BIGINT / 4294967296.0 AS u FROM labels, range(1, 201) t(rep) WHERE quality IS NOT NULL),
+  m AS (SELECT rep, sum(v * ({_POISSON})) / nullif(sum({_POISSON}), 0) AS m, count(*) AS n FROM d GROUP BY 1) SELECT CASE WHEN max(n) >= 100 THEN round(quantile_cont(m, 0.025), 9) END AS low, CASE WHEN max(n) >= 100 THEN round(quantile_cont(m, 0.975), 9) END AS high FROM m""")
 def l12(spark, d):
     rows = table(spark, d, "labels").select("doc_id", "quality")
-    return stats.bootstrap_interval(rows, "doc_id", "quality", reps=200)
+    return stats.bootstrap_interval(rows, "doc_id", "quality", reps=200).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 @query("l13_mde", """WITH m AS (SELECT count(*) AS m FROM lineitem GROUP BY l_orderkey), e AS (SELECT 1 + (avg(m) * (1 + var_pop(m) / (avg(m) * avg(m))) - 1) * 0.1 AS effect, sum(m) AS s FROM m)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import predicates, scalars
-from tidewater.operators import state
+from tidewater.operators import aggregates, state, topk
 from tidewater.plans.catalog import query, table
 from tidewater.plans.relational import GRAMS
 from tidewater.plans.views import view
@@ -63,15 +63,16 @@ def f08(spark, d):
 @query("f11_f12_f14_percentiles", """WITH v AS (SELECT user_id, list_sort(list(value)) AS v FROM events GROUP BY 1)
   SELECT user_id, v[CAST(round_even(0.3 * (len(v) - 1), 0) AS INT) + 1] AS nearest, round(list_aggregate(v, 'quantile_cont', 0.3), 6) AS linear, list_aggregate(v, 'quantile_disc', 0.3) AS disc FROM v""")
 def f11(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(
-        scalars.nearest_rank(F.collect_list("value"), 0.3).alias("nearest"), F.round(F.percentile("value", 0.3), ROUND).alias("linear"),
-        F.expr("percentile_disc(0.3) WITHIN GROUP (ORDER BY value)").alias("disc"))
+    e = table(spark, d, "events")
+    nearest = e.groupBy("user_id").agg(scalars.nearest_rank(F.collect_list("value"), 0.3).alias("nearest"))
+    linear = aggregates.percentiles(e, ["user_id"], "value", [0.3]).select("user_id", F.round(F.col("cuts")[0], ROUND).alias("linear"))
+    return nearest.join(linear, "user_id").join(aggregates.discrete_percentile(e, ["user_id"], "value", 0.3).withColumnRenamed("cut", "disc"), "user_id")
 
 
 @query("f13_deciles", "SELECT event_type, array_to_string(list_transform(quantile_cont(value, [0.1, 0.5, 0.9]), lambda x: CAST(CAST(round(x * 1000) AS BIGINT) AS VARCHAR)), ' ') AS deciles FROM events GROUP BY 1")
 def f13(spark, d):
-    cuts = F.percentile("value", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return table(spark, d, "events").groupBy("event_type").agg(cuts.alias("c")).select("event_type", F.array_join(F.transform("c", lambda x: F.round(x * 1000).cast("long").cast("string")), " ").alias("deciles"))
+    got = aggregates.percentiles(table(spark, d, "events"), ["event_type"], "value", [0.1, 0.5, 0.9])
+    return got.select("event_type", F.array_join(F.transform("cuts", lambda x: F.round(x * 1000).cast("long").cast("string")), " ").alias("deciles"))
 
 
 @query("f15_f16_buckets", "SELECT event_id, CAST(floor(epoch(ts) / 7200) AS BIGINT) AS bucket, CAST(floor(epoch(ts) / 21600) AS BIGINT) * 21600 AS six FROM events")
@@ -239,8 +240,7 @@ def s61(spark, d):
   SELECT vec_id, round(list_cosine_similarity(v, q), 6) AS score FROM e, q ORDER BY round(list_cosine_similarity(v, q), 9) DESC, vec_id LIMIT 20""")
 def s10(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.filter("vec_id = 0").select("embedding").first()[0]
-    return readers.passages(e, q, 20).withColumn("score", F.round("score", ROUND))
+    return readers.passages(e, e.filter("vec_id = 0").select("embedding"), 20).withColumn("score", F.round("score", ROUND))
 
 
 @query("s18_pending_units", "SELECT CAST(n_nationkey AS VARCHAR) AS ticker, q AS quarter FROM nation, (VALUES ('2020Q1'), ('2020Q2'), (NULL)) t(q) WHERE NOT (n_nationkey % 5 = 0 AND q IS NULL) AND NOT (n_nationkey % 3 = 0 AND q IS NOT DISTINCT FROM '2020Q1')")
@@ -257,9 +257,15 @@ def t03(spark, d):
     return state.pass_liveness(runs, _ntz("2024-02-01"), 30)
 
 
-@query("t06_volume_alerts")
+@query("t06_volume_alerts", """WITH RECURSIVE e AS (SELECT user_id, ts, value, coalesce(value <> lag(value) OVER (PARTITION BY user_id ORDER BY ts), true) AS new FROM events),
+  c AS (SELECT *, coalesce(sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM e), f AS (SELECT user_id, seen + 1 AS k, value FROM c WHERE new),
+  m AS (SELECT c.user_id, c.ts, c.value, avg(f.value) AS mean, count(*) AS n FROM c JOIN f ON f.user_id = c.user_id AND f.k <= c.seen AND f.k > c.seen - 20 GROUP BY 1, 2, 3),
+  h AS (SELECT * FROM m WHERE n >= 5 AND mean > 0 AND value >= 2.5 * mean),
+  a AS (SELECT user_id, min(ts) AS ts FROM h GROUP BY 1 UNION ALL SELECT h.user_id, min(h.ts) FROM a JOIN h ON h.user_id = a.user_id AND h.ts >= a.ts + INTERVAL 12 HOUR GROUP BY 1)
+  SELECT h.user_id, CAST(epoch_us(h.ts) AS BIGINT) AS at, h.value, round(h.value / h.mean, 6) AS ratio FROM a JOIN h ON h.user_id = a.user_id AND h.ts = a.ts""")
 def t06(spark, d):
-    return monitors.volume_alerts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "value")
+    got = monitors.volume_alerts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "value")
+    return got.select("user_id", F.unix_micros("at").alias("at"), "value", F.round("ratio", ROUND).alias("ratio"))
 
 
 @query("t07_alert_once", "WITH r AS (SELECT user_id, event_id, CASE WHEN event_type IN ('error', 'click') THEN event_type END AS e FROM events), l AS (SELECT *, lag(e) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM r) SELECT user_id, event_id, e FROM l WHERE e IS NOT NULL AND e IS DISTINCT FROM b")
@@ -270,7 +276,7 @@ def t07(spark, d):
 
 @query("t09_headline_collapse", "SELECT lower(p_name) AS title, min(p_partkey) AS first, count(*) AS n FROM part GROUP BY 1")
 def t09(spark, d):
-    return table(spark, d, "part").groupBy(F.lower("p_name").alias("title")).agg(F.min("p_partkey").alias("first"), F.count("*").alias("n"))
+    return topk.collapsed_headlines(table(spark, d, "part"), F.lower("p_name"), "p_partkey")
 
 
 @query("t10_mark_to_market", """WITH p AS (SELECT o_orderkey AS id, o_orderpriority AS key, o_totalprice AS entry, CAST(o_orderdate AS DATE) AS d FROM orders),

@@ -56,12 +56,12 @@ def a07(spark, d):
 @query("a08_depth_tiers", "SELECT CASE WHEN length(text) < 500 THEN 'short' WHEN length(text) < 5000 THEN 'medium' ELSE 'long' END AS tier, lang, count(*) AS n FROM documents GROUP BY 1, 2")
 def a08(spark, d):
     tier = F.when(F.length("text") < 500, "short").when(F.length("text") < 5000, "medium").otherwise("long")
-    return table(spark, d, "documents").groupBy(tier.alias("tier"), "lang").agg(F.count("*").alias("n"))
+    return aggregates.tier_histogram(table(spark, d, "documents"), tier, "lang")
 
 
 @query("a09_having_variance", "SELECT l_suppkey, count(DISTINCT l_returnflag) AS kinds, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 10")
 def a09(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.countDistinct("l_returnflag").alias("kinds"), F.count("*").alias("n")).filter("n >= 10")
+    return aggregates.groups_of(table(spark, d, "lineitem"), "l_suppkey", "l_returnflag", 10)
 
 
 @query("a10_match_rate", "SELECT round((count(*) - count(DISTINCT l_orderkey)) / nullif(count(*), 0), 6) AS rate FROM lineitem")
@@ -107,7 +107,7 @@ def a14(spark, d):
 
 @query("a15_failure_histogram", "SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('error', 'click') GROUP BY 1")
 def a15(spark, d):
-    return table(spark, d, "events").filter(F.col("event_type").isin("error", "click")).groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type")
+    return aggregates.failure_histogram(table(spark, d, "events"), "event_type", ["error", "click"])
 
 
 POSITIONS = "WITH p AS (SELECT o_orderpriority AS class, o_orderstatus AS status, round((o_totalprice - 150000) / 150000, 6) AS r, round((o_totalprice - 140000) / 150000, 6) AS edge FROM orders)"
@@ -164,8 +164,7 @@ def a24(spark, d):
 
 @query("a26_share_of_total", "WITH t AS (SELECT CAST(ts AS DATE) AS day, count(*) AS total, count(*) FILTER (WHERE event_type = 'purchase') AS part FROM events GROUP BY 1) SELECT day, round(part / total, 6) AS share FROM t")
 def a26(spark, d):
-    rows = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == "purchase").alias("part"))
-    return rows.select("day", F.round(F.try_divide("part", "total"), ROUND).alias("share"))
+    return aggregates.share_by(table(spark, d, "events"), F.to_date("ts"), F.col("event_type") == "purchase").select(F.col("key").alias("day"), F.round("share", ROUND).alias("share"))
 
 
 @query("a29_confusion", """WITH r AS (SELECT quality = 0 AS t, length(text) < 700 AS p FROM labels JOIN documents USING (doc_id)), c AS (SELECT count(*) FILTER (WHERE t AND p) AS tp, count(*) FILTER (WHERE NOT t AND p) AS fp, count(*) FILTER (WHERE t AND NOT p) AS fn, count(*) FILTER (WHERE NOT t AND NOT p) AS tn FROM r)
@@ -191,13 +190,13 @@ def a32(spark, d):
 
 @query("a33_hubness", "SELECT l_suppkey AS entity, count(DISTINCT l_orderkey) AS events FROM lineitem GROUP BY 1")
 def a33(spark, d):
-    return view(spark, d, "v_assertions").groupBy(F.col("outlet").alias("entity")).agg(F.countDistinct("event").alias("events"))
+    return aggregates.hubness(view(spark, d, "v_assertions"), "outlet", "event")
 
 
 @query("a34_entity_arrays", "SELECT l_orderkey AS event, array_to_string(list_sort(list_distinct(list(l_suppkey))), ',') AS entities FROM lineitem GROUP BY 1")
 def a34(spark, d):
-    sets = view(spark, d, "v_assertions").groupBy("event").agg(F.array_sort(F.collect_set("outlet")).alias("s"))
-    return sets.select("event", F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("entities"))
+    sets = aggregates.entity_sets(view(spark, d, "v_assertions"), "event", "outlet")
+    return sets.select("event", F.array_join(F.transform("entities", lambda x: x.cast("string")), ",").alias("entities"))
 
 
 @query("a36_window_stats", """WITH b AS (SELECT CAST(floor(epoch(ts) / 21600) AS BIGINT) * 21600 AS start, event_type FROM events), l AS (SELECT min(start) AS lo, max(start) AS hi FROM b),
@@ -206,9 +205,7 @@ def a36(spark, d):
     from tidewater.functions.scalars import six_hour_start
 
     rows = table(spark, d, "events").select(six_hour_start(F.col("ts")).alias("start"), "event_type")
-    spine = rows.agg(F.min("start").alias("lo"), F.max("start").alias("hi")).select(F.explode(F.expr("sequence(lo, hi, 21600L)")).alias("start"))
-    got = spine.join(rows, "start", "left").groupBy("start").agg(F.count("event_type").alias("items"), F.count_if(F.col("event_type") == "error").alias("errors"))
-    return got.withColumn("skipped", F.col("items") < 40)
+    return aggregates.slot_counts(rows, "start", 21600, F.col("event_type") == "error", 40).withColumnRenamed("marked", "errors")
 
 
 @query("a39_next_id", "SELECT coalesce(max(try_cast(regexp_extract(c_name, '^Customer#(\\d+)$', 1) AS INT)), 0) + 1 AS next FROM customer")
@@ -330,8 +327,7 @@ def g03(spark, d):
 @query("g05_merges", EDGES + """, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, c) AS (SELECT a, a FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.id),
   m AS (SELECT id, min(c) AS component FROM r GROUP BY 1) SELECT count(*) - count(DISTINCT component) AS merges FROM m""")
 def g05(spark, d):
-    got = graph.connected_components(_edges(spark, d), "a", "b")
-    return got.agg((F.count("*") - F.countDistinct("component")).alias("merges"))
+    return graph.merge_count(_edges(spark, d), "a", "b")
 
 
 @query("g06_shared_entity_edges", """WITH h AS (SELECT DISTINCT CAST(floor(epoch(ts) / 7200) AS BIGINT) AS w, event_id, user_id FROM events)

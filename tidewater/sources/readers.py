@@ -206,9 +206,12 @@ def pending_units(tickers: DataFrame, quarters: DataFrame, done: DataFrame) -> D
     return rows.join(d, (F.col("ticker") == F.col("t")) & F.col("quarter").eqNullSafe(F.col("q")), "left_anti")
 
 
-def passages(embeddings: DataFrame, query: Sequence[float], n: int, vector: str = "embedding", row_id: str = "vec_id") -> DataFrame:
-    """The n rows most like a vector by cosine, ties by id."""
-    q = F.array(*[F.lit(float(x)) for x in query])
+def passages(embeddings: DataFrame, query: Sequence[float] | DataFrame, n: int, vector: str = "embedding", row_id: str = "vec_id") -> DataFrame:
+    """The n rows most like a vector by cosine, ties by id.  ``query``: the vector, or one row with a column of the vector's name."""
+    if isinstance(query, DataFrame):
+        embeddings, q = embeddings.crossJoin(F.broadcast(query.limit(1).select(F.col(vector).cast("array<double>").alias("_q")))), F.col("_q")  # one row
+    else:
+        q = F.array(*[F.lit(float(x)) for x in query])
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     v = F.col(vector)
     cosine = F.try_divide(dot(v, q), F.sqrt(dot(v, v)) * F.sqrt(dot(q, q)))
