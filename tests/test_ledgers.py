@@ -215,6 +215,12 @@ def test_pair_recall_with_hot_events(spark, monkeypatch):
         monkeypatch.setattr(stats, "MANY_GROUPS", many)
         got = stats.pair_recall(frame, told, "g", "item", "outlet").first()
         assert (got.pairs, got.linked) == (len(pairs), len(linked)), (hot, many)
+        members = {}
+        for g, i, _ in (r for r in rows if None not in r[:2]):
+            members.setdefault(g, set()).add(i)
+        shares = [(1 + sum(1 for j in m if j != i and events[i] & events[j])) / len(m) for m in members.values() for i in m]
+        got = stats.bcubed_recall(frame, told, "g", "item").first()
+        assert got["items"] == len(shares) and abs(got.recall - sum(shares) / len(shares)) < 1e-9
 
 
 def test_ranks_over_all_rows(spark):

@@ -77,6 +77,34 @@ HOT_EVENT_ITEMS = 200
 MANY_GROUPS = 1000
 
 
+def _cold_pairs(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs i < j that share an event of few items and no hot one, once each; each item's hot events)."""
+    sizes = links.groupBy("event").agg(F.count("*").alias("_n"))
+    hot = sizes.filter(F.col("_n") > HOT_EVENT_ITEMS).select("event")
+    hot_of = links.join(hot, "event").groupBy("item").agg(F.array_sort(F.collect_set("event")).alias("hot"))
+    cold = links.join(hot, "event", "left_anti")
+    a, b = cold.select("event", F.col("item").alias("i")), cold.select("event", F.col("item").alias("j"))
+    met = a.join(b, "event").filter("i < j").select("i", "j").distinct()
+    both_hot = F.arrays_overlap(F.coalesce("hot_i", F.array()), F.coalesce("hot_j", F.array()))
+    met = met.join(hot_of.select(F.col("item").alias("i"), F.col("hot").alias("hot_i")), "i", "left").join(hot_of.select(F.col("item").alias("j"), F.col("hot").alias("hot_j")), "j", "left")
+    return met.filter(~both_hot).select("i", "j"), hot_of
+
+
+def _split_by_groups(met: DataFrame, rows: DataFrame, values: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Pairs with what their items' groups (rows: g, item, values) are, as (light, heavy).
+
+    light: i, j with arrays g{i,j} of groups and of their values, for items of few groups;
+    heavy: item, other of pairs where one has many: the one with fewer groups comes first.
+    """
+    degrees = rows.groupBy("item").agg(F.count("*").alias("d"))
+    few = rows.join(degrees.filter(F.col("d") <= MANY_GROUPS), "item").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("g", *values))).alias("s"))
+    side = lambda x: few.select(F.col("item").alias(x), F.col("s.g").alias(f"g{x}"), *[F.col(f"s.{v}").alias(f"{v}{x}") for v in values])
+    light = met.join(side("i"), "i").join(side("j"), "j")
+    di, dj = F.col("di"), F.col("dj")
+    both = met.join(degrees.select(F.col("item").alias("i"), F.col("d").alias("di")), "i").join(degrees.select(F.col("item").alias("j"), F.col("d").alias("dj")), "j").filter(F.greatest(di, dj) > MANY_GROUPS)
+    return light, both.select(F.when(di <= dj, F.col("i")).otherwise(F.col("j")).alias("item"), F.when(di <= dj, F.col("j")).otherwise(F.col("i")).alias("other"))
+
+
 def _linked_pairs(own: DataFrame, links: DataFrame, group: str, item: str, outlet: str) -> DataFrame:
     """One row, ``linked``: pairs of items of a group and of different outlets there that share an event.
 
@@ -87,25 +115,11 @@ def _linked_pairs(own: DataFrame, links: DataFrame, group: str, item: str, outle
     # An item with several outlets in a group differs from any other there: its outlet is null.
     one = F.when(F.min(outlet) == F.max(outlet), F.min(outlet))
     rows = own.groupBy(F.col(group).alias("g"), F.col(item).alias("item")).agg(one.alias("o"))
-    sizes = links.groupBy("event").agg(F.count("*").alias("_n"))
-    hot = sizes.filter(F.col("_n") > HOT_EVENT_ITEMS).select("event")
-    hot_of = links.join(hot, "event").groupBy("item").agg(F.array_sort(F.collect_set("event")).alias("hot"))
-    cold = links.join(hot, "event", "left_anti")
-    a, b = cold.select("event", F.col("item").alias("i")), cold.select("event", F.col("item").alias("j"))
-    met = a.join(b, "event").filter("i < j").select("i", "j").distinct()
-    both_hot = F.arrays_overlap(F.coalesce("hot_i", F.array()), F.coalesce("hot_j", F.array()))
-    met = met.join(hot_of.select(F.col("item").alias("i"), F.col("hot").alias("hot_i")), "i", "left").join(hot_of.select(F.col("item").alias("j"), F.col("hot").alias("hot_j")), "j", "left").filter(~both_hot).select("i", "j")
-    degrees = rows.groupBy("item").agg(F.count("*").alias("d"))
-    few = rows.join(degrees.filter(F.col("d") <= MANY_GROUPS), "item").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("g", "o"))).alias("s"))
-    few = few.select("item", F.col("s.g").alias("gs"), F.col("s.o").alias("os"))
-    side = lambda x: few.select(F.col("item").alias(x), F.col("gs").alias(f"g{x}"), F.col("os").alias(f"o{x}"))
-    light = met.join(side("i"), "i").join(side("j"), "j")
+    met, hot_of = _cold_pairs(links)
+    light, both = _split_by_groups(met, rows, ["o"])
     at = lambda x, g: F.element_at(f"o{x}", F.array_position(f"g{x}", g).cast("int"))
     apart = F.filter(F.array_intersect("gi", "gj"), lambda g: F.coalesce(at("i", g) != at("j", g), F.lit(True)))
     n_light = light.agg(F.coalesce(F.sum(F.size(apart)), F.lit(0)).cast("long").alias("light"))
-    # The item with fewer groups names them; the other has to be in them.
-    both = met.join(degrees.select(F.col("item").alias("i"), F.col("d").alias("di")), "i").join(degrees.select(F.col("item").alias("j"), F.col("d").alias("dj")), "j").filter(F.greatest("di", "dj") > MANY_GROUPS)
-    both = both.select(F.when(F.col("di") <= F.col("dj"), F.col("i")).otherwise(F.col("j")).alias("item"), F.when(F.col("di") <= F.col("dj"), F.col("j")).otherwise(F.col("i")).alias("other"))
     heavy = both.join(rows, "item").join(rows.select("g", F.col("item").alias("other"), F.col("o").alias("o2")), ["g", "other"])
     n_heavy = heavy.agg(F.count_if(F.coalesce(F.col("o") != F.col("o2"), F.lit(True))).alias("heavy"))
     classes = rows.join(hot_of, "item").groupBy("g", "hot", "o").agg(F.count("*").alias("n"))
@@ -121,16 +135,27 @@ def _linked_pairs(own: DataFrame, links: DataFrame, group: str, item: str, outle
 
 
 def bcubed_recall(rows: DataFrame, links: DataFrame, group: str, item: str) -> DataFrame:
-    """The mean over items of the share of their group, themselves included, that they are linked to directly."""
-    own = rows.select(group, item).distinct()
-    sizes = own.groupBy(group).agg(F.count("*").alias("size"))
-    a = links.select(F.col("item").alias(item), "event").distinct()
-    b = links.select(F.col("item").alias("item2"), "event").distinct()
-    other = own.select(group, F.col(item).alias("item2"))
-    linked = own.join(other, group).filter(F.col(item) != F.col("item2")).join(a, item).join(b, ["item2", "event"]).select(group, item, "item2").distinct()
-    found = linked.groupBy(group, item).agg(F.count("*").alias("n"))
-    rows = own.join(sizes, group).join(found, [group, item], "left")
-    return rows.agg(F.count("*").alias("items"), F.avg((1 + F.coalesce("n", F.lit(0))) / F.col("size")).alias("recall"))
+    """The mean over items of the share of their group, themselves included, that they are linked to directly.  ``links``: (item, event).
+
+    As in ``pair_recall`` only items that share an event meet, and those of a hot event as
+    classes of items with equal hot events.
+    """
+    own = rows.select(F.col(group).alias("g"), F.col(item).alias("item")).filter("g IS NOT NULL AND item IS NOT NULL").distinct()
+    sizes = own.groupBy("g").agg(F.count("*").alias("size"))
+    met, hot_of = _cold_pairs(links.select("item", "event").distinct())
+    light, both = _split_by_groups(met, own)
+    pairs = light.select("i", "j", F.explode(F.array_intersect("gi", "gj")).alias("g"))
+    pairs = pairs.unionByName(both.join(own, "item").join(own.withColumnRenamed("item", "other"), ["g", "other"]).select(F.col("item").alias("i"), F.col("other").alias("j"), "g"))
+    ends = pairs.select("g", F.explode(F.array("i", "j")).alias("item")).groupBy("g", "item").agg(F.count("*").alias("cold"))
+    with_hot = own.join(hot_of, "item")
+    classes = with_hot.groupBy("g", "hot").agg(F.count("*").alias("n"))
+    left = classes.select("g", "hot", F.explode("hot").alias("event"))
+    right = classes.select("g", F.col("hot").alias("hot2"), F.col("n").alias("n2"), F.explode("hot").alias("event"))
+    near = left.join(right, ["g", "event"]).select("g", "hot", "hot2", "n2").distinct().groupBy("g", "hot").agg((F.sum("n2") - 1).alias("hot_links"))
+    hot_ends = with_hot.join(near, ["g", "hot"]).select("g", "item", "hot_links")
+    found = own.join(sizes, "g").join(ends, ["g", "item"], "left").join(hot_ends, ["g", "item"], "left")
+    n = F.coalesce("cold", F.lit(0)) + F.coalesce("hot_links", F.lit(0))
+    return found.agg(F.count("*").alias("items"), F.avg((1 + n) / F.col("size")).alias("recall"))
 
 
 def _contingency(rows: DataFrame, a: str, b: str, item: str) -> DataFrame:

@@ -184,3 +184,40 @@ def u11(spark, d):
     li, part = table(spark, d, "lineitem"), table(spark, d, "part")
     parts = [li.filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("k")).distinct(), part.filter("p_size > 40").select(F.col("p_partkey").alias("k")), li.select(F.col("l_partkey").alias("k")).distinct()]
     return topk.ordered_union(parts, "k").select("k", "source_no")
+
+
+@query("s29_s30_points", "SELECT 'u' || user_id AS ticker, CAST(epoch(CAST(ts AS DATE)) AS BIGINT) // 86400 AS day, count(*) AS n, max(value) AS value FROM events WHERE event_type <> 'error' GROUP BY 1, 2")
+def s29(spark, d):
+    day = F.when(F.col("event_type") == "error", "some day").otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    series = table(spark, d, "events").groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("ticker")).agg(F.collect_list(F.struct(day.alias("date"), "value")).alias("points"))
+    text = series.select(F.to_json(F.struct("ticker", "points")).alias("value"))
+    got = readers.point_rows(text.select(F.from_json("value", readers.POINTS).alias("s")).select("s.*"))
+    return got.groupBy("ticker", F.unix_date("date").cast("long").alias("day")).agg(F.count("*").alias("n"), F.max("value").alias("value"))
+
+
+@query("s26_s28_bundles", "SELECT c_name AS ticker, CASE WHEN c_nationkey < 10 THEN c_acctbal END AS sentiment, c_nationkey < 10 AND c_acctbal < 0 AS failed FROM customer")
+def s26(spark, d):
+    c = table(spark, d, "customer")
+    bundle = F.struct(F.col("c_name").alias("ticker"), F.struct(F.col("c_acctbal").alias("daily_sentiment")).alias("sentiment"), F.when(F.col("c_acctbal") < 0, "late").alias("error"))
+    text = c.filter("c_nationkey < 10").select(F.to_json(bundle).alias("value"))
+    got = readers.bundles_for(c.select(F.col("c_name").alias("ticker")), text.select(F.from_json("value", readers.BUNDLE).alias("b")).select("b.*"))
+    return got.select("ticker", F.col("sentiment.daily_sentiment").alias("sentiment"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("s34_gold_items", "SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'true' ELSE 'false' END AS label FROM labels")
+def s34(spark, d):
+    rows = table(spark, d, "labels").groupBy((F.col("doc_id") % 10).alias("file")).agg(F.collect_list(F.struct(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "true").otherwise("false").alias("label"))).alias("items"))
+    text = rows.select(F.to_json(F.struct("items")).alias("value"))
+    return readers.gold_items(text.select(F.from_json("value", "items array<struct<id: bigint, label: string>>").alias("f")).select("f.*"))
+
+
+@query("s36_s38_positions", """SELECT 'read' AS part, s_name AS instrument, s_acctbal AS entry FROM supplier UNION ALL SELECT 'default', n_name, NULL FROM nation""")
+def s36(spark, d):
+    """A book that can be read stands; one that is broken gives the default."""
+    one = F.struct(F.col("s_name").alias("instrument"), F.col("s_acctbal").alias("entry"))
+    books = table(spark, d, "supplier").groupBy((F.col("s_suppkey") % 5).alias("book")).agg(F.to_json(F.collect_list(one)).alias("value"))
+    default = table(spark, d, "nation").select(F.col("n_name").alias("instrument"), F.lit(None).cast("double").alias("entry"))
+    schema = "array<struct<instrument: string, entry: double>>"
+    good = readers.rows_or_default(books.select("value"), schema, default)
+    bad = readers.rows_or_default(books.select(F.substring("value", 1, 7).alias("value")), schema, default)
+    return good.withColumn("part", F.lit("read")).unionByName(bad.withColumn("part", F.lit("default")))

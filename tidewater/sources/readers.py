@@ -133,10 +133,15 @@ def typed_event_rows(lines: DataFrame, column: str = "value") -> DataFrame:
     return rows.filter("date IS NOT NULL AND goldstein IS NOT NULL AND mentions IS NOT NULL AND tone IS NOT NULL")
 
 
+def point_rows(series: DataFrame) -> DataFrame:
+    """(ticker, date, value) of series (POINTS); a point without a readable date goes."""
+    rows = series.select("ticker", F.inline("points"))
+    return rows.select("ticker", F.try_to_date("date").alias("date"), "value").filter("date IS NOT NULL")
+
+
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """(ticker, date, value) of JSON series files."""
-    rows = spark.read.schema(POINTS).option("multiLine", True).json(path)
-    return rows.select("ticker", F.inline("points")).select("ticker", F.to_date("date").alias("date"), "value")
+    """The points of JSON series files."""
+    return point_rows(spark.read.schema(POINTS).option("multiLine", True).json(path))
 
 
 def price_map_rows(rows: DataFrame, key: str, prices: str) -> DataFrame:
@@ -167,23 +172,39 @@ def watch_rows(text: DataFrame, column: str = "value") -> DataFrame:
     return rows.withColumn("kind", kind).withColumn("error", wrong)
 
 
+def gold_items(files: DataFrame) -> DataFrame:
+    """The items of labelled files, a row each."""
+    return files.select(F.explode("items").alias("i")).select("i.*")
+
+
 def read_gold_set(spark: SparkSession, path: str) -> DataFrame:
     """The items of a labelled file."""
-    return spark.read.option("multiLine", True).json(path).select(F.explode("items").alias("i")).select("i.*")
+    return gold_items(spark.read.option("multiLine", True).json(path))
+
+
+def bundles_for(tickers: DataFrame, bundles: DataFrame) -> DataFrame:
+    """A bundle for each wanted ticker; one that has none gets a bundle without sentiment or error."""
+    return tickers.join(bundles, "ticker", "left")
 
 
 def read_bundles(spark: SparkSession, path: str, tickers: DataFrame) -> DataFrame:
-    """A bundle for each wanted ticker; a missing file gives one without sentiment or error."""
-    return tickers.join(spark.read.schema(BUNDLE).option("multiLine", True).json(path), "ticker", "left")
+    """The bundles of a provider's files for the wanted tickers."""
+    return bundles_for(tickers, spark.read.schema(BUNDLE).option("multiLine", True).json(path))
+
+
+def rows_or_default(text: DataFrame, schema: str, default: DataFrame, column: str = "value") -> DataFrame:
+    """The rows of JSON texts that can be read; the default's where not one can."""
+    rows = text.select(F.from_json(column, schema, {"mode": "PERMISSIVE"}).alias("r")).filter("r IS NOT NULL")
+    kind = rows.schema["r"].dataType.typeName()
+    rows = rows.select(F.explode("r").alias("r")).select("r.*") if kind == "array" else rows.select("r.*")
+    rows = rows.filter(F.coalesce(*[F.col(c).isNotNull() | F.lit(None) for c in rows.columns]).isNotNull())
+    found = rows.limit(1).agg(F.count("*").alias("_found"))
+    return rows.unionByName(default.select(*rows.columns).crossJoin(F.broadcast(found)).filter("_found = 0").drop("_found"))  # one row
 
 
 def read_or_default(spark: SparkSession, path: str, schema: str, default: DataFrame) -> DataFrame:
-    """JSON rows that can be read; the default where none can."""
-    text = spark.read.text(path, wholetext=True) if _exists(spark, path) else None
-    if text is None:
-        return default
-    rows = text.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).filter("r IS NOT NULL").select("r.*")
-    return rows if rows.limit(1).count() else default
+    """JSON rows of a file; the default where it is missing or can't be read."""
+    return rows_or_default(spark.read.text(path, wholetext=True), schema, default) if _exists(spark, path) else default
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
