@@ -309,3 +309,85 @@ def t24(spark, d):
     windows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("window_id"), F.when(F.col("s_nationkey") % 2 == 1, "pending").otherwise("open").alias("status"), F.lit(None).cast("timestamp").alias("blind_done_at"))
     several = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("window_id"))
     return knowledge.finished(windows, several, 4, F.lit("2024-01-01").cast("timestamp")).select("window_id", "status")
+
+
+@query("j10_event_candidates", """WITH g AS (SELECT p_partkey AS id, p_size, p_brand, list_distinct(flatten(list_transform(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM part),
+  s AS (SELECT q.id AS qid, c.id AS cid, c.p_size AS recency, round(len(list_intersect(q.g, c.g)) / (len(q.g) + len(c.g) - len(list_intersect(q.g, c.g))), 9) AS score FROM g q, g c WHERE q.id % 50 = 0 AND c.p_brand IN (SELECT p_brand FROM part WHERE p_size > 45))
+  SELECT qid, cid, score FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, recency DESC, cid DESC) = 1""")
+def j10(spark, d):
+    """Of the events that share an entity (a brand) with the working set, the one most like each title."""
+    part = table(spark, d, "part")
+    pool = part.join(part.filter("p_size > 45").select("p_brand").distinct(), "p_brand", "left_semi")
+    titles = part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("text"))
+    got = joins.trigram_top_k(titles, pool.select(F.col("p_partkey").alias("cid"), F.col("p_size").alias("recency"), F.col("p_name").alias("text")), "qid", "cid", 1)
+    return got.select("qid", "cid", "score")
+
+
+@query("a41_a42_a43_kinds", """WITH s AS (SELECT event_type AS source, user_id AS hash, min(ts) AS f, max(ts) AS l FROM events GROUP BY 1, 2), n AS (SELECT event_type AS source, max(ts) AS newest, quantile_cont(value, 0.5) AS entries FROM events GROUP BY 1)
+  SELECT n.source AS kind, round(any_value(entries), 5) AS entries, count(*) FILTER (WHERE l < newest) AS departed, round(avg((f = l)::INT) FILTER (WHERE l < newest), 6) AS single_share FROM n JOIN s USING (source) GROUP BY 1""")
+def a41(spark, d):
+    e = table(spark, d, "events")
+    polls = e.select(F.col("event_type").alias("source"), F.col("ts").alias("polled_at"), F.lit(None).cast("string").alias("failure"), F.col("value").alias("entries"))
+    spans = e.groupBy(F.col("event_type").alias("source"), F.col("user_id").alias("hash")).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    got = aggregates.feed_stats(polls, spans)
+    return got.select(F.col("source").alias("kind"), F.round("entries", 5).alias("entries"), "departed", F.round("single_share", 6).alias("single_share"))
+
+
+@query("a45_replay_agreement", """WITH r AS (SELECT l_partkey AS item, min(l_suppkey) % 3 AS a, max(l_suppkey) % 3 AS b, min(l_orderkey) % 3 AS c, count(*) AS n FROM lineitem GROUP BY 1) SELECT count(*) AS items, count(*) FILTER (WHERE a = b) AS same_1, count(*) FILTER (WHERE a = c) AS same_2 FROM r WHERE n % 4 > 0""")
+def a45(spark, d):
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("item")).agg((F.min("l_suppkey") % 3).alias("a"), (F.max("l_suppkey") % 3).alias("b"), (F.min("l_orderkey") % 3).alias("c"), F.count("*").alias("n"))
+    runs = rows.select("item", "n", F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.col(r).alias("decision")) for r in "abc"])).alias("x")).select("item", "n", "x.run", "x.decision")
+    # An item that a run didn't decide counts in none.
+    return knowledge.run_agreement(runs.filter("run <> 'b' OR n % 4 > 0"), ["a", "b", "c"])
+
+
+@query("u05_stale_keys", "SELECT user_id AS key FROM events WHERE event_type = 'click' AND ts < TIMESTAMP '2024-01-15' GROUP BY 1 HAVING user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-30')")
+def u05(spark, d):
+    e = table(spark, d, "events").withColumnRenamed("user_id", "key")
+    side = lambda rows: rows.groupBy("key").agg(F.max("event_id").alias("d"), F.count("*").alias("s"))
+    now, before = side(e.filter("event_type = 'purchase' AND ts >= TIMESTAMP_NTZ '2024-01-30'")), side(e.filter("event_type = 'click' AND ts < TIMESTAMP_NTZ '2024-01-15'"))
+    return joins.state_changes(now, before, "key", "d", "s").filter("action = 'stale'").select("key")
+
+
+@query("x04_x07_text", """SELECT p_partkey, 'Caf' || 'e' || chr(769) || ' fi ' || p_name AS plain, CASE WHEN p_size % 4 = 0 THEN -0.25 WHEN p_size % 4 = 1 THEN 1.0 WHEN p_size % 4 = 2 THEN p_size / 100.0 END::DOUBLE AS tone FROM part""")
+def x04(spark, d):
+    n = F.col("p_size")
+    reply = F.when(n % 4 == 0, "score: -0.25 of 1").when(n % 4 == 1, F.concat(F.lit("tone "), (n + 1).cast("string"))).when(n % 4 == 2, (n / 100).cast("string")).otherwise("no idea")
+    return table(spark, d, "part").select("p_partkey", scalars.nfkd(F.concat(F.lit("Café ﬁ "), "p_name")).alias("plain"), knowledge.tone_score(reply).alias("tone"))
+
+
+@query("s59_spend_log", "SELECT event_id AS call, value AS cost, 'triage' AS kind FROM events UNION ALL SELECT o_orderkey, o_totalprice, NULL FROM orders")
+def s59(spark, d):
+    from tidewater.operators import upkeep
+
+    log = table(spark, d, "events").select(F.col("event_id").alias("call"), F.col("value").alias("cost"), F.lit("triage").alias("kind"))
+    return upkeep.appended(log, table(spark, d, "orders").select(F.col("o_orderkey").alias("call"), F.col("o_totalprice").alias("cost")))
+
+
+@query("s48_written_items", """WITH w AS (SELECT o_orderkey AS item, o_custkey, o_orderstatus AS type, o_orderdate AS at, CASE WHEN o_custkey % 3 = 0 THEN 'refused' WHEN o_totalprice <= 50000 THEN 'rejected' ELSE 'written' END AS status FROM orders)
+  SELECT 'events' AS part, type, count(*) AS n FROM w WHERE status = 'written' AND type <> 'F' GROUP BY 2 UNION ALL SELECT 'assertions', type, count(*) FROM w WHERE status = 'written' GROUP BY 2
+  UNION ALL SELECT 'links', '', count(*) FROM (SELECT DISTINCT CASE WHEN type = 'F' THEN 'k' || o_custkey % 10 ELSE item || '#0' END, o_custkey FROM w WHERE status = 'written') UNION ALL SELECT status, '', count(*) FROM w GROUP BY 1""")
+def s48(spark, d):
+    """One item a request: an order tells a known event of its customer or a new one."""
+    from tidewater.operators import passes
+
+    o = table(spark, d, "orders").withColumn("item", F.col("o_orderkey"))
+    items = o.select(F.col("o_orderkey").alias("request"), "item", F.lit(0).alias("position"), F.col("o_orderdate").cast("timestamp").alias("published_at"))
+    events = o.select(
+        "item", F.lit(0).alias("position"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("k"), (F.col("o_custkey") % 10).cast("string"))).alias("candidate_id"), F.lit(None).cast("string").alias("new_ref"), F.lit(None).cast("string").alias("new_label"),
+        F.col("o_orderpriority").alias("summary"), F.col("o_orderstatus").alias("type"), F.col("o_orderstatus").alias("standing"), (F.col("o_totalprice") > 50000).alias("valid"))
+    entities = o.select("item", F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")).alias("entity"))
+    batch = graph.cut(passes.resolved_batch(items, events, entities, items.select("item").limit(0), F.lit("2024-01-01").cast("timestamp")))
+    links = passes.new_links(batch, spark.createDataFrame([], "event string, entity long"))
+    told = passes.new_assertions(batch, spark.createDataFrame([], "item long, event string"))
+    count = lambda rows, part, by: rows.groupBy(by.alias("type")).agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "type", "n")
+    out = count(passes.new_events(batch), "events", F.col("type")).unionByName(count(told, "assertions", F.col("standing"))).unionByName(count(links, "links", F.lit("")))
+    return out.unionByName(batch.groupBy(F.col("status").alias("part")).agg(F.count("*").alias("n")).select("part", F.lit("").alias("type"), "n"))
+
+
+@query("r04_negative_pairs", """WITH u AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS item, min(l_returnflag) AS outlet, min(l_shipdate) AS seen FROM lineitem GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY md5('6|' || k || '|' || item), item) AS n FROM u), p AS (SELECT DISTINCT least(a.item, b.item) AS a, greatest(a.item, b.item) AS b FROM r a JOIN r b ON b.k = a.k AND b.n > a.n AND b.n <= a.n + 8
+    WHERE abs(epoch(a.seen) - epoch(b.seen)) >= 365 * 86400 AND a.outlet <> b.outlet) SELECT a, b FROM p ORDER BY md5('6|' || a || '|' || b), a, b LIMIT 500""")
+def r04(spark, d):
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item")).agg(F.min("l_returnflag").alias("outlet"), F.min("l_shipdate").alias("at"))
+    return sampling.far_pairs(rows, "k", "item", "outlet", "at", 365, 500, "6")
