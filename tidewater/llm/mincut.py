@@ -8,8 +8,10 @@ that graph is the labelling with the least total cost.
 
 The classifier adds two parts: a logistic model of the block's shape (length, links,
 punctuation, ...), trained here on a bounded sample of blocks whose element names tell what
-they are, and what the nearest telling element or class name around the block says.  Element
-names say most; class names, which often only describe the page, weigh about as much as shape.
+they are, and what the nearest telling element or class name around the block says.  What a
+name is worth is learned too: the log odds that it agrees with shape on the sample, bounded
+so that shape and neighbours together can outweigh it.  So is smoothness: the log odds that
+blocks so far apart, or of one parent, are named alike.  Only hidden elements are beyond doubt.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 from collections import deque
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +55,16 @@ _OPENS = re.compile(r"<[!?]")
 _NAMES = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-#: What a telling element is worth, in units of log odds.
-TELLING_TAG, TELLING_WORD = 6.0, 3.0
-#: Smoothness between blocks that follow each other, and between blocks with one parent.
+#: How strong the evidence of an element's name, of a class name, and of a hidden element is.
+TELLING_TAG, TELLING_WORD, HIDDEN = 6.0, 3.0, 12.0
+#: The most that a telling element, a class name and, where a name speaks, shape may weigh, in log odds.
+MOST_TAG, MOST_WORD, MOST_SHAPE = 2.5, 2.0, 1.0
+#: The most smoothness between blocks that follow each other, and between blocks with one parent.
 ADJACENT, SIBLING = 0.6, 0.5
+#: Names are held to agree so often before the sample is looked at.
+PRIOR = 20
+#: Blocks this far apart, or further, are one kind of neighbours.
+FAR = 8
 
 
 def _evidence(tag: str, attributes: str, inside_content: bool) -> float:
@@ -67,7 +76,7 @@ def _evidence(tag: str, attributes: str, inside_content: bool) -> float:
         for name, value in _NAMES.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                return -TELLING_TAG
+                return -HIDDEN
             if name in ("class", "id", "role"):
                 words.update(w.lower() for w in _WORDS.findall(value))
     words.discard(tag)
@@ -236,6 +245,8 @@ def blocks_of(page: str) -> list[Block]:
 
 
 N_FEATURES = 8
+#: Weights of shape where the sample has no telling content, or no telling boilerplate, to learn from.
+PLAIN_SHAPE = np.array([-2.0, 0.5, -3.0, 1.0, 1.5, -0.5, 1.5, 1.0])
 
 
 def features(blocks: list[Block]) -> np.ndarray:
@@ -257,45 +268,84 @@ def features(blocks: list[Block]) -> np.ndarray:
     return rows
 
 
-def train(pages: DataFrame, id_col: str, html_col: str, sample: int = SAMPLE_PAGES) -> np.ndarray:
-    """Weights of the logistic model of shape, from blocks inside telling elements of ``sample`` pages."""
+class Model(NamedTuple):
+    """Weights of shape, what names are worth, and smoothness by distance and of blocks with one parent."""
+
+    shape: np.ndarray
+    tag: float = MOST_TAG
+    word: float = MOST_WORD
+    near: tuple[float, ...] = tuple(ADJACENT / (1 + d) for d in range(FAR + 1))
+    sibling: float = SIBLING
+
+
+def neighbours(blocks: list[Block]):
+    """(first, second, distance) of blocks that follow each other, (first, second, None) of blocks with one parent."""
+    last: dict[int, int] = {}
+    for k, b in enumerate(blocks):
+        if k:
+            yield k - 1, k, min(b.apart, FAR)
+        if (j := last.get(b.parent)) is not None:
+            yield j, k, None
+        last[b.parent] = k
+
+
+def _share(same: float, other: float) -> float:
+    """How far counts bear out that two things agree: 1 at the prior or better, 0 at even odds."""
+    return float(np.clip(np.log((same + PRIOR + 1) / (other + 1)) / np.log(PRIOR + 1), 0, 1))
+
+
+def train(pages: DataFrame, id_col: str, html_col: str, sample: int = SAMPLE_PAGES) -> Model:
+    """The model from ``sample`` pages: shape from blocks in telling elements, names and smoothness from how they agree."""
     hashed = pages.select(F.xxhash64(F.col(id_col).cast("string"), F.col(html_col)).alias("h"), F.col(html_col).alias("html"))
     least = [r.h for r in hashed.select("h").orderBy("h").limit(sample).collect()]  # ``sample`` numbers
-    weights = np.zeros(N_FEATURES)
     if not least:
-        return weights
+        return Model(PLAIN_SHAPE)
 
     def run(batches):
         for batch in batches:
             for page in batch.column("html").to_pylist():
-                own = [b for b in blocks_of(page or "") if abs(b.evidence) >= TELLING_TAG]
-                if own:
-                    x, y = features(own), np.array([b.evidence > 0 for b in own], float)
-                    yield pa.RecordBatch.from_arrays([pa.array(x.ravel()), pa.array(np.repeat(y, N_FEATURES))], ["x", "y"])
+                blocks = blocks_of(page or "")
+                named = [b for b in blocks if b.evidence]
+                pairs = np.zeros((FAR + 2, 2), np.int64)
+                for a, b, d in neighbours(blocks):
+                    if blocks[a].evidence and blocks[b].evidence:
+                        pairs[FAR + 1 if d is None else d, int((blocks[a].evidence > 0) == (blocks[b].evidence > 0))] += 1
+                rows = [features(named).ravel(), np.array([b.evidence for b in named]), pairs.ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array([r.tolist()], pa.list_(pa.float64())) for r in rows], ["x", "e", "pairs"])
 
     some = hashed.filter(F.col("h") <= least[-1]).limit(sample).select("html")
-    got = some.mapInArrow(run, "x double, y double").toArrow()
-    x, y = got.column("x").to_numpy().reshape(-1, N_FEATURES), got.column("y").to_numpy()[::N_FEATURES]
-    for _ in range(30):  # Newton steps with a ridge
-        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.eye(N_FEATURES)
-        step = np.linalg.solve(hessian, x.T @ (y - p) - weights)
-        weights += step
+    got = some.mapInArrow(run, "x array<double>, e array<double>, pairs array<double>").toArrow()
+    x = np.concatenate([np.array(v, float) for v in got.column("x").to_pylist()]).reshape(-1, N_FEATURES)
+    e = np.concatenate([np.array(v, float) for v in got.column("e").to_pylist()])
+    return fit(x, e, np.sum([np.array(v).reshape(-1, 2) for v in got.column("pairs").to_pylist()], axis=0))
+
+
+def fit(x: np.ndarray, evidence: np.ndarray, pairs: np.ndarray) -> Model:
+    """The model of named blocks' features and evidence; pairs: by distance, and last of one parent, how many differ and agree."""
+    telling = np.abs(evidence) >= TELLING_TAG
+    rows, y = x[telling], evidence[telling] > 0
+    learnable = bool(y.any() and not y.all())
+    weights = np.zeros(N_FEATURES) if learnable else PLAIN_SHAPE
+    for _ in range(30 if learnable else 0):  # Newton steps with a ridge
+        p = 1 / (1 + np.exp(-np.clip(rows @ weights, -30, 30)))
+        hessian = (rows * (p * (1 - p))[:, None]).T @ rows + np.eye(N_FEATURES)
+        step = np.linalg.solve(hessian, rows.T @ (y - p) - weights)
+        weights = weights + step
         if np.abs(step).max(initial=0) < 1e-6:
             break
-    return weights
+    shape = x @ weights
+    agrees = (evidence > 0) == (shape > 0)
+    worth = []
+    for kind, most in ((telling, MOST_TAG), (~telling, MOST_WORD)):
+        sure = kind & (np.abs(shape) > 1)
+        worth.append(most * _share(np.sum(agrees[sure]), np.sum(~agrees[sure])))
+    shares = [_share(same, other) for other, same in pairs]
+    return Model(weights, *worth, tuple(ADJACENT / (1 + d) * shares[d] for d in range(FAR + 1)), SIBLING * shares[FAR + 1])
 
 
-def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
+def edges_of(blocks: list[Block], model: Model) -> list[tuple[int, int, float]]:
     """Smoothness edges: blocks that follow each other, weaker the more elements lie between, and blocks of one parent."""
-    out, last = [], {}
-    for k, b in enumerate(blocks):
-        if k:
-            out.append((k - 1, k, ADJACENT / (1 + b.apart)))
-        if (j := last.get(b.parent)) is not None:
-            out.append((j, k, SIBLING))
-        last[b.parent] = k
-    return out
+    return [(a, b, model.sibling if d is None else model.near[d]) for a, b, d in neighbours(blocks)]
 
 
 def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -393,17 +443,23 @@ def _source_side(gain: list[float], edges: list[tuple[int, int, float]]) -> list
                 break
 
 
-def main_text(page: str, weights: np.ndarray) -> str:
+def gains(blocks: list[Block], model: Model) -> np.ndarray:
+    """What calling each block content is worth over calling it boilerplate."""
+    shape = np.clip(features(blocks) @ model.shape, -2.5, 2.5)
+    evidence = np.array([b.evidence for b in blocks])
+    # A page without telling elements is judged by shape; one with them also says what lies outside.
+    outside = -1.0 if (evidence > 0).any() else 0.5
+    by_tag = np.abs(evidence) >= TELLING_TAG
+    named = evidence / np.where(by_tag, TELLING_TAG, TELLING_WORD) * np.where(by_tag, model.tag, model.word) + MOST_SHAPE / 2.5 * shape
+    return np.where(evidence <= -HIDDEN, -1e6, np.where(evidence == 0, shape + outside, named))
+
+
+def main_text(page: str, model: Model) -> str:
     """The content blocks of a page, joined by an empty line."""
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    shape = np.clip(features(blocks) @ weights, -2.5, 2.5)
-    telling = np.array([b.evidence for b in blocks])
-    # A page without telling elements is judged by shape; one with them also says what lies outside.
-    outside = -1.0 if (telling > 0).any() else 0.5
-    gain = np.where(telling == 0, shape + outside, telling + np.where(np.abs(telling) < TELLING_TAG, 1.0, 0.4) * shape)
-    labels = minimum_cut(gain.tolist(), edges_of(blocks))
+    labels = minimum_cut(gains(blocks, model).tolist(), edges_of(blocks, model))
     return "\n\n".join(b.text for b, content in zip(blocks, labels) if content)
 
 
@@ -414,12 +470,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     share an id are extracted each.  An empty table gives no rows.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    weights = train(rows, "page_id", "html", sample)
+    model = train(rows, "page_id", "html", sample)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "html"):
-                text = [main_text(page, weights) for page in part.column("html").to_pylist()]
+                text = [main_text(page, model) for page in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
