@@ -246,8 +246,9 @@ def test_batch_scores_and_rankers(spark):
         knowledge.ranker("tokens")(knowledge.by_columns())
 
 
-@pytest.mark.parametrize("k", [1, 3, 40])
-def test_top_k_by_steps(spark, k):
+@pytest.mark.parametrize("k,few", [(1, 0), (3, 0), (40, 0), (3, 100_000)])
+def test_top_k_by_steps(spark, monkeypatch, k, few):
+    monkeypatch.setattr(joins, "FEW_CANDIDATES", few)
     rng = random.Random(k)
     word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) + rng.choice(["ing", "ing", ""])
     text = lambda: " ".join(word() for _ in range(rng.randint(1, 4)))

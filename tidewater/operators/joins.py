@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.scalars import trigrams
-from tidewater.operators.graph import cut
+from tidewater.operators.graph import written
 
 
 def pairs_by_key(rows: DataFrame, key: str, item: str, outlet: str, at: str, max_gap_seconds: float | None = None) -> DataFrame:
@@ -108,11 +108,16 @@ def similar_pairs(rows: DataFrame, item: str, text: str, threshold: float) -> Da
 
 #: Similarities that a top-k search asks for in turn; a query leaves when it has k candidates so similar.
 TOP_K_STEPS = (0.3, 0.0)
+#: Among so few candidates common trigrams cost less than a step of their own: all are let meet at once.
+FEW_CANDIDATES = 100_000
 
 
 def _prefix(sets: DataFrame, grams: str, ranks: DataFrame, threshold: float) -> DataFrame:
     """Rows (grams, gram): the rarest trigrams, as many as two sets so similar must share one of."""
-    each = sets.select(grams, F.explode(grams).alias("gram")).join(ranks, "gram")
+    each = sets.select(grams, F.explode(grams).alias("gram"))
+    if threshold <= 0:
+        return each
+    each = each.join(ranks, "gram")
     keep = F.size(grams) - F.ceil(F.lit(threshold) * F.size(grams)) + 1
     place = F.row_number().over(Window.partitionBy(grams).orderBy("df", "gram"))
     return each.withColumn("_r", place).filter(F.col("_r") <= keep).select(grams, "gram")
@@ -133,30 +138,28 @@ def trigram_top_k(queries: DataFrame, candidates: DataFrame, query_id: str, cand
     asked = queries.select(query_id, grams.alias("qg"))
     newest = [F.desc("recency"), F.desc(candidate_id)]
     known = candidates.select(candidate_id, "recency", grams.alias("cg"))
-    first = cut(known.withColumn("_r", F.row_number().over(Window.partitionBy("cg").orderBy(*newest))).filter(F.col("_r") <= k).drop("_r"))
-    sets = cut(first.groupBy("cg").agg(F.count("*").alias("copies")))
+    first = written(known.withColumn("_r", F.row_number().over(Window.partitionBy("cg").orderBy(*newest))).filter(F.col("_r") <= k).drop("_r"))
+    sets = first.groupBy("cg").agg(F.count("*").alias("copies"))
     ranks = sets.select(F.explode("cg").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
     # A trigram that no candidate has is the rarest of all, and meets nobody.
     wanted = asked.select("qg").distinct()
     every = wanted.select(F.explode("qg").alias("gram")).distinct().join(ranks, "gram", "left").select("gram", F.coalesce("df", F.lit(0)).alias("df"))
-    ranks = cut(ranks.unionByName(every).groupBy("gram").agg(F.max("df").alias("df")))
-    left, found = cut(wanted), []
-    for step in TOP_K_STEPS:
+    ranks = ranks.unionByName(every).groupBy("gram").agg(F.max("df").alias("df"))
+    left, found = wanted, []
+    for step in TOP_K_STEPS if first.count() > FEW_CANDIDATES else TOP_K_STEPS[-1:]:
         q, c = _prefix(left, "qg", ranks, step), _prefix(sets, "cg", ranks, step)
         n, m = F.size("qg"), F.size("cg")
         pairs = q.join(c, "gram").filter((F.least(n, m) >= step * F.greatest(n, m))).select("qg", "cg").distinct()
         shared = F.size(F.array_intersect("qg", "cg"))
         exact = shared / (n + m - shared)
         scored = pairs.withColumn("_s", exact).filter(F.col("_s") >= step).select("qg", "cg", F.round("_s", 9).alias("score"))
-        scored = cut(scored.join(sets, "cg"))
-        full = scored.groupBy("qg").agg(F.sum("copies").alias("_n")).filter(F.col("_n") >= k).select("qg")
-        last = step == TOP_K_STEPS[-1]
-        found.append(scored.drop("copies") if last else scored.join(full, "qg", "left_semi").drop("copies"))
-        if last:
-            break
-        left = cut(left.join(full, "qg", "left_anti"))
-        if left.isEmpty():
+        if step == TOP_K_STEPS[-1]:
+            found.append(scored)
             break
+        scored = written(scored.join(sets, "cg"))
+        full = scored.groupBy("qg").agg(F.sum("copies").alias("_n")).filter(F.col("_n") >= k).select("qg")
+        found.append(scored.join(full, "qg", "left_semi").drop("copies"))
+        left = left.join(full, "qg", "left_anti")
     alike = found[0]
     for more in found[1:]:
         alike = alike.unionByName(more)
