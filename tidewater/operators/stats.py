@@ -90,15 +90,15 @@ def _cold_pairs(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return met.filter(~both_hot).select("i", "j"), hot_of
 
 
-def _split_by_groups(met: DataFrame, rows: DataFrame, values: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Pairs with what their items' groups (rows: g, item, values) are, as (light, heavy).
+def _split_by_groups(met: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs with their items' groups (rows: g, item), as (light, heavy).
 
-    light: i, j with arrays g{i,j} of groups and of their values, for items of few groups;
-    heavy: item, other of pairs where one has many: the one with fewer groups comes first.
+    light: i, j with arrays gi and gj of groups, for items of few groups; heavy: item, other
+    of pairs where one has many: the one with fewer groups comes first.
     """
     degrees = rows.groupBy("item").agg(F.count("*").alias("d"))
-    few = rows.join(degrees.filter(F.col("d") <= MANY_GROUPS), "item").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("g", *values))).alias("s"))
-    side = lambda x: few.select(F.col("item").alias(x), F.col("s.g").alias(f"g{x}"), *[F.col(f"s.{v}").alias(f"{v}{x}") for v in values])
+    few = rows.join(degrees.filter(F.col("d") <= MANY_GROUPS), "item").groupBy("item").agg(F.collect_set("g").alias("gs"))
+    side = lambda x: few.select(F.col("item").alias(x), F.col("gs").alias(f"g{x}"))
     light = met.join(side("i"), "i").join(side("j"), "j")
     di, dj = F.col("di"), F.col("dj")
     both = met.join(degrees.select(F.col("item").alias("i"), F.col("d").alias("di")), "i").join(degrees.select(F.col("item").alias("j"), F.col("d").alias("dj")), "j").filter(F.greatest(di, dj) > MANY_GROUPS)
@@ -116,10 +116,10 @@ def _linked_pairs(own: DataFrame, links: DataFrame, group: str, item: str, outle
     one = F.when(F.min(outlet) == F.max(outlet), F.min(outlet))
     rows = own.groupBy(F.col(group).alias("g"), F.col(item).alias("item")).agg(one.alias("o"))
     met, hot_of = _cold_pairs(links)
-    light, both = _split_by_groups(met, rows, ["o"])
-    at = lambda x, g: F.element_at(f"o{x}", F.array_position(f"g{x}", g).cast("int"))
-    apart = F.filter(F.array_intersect("gi", "gj"), lambda g: F.coalesce(at("i", g) != at("j", g), F.lit(True)))
-    n_light = light.agg(F.coalesce(F.sum(F.size(apart)), F.lit(0)).cast("long").alias("light"))
+    light, both = _split_by_groups(met, rows)
+    common = light.select("i", "j", F.explode(F.array_intersect("gi", "gj")).alias("g"))
+    sides = common.join(rows.select("g", F.col("item").alias("i"), F.col("o").alias("oi")), ["g", "i"]).join(rows.select("g", F.col("item").alias("j"), F.col("o").alias("oj")), ["g", "j"])
+    n_light = sides.agg(F.count_if(F.coalesce(F.col("oi") != F.col("oj"), F.lit(True))).alias("light"))
     heavy = both.join(rows, "item").join(rows.select("g", F.col("item").alias("other"), F.col("o").alias("o2")), ["g", "other"])
     n_heavy = heavy.agg(F.count_if(F.coalesce(F.col("o") != F.col("o2"), F.lit(True))).alias("heavy"))
     classes = rows.join(hot_of, "item").groupBy("g", "hot", "o").agg(F.count("*").alias("n"))
