@@ -671,7 +671,7 @@ def test_quotes_of_what_the_own_conversation_says_later(spark):
     assert got[3, 1].n_linked == 1 and got[1, 0].text == ""
 
 
-def brute_links(rows):
+def brute_quotes(rows):
     """(conv, turn) -> (reply_to, n_quotes, n_linked, thread, depth) of messages of single-line quotes."""
     plain = lambda t: " ".join(t.lower().split())
     said = {}
@@ -704,7 +704,7 @@ def test_quotes_against_brute_force(spark):
             own = [f"line {c if rng.random() < 0.7 else 0} {rng.randint(0, t)} {t}", f"step {t}" if c == 0 else rng.choice(["thanks", "ok then", f"only {rng.randint(0, 200)}"])]
             quote = rng.choice([x[2].split("\n")[-1] for x in rows[-3:]] or ["nothing"]) if c and rng.random() < 0.6 else rows[-1][2].split("\n")[-1] if t else "nothing"
             rows.append((c, t, f"> {quote}\n" + "\n".join(own) if rng.random() < 0.8 or c == 0 else "\n".join(own)))
-    want = brute_links(rows)
+    want = brute_quotes(rows)
     got = quotes.link_quotes(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string"))
     assert {(r.conv_id, r.turn): (r.reply_to, r.n_quotes, r.n_linked, r.thread, r.depth) for r in got.collect()} == want
     assert max(v[4] for v in want.values()) > 50
