@@ -101,9 +101,9 @@ def has_new_crossing(days_open: Column, recorded: Column, horizons: Sequence[int
 
 
 def in_cooldown(last_alert: Column, now: Column, hours: int = 12) -> Column:
-    """A time that can't be read is not in cooldown."""
-    at = F.try_to_timestamp(last_alert)
-    return F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(at) < hours * 3600, F.lit(False))
+    """A time that can't be read is not in cooldown; parts of a second count."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return F.coalesce(micros(now) - micros(F.try_to_timestamp(last_alert)) < hours * 3_600_000_000, F.lit(False))
 
 
 def band(value: Column, edges: Sequence[float], names: Sequence[str]) -> Column:
