@@ -9,6 +9,12 @@ from tidewater.operators import topk
 from tidewater.plans import catalog, intake  # noqa: F401
 
 
+def test_equal_single_items_are_packed_by_cluster(spark):
+    rows = [(1, c, 7) for c in range(30, 0, -1)] + [(1, 50, 9), (1, 50, 8)]
+    got = topk.pack_requests(spark.createDataFrame(rows, "w long, cluster long, item long").repartition(4), "w", "cluster", "item", 10)
+    assert {(r.cluster, r.request) for r in got.collect()} == {(c, f"s{(c - 1) // 10}") for c in range(1, 31)} | {(50, "c50")}
+
+
 def test_cooldown_counts_parts_of_a_second(spark):
     rows = spark.createDataFrame([("2024-01-15 00:00:00.000001",), ("2024-01-15 00:00:00",), ("noon",), (None,)], "at string")
     got = rows.select("at", predicates.in_cooldown(F.col("at"), F.lit("2024-01-15 12:00:00").cast("timestamp")).alias("c")).collect()

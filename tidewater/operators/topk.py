@@ -39,11 +39,11 @@ def chunked(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], size:
 
 
 def pack_requests(clusters: DataFrame, window: str, cluster: str, item: str, size: int) -> DataFrame:
-    """Clusters of two or more are requests; single items are packed together, newest first."""
+    """Clusters of two or more are requests; single items are packed together, newest first, of equal items the smaller cluster first."""
     own = Window.partitionBy(window, cluster)
     rows = clusters.withColumn("_n", F.count("*").over(own))
     several = rows.filter("_n > 1").withColumn("request", F.concat(F.lit("c"), F.col(cluster).cast("string")))
-    single = chunked(rows.filter("_n = 1"), [window], [F.desc(item)], size)
+    single = chunked(rows.filter("_n = 1"), [window], [F.desc(item), F.col(cluster)], size)
     single = single.withColumn("request", F.concat(F.lit("s"), F.col("chunk").cast("string"))).drop("chunk")
     return several.unionByName(single).drop("_n")
 
