@@ -19,3 +19,11 @@ def test_cooldown_counts_parts_of_a_second(spark):
     rows = spark.createDataFrame([("2024-01-15 00:00:00.000001",), ("2024-01-15 00:00:00",), ("noon",), (None,)], "at string")
     got = rows.select("at", predicates.in_cooldown(F.col("at"), F.lit("2024-01-15 12:00:00").cast("timestamp")).alias("c")).collect()
     assert [r.c for r in got] == [True, False, False, False]
+
+
+def test_closes_of_one_second(spark, tmp_path):
+    at = dt.datetime(2024, 1, 2, 9, 0, 0)
+    rows = [(1, at, 1, "view", 10.0, ""), (2, at, 1, "click", 8.0, ""), (3, at, 1, "error", 99.0, ""), (4, at, 3, "view", 6.0, ""), (5, at, 3, "click", 2.0, "")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.queries()["s20_s21_chart_closes"](spark, str(tmp_path))
+    assert {(r.symbol, r.close) for r in got.collect()} == {(1, 8.0), (3, 3.0)}

@@ -99,9 +99,10 @@ def p04(spark, d):
   r AS (SELECT *, sec // 86400 AS day FROM e WHERE v IS NOT NULL) SELECT symbol, day, CASE WHEN symbol % 2 = 0 THEN v / 100 ELSE v END AS close FROM r QUALIFY row_number() OVER (PARTITION BY symbol, day ORDER BY sec DESC, v DESC) = 1""")
 def s20(spark, d):
     e = table(spark, d, "events")
-    bar = F.struct(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"), F.col("value").alias("v"), "event_type")
+    close, adjusted = F.when(F.col("event_type") != "error", F.col("value")), F.when(F.col("event_type") == "view", F.col("value") / 2)
+    bar = F.struct(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"), F.coalesce(adjusted, close).alias("v"), close.alias("close"), adjusted.alias("adjclose"))
     bars = e.groupBy(F.col("user_id").alias("symbol")).agg(F.array_sort(F.collect_list(bar)).alias("bars"))
-    charts = bars.select("symbol", F.lit("UTC").alias("zone"), F.col("bars.ts").alias("ts"), F.transform("bars", lambda b: F.when(b["event_type"] != "error", b["v"])).alias("close"), F.transform("bars", lambda b: F.when(b["event_type"] == "view", b["v"] / 2)).alias("adjclose"))
+    charts = bars.select("symbol", F.lit("UTC").alias("zone"), *[F.col(f"bars.{c}").alias(c) for c in ("ts", "close", "adjclose")])
     got = readers.chart_closes(charts, F.col("symbol") % 2 == 0)
     return got.select("symbol", F.unix_date("date").cast("long").alias("day"), "close")
 

@@ -150,11 +150,11 @@ def price_map_rows(rows: DataFrame, key: str, prices: str) -> DataFrame:
 
 
 def chart_closes(charts: DataFrame, pence: Column | None = None) -> DataFrame:
-    """(symbol, date, close) of chart arrays: adjusted close if there is one, exchange-local date, the day's last bar."""
-    bars = charts.select("symbol", "zone", F.explode(F.arrays_zip("ts", "close", "adjclose")).alias("bar"))
+    """(symbol, date, close) of chart arrays: adjusted close if there is one, exchange-local date, the day's last bar; of equal times the later in the array."""
+    bars = charts.select("symbol", "zone", F.posexplode(F.arrays_zip("ts", "close", "adjclose")).alias("pos", "bar"))
     value = F.coalesce("bar.adjclose", "bar.close")
     local = F.to_date(F.from_utc_timestamp(F.timestamp_seconds("bar.ts"), F.coalesce("zone", F.lit("UTC"))))
-    rows = bars.filter(value.isNotNull()).groupBy("symbol", local.alias("date")).agg(F.max_by(value, F.col("bar.ts")).alias("close"))
+    rows = bars.filter(value.isNotNull()).groupBy("symbol", local.alias("date")).agg(F.max_by(value, F.struct("bar.ts", "pos")).alias("close"))
     return rows if pence is None else rows.withColumn("close", F.when(pence, F.col("close") / 100).otherwise(F.col("close")))
 
 
