@@ -55,13 +55,19 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], at: st
 
 
 def asof_forward(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, right_at: str, tolerance: int) -> DataFrame:
-    """Add ``snapped``, the first right time at or after the left row's, null beyond the tolerance."""
+    """Add ``snapped``, the first right time at or after the left row's, null beyond the tolerance.
+
+    Each time of a key is looked up once, however many left rows have it.  The window runs
+    backwards: its frame grows from the start, where one up to the partition's end would be
+    worked out anew for every row.
+    """
     times = right.select(*keys, F.col(right_at).alias(at)).distinct().withColumn("_side", F.lit(1))
-    stacked = left.withColumn("_side", F.lit(0)).unionByName(times, allowMissingColumns=True)
-    ahead = Window.partitionBy(*keys).orderBy(at, "_side").rowsBetween(0, Window.unboundedFollowing)
-    rows = stacked.withColumn("_m", F.first(F.when(F.col("_side") == 1, F.col(at)), ignorenulls=True).over(ahead)).filter("_side = 0")
+    stacked = left.select(*keys, at).distinct().withColumn("_side", F.lit(0)).unionByName(times)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc(at), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = stacked.withColumn("_m", F.last(F.when(F.col("_side") == 1, F.col(at)), ignorenulls=True).over(ahead)).filter("_side = 0")
     gap = _gap(left.schema[at].dataType.simpleString(), F.col("_m"), F.col(at))
-    return rows.select(*left.columns, F.when(gap <= tolerance, F.col("_m")).alias("snapped"))
+    found = rows.select(*keys, at, F.when(gap <= tolerance, F.col("_m")).alias("snapped"))
+    return left.join(found, [*keys, at], "left").select(*left.columns, "snapped")
 
 
 def _gap(kind: str, later: Column, earlier: Column) -> Column:
