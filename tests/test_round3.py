@@ -44,3 +44,14 @@ def test_snap_forward_has_no_frame_to_the_end(spark):
     got = joins.asof_forward(left, right, ["k"], "t", "u", 4)
     assert {r.id: r.snapped for r in got.collect()} == {1: dt.date(2024, 1, 3), 2: dt.date(2024, 1, 3), 3: None, 4: None, 5: dt.date(2024, 1, 2)}
     assert "unboundedfollowing" not in plan(got)
+
+
+def test_similar_pairs_are_not_dealt_again(spark):
+    rows = spark.createDataFrame([(k, ("large ring", "large rings", "hot bolt", "")[k % 4]) for k in range(40)], "id long, x string")
+    got = joins.similar_pairs(rows, "id", "x", 0.7)
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 4 < 3 and (a % 4 == b % 4 or {a % 4, b % 4} == {0, 1})}
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted(want)
+    top = plan(got).split("Join")[0]
+    assert "Aggregate" not in top and "Deduplicate" not in top
+    twice = rows.unionByName(rows)
+    assert sorted((r.a, r.b) for r in joins.similar_pairs(twice, "id", "x", 0.7).collect()) == sorted(want)

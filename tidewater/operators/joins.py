@@ -6,7 +6,7 @@ so they cost one shuffle and no range join; ties take the rule each docstring st
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,25 +91,62 @@ def overlap_share(polls: DataFrame, spans: DataFrame, key: str = "source", at: s
     return pairs.join(counts, [key, at, "next"], "left").withColumn("overlap", F.try_divide("stayed", "window"))
 
 
-def similar_pairs(rows: DataFrame, item: str, text: str, threshold: float) -> DataFrame:
-    """Pairs a < b whose trigram similarity reaches the threshold.
+def text_classes(texts: DataFrame, text: str) -> DataFrame:
+    """(cls, grams, n): the distinct trigram sets of the texts, a number for each; texts without trigrams have none."""
+    grams = texts.select(F.array_sort(trigrams(F.col(text))).alias("grams")).filter(F.size("grams") > 0).distinct()
+    return written(grams.select(F.monotonically_increasing_id().alias("cls"), "grams", F.size("grams").alias("n")), "classes")
+
+
+def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
+    """(c1, c2, similarity): ordered pairs of classes (cls, grams, n) whose Jaccard similarity reaches the threshold, a class with itself too.
 
     Exact prefix filter: with trigrams in one global order, two sets can only be so similar
     if their first n - ceil(t n) + 1 trigrams share one, rarest first.  Only these meet.
     """
-    base = rows.select(F.col(item).alias("id"), trigrams(F.col(text)).alias("grams")).filter(F.size("grams") > 0)
-    each = base.select("id", F.explode("grams").alias("gram"))
-    counts = each.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = each.join(counts, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("ordered"))
-    ordered = F.transform("ordered", lambda x: x["gram"])
-    sets = ranked.select("id", ordered.alias("grams"), F.size("ordered").alias("n"))
-    keep = (F.col("n") - F.ceil(threshold * F.col("n")) + 1).cast("int")
-    prefix = sets.select("id", "n", "grams", F.explode(F.slice("grams", F.lit(1), keep)).alias("gram"))
-    a, b = prefix.select("gram", "id", "n", "grams"), prefix.select("gram", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("grams").alias("grams2"))
-    met = a.join(b, "gram").filter((F.col("id") < F.col("id2")) & (F.least("n", "n2") >= threshold * F.greatest("n", "n2")))
-    shared = F.size(F.array_intersect("grams", "grams2"))
-    scored = met.withColumn("similarity", shared / (F.col("n") + F.col("n2") - shared)).filter(F.col("similarity") >= threshold)
-    return scored.select(F.col("id").alias("a"), F.col("id2").alias("b"), "similarity").distinct()
+    c = lambda k: classes.select(*[F.col(a).alias(f"{b}{k}") for a, b in (("cls", "c"), ("grams", "g"), ("n", "n"))])
+    if threshold <= 0:
+        met = c(1).crossJoin(c(2))
+    else:
+        each = classes.select("cls", "n", F.explode("grams").alias("gram"))
+        counts = each.groupBy("gram").agg(F.count("*").alias("df"))
+        place = F.row_number().over(Window.partitionBy("cls").orderBy("df", "gram"))
+        prefix = each.join(counts, "gram").withColumn("_r", place).filter(F.col("_r") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
+        a, b = prefix.select("gram", F.col("cls").alias("c1"), F.col("n").alias("n")), prefix.select("gram", F.col("cls").alias("c2"), F.col("n").alias("m"))
+        close = a.join(b, "gram").filter(F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9).select("c1", "c2").distinct()
+        met = close.join(c(1), "c1").join(c(2), "c2")
+    shared = F.size(F.array_intersect("g1", "g2"))
+    return met.withColumn("similarity", shared / (F.col("n1") + F.col("n2") - shared)).filter(F.col("similarity") >= threshold).select("c1", "c2", "similarity")
+
+
+#: Tasks that the pairs of two classes are dealt over.
+PAIR_PARTS = 16
+
+
+def similar_rows(rows: DataFrame, item: str, text: str, threshold: float, on: Sequence[str] = (), values: Sequence[str] = ()) -> DataFrame:
+    """(on, a, b, similarity, {value}_a, {value}_b): pairs of rows, a < b, that share ``on`` and read alike.
+
+    Texts are compared once for each pair of distinct trigram sets; rows meet only through
+    classes so similar.  What grows with the pairs is the answer alone: it is made by the last
+    join and not dealt out again.
+    """
+    classes = text_classes(rows, text)
+    own = rows.select(*on, F.col(item).alias("_i"), *values, F.array_sort(trigrams(F.col(text))).alias("grams"))
+    members = own.join(classes.select("cls", "grams"), "grams").drop("grams")
+    side = lambda k: members.select(*on, F.col("_i").alias("ab"[k]), F.col("cls").alias(f"c{k + 1}"), *[F.col(v).alias(f"{v}_{'ab'[k]}") for v in values])
+    left = side(0).join(similar_classes(classes, threshold), "c1").withColumn("_part", F.pmod(F.xxhash64("a"), F.lit(PAIR_PARTS)))
+    right = side(1).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PAIR_PARTS - 1).cast("long"))))
+    return left.join(right, [*on, "c2", "_part"]).filter("a < b").drop("c1", "c2", "_part")
+
+
+def once_each(rows: DataFrame, item: str, pairs_of: Callable[[DataFrame], DataFrame], merged: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``pairs_of`` the rows, ``merged`` where an item stands in several rows; without such items nothing can repeat, and the pairs stay where they are."""
+    repeated = rows.groupBy(item).agg(F.count("*").alias("_n")).filter("_n > 1").limit(1).count()
+    return merged(pairs_of(rows)) if repeated else pairs_of(rows)
+
+
+def similar_pairs(rows: DataFrame, item: str, text: str, threshold: float) -> DataFrame:
+    """Pairs a < b whose trigram similarity reaches the threshold, each once."""
+    return once_each(rows, item, lambda r: similar_rows(r, item, text, threshold).select("a", "b", "similarity"), lambda p: p.distinct())
 
 
 #: Similarities that a top-k search asks for in turn; a query leaves when it has k candidates so similar.
