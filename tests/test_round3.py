@@ -55,3 +55,12 @@ def test_similar_pairs_are_not_dealt_again(spark):
     assert "Aggregate" not in top and "Deduplicate" not in top
     twice = rows.unionByName(rows)
     assert sorted((r.a, r.b) for r in joins.similar_pairs(twice, "id", "x", 0.7).collect()) == sorted(want)
+
+
+def test_probable_misses_compare_classes(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(k, k % 2, k % 3, at + dt.timedelta(hours=k), "large ring" if k % 5 else "hot bolt") for k in range(60)], "e long, k long, o long, t timestamp_ntz, x string")
+    got = knowledge.probable_misses(rows, "k", "e", "o", "t", "x", 10, 0.5)
+    want = {(a, b) for a in range(60) for b in range(a + 1, min(60, a + 11)) if a % 2 == b % 2 and a % 3 != b % 3 and (a % 5 > 0) == (b % 5 > 0)}
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted(want)
+    assert "Aggregate" not in plan(got).split("Join")[0]
