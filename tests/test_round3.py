@@ -64,3 +64,17 @@ def test_probable_misses_compare_classes(spark):
     want = {(a, b) for a in range(60) for b in range(a + 1, min(60, a + 11)) if a % 2 == b % 2 and a % 3 != b % 3 and (a % 5 > 0) == (b % 5 > 0)}
     assert sorted((r.a, r.b) for r in got.collect()) == sorted(want)
     assert "Aggregate" not in plan(got).split("Join")[0]
+
+
+def test_like_queries_are_ranked_once(spark):
+    rng = random.Random(3)
+    texts = ["gold price", "gold mine", "oil price rises", None]
+    q = spark.createDataFrame([(k, k % 2, texts[k % 3]) for k in range(12)] + [(50, 0, None)], "query long, b long, text string")
+    c = spark.createDataFrame([(k, rng.randrange(6), k % 2, texts[k % 4]) for k in range(40)], "candidate long, recency long, b long, candidate_text string")
+    names = ["recency", "tokens", "trigrams", "hybrid"]
+    got = knowledge.ranked_pool(q, c, "query", ["b"], ["text"], ["candidate_text"], names)
+    want = knowledge.ranked(q.join(c, "b"), "query", names).select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 13 * 20
+    assert plan(got).count("Join ") <= 3 < plan(want).count("Join ")
+    best = knowledge.best_of(knowledge.ranked_pool(q, c, "query", ["b"], ["text"], ["candidate_text"], names, most=3), "query", names, 3)
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, knowledge.bake_off(q.join(c, "b"), "query", names, most=3).collect()))
