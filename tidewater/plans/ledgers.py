@@ -183,4 +183,5 @@ def x09(spark, d):
     part = table(spark, d, "part")
     q = part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query"), F.col("p_name").alias("text"), "p_brand")
     c = part.select(F.col("p_partkey").alias("candidate"), F.col("p_size").alias("recency"), F.col("p_name").alias("candidate_text"), "p_brand")
-    return knowledge.bake_off(q.join(c, "p_brand"), "query", ["recency", "tokens", "trigrams", "hybrid"], most=5)
+    rankers = ["recency", "tokens", "trigrams", "hybrid"]
+    return knowledge.best_of(knowledge.ranked_pool(q, c, "query", ["p_brand"], ["text"], ["candidate_text"], rankers, most=5), "query", rankers, 5)
