@@ -78,3 +78,23 @@ def test_like_queries_are_ranked_once(spark):
     assert plan(got).count("Join ") <= 3 < plan(want).count("Join ")
     best = knowledge.best_of(knowledge.ranked_pool(q, c, "query", ["b"], ["text"], ["candidate_text"], names, most=3), "query", names, 3)
     assert sorted(map(tuple, best.collect())) == sorted(map(tuple, knowledge.bake_off(q.join(c, "b"), "query", names, most=3).collect()))
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_visibility_is_counted_without_pairs(spark, monkeypatch, odd):
+    rng = random.Random(7)
+    at = dt.datetime(2024, 1, 1)
+    rows = [(k // 60, k, rng.choice([1, 2, None]), k // 30, rng.choice(["x", "y", "z", None]), at + dt.timedelta(minutes=k)) for k in range(150)]
+    rows += [(0, 3, 2, 1, "y", at)] if odd else []
+    rows = spark.createDataFrame(rows, "window long, item long, user_id long, hour long, kind string, at timestamp_ntz")
+    placed = graph.seed_star(rows.select("window", "item"), graph.shared_key_edges(rows, "window", "item", "user_id"))
+    want = knowledge.visibility(placed, joins.pairs_by_key(rows, "hour", "item", "kind", "at").select("a", "b"), "window").collect()
+    if not odd:
+        assert sorted(map(tuple, graph.key_stars(rows, "window", "item", "user_id").select(placed.columns).collect())) == sorted(map(tuple, placed.collect()))
+        monkeypatch.setattr(graph, "shared_key_edges", None)
+    assert knowledge.key_visibility(rows, "window", "item", "user_id", "hour", "kind", "at").collect() == want
+
+
+def test_visibility_query_makes_no_edges(spark, monkeypatch):
+    monkeypatch.setattr(graph, "shared_key_edges", None)
+    assert plans.l21(spark, "/root/testdata/sf0.001").count() == 1
