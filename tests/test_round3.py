@@ -98,3 +98,18 @@ def test_visibility_is_counted_without_pairs(spark, monkeypatch, odd):
 def test_visibility_query_makes_no_edges(spark, monkeypatch):
     monkeypatch.setattr(graph, "shared_key_edges", None)
     assert plans.l21(spark, "/root/testdata/sf0.001").count() == 1
+
+
+def test_means_are_summed_from_the_newest_sample(spark):
+    rng = random.Random(5)
+    while True:
+        v = [rng.randrange(100, 9000) / 100 for _ in range(20)]
+        up, down = 0.0, 0.0
+        for x, y in zip(v, v[::-1]):
+            up, down = up + x, down + y
+        last = round(2.5 * up / 20, 2)
+        if (last >= 2.5 * (up / 20)) != (last >= 2.5 * (down / 20)) and len(set(v)) == 20 and all(b < 2.5 * (sum(v[:k]) / k) for k, b in enumerate(v) if k >= 5):
+            break
+    rows = [(1, dt.datetime(2024, 1, 1) + dt.timedelta(hours=k), x) for k, x in enumerate([*v, last])]
+    got = monitors.volume_alerts(spark.createDataFrame(rows, "k long, t timestamp, v double"), "k", "t", "v").collect()
+    assert len(got) == int(last >= 2.5 * (down / 20))

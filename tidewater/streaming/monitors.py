@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -104,7 +106,7 @@ class _VolumeAlerts(_Forgetful):
             if v is None or v != v:
                 continue
             if len(samples) >= self.least and v >= self.floor:
-                mean = sum(samples) / len(samples)
+                mean = functools.reduce(operator.add, reversed(samples)) / len(samples)  # rounded as the batch rounds it
                 if mean > 0 and v >= self.spike * mean and (alerted is None or now - alerted >= self.cooldown):
                     found.append((name, when, float(v), v / mean))
                     alerted = now
@@ -163,7 +165,7 @@ def volume_alerts(
     fresh = F.col(value) != F.lag(value).over(in_order)
     rows = rows.withColumn("_new", F.when(F.coalesce(fresh, F.lit(True)), F.col(value).cast("double")))
     rows = rows.withColumn("_seen", F.count("_new").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
-    ring = Window.partitionBy(key, "_life").orderBy("_seen").rangeBetween(-trailing, -1)
+    ring = Window.partitionBy(key, "_life").orderBy(F.desc("_seen")).rangeBetween(1, trailing)  # summed up from the newest sample on
     rows = rows.withColumn("_mean", F.avg("_new").over(ring)).withColumn("_n", F.count("_new").over(ring))
     hits = rows.filter((F.col("_n") >= least) & (F.col(value) >= floor) & (F.col("_mean") > 0) & (F.col(value) >= spike * F.col("_mean")))
     hits = hits.select(F.col(key), F.col(at).alias("at"), F.col(value).cast("double").alias("value"), (F.col(value) / F.col("_mean")).alias("ratio"))
