@@ -113,3 +113,35 @@ def test_means_are_summed_from_the_newest_sample(spark):
     rows = [(1, dt.datetime(2024, 1, 1) + dt.timedelta(hours=k), x) for k, x in enumerate([*v, last])]
     got = monitors.volume_alerts(spark.createDataFrame(rows, "k long, t timestamp, v double"), "k", "t", "v").collect()
     assert len(got) == int(last >= 2.5 * (down / 20))
+
+
+def test_claims_meet_by_numbers_and_words(spark):
+    rng = random.Random(4)
+    claim = lambda: " ".join(rng.sample("oil gold rates trade price output falls rises again china".split(), rng.randrange(1, 5))) + rng.choice(["", " 5", " 7"])
+    prior = [("L", f"c-{k:04d}", claim()) for k in range(9990, 10040)]
+    reply = [("L", k, rng.choice([None, None, None, f"c-{rng.randrange(9990, 10050):04d}"]), rng.choice([claim(), claim(), claim(), ""]), rng.choice(["fact", "observation"])) for k in range(200)]
+    words = lambda t: {w for w in t.split() if not w.isdigit()}
+    same = lambda a, b: a[-1:].isdigit() * a[-1:] == b[-1:].isdigit() * b[-1:] and len(words(a) & words(b)) >= 0.85 * len(words(a) | words(b))
+    old, given, want, number = dict(r[1:] for r in sorted(prior, key=lambda r: r[1])), {}, [], 10040
+    for _, _, name, text, kind in reply:
+        twin = next((i for i in sorted(old) if i not in given and same(text, old[i])), None)
+        if name in old:
+            want.append((name, text, "reaffirm"))
+            given[name] = old[name]
+        elif not text:
+            continue
+        elif any(same(text, g) for g in given.values()):
+            want.append((None, text, "repeat"))
+        elif twin:
+            want.append((twin, text, "reuse"))
+            given[twin] = old[twin]
+        elif kind == "observation":
+            want.append((None, text, "reject"))
+        else:
+            want.append((f"c-{number:04d}", text, "new"))
+            given[want[-1][0]] = text
+            number += 1
+    got = state.merge_claims(spark.createDataFrame(prior, "ledger string, id string, claim string"), spark.createDataFrame(reply, "ledger string, pos int, id string, claim string, kind string"))
+    assert sorted((r.id, r.claim, r.action) for r in got.collect() if r.id) == sorted(w for w in want if w[0])
+    assert sorted((r.claim, r.action) for r in got.collect() if not r.id) == sorted(w[1:] for w in want if not w[0])
+    assert "FlatMapGroupsInPandas [ledger" in plan(got) and "n#" in plan(got).split("FlatMapGroupsInPandas [")[1].split("]")[0]

@@ -302,8 +302,8 @@ def t11(spark, d):
 @query("t13_merged_claims")
 def t13(spark, d):
     c = table(spark, d, "conversations").select((F.col("conv_id") % 20).cast("string").alias("ledger"), "conv_id", "turn", "role", F.col("text").alias("claim"))
-    number = F.lpad(F.dense_rank().over(Window.partitionBy("ledger").orderBy("conv_id", "turn")).cast("string"), 4, "0")
-    prior = c.filter("role = 'user'").withColumn("id", F.concat(F.lit("c-"), number)).select("ledger", "id", "claim")
+    number = F.format_string("c-%04d", F.dense_rank().over(Window.partitionBy("ledger").orderBy("conv_id", "turn")))  # over 9999 it grows longer
+    prior = c.filter("role = 'user'").withColumn("id", number).select("ledger", "id", "claim")
     reply = c.filter("role = 'assistant' OR turn = 0").select("ledger", (F.col("conv_id") * 100 + F.col("turn")).cast("int").alias("pos"), F.lit(None).cast("string").alias("id"), "claim", F.lit("fact").alias("kind"))
     return state.merge_claims(prior, reply)
 
