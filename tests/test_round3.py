@@ -145,3 +145,13 @@ def test_claims_meet_by_numbers_and_words(spark):
     assert sorted((r.id, r.claim, r.action) for r in got.collect() if r.id) == sorted(w for w in want if w[0])
     assert sorted((r.claim, r.action) for r in got.collect() if not r.id) == sorted(w[1:] for w in want if not w[0])
     assert "FlatMapGroupsInPandas [ledger" in plan(got) and "n#" in plan(got).split("FlatMapGroupsInPandas [")[1].split("]")[0]
+
+
+def test_edges_are_cut_to_a_forest(spark):
+    name = lambda k: k.to_bytes(4, "big")
+    edges = [(name(tree + 1000 * group), name(1000 * group + k)) for group in range(3) for tree in range(20) for k in range(tree + 1, 400)]
+    edges = spark.createDataFrame(edges, "src binary, dst binary")
+    few = lshforest.spanning(edges)
+    assert few.count() <= 2 * 1200 < edges.count()
+    ends = lambda df: sorted((bytes(r.id), bytes(r.component)) for r in graph.connected_components(df).collect())
+    assert ends(few) == ends(edges)

@@ -327,6 +327,41 @@ def forest_edges(classes: DataFrame, depth: int, trees: int = TREES, longest: in
     return out.distinct(), low.select("key")
 
 
+def spanning(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst) with the same components as ``edges``, little more than one for each vertex.
+
+    A class meets one leader in each tree, and the trees' leaders differ.  Edges are dealt by
+    the class they lead to; a task keeps those that join what it has not joined yet.
+    """
+    hold = HOLD
+
+    def run(batches):
+        number, parent = {}, []
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for batch in batches:
+            if len(parent) > hold:
+                number, parent = {}, []
+            keep = []
+            for k, ends in enumerate(zip(batch.column("src").to_pylist(), batch.column("dst").to_pylist())):
+                for v in ends:
+                    if v not in number:
+                        number[v] = len(parent)
+                        parent.append(number[v])
+                a, b = (root(number[v]) for v in ends)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    keep.append(k)
+            if keep:
+                yield batch.take(pa.array(keep))
+
+    return edges.select("src", "dst").repartition(F.col("dst")).mapInArrow(run, "src binary, dst binary")
+
+
 def exact_edges(docs: DataFrame, few: DataFrame, n: int, threshold: float) -> DataFrame:
     """Candidate edges (src, dst) among the classes ``few`` (key, row, sketch_a, sketch_b): all pairs that share one of the
     rarest runs that a pair at the threshold cannot do without."""
@@ -451,7 +486,7 @@ def _joined(docs: DataFrame, n: int, threshold: float, trees: int, recall: float
     few = cut(few)
     if few.limit(1).count():
         edges = edges.unionByName(exact_edges(docs, stands.join(few, "key").select("key", "row", "sketch_a", "sketch_b"), n, threshold))
-    components = connected_components(edges)
+    components = connected_components(spanning(edges))
     members = components.withColumnRenamed("id", "key").join(_large(classes.drop("doc_id")), "key")
     parts = cut(_verified(docs, members, n, threshold))
     linked = connected_components(parts.filter("key <> root").select(F.col("key").alias("src"), F.col("root").alias("dst")))
