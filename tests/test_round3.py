@@ -155,3 +155,14 @@ def test_edges_are_cut_to_a_forest(spark):
     assert few.count() <= 2 * 1200 < edges.count()
     ends = lambda df: sorted((bytes(r.id), bytes(r.component)) for r in graph.connected_components(df).collect())
     assert ends(few) == ends(edges)
+
+
+def test_components_are_contracted(spark, monkeypatch):
+    rng = random.Random(2)
+    edges = [(rng.randrange(8), 1000 + k) for k in range(200) for _ in range(4)] + [(2000 + k, 2001 + k) for k in range(20)]
+    sizes, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: sizes.append(cut(df)) or sizes[-1])
+    got = {r.id: r.component for r in graph.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {k: 2000 if k >= 2000 else 0 for e in edges for k in e}
+    left = [df.count() for df in sizes if df.columns == ["a", "b"]]
+    assert left[0] == len(set(edges)) and left[-1] == 0 and sum(left[1:]) < left[0] / 10
