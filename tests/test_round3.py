@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import predicates
 from tidewater.llm import lshforest
-from tidewater.operators import graph, joins, knowledge, state, topk
+from tidewater.operators import graph, joins, knowledge, state, topk, windows
 from tidewater.plans import catalog, intake  # noqa: F401
 from tidewater.plans import knowledge as plans
 from tidewater.streaming import monitors
@@ -166,3 +166,13 @@ def test_components_are_contracted(spark, monkeypatch):
     assert got == {k: 2000 if k >= 2000 else 0 for e in edges for k in e}
     left = [df.count() for df in sizes if df.columns == ["a", "b"]]
     assert left[0] == len(set(edges)) and left[-1] == 0 and sum(left[1:]) < left[0] / 10
+
+
+def test_best_passages_are_cut_before_they_are_dealt_out(spark):
+    rows = [(t, k, k % 5, "x" * 600) for k in range(60) for t in ("en", "fr", "de", None)]
+    passages = spark.createDataFrame(rows, "topic string, passage_id long, score long, text string").repartition(3)
+    topics = spark.createDataFrame([("fr", 1), ("en", 2)], "topic string, n int")
+    got = knowledge.topic_context(passages, topics.filter("n = 1"), topics.filter("n = 2"))
+    best = [4, 9, 14]
+    assert {(r.topic, r.passage_id, len(r.text)) for r in got.collect()} == {(t, k, 500) for t, n in (("en", 3), ("de", 2), (None, 2)) for k in best[:n]}
+    assert "WindowGroupLimit" in plan(got)
