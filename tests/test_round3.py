@@ -176,3 +176,17 @@ def test_best_passages_are_cut_before_they_are_dealt_out(spark):
     best = [4, 9, 14]
     assert {(r.topic, r.passage_id, len(r.text)) for r in got.collect()} == {(t, k, 500) for t, n in (("en", 3), ("de", 2), (None, 2)) for k in best[:n]}
     assert "WindowGroupLimit" in plan(got)
+
+
+def test_a_key_is_ranked_by_many_tasks(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, float("nan"), *map(float, range(40))]), k) for k in range(500)]
+    want = {}
+    order = lambda v: (v is not None, v != v, v if v == v else 0)
+    for k, v, i in rows:
+        peers = [x for q, x, _ in rows if q == k]
+        want[i] = sum(order(x) < order(v) if v is not None else 0 for x in peers) + (sum(order(x) == order(v) if None not in (x, v) else x is v for x in peers) + 1) / 2
+    got = windows.average_ranks(spark.createDataFrame(rows, "k string, v double, id long").repartition(3), ["k"], "v")
+    assert {r.id: r["rank"] for r in got.collect()} == want and got.columns == ["k", "v", "id", "rank"]
+    assert "rank(" not in plan(got)
+    assert windows.average_ranks(spark.createDataFrame([], "k string, v double"), ["k"], "v").count() == 0

@@ -109,9 +109,22 @@ def near_flag(rows: DataFrame, key: str, at: str, flag: str, reach: int) -> Data
 
 
 def average_ranks(rows: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
-    """Ranks from 1, ties at their mean."""
-    order, peers = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys, value)
-    return rows.withColumn(out, F.rank().over(order) + (F.count("*").over(peers) - 1) / 2)
+    """Ranks from 1, ties at their mean.
+
+    Distinct values are counted and sorted over range partitions, so a key's values are
+    ranked by many tasks; a value's rank follows from the counts before it and its own.
+    """
+    by = [*keys, value]
+    counts = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    placed = cut(counts.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy("_part", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("_part", *keys).agg(F.sum("_n").alias("_n"))  # at most one row for each partition and key, and each partition
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    skips = parts.select("_part", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_skip"))
+    at = placed.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumnRenamed("_part", "_p")
+    at = at.join(skips, [F.col("_p") == F.col("_part"), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]])
+    ranks = at.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], (F.col("_skip") + F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
+    return rows.join(ranks, [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)]).drop(*[f"_b{i}" for i in range(len(by))])
 
 
 def fresh_samples(rows: DataFrame, key: str, at: str, value: str, keep: int) -> DataFrame:
