@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import predicates
 from tidewater.llm import lshforest
-from tidewater.operators import graph, joins, knowledge, state, topk, windows
+from tidewater.operators import graph, integration, joins, knowledge, state, topk, windows
 from tidewater.plans import catalog, intake  # noqa: F401
 from tidewater.plans import knowledge as plans
 from tidewater.streaming import monitors
@@ -190,3 +190,21 @@ def test_a_key_is_ranked_by_many_tasks(spark):
     assert {r.id: r["rank"] for r in got.collect()} == want and got.columns == ["k", "v", "id", "rank"]
     assert "rank(" not in plan(got)
     assert windows.average_ranks(spark.createDataFrame([], "k string, v double"), ["k"], "v").count() == 0
+
+
+def test_candidates_meet_by_spans_of_time(spark):
+    rng = random.Random(9)
+    at = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randrange(24 * 90))
+    events = [(k, at(), at()) if k % 3 else (k, *[at()] * 2) for k in range(150)] + [(150, None, at())]
+    links = [(k, rng.randrange(6)) for k in range(151) for _ in range(3)]
+    when = {r: at() for r in range(40)}
+    wanted = [(r, rng.randrange(6), when[r]) for r in range(40) for _ in range(2)]
+    sets = {k: {e for x, e in links if x == k} for k in range(151)}
+    need = {r: {e for x, e, _ in wanted if x == r} for r in when}
+    want = {(r, k) for r, t in when.items() for k, o, c in events if o and c < t and o >= t - dt.timedelta(days=14) and sets[k] & need[r]}
+    asked = spark.createDataFrame(wanted, "request long, entity long, at timestamp_ntz")
+    pool = integration.candidate_pool(spark.createDataFrame(events, "event long, occurred_at timestamp_ntz, created_at timestamp_ntz"), spark.createDataFrame(links, "event long, entity long"), asked)
+    assert sorted((r.request, r.event) for r in pool.collect()) == sorted(want)
+    assert "_span" in plan(pool)
+    got = integration.batch_overlap(pool, asked, 500)
+    assert {(r.request, r.event): r.overlap for r in got.collect()} == {(r, k): len(sets[k] & need[r]) for r, k in want}

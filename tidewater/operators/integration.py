@@ -36,11 +36,18 @@ def candidate_pool(events: DataFrame, links: DataFrame, wanted: DataFrame, days:
     and entity; ``events`` has event, occurred_at and created_at.  An event counts if it has
     one of the entities, was known before ``at`` and happened at most ``days`` days earlier.
     An empty set has no candidates.
+
+    Dates are dealt into spans; only events and requests of one span or of neighbouring ones
+    meet.  One known before it happened stands in all spans between.
     """
     sets = links.groupBy("event").agg(F.array_sort(F.collect_set("entity")).alias("entities"))
     timed = events.select("event", "occurred_at", "created_at").join(links.select("event", "entity").distinct(), "event")
     near = (F.col("occurred_at") >= F.col("at") - F.expr(f"INTERVAL {days} DAYS")) & (F.col("created_at") < F.col("at"))
-    met = timed.join(wanted.select("request", "entity", "at").distinct(), "entity").filter(near)
+    # Two days longer than asked for, so that a change of the clock parts nothing.
+    span = lambda c: F.floor(F.unix_date(F.to_date(c)) / (days + 2))
+    stands = F.when(F.col("created_at") >= F.col("occurred_at"), F.array(span("occurred_at"))).otherwise(F.sequence(span("created_at"), span("occurred_at")))
+    asked = wanted.select("request", "entity", "at").distinct().withColumn("_span", F.explode(F.array(span("at"), span("at") - 1)))
+    met = timed.withColumn("_span", F.explode(stands)).join(asked, ["entity", "_span"]).filter(near)
     return met.select("request", "event", "occurred_at").distinct().join(sets, "event").select("request", "event", "occurred_at", "entities")
 
 
