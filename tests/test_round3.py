@@ -208,3 +208,4 @@ def test_candidates_meet_by_spans_of_time(spark):
     assert "_span" in plan(pool)
     got = integration.batch_overlap(pool, asked, 500)
     assert {(r.request, r.event): r.overlap for r in got.collect()} == {(r, k): len(sets[k] & need[r]) for r, k in want}
+    assert "Generate" not in plan(integration.batch_overlap(pool.limit(5), asked, 5)).split("GlobalLimit")[0]

@@ -57,9 +57,9 @@ def batch_overlap(pool: DataFrame, wanted: DataFrame, cap: int) -> DataFrame:
     ``pool`` is what ``candidate_pool`` gives; ``wanted`` has request and entity of any number
     of items.  Events that share nothing come last with overlap 0.
     """
-    shared = pool.select("request", "event", F.explode("entities").alias("entity")).join(wanted.select("request", "entity").distinct(), ["request", "entity"])
-    counts = shared.groupBy("request", "event").agg(F.count("*").alias("overlap"))
-    scored = pool.select("request", "event", "occurred_at").join(counts, ["request", "event"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+    batches = wanted.groupBy("request").agg(F.collect_set("entity").alias("_wanted"))
+    shared = F.size(F.array_intersect("entities", F.coalesce("_wanted", F.array()))).cast("long")
+    scored = pool.join(batches, "request", "left").select("request", "event", "occurred_at", shared.alias("overlap"))
     return topk.top_k_per_key(scored, ["request"], [F.desc("overlap"), F.desc("occurred_at"), F.desc("event")], cap)
 
 
