@@ -125,8 +125,9 @@ def page_text(html: Column) -> Column:
 
 def typed_event_rows(lines: DataFrame, column: str = "value") -> DataFrame:
     """Tab-separated event lines with at least 52 fields; rows with a bad date or number are dropped."""
-    f = F.split(column, "\t")
-    rows = lines.filter(F.size(f) >= 52).select(
+    # Split once: a plain column would be split again for each field, and for each filter on one.
+    split, f = lines.select(F.explode(F.array(F.split(column, "\t"))).alias("_f")), F.col("_f")
+    rows = split.filter(F.size(f) >= 52).select(
         scalars.compact_date(f[1]).alias("date"), f[28].alias("root"), f[29].alias("quad"), f[30].try_cast("double").alias("goldstein"),
         f[31].try_cast("int").alias("mentions"), f[34].try_cast("double").alias("tone"), f[51].alias("geo"),
     )
