@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from tidewater.functions import predicates
 from tidewater.llm import lshforest
 from tidewater.operators import graph, integration, joins, knowledge, state, topk, windows
-from tidewater.plans import catalog, intake  # noqa: F401
+from tidewater.plans import catalog, intake, matching  # noqa: F401
 from tidewater.plans import knowledge as plans
+from tidewater.sources import readers
 from tidewater.streaming import monitors
 
 
@@ -209,3 +210,9 @@ def test_candidates_meet_by_spans_of_time(spark):
     got = integration.batch_overlap(pool, asked, 500)
     assert {(r.request, r.event): r.overlap for r in got.collect()} == {(r, k): len(sets[k] & need[r]) for r, k in want}
     assert "Generate" not in plan(integration.batch_overlap(pool.limit(5), asked, 5)).split("GlobalLimit")[0]
+
+
+def test_event_lines_are_split_once(spark):
+    lines = spark.range(4).select(F.array_join(F.array(*[F.lit("20240102" if k == 1 else "7") for k in range(58)]), "\t").alias("x"), "id").select(F.concat("x", F.col("id").cast("string")).alias("value"))
+    got = readers.typed_event_rows(lines)
+    assert got.count() == 4 and plan(got).count("split(") == 1
