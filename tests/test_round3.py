@@ -216,3 +216,8 @@ def test_event_lines_are_split_once(spark):
     lines = spark.range(4).select(F.array_join(F.array(*[F.lit("20240102" if k == 1 else "7") for k in range(58)]), "\t").alias("x"), "id").select(F.concat("x", F.col("id").cast("string")).alias("value"))
     got = readers.typed_event_rows(lines)
     assert got.count() == 4 and plan(got).count("split(") == 1
+
+
+def test_both_kinds_of_visibility_in_one_pass(spark):
+    got = catalog.queries()["g07_g08_visible"](spark, "/root/testdata/sf0.001")
+    assert plan(got).count("Relation ") <= 3 and got.first().pairs > 0
