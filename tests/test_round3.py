@@ -221,3 +221,13 @@ def test_event_lines_are_split_once(spark):
 def test_both_kinds_of_visibility_in_one_pass(spark):
     got = catalog.queries()["g07_g08_visible"](spark, "/root/testdata/sf0.001")
     assert plan(got).count("Relation ") <= 3 and got.first().pairs > 0
+
+
+def test_forms_meet_distinct_words(spark):
+    items = spark.createDataFrame([(1, "Red ring red"), (2, "hot red bolt ring"), (3, None), (4, ""), (1, "red")], "item long, text string")
+    forms = spark.createDataFrame([("R", "red"), ("R", "RED"), ("B", "red bolt"), ("S", "ring"), ("N", "bolt red"), ("E", " ")], "entity string, form string")
+    got = joins.dictionary_hits(items, forms)
+    assert sorted(map(tuple, got.collect())) == [(1, "R"), (1, "S"), (2, "B"), (2, "R"), (2, "S")]
+    single = joins.dictionary_hits(items, forms.filter("entity <> 'B' AND entity <> 'N'"))
+    assert sorted(map(tuple, single.collect())) == [(1, "R"), (1, "S"), (2, "R"), (2, "S")]
+    assert "slice(words" not in plan(single)

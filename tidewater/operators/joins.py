@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.scalars import trigrams
-from tidewater.operators.graph import written
+from tidewater.operators.graph import parts_for, written
 
 
 def pairs_by_key(rows: DataFrame, key: str, item: str, outlet: str, at: str, max_gap_seconds: float | None = None) -> DataFrame:
@@ -236,18 +236,28 @@ def tiered(rows: DataFrame, tiers: Sequence[tuple[DataFrame, str, str]], out: st
     return rows.withColumn(out, F.coalesce(*values)).drop(*[f"_t{k}" for k in range(len(tiers))])
 
 
+#: Items whose hits one task holds.
+ITEMS_OF_A_TASK = 50_000
+
+
 def dictionary_hits(items: DataFrame, forms: DataFrame, item: str = "item", text: str = "text", entity: str = "entity", form: str = "form") -> DataFrame:
     """Distinct (item, entity) where a form stands in the text as a run of whole words (lower case).
 
-    Forms meet texts by their first word; the run is then compared, so common first words
-    cost a comparison, not a wrong hit.
+    Forms of one word meet the distinct words of a text.  Longer ones meet texts by their
+    first word; the run is then compared, so common first words cost a comparison, not a
+    wrong hit.  An item's hits come together in one of as many tasks as the items need.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
     texts = items.select(F.col(item).alias("item"), words(F.col(text)).alias("words"))
-    at = texts.select("item", "words", F.posexplode("words").alias("pos", "first"))
     listed = forms.select(F.col(entity).alias("entity"), words(F.col(form)).alias("run")).filter(F.size("run") > 0).withColumn("first", F.col("run")[0])
-    hits = at.join(listed, "first").filter(F.slice("words", F.col("pos") + 1, F.size("run")) == F.col("run"))
-    return hits.select("item", "entity").distinct()
+    one = listed.filter(F.size("run") == 1).select("entity", "first").distinct()
+    hits = texts.select("item", F.explode(F.array_distinct("words")).alias("first")).join(one, "first").select("item", "entity")
+    several = listed.filter(F.size("run") > 1)
+    if several.limit(1).count():
+        at = texts.select("item", "words", F.posexplode("words").alias("pos", "first"))
+        found = at.join(several, "first").filter(F.slice("words", F.col("pos") + 1, F.size("run")) == F.col("run"))
+        hits = hits.unionByName(found.select("item", "entity"))
+    return hits.repartition(parts_for(items, ITEMS_OF_A_TASK), "item").distinct()
 
 
 def state_changes(now: DataFrame, before: DataFrame, key: str, digest: str, strength: str) -> DataFrame:
