@@ -231,3 +231,11 @@ def test_forms_meet_distinct_words(spark):
     single = joins.dictionary_hits(items, forms.filter("entity <> 'B' AND entity <> 'N'"))
     assert sorted(map(tuple, single.collect())) == [(1, "R"), (1, "S"), (2, "R"), (2, "S")]
     assert "slice(words" not in plan(single)
+
+
+@pytest.mark.parametrize("a, b, n", [([1, 2, 2], [2, 3], 3), ([], [], 0), ([1], [1], 0)])
+def test_differing_hits_are_counted_in_one_pass(spark, a, b, n):
+    side = lambda x: spark.createDataFrame([(k, "e") for k in x], "item long, entity string")
+    got = knowledge.differing_hits(side(a), side(b))
+    assert got.first().differ == n
+    assert plan(got).count("LogicalRDD") <= 2 and "Generate" not in plan(got)
