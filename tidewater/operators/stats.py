@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators import windows
+from tidewater.operators.graph import cut, parts_for
 
 
 def pearson(rows: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "r") -> DataFrame:
@@ -59,70 +61,140 @@ def pooled_share(rows: DataFrame, group: str, item: str, outlet: str, event: str
 def pair_recall(rows: DataFrame, links: DataFrame, group: str, item: str, outlet: str) -> DataFrame:
     """Cross-outlet pairs of a group that share an event directly, over all such pairs.  ``links``: (item, event).
 
-    All pairs are counted from the sizes of groups, items and outlets; only items that share an event meet.
+    All pairs are counted from the sizes of groups, items and outlets.  Linked ones are
+    counted where the pairs of small groups meet those of events of few items
+    (``_small_links``), by lookup in large groups and by classes at hot events.
     """
-    own = rows.select(group, item, outlet).distinct().filter(F.col(group).isNotNull() & F.col(item).isNotNull() & F.col(outlet).isNotNull())
-    squares = lambda *keys: own.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("s"))
-    sums = squares(group).select(F.col("s").alias("every"))
-    sums = sums.crossJoin(squares(group, item).select(F.col("s").alias("same_item"))).crossJoin(squares(group, outlet).select(F.col("s").alias("same_outlet")))
-    sums = sums.crossJoin(own.agg(F.count("*").alias("rows")))  # one row each
-    pairs = sums.select(((F.col("every") - F.col("same_item") - F.col("same_outlet") + F.col("rows")) / 2).cast("long").alias("pairs"))
-    linked = _linked_pairs(own, links.select("item", "event").distinct(), group, item, outlet)
+    own = rows.select(F.col(group).alias("g"), F.col(item).alias("item"), F.col(outlet).alias("o")).filter("g IS NOT NULL AND item IS NOT NULL AND o IS NOT NULL")
+    links = links.select("item", "event").filter("item IS NOT NULL AND event IS NOT NULL")
+    large, hot = _large(own, "g", LARGE_GROUP_ROWS), _large(links, "event", HOT_EVENT_ITEMS)
+    # An item with several outlets in a group differs from any other there: its outlet is null.
+    one = F.when(F.min("o") == F.max("o"), F.min("o")).alias("o")
+    items = lambda x: x.groupBy("g", "item").agg(one)
+    differ = lambda x, y: F.coalesce(x.o != y.o, F.lit(True))
+    small = _rest(own, large, "g").distinct()
+    pairs, members = [_outlet_pairs(small)], items(small)
+    found = [_small_links(items(small), links, hot, lambda n: F.lit(1.0), differ).agg(F.sum("w").cast("long").alias("linked"))]
+    if large is not None:
+        big = own.join(large, "g", "left_semi").distinct()
+        pairs, members = [*pairs, _outlet_pairs(big)], items(own)
+        found += [x.agg(F.count_if(F.coalesce(F.col("o") != F.col("o2"), F.lit(True))).alias("linked")) for x in _large_links(items(big), links, hot)]
+    if hot is not None:
+        found.append(_class_pairs(members.join(_hot_of(links, hot), "item")))
+    linked = reduce(DataFrame.unionByName, found).agg(F.coalesce(F.sum("linked"), F.lit(0)).alias("linked"))
+    pairs = reduce(DataFrame.unionByName, pairs).agg(F.sum("pairs").alias("pairs"))
     return pairs.crossJoin(linked).withColumn("recall", F.try_divide("linked", "pairs"))  # one row each
 
 
-#: An event of more items is hot: its pairs are counted from classes of items, never written as rows.
+#: An event of more rows is hot: its pairs are counted from classes of items, never written as rows.
 HOT_EVENT_ITEMS = 200
-#: An item of more groups meets its partner's groups by a join; fewer travel as an array.
+#: A group of more rows is large: items that share an event are looked up in it.
+LARGE_GROUP_ROWS = 200
+#: An item of more large groups meets its partner's groups by a join; fewer travel as an array.
 MANY_GROUPS = 1000
+#: An item of more rows meets its partners pair by pair, not in one task.
+BUSY_ITEM_ROWS = 100_000
+#: Rows of groups and events that a task takes.
+PART_ROWS = 200_000
 
 
-def _cold_pairs(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs i < j that share an event of few items and no hot one, once each; each item's hot events)."""
-    sizes = links.groupBy("event").agg(F.count("*").alias("_n"))
-    hot = sizes.filter(F.col("_n") > HOT_EVENT_ITEMS).select("event")
-    hot_of = links.join(hot, "event").groupBy("item").agg(F.array_sort(F.collect_set("event")).alias("hot"))
-    cold = links.join(hot, "event", "left_anti")
-    a, b = cold.select("event", F.col("item").alias("i")), cold.select("event", F.col("item").alias("j"))
-    met = a.join(b, "event").filter("i < j").select("i", "j").distinct()
+def _large(rows: DataFrame, key: str, most: int) -> DataFrame | None:
+    """The keys of more than ``most`` rows; None where there are none."""
+    found = cut(rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(key))
+    return None if found.isEmpty() else found
+
+
+def _rest(rows: DataFrame, large: DataFrame | None, key: str) -> DataFrame:
+    """Rows of the other keys, those of a key in one task: they are few."""
+    return (rows if large is None else rows.join(large, key, "left_anti")).repartition(key)
+
+
+def _outlet_pairs(own: DataFrame) -> DataFrame:
+    """One row, ``pairs``: of the rows (g, item, o) of a group those that differ in item and outlet."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sizes = own.groupBy("g", "item").agg(F.count("*").alias("n")).groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
+    sums = sizes.agg(total(F.col("n") * F.col("n") - F.col("s") + F.col("n")).alias("every"))
+    same = own.groupBy("g", "o").agg(F.count("*").alias("n")).agg(total(F.col("n") * F.col("n")).alias("same"))
+    return sums.crossJoin(same).select(((F.col("every") - F.col("same")) / 2).cast("long").alias("pairs"))  # one row each
+
+
+def _hot_of(links: DataFrame, hot: DataFrame) -> DataFrame:
+    """Each item's hot events."""
+    return links.join(hot, "event").groupBy("item").agg(F.array_sort(F.collect_set("event")).alias("hot"))
+
+
+def _without_hot(met: DataFrame, links: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """The pairs i, j that share no hot event."""
+    if hot is None:
+        return met
+    side = lambda x: _hot_of(links, hot).select(F.col("item").alias(x), F.col("hot").alias(f"hot_{x}"))
     both_hot = F.arrays_overlap(F.coalesce("hot_i", F.array()), F.coalesce("hot_j", F.array()))
-    met = met.join(hot_of.select(F.col("item").alias("i"), F.col("hot").alias("hot_i")), "i", "left").join(hot_of.select(F.col("item").alias("j"), F.col("hot").alias("hot_j")), "j", "left")
-    return met.filter(~both_hot).select("i", "j"), hot_of
+    return met.join(side("i"), "i", "left").join(side("j"), "j", "left").filter(~both_hot).drop("hot_i", "hot_j")
+
 
+def _partners(members: str, differ: Callable[[Column, Column], Column] | None = None) -> Column:
+    """(i, js) of each element of a sorted array of (item, ..): the items of later ones, of those that differ."""
 
-def _split_by_groups(met: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs with their items' groups (rows: g, item), as (light, heavy).
+    def later(x: Column, k: Column) -> Column:
+        after = F.slice(members, k + 2, F.size(members))
+        return F.transform(F.filter(after, lambda y: differ(x, y)) if differ else after, lambda y: y.item)
 
-    light: i, j with arrays gi and gj of groups, for items of few groups; heavy: item, other
-    of pairs where one has many: the one with fewer groups comes first.
+    return F.explode(F.transform(members, lambda x, k: F.struct(x.item.alias("i"), later(x, k).alias("js"))))
+
+
+def _small_links(own: DataFrame, links: DataFrame, hot: DataFrame | None, weight: Callable[[Column], Column], differ: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(i, j, w): pairs of small groups, i < j, that share an event but no hot one, with the weights of their groups, taken of a group's size.
+
+    ``own`` (g, item, ..) has a group's rows in one task.  An item travels with its later
+    partners in a group or event as one row, to the task that makes and counts all its
+    pairs; the pairs of a busy item are counted before they travel.
     """
+    rest = [c for c in own.columns if c not in ("g", "item")]
+    groups = own.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("item", *rest))).alias("m")).select(weight(F.size("m")).alias("w"), _partners("m", differ).alias("x"))
+    events = _rest(links, hot, "event").groupBy("event").agg(F.array_sort(F.collect_set(F.struct("item"))).alias("m")).select(F.lit(None).cast("double").alias("w"), _partners("m").alias("x"))
+    sets = groups.unionByName(events).select("x.i", "x.js", "w").filter(F.size("js") > 0)
+
+    def counted(x: DataFrame) -> DataFrame:
+        met = x.select("i", F.explode("js").alias("j"), "w").groupBy("i", "j").agg(F.sum("w").alias("w"), F.bool_or(F.col("w").isNull()).alias("met"))
+        return met.filter("met AND w IS NOT NULL").drop("met")
+
+    parts, busy = parts_for(links, PART_ROWS), _large(links, "item", BUSY_ITEM_ROWS)
+    if busy is None:
+        met = counted(sets.repartition(parts, "i"))
+    else:
+        busy = F.broadcast(busy.withColumnRenamed("item", "i"))  # one for so many rows
+        met = counted(sets.join(busy, "i", "left_anti").repartition(parts, "i")).unionByName(counted(sets.join(busy, "i", "left_semi")))
+    return _without_hot(met, links, hot)
+
+
+def _large_links(rows: DataFrame, links: DataFrame, hot: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs of items of a large group (rows: g, item, o) that share an event but no hot one, with g, o and o2.
+
+    The first are those of items of few groups, whose groups travel as arrays; in the others
+    one has many: the one with fewer groups is looked up in the groups of the other.
+    """
+    cold = _rest(links.join(rows.select("item").distinct(), "item", "left_semi"), hot, "event")
+    a, b = cold.select("event", F.col("item").alias("i")), cold.select("event", F.col("item").alias("j"))
+    met = _without_hot(a.join(b, "event").filter("i < j").select("i", "j").distinct(), links, hot)
+    at = lambda x, o: rows.select("g", F.col("item").alias(x), F.col("o").alias(o))
     degrees = rows.groupBy("item").agg(F.count("*").alias("d"))
     few = rows.join(degrees.filter(F.col("d") <= MANY_GROUPS), "item").groupBy("item").agg(F.collect_set("g").alias("gs"))
     side = lambda x: few.select(F.col("item").alias(x), F.col("gs").alias(f"g{x}"))
-    light = met.join(side("i"), "i").join(side("j"), "j")
+    common = met.join(side("i"), "i").join(side("j"), "j").select("i", "j", F.explode(F.array_intersect("gi", "gj")).alias("g"))
+    light = common.join(at("i", "o"), ["g", "i"]).join(at("j", "o2"), ["g", "j"])
     di, dj = F.col("di"), F.col("dj")
     both = met.join(degrees.select(F.col("item").alias("i"), F.col("d").alias("di")), "i").join(degrees.select(F.col("item").alias("j"), F.col("d").alias("dj")), "j").filter(F.greatest(di, dj) > MANY_GROUPS)
-    return light, both.select(F.when(di <= dj, F.col("i")).otherwise(F.col("j")).alias("item"), F.when(di <= dj, F.col("j")).otherwise(F.col("i")).alias("other"))
+    both = both.select(F.when(di <= dj, F.col("i")).otherwise(F.col("j")).alias("i"), F.when(di <= dj, F.col("j")).otherwise(F.col("i")).alias("j"))
+    heavy = both.join(at("i", "o"), "i").join(at("j", "o2"), ["g", "j"])
+    return light.select("g", "o", "o2"), heavy.select("g", "o", "o2")
 
 
-def _linked_pairs(own: DataFrame, links: DataFrame, group: str, item: str, outlet: str) -> DataFrame:
-    """One row, ``linked``: pairs of items of a group and of different outlets there that share an event.
+def _class_pairs(rows: DataFrame) -> DataFrame:
+    """One row, ``linked``: pairs of items of a group and of different outlets there that share a hot event.  Rows: g, item, o, hot.
 
-    Pairs that share an event of few items are written once and looked up in the groups of
-    both.  Pairs that share a hot event are counted by classes: items of a group with the
-    same hot events and the same outlet are one class with a count.
+    Items of a group with the same hot events and the same outlet are one class with a count.
     """
-    # An item with several outlets in a group differs from any other there: its outlet is null.
-    one = F.when(F.min(outlet) == F.max(outlet), F.min(outlet))
-    rows = own.groupBy(F.col(group).alias("g"), F.col(item).alias("item")).agg(one.alias("o"))
-    met, hot_of = _cold_pairs(links)
-    light, both = _split_by_groups(met, rows)
-    common = light.select("i", "j", F.explode(F.array_intersect("gi", "gj")).alias("g"))
-    sides = common.join(rows.select("g", F.col("item").alias("i"), F.col("o").alias("oi")), ["g", "i"]).join(rows.select("g", F.col("item").alias("j"), F.col("o").alias("oj")), ["g", "j"])
-    n_light = sides.agg(F.count_if(F.coalesce(F.col("oi") != F.col("oj"), F.lit(True))).alias("light"))
-    heavy = both.join(rows, "item").join(rows.select("g", F.col("item").alias("other"), F.col("o").alias("o2")), ["g", "other"])
-    n_heavy = heavy.agg(F.count_if(F.coalesce(F.col("o") != F.col("o2"), F.lit(True))).alias("heavy"))
-    classes = rows.join(hot_of, "item").groupBy("g", "hot", "o").agg(F.count("*").alias("n"))
+    classes = rows.groupBy("g", "hot", "o").agg(F.count("*").alias("n"))
     left = classes.withColumn("event", F.explode("hot"))
     right = left.select("g", "event", F.col("hot").alias("hot2"), F.col("o").alias("o2"), F.col("n").alias("n2"))
     pairs = left.join(right, ["g", "event"]).groupBy("g", "hot", "o", "n", "hot2", "o2", "n2").agg(F.lit(1).alias("_x"))
@@ -130,32 +202,35 @@ def _linked_pairs(own: DataFrame, links: DataFrame, group: str, item: str, outle
     differ = F.coalesce(F.col("o") != F.col("o2"), F.lit(True))
     # Ordered pairs of classes count each pair of items twice.
     met_twice = F.when(same, F.when(F.col("o").isNull(), F.col("n") * (F.col("n") - 1)).otherwise(0)).when(differ, F.col("n") * F.col("n2")).otherwise(0)
-    n_hot = pairs.agg((F.coalesce(F.sum(met_twice), F.lit(0)) / 2).cast("long").alias("hot"))
-    return n_light.crossJoin(n_heavy).crossJoin(n_hot).select((F.col("light") + F.col("heavy") + F.col("hot")).alias("linked"))  # one row each
+    return pairs.agg((F.coalesce(F.sum(met_twice), F.lit(0)) / 2).cast("long").alias("linked"))
 
 
 def bcubed_recall(rows: DataFrame, links: DataFrame, group: str, item: str) -> DataFrame:
     """The mean over items of the share of their group, themselves included, that they are linked to directly.  ``links``: (item, event).
 
-    As in ``pair_recall`` only items that share an event meet, and those of a hot event as
-    classes of items with equal hot events.
+    The shares are added up by pairs: each linked pair gives one over the group's size to
+    both.  The pairs are found as in ``pair_recall``.
     """
-    own = rows.select(F.col(group).alias("g"), F.col(item).alias("item")).filter("g IS NOT NULL AND item IS NOT NULL").distinct()
-    sizes = own.groupBy("g").agg(F.count("*").alias("size"))
-    met, hot_of = _cold_pairs(links.select("item", "event").distinct())
-    light, both = _split_by_groups(met, own)
-    pairs = light.select("i", "j", F.explode(F.array_intersect("gi", "gj")).alias("g"))
-    pairs = pairs.unionByName(both.join(own, "item").join(own.withColumnRenamed("item", "other"), ["g", "other"]).select(F.col("item").alias("i"), F.col("other").alias("j"), "g"))
-    ends = pairs.select("g", F.explode(F.array("i", "j")).alias("item")).groupBy("g", "item").agg(F.count("*").alias("cold"))
-    with_hot = own.join(hot_of, "item")
-    classes = with_hot.groupBy("g", "hot").agg(F.count("*").alias("n"))
-    left = classes.select("g", "hot", F.explode("hot").alias("event"))
-    right = classes.select("g", F.col("hot").alias("hot2"), F.col("n").alias("n2"), F.explode("hot").alias("event"))
-    near = left.join(right, ["g", "event"]).select("g", "hot", "hot2", "n2").distinct().groupBy("g", "hot").agg((F.sum("n2") - 1).alias("hot_links"))
-    hot_ends = with_hot.join(near, ["g", "hot"]).select("g", "item", "hot_links")
-    found = own.join(sizes, "g").join(ends, ["g", "item"], "left").join(hot_ends, ["g", "item"], "left")
-    n = F.coalesce("cold", F.lit(0)) + F.coalesce("hot_links", F.lit(0))
-    return found.agg(F.count("*").alias("items"), F.avg((1 + n) / F.col("size")).alias("recall"))
+    own = rows.select(F.col(group).alias("g"), F.col(item).alias("item")).filter("g IS NOT NULL AND item IS NOT NULL")
+    links = links.select("item", "event").filter("item IS NOT NULL AND event IS NOT NULL")
+    large, hot = _large(own, "g", LARGE_GROUP_ROWS), _large(links, "event", HOT_EVENT_ITEMS)
+    members = _rest(own, large, "g").distinct()
+    shares = [_small_links(members, links, hot, lambda n: 2.0 / n).agg(F.sum("w").alias("s"))]
+    sizes = members.groupBy("g").agg(F.count("*").alias("size"))
+    if large is not None:
+        big = own.join(large, "g", "left_semi").distinct()
+        big_sizes = big.groupBy("g").agg(F.count("*").alias("size"))
+        members, sizes = own.distinct(), sizes.unionByName(big_sizes)
+        shares += [x.groupBy("g").agg(F.count("*").alias("n")).join(big_sizes, "g").agg(F.sum(2.0 * F.col("n") / F.col("size")).alias("s")) for x in _large_links(big.withColumn("o", F.lit(None)), links, hot)]
+    if hot is not None:
+        classes = members.join(_hot_of(links, hot), "item").groupBy("g", "hot").agg(F.count("*").alias("n"))
+        left = classes.select("g", "hot", "n", F.explode("hot").alias("event"))
+        right = classes.select("g", F.col("hot").alias("hot2"), F.col("n").alias("n2"), F.explode("hot").alias("event"))
+        near = left.join(right, ["g", "event"]).select("g", "hot", "n", "hot2", "n2").distinct().groupBy("g", "hot", "n").agg((F.sum("n2") - 1).alias("others"))
+        shares.append(near.join(sizes, "g").agg(F.sum(F.col("n") * F.col("others") / F.col("size")).alias("s")))
+    total = reduce(DataFrame.unionByName, shares).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
+    counts = sizes.agg(F.count("*").alias("groups"), F.coalesce(F.sum("size"), F.lit(0)).alias("items"))
+    return counts.crossJoin(total).select("items", F.try_divide(F.col("groups") + F.col("s"), F.col("items")).alias("recall"))  # one row each
 
 
 def _contingency(rows: DataFrame, a: str, b: str, item: str) -> DataFrame:
