@@ -275,3 +275,14 @@ def test_pair_recall_by_all_ways(spark, monkeypatch, told, limits):
     assert (got.pairs, got.linked) == (len(pairs), len({(x[0], x[1], y[1]) for x, y in pairs} & linked))
     # Pairs of small groups carry no lists of their items' groups.
     assert ("array_intersect" in plan(df)) == (limits[1] < 200)
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+def test_bcubed_recall_by_all_ways(spark, monkeypatch, told, limits):
+    rows, links, members, linked = told
+    limit(monkeypatch, limits)
+    df = stats.bcubed_recall(spark.createDataFrame(rows, "g long, item long, outlet long"), spark.createDataFrame(links, "item long, event long"), "g", "item")
+    got = df.first()
+    shares = [(1 + sum((g, *sorted((i, j))) in linked for j in m)) / len(m) for g, m in members.items() for i in m]
+    assert got["items"] == len(shares) and abs(got.recall - sum(shares) / len(shares)) < 1e-9
+    assert ("array_intersect" in plan(df)) == (limits[1] < 200)
