@@ -113,15 +113,17 @@ def resolved_batch(items: DataFrame, events: DataFrame, entities: DataFrame, don
     def status(x: Column, named: Column) -> Column:
         return F.when(x.done, "already").when(F.exists(named, lambda e: e.event.isNull()), "deferred").otherwise(x.verdict)
 
-    def declared(labels: Column, x: Column) -> Column:
-        named = step(labels, x)
-        own = F.transform(F.filter(named, lambda e: e.label.isNotNull()), lambda e: F.struct(e.label.alias("label"), e.event.alias("event")))
-        return F.concat(labels, F.when(status(x, named) == "written", own).otherwise(F.array().cast("array<struct<label:string,event:string>>")))
+    def declared(labels: Column, line: Column) -> Column:
+        own = F.transform(F.filter(line.events, lambda e: e.label.isNotNull()), lambda e: F.struct(e.label.alias("label"), e.event.alias("event")))
+        return F.when(line.status == "written", F.concat(labels, own)).otherwise(labels)
+
+    def once(value: Column, use: Callable[[Column], Column]) -> Column:
+        """``use`` of a value that is computed once, however often it is named there."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
 
     def fold(acc: Column, x: Column) -> Column:
-        named = step(acc.labels, x)
-        line = F.struct(x.item.alias("item"), x.occurred_at.alias("occurred_at"), status(x, named).alias("status"), named.alias("events"), x.entities.alias("entities"))
-        return F.struct(declared(acc.labels, x).alias("labels"), F.concat(acc.lines, F.array(line)).alias("lines"))
+        line = lambda named: F.struct(x.item.alias("item"), x.occurred_at.alias("occurred_at"), status(x, named).alias("status"), named.alias("events"), x.entities.alias("entities"))
+        return once(once(step(acc.labels, x), line), lambda l: F.struct(declared(acc.labels, l).alias("labels"), F.concat(acc.lines, F.array(l)).alias("lines")))
 
     item, entity, at = items.schema["item"].dataType.simpleString(), entities.schema["entity"].dataType.simpleString(), rows.schema["occurred_at"].dataType.simpleString()
     lines = f"array<struct<item:{item},occurred_at:{at},status:string,events:array<struct<event:string,is_new:boolean,label:string,summary:string,type:string,standing:string>>,entities:array<{entity}>>>"
