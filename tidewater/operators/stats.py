@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators import windows
-from tidewater.operators.graph import cut, parts_for
+from tidewater.operators.graph import cut, parts_for, written
 
 
 def pearson(rows: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "r") -> DataFrame:
@@ -20,8 +20,13 @@ def pearson(rows: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "r"
 
 
 def rank_ic(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Spearman's rank correlation with mean ranks for ties."""
-    ranked = windows.average_ranks(windows.average_ranks(rows, keys, x, "_rx"), keys, y, "_ry")
+    """Spearman's rank correlation with mean ranks for ties.  What is ranked is written once (``windows.average_ranks``)."""
+    return _ic_of(written(rows.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))), keys, "_x", "_y")
+
+
+def _ic_of(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """``rank_ic`` of rows whose values are the same at every reading."""
+    ranked = windows.ranks_by_value(windows.ranks_by_value(rows, keys, x, "_rx"), keys, y, "_ry")
     return pearson(ranked, keys, "_rx", "_ry", "ic")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.operators.graph import cut
+from tidewater.operators.graph import cut, written
 
 
 def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -111,6 +111,15 @@ def near_flag(rows: DataFrame, key: str, at: str, flag: str, reach: int) -> Data
 def average_ranks(rows: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
     """Ranks from 1, ties at their mean.
 
+    The rows are written once: they are counted and then meet their ranks by value, and a
+    mean of doubles may come out otherwise when it is worked out again.
+    """
+    return ranks_by_value(written(rows), keys, value, out)
+
+
+def ranks_by_value(rows: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """``average_ranks`` of rows whose values are the same at every reading.
+
     Distinct values are counted and sorted over range partitions, so a key's values are
     ranked by many tasks; a value's rank follows from the counts before it and its own.
     """
