@@ -45,9 +45,9 @@ def backtest(signal: DataFrame, prices: DataFrame, key: str, at: str, value: str
     """Rank IC and hit rate by horizon and part (discovery, holdout) of the pooled pairs in time order."""
     scored = windows.zscores(signal, key, value)
     pairs = scored.join(windows.forward_returns(prices, key, at, close, horizons), [key, at])
-    parts = windows.temporal_split(pairs, ["horizon"], [at, key], share)
     by = ["horizon", "part"]
-    return rank_ic(parts, by, "z", "forward").join(hit_rate(parts, by, "z", "forward").withColumnRenamed("n", "n_signed"), by)
+    parts = written(windows.temporal_split(pairs, ["horizon"], [at, key], share).select(*by, "z", "forward"))
+    return _ic_of(parts, by, "z", "forward").join(hit_rate(parts, by, "z", "forward").withColumnRenamed("n", "n_signed"), by)
 
 
 def confirmed_groups(rows: DataFrame, group: str, item: str, outlet: str, event: str) -> DataFrame:
