@@ -91,10 +91,11 @@ def overlap_share(polls: DataFrame, spans: DataFrame, key: str = "source", at: s
     return pairs.join(counts, [key, at, "next"], "left").withColumn("overlap", F.try_divide("stayed", "window"))
 
 
-def text_classes(texts: DataFrame, text: str) -> DataFrame:
-    """(cls, grams, n): the distinct trigram sets of the texts, a number for each; texts without trigrams have none."""
-    grams = texts.select(F.array_sort(trigrams(F.col(text))).alias("grams")).filter(F.size("grams") > 0).distinct()
-    return written(grams.select(F.monotonically_increasing_id().alias("cls"), "grams", F.size("grams").alias("n")), "classes")
+def text_classes(texts: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """(cls, grams, n), the distinct trigram sets of the texts with a number for each, and (text, cls); texts without trigrams have none."""
+    sets = written(texts.select(text).distinct().select(text, F.array_sort(trigrams(F.col(text))).alias("grams")), "texts").filter(F.size("grams") > 0)
+    classes = written(sets.select("grams").distinct().select(F.monotonically_increasing_id().alias("cls"), "grams", F.size("grams").alias("n")), "classes")
+    return classes, sets.join(classes, "grams").select(text, "cls")
 
 
 def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
@@ -120,22 +121,34 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
 
 #: Tasks that the pairs of two classes are dealt over.
 PAIR_PARTS = 16
+#: Rows of a class that travel as one and that a row meets one after the other.
+BLOCK_ROWS = 256
 
 
-def similar_rows(rows: DataFrame, item: str, text: str, threshold: float, on: Sequence[str] = (), values: Sequence[str] = ()) -> DataFrame:
+def similar_rows(rows: DataFrame, item: str, text: str, threshold: float, on: Sequence[str] = (), values: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """(on, a, b, similarity, {value}_a, {value}_b): pairs of rows, a < b, that share ``on`` and read alike.
 
-    Texts are compared once for each pair of distinct trigram sets; rows meet only through
-    classes so similar.  What grows with the pairs is the answer alone: it is made by the last
-    join and not dealt out again.
+    Texts are compared once for each pair of distinct trigram sets, and their similarity is
+    rounded there; rows meet only through classes so similar.  What grows with the pairs is
+    the answer alone: it is made by the last join and not dealt out again.  That join takes
+    the rows b of a class in sorted blocks, and all rows a pass a block before the next one
+    comes: a page of the written answer holds one block over and over and packs well.
     """
-    classes = text_classes(rows, text)
-    own = rows.select(*on, F.col(item).alias("_i"), *values, F.array_sort(trigrams(F.col(text))).alias("grams"))
-    members = own.join(classes.select("cls", "grams"), "grams").drop("grams")
+    classes, of_text = text_classes(rows, text)
+    members = rows.join(of_text, text).select(*on, F.col(item).alias("_i"), "cls", *values)
     side = lambda k: members.select(*on, F.col("_i").alias("ab"[k]), F.col("cls").alias(f"c{k + 1}"), *[F.col(v).alias(f"{v}_{'ab'[k]}") for v in values])
-    left = side(0).join(similar_classes(classes, threshold), "c1").withColumn("_part", F.pmod(F.xxhash64("a"), F.lit(PAIR_PARTS)))
-    right = side(1).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PAIR_PARTS - 1).cast("long"))))
-    return left.join(right, [*on, "c2", "_part"]).filter("a < b").drop("c1", "c2", "_part")
+    alike = similar_classes(classes, threshold)
+    if digits is not None:
+        alike = alike.withColumn("similarity", F.round("similarity", digits))
+    left = side(0).join(alike, "c1").drop("c1").withColumn("_part", F.pmod(F.xxhash64("a"), F.lit(PAIR_PARTS)))
+    ranged = side(1).repartitionByRange(*on, "c2", "b").withColumn("_at", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy(*on, "c2", "_at").orderBy("b"))
+    packed = F.sort_array(F.collect_list(F.struct("b", *[f"{v}_b" for v in values])))
+    blocks = ranged.withColumn("_n", F.floor((place - 1) / BLOCK_ROWS)).groupBy(*on, "c2", "_at", "_n").agg(packed.alias("_bs"), F.max("b").alias("_last"))
+    blocks = blocks.drop("_at", "_n").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PAIR_PARTS - 1).cast("long"))))
+    met = blocks.join(left.hint("merge"), [*on, "c2", "_part"]).filter("a < _last")  # blocks stream by, in as many tasks as a shuffle has
+    pairs = met.select(*on, "a", *[f"{v}_a" for v in values], "similarity", F.inline("_bs")).filter("a < b")
+    return pairs.select(*on, "a", "b", "similarity", *[f"{v}_{x}" for v in values for x in "ab"])
 
 
 def once_each(rows: DataFrame, item: str, pairs_of: Callable[[DataFrame], DataFrame], merged: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -144,9 +157,9 @@ def once_each(rows: DataFrame, item: str, pairs_of: Callable[[DataFrame], DataFr
     return merged(pairs_of(rows)) if repeated else pairs_of(rows)
 
 
-def similar_pairs(rows: DataFrame, item: str, text: str, threshold: float) -> DataFrame:
+def similar_pairs(rows: DataFrame, item: str, text: str, threshold: float, digits: int | None = None) -> DataFrame:
     """Pairs a < b whose trigram similarity reaches the threshold, each once."""
-    return once_each(rows, item, lambda r: similar_rows(r, item, text, threshold).select("a", "b", "similarity"), lambda p: p.distinct())
+    return once_each(rows, item, lambda r: similar_rows(r, item, text, threshold, digits=digits).select("a", "b", "similarity"), lambda p: p.distinct())
 
 
 #: Similarities that a top-k search asks for in turn; a query leaves when it has k candidates so similar.
