@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import joins, stats, windows
+from tidewater.operators import joins, knowledge, stats, windows
 
 
 def plan(df):
@@ -48,3 +48,15 @@ def test_similarity_is_rounded_by_classes(spark):
     rows = spark.createDataFrame([(1, "hot rings"), (2, "hot ring"), (3, None), (4, "")], "id long, x string")
     got = joins.similar_pairs(rows, "id", "x", 0.5, 3)
     assert [tuple(r) for r in got.collect()] == [(1, 2, 0.727)] and "round" not in plan(got).split("Join")[0]
+
+
+def test_a_pool_is_put_in_order_of_recency_once(spark, monkeypatch):
+    monkeypatch.setattr(knowledge, "POOL_PART_ROWS", 5)
+    q = spark.createDataFrame([(k, k % 2, ("gold price", "oil")[k % 3 % 2]) for k in range(9)], "query long, b long, text string")
+    c = spark.createDataFrame([(k, k % 4, k % 2, ("gold", "oil price", None)[k % 3]) for k in range(50)], "candidate long, recency long, b long, candidate_text string")
+    got = knowledge.ranked_pool(q, c, "query", ["b"], ["text"], ["candidate_text"], ["recency", "tokens"])
+    want = knowledge.ranked(q.join(c, "b"), "query", ["recency", "tokens"]).select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 9 * 25
+    # Only the ranking by tokens sorts a group's rows, and groups go to as many tasks as the candidates need.
+    assert plan(got).count("row_number() windowspecdefinition(_group") == 1
+    assert [x for x in plan(got).splitlines() if "RepartitionByExpression [_group" in x and x.rstrip().endswith(", 10")]
