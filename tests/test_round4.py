@@ -44,6 +44,13 @@ def test_similar_rows_are_met_block_by_block(spark, tmp_path):
     assert max(runs) <= joins.BLOCK_ROWS and len(pairs) / len(runs) >= 32
 
 
+def test_similar_rows_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PAIRED_ROWS", 5)
+    got = joins.similar_pairs(spark.createDataFrame([(k, ("large ring", "oil")[k % 2]) for k in range(60)], "id long, x string"), "id", "x", 0.8)
+    assert got.count() == 2 * 30 * 29 // 2
+    assert len([x for x in plan(got).splitlines() if "RepartitionByExpression [c2" in x and x.rstrip().endswith(", 12")]) == 2
+
+
 def test_similarity_is_rounded_by_classes(spark):
     rows = spark.createDataFrame([(1, "hot rings"), (2, "hot ring"), (3, None), (4, "")], "id long, x string")
     got = joins.similar_pairs(rows, "id", "x", 0.5, 3)

@@ -121,6 +121,8 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
 
 #: Tasks that the pairs of two classes are dealt over.
 PAIR_PARTS = 16
+#: Rows for each of the tasks that meet their partners: what a task makes is far more than it reads.
+PAIRED_ROWS = 10_000
 #: Rows of a class that travel as one and that a row meets one after the other.
 BLOCK_ROWS = 256
 
@@ -146,7 +148,10 @@ def similar_rows(rows: DataFrame, item: str, text: str, threshold: float, on: Se
     packed = F.sort_array(F.collect_list(F.struct("b", *[f"{v}_b" for v in values])))
     blocks = ranged.withColumn("_n", F.floor((place - 1) / BLOCK_ROWS)).groupBy(*on, "c2", "_at", "_n").agg(packed.alias("_bs"), F.max("b").alias("_last"))
     blocks = blocks.drop("_at", "_n").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PAIR_PARTS - 1).cast("long"))))
-    met = blocks.join(left.hint("merge"), [*on, "c2", "_part"]).filter("a < _last")  # blocks stream by, in as many tasks as a shuffle has
+    keys = [*on, "c2", "_part"]
+    dealt = lambda x: x.repartition(parts, *keys)
+    parts = parts_for(rows, PAIRED_ROWS)
+    met = dealt(blocks).join(dealt(left).hint("merge"), keys).filter("a < _last")  # blocks stream by
     pairs = met.select(*on, "a", *[f"{v}_a" for v in values], "similarity", F.inline("_bs")).filter("a < b")
     return pairs.select(*on, "a", "b", "similarity", *[f"{v}_{x}" for v in values for x in "ab"])
 
